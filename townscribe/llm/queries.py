@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, toxicity
+from . import common, decontamination, line_dedup, near_dup, packing, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -38,3 +38,33 @@ def fit_toxicity(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicity.
     """A model from the labelled rows that are not held out, at most ``toxicity.MAX_LABELLED``."""
     labels = common.bounded_labels(common.read(spark, sf_dir, "labels"), "toxic", common.crc_mod(F.col("doc_id"), 5) != 0, toxicity.MAX_LABELLED)
     return toxicity.fit(docs, labels)
+
+
+@query
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every document, the benchmark items of which it holds a passage, and the highest similarity."""
+    return decontamination.report(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "benchmark"))
+
+
+@query
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 1024 tokens."""
+    common.tune(spark)
+    return packing.pack(common.read(spark, sf_dir, "documents"))
+
+
+@query
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every document, its lines, how many are boilerplate of its source, and a digest of the rest."""
+    kept = line_dedup.apply(common.read(spark, sf_dir, "documents"))
+    return kept.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_dropped").cast("long").alias("n_dropped"), F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
+
+
+ORACLES["op6_line_dedup"] = line_dedup.ORACLE
+
+
+@query
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate component of every document."""
+    common.tune(spark)
+    return near_dup.near_duplicates(common.read(spark, sf_dir, "documents"))
