@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontamination, line_dedup, near_dup, packing, toxicity
+from . import common, decontamination, line_dedup, near_dup, packing, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -68,3 +68,10 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate component of every document."""
     common.tune(spark)
     return near_dup.near_duplicates(common.read(spark, sf_dir, "documents"))
+
+
+@query
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every document, its words, how many an earlier document covers, and a digest of the rest."""
+    common.tune(spark)
+    return substring_dedup.dedup(common.read(spark, sf_dir, "documents"), digest=True).withColumnRenamed("kept", "kept_sha256")

@@ -246,3 +246,16 @@ def score(docs: DataFrame, model: ToxicModel) -> DataFrame:
 
     kind = plain.schema["doc_id"].dataType.simpleString()
     return plain.mapInArrow(run, f"doc_id {kind}, score double, evidence double, passages array<struct<first_word:long,past_word:long,score:double,expected:double>>")
+
+
+def keep_clean(docs: DataFrame, model: ToxicModel, at: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose probability of being toxic is under ``at``."""
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, known = shipped.value, {}
+        for b in batches:
+            p = m.probability([evidence(*scan(t, known, m), m)[1] for t in b.column(b.schema.get_field_index("text")).to_pylist()])
+            yield b.filter(pa.array(p < at))
+
+    return docs.mapInArrow(run, docs.schema)
