@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import pickle
 import sys
 import tempfile
 import types
 import uuid
+from collections.abc import Callable
+from typing import Any
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,3 +106,12 @@ def bounded_labels(labels: DataFrame, label: str, keep: Column, bound: int) -> D
         .orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id")
         .limit(bound)
     )
+
+
+def ship(spark: SparkSession, value: Any) -> Callable[[], Any]:
+    """Broadcast a driver-side value of bounded size; the function returned gives it on a worker.
+
+    It travels pickled by value, so a worker needs no import of this package for it.
+    """
+    raw = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(raw.value)

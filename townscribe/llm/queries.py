@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontamination, line_dedup, near_dup, packing, substring_dedup, toxicity
+from . import common, decontamination, fingerprints, language, line_dedup, near_dup, packing, quality, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -75,3 +75,36 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every document, its words, how many an earlier document covers, and a digest of the rest."""
     common.tune(spark)
     return substring_dedup.dedup(common.read(spark, sf_dir, "documents"), digest=True).withColumnRenamed("kept", "kept_sha256")
+
+
+@query
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, with their likeness."""
+    rows = fingerprints.edited(common.read(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprints.text_of(F.col("v")).alias("fingerprint"),
+        fingerprints.text_of(F.col("edited_v")).alias("edited_fingerprint"),
+        fingerprints.likeness(F.col("v"), F.col("edited_v")).alias("near_edited"),
+        F.coalesce(fingerprints.likeness(F.col("v"), F.col("next_v")), F.lit(0.0)).alias("near_next"),
+    )
+
+
+@query
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; rows with crc32(doc_id) mod 3 = 1 are held out."""
+    common.tune(spark)
+    docs = common.read(spark, sf_dir, "documents")
+    labels = common.bounded_labels(common.read(spark, sf_dir, "labels"), "quality", common.crc_mod(F.col("doc_id"), 3) != 1, quality.MAX_LABELLED)
+    return quality.score(docs, quality.fit(docs, labels)).select("doc_id", (common.crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "margin")
+
+
+@query
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; rows with crc32(doc_id) mod 3 = 1 are held out."""
+    common.tune(spark)
+    docs = common.read(spark, sf_dir, "documents")
+    model = language.fit_frame(docs, common.crc_mod(F.col("doc_id"), 3) != 1)
+    return language.predict(docs, model).select("doc_id", (common.crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score", "rejected")

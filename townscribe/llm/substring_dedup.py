@@ -143,12 +143,12 @@ def _hashed_windows(docs: DataFrame, shared: DataFrame) -> DataFrame:
     kind = "window long, doc_id long, start int"
     if common.at_most(shared, BROADCAST_MINIMIZERS):
         values = np.sort(shared.toArrow().column("minimizer").to_numpy())
-        shipped = docs.sparkSession.sparkContext.broadcast(values)
+        shipped = common.ship(docs.sparkSession, values)
 
         def by_broadcast(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hasher = Hasher()
+            hasher, wanted = Hasher(), shipped()
             for b in batches:
-                yield emit(b, hasher, lambda i: shipped.value)
+                yield emit(b, hasher, lambda i: wanted)
 
         return docs.mapInArrow(by_broadcast, kind)
 

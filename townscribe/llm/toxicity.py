@@ -210,12 +210,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicModel:
     model = ToxicModel(token_log_odds(train))
     if not model.tokens:
         return model
-    shipped = spark.sparkContext.broadcast(model)
+    shipped = common.ship(spark, model)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, float] = {}
+        m = shipped()
         for b in batches:
-            got = [scan(t, known, shipped.value) for t in b.column("text").to_pylist()]
+            got = [scan(t, known, m) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_pydict({"n": pa.array([n for n, _ in got], pa.int64()), "scores": pa.array([[s for _, _, s in segs] for _, segs in got], pa.list_(pa.float64())), "label": b.column("label")})
 
     rows = train.mapInArrow(measure, "n long, scores array<double>, label int").toPandas()
@@ -229,11 +230,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicModel:
 
 def score(docs: DataFrame, model: ToxicModel) -> DataFrame:
     """``docs`` (doc_id, text, ...) with toxic_score, toxic_evidence, toxic_passages (words from, to, score, expected)."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    shipped = common.ship(docs.sparkSession, model)
     plain = docs.select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, known = shipped.value, {}
+        m, known = shipped(), {}
         kind = pa.list_(pa.struct([("first_word", pa.int64()), ("past_word", pa.int64()), ("score", pa.float64()), ("expected", pa.float64())]))
         for b in batches:
             got = [evidence(*scan(t, known, m), m) for t in b.column("text").to_pylist()]
@@ -250,10 +251,10 @@ def score(docs: DataFrame, model: ToxicModel) -> DataFrame:
 
 def keep_clean(docs: DataFrame, model: ToxicModel, at: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose probability of being toxic is under ``at``."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    shipped = common.ship(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, known = shipped.value, {}
+        m, known = shipped(), {}
         for b in batches:
             p = m.probability([evidence(*scan(t, known, m), m)[1] for t in b.column(b.schema.get_field_index("text")).to_pylist()])
             yield b.filter(pa.array(p < at))
