@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontamination, fingerprints, language, line_dedup, near_dup, packing, quality, substring_dedup, toxicity
+from . import common, decontamination, fingerprints, html_extract, language, line_dedup, near_dup, packing, quality, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -108,3 +108,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read(spark, sf_dir, "documents")
     model = language.fit_frame(docs, common.crc_mod(F.col("doc_id"), 3) != 1)
     return language.predict(docs, model).select("doc_id", (common.crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    common.tune(spark)
+    return html_extract.main_text(common.read(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
