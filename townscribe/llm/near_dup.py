@@ -4,12 +4,16 @@
    keys of 5 lanes.  A pair of similarity 0.75 shares no band with probability
    (1 - 0.75^5)^40 = 2e-5.  Texts with the same set form a class at once; only the least
    doc_id of a class goes on.
-2. Round one pairs every class of a bucket with the bucket's least class (a star, no square).
-   Pairs whose classes differ too much in size, or whose lanes make a similarity of 0.75
-   improbable batch after batch, are pruned; full sets confirm the rest exactly.
+2. For every set that shares a bucket, the shingles that no other such set has are counted.
+   They bound its similarity to any other: heavily edited copies of one text, which resemble
+   each other but link with nothing, leave here without being paired.
+   Round one pairs every class of a bucket with the bucket's least class (a star, no square).
+   Pairs whose bound is too low, or whose lanes make a similarity of 0.75 improbable batch
+   after batch, are pruned; full sets confirm the rest exactly.
 3. Classes linked so far are components.  Round two pairs what remains: classes of a bucket
-   that stand in different components.  A bucket of copies has nothing left here.  Nothing
-   is capped, so no link is lost to a large bucket.
+   that stand in different components, and of these only pairs that can reach the similarity
+   by what each shares with the bucket's head (bits, compared in the join).  A bucket of
+   copies has nothing left here.  Nothing is capped, so no link is lost to a large bucket.
 4. Components by large-star and small-star steps.
 
 A text with fewer than five words is one shingle; texts without words, and null texts, have
@@ -124,19 +128,38 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("a").take(pa.array(keep, pa.int64())), b.column("b").take(pa.array(keep, pa.int64()))], ["a", "b"])
 
 
-def verify(pairs: DataFrame, sigs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The (a, b) of ``pairs`` that reach the similarity; ``sigs`` has (doc_id, sig)."""
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        sets = [np.frombuffer(x, dtype=np.int64) for x in b.column("shingles").to_pylist()]
+        ids = np.repeat(b.column("id").to_numpy(zero_copy_only=False), np.array([len(x) for x in sets], dtype=np.int64)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate([np.zeros(0, np.int64), *sets]))], ["id", "shingle"])
+
+
+def _against_head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Which of the head's shingles a set has, as bits, and how many others it has that another set might have."""
+    for b in batches:
+        bits, extra = [], []
+        for x, h, own in zip(b.column("set_x").to_pylist(), b.column("set_h").to_pylist(), b.column("own").to_pylist(), strict=True):
+            x, h = np.frombuffer(x, dtype=np.uint64), np.frombuffer(h, dtype=np.uint64)
+            has = np.isin(h, x, assume_unique=True)
+            packed = np.packbits(has)
+            bits.append(np.pad(packed, (0, -len(packed) % 8)).view(np.int64))
+            extra.append(int(own) - int(has.sum()))
+        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("of"), pa.array(bits, pa.list_(pa.int64())), pa.array(extra, pa.int64())], ["id", "of", "bits", "extra"])
+
+
+def verify(pairs: DataFrame, sigs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The (a, b) of ``pairs`` that reach the similarity; ``sigs`` has (doc_id, sig), ``sets`` (id, shingles)."""
     at = lambda s: sigs.select(F.col("doc_id").alias(s), F.col("sig").alias(f"sig_{s}"))
     likely = common.materialize(pairs.join(at("a"), "a").join(at("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_prune, "a long, b long"), "likely")
-    ids = common.materialize(likely.select(F.col("a").alias("doc_id")).unionAll(likely.select("b")).distinct(), "ids")
-    sets = docs.select("doc_id", "text").join(common.maybe_broadcast(ids), "doc_id").mapInArrow(_sets, "id long, shingles binary")
     of = lambda s: sets.select(F.col("id").alias(s), F.col("shingles").alias(f"set_{s}"))
     return likely.join(of("a"), "a").join(of("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(_confirm, "a long, b long")
 
 
-def _close(a: str, b: str):
-    """Whether two set sizes allow the similarity at all."""
-    return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
+def _possible(n_a: str, own_a: str, n_b: str, own_b: str):
+    """Whether two sets can reach the similarity, from their sizes and how much of each any other set has at all."""
+    most = F.least(own_a, own_b)
+    return 100 * most >= PERCENT * (F.col(n_a) + F.col(n_b) - most)
 
 
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -149,18 +172,35 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     reps = real.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     sigs = reps.select("doc_id", "sig")
     keys = reps.select("doc_id", "n", F.explode("bands").alias("key"))
-    heads = keys.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("head"), F.max("doc_id").alias("last")).where("head.doc_id < last").select("key", "head")
-    shared = common.materialize(keys.join(heads, "key"), "buckets")
-    star = shared.where("doc_id <> head.doc_id").where(_close("n", "head.n")).select(F.col("head.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
-    edges = common.materialize(verify(star, sigs, docs), "links")
+    heads = keys.groupBy("key").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last")).where("head < last").select("key", "head")
+    buckets = common.materialize(keys.join(heads, "key"), "buckets")
+
+    # the sets of all that share a bucket, and how much of each set any other of these sets has
+    ids = common.materialize(buckets.select("doc_id").distinct(), "ids")
+    sets = common.materialize(docs.join(common.maybe_broadcast(ids), "doc_id").mapInArrow(_sets, "id long, shingles binary"), "sets")
+    lone = sets.mapInArrow(_exploded, "id long, shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("sets"), F.min("id").alias("id")).where("sets = 1").groupBy("id").agg(F.count(F.lit(1)).alias("lone"))
+    lone = common.maybe_broadcast(common.materialize(lone, "lone"))
+    buckets = buckets.join(lone, buckets["doc_id"] == lone["id"], "left").withColumn("own", F.col("n") - F.coalesce("lone", F.lit(0))).drop("id", "lone")
+    # too much of the set stands nowhere else: no link at all
+    buckets = buckets.where(100 * F.col("own") >= PERCENT * F.col("n"))
+    first = buckets.where("doc_id = head").select(F.col("key").alias("head_key"), F.col("n").alias("head_n"), F.col("own").alias("head_own"))
+    star = buckets.where("doc_id <> head").join(first, (F.col("key") == F.col("head_key")) & _possible("n", "own", "head_n", "head_own")).select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct()
+    edges = common.materialize(verify(star, sigs, sets), "links")
     comp = common.materialize(components(edges), "components")
-    placed = shared.join(comp, shared["doc_id"] == comp["node"], "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("place"), F.col("head.doc_id").alias("head"))
+    placed = buckets.join(comp, buckets["doc_id"] == comp["node"], "left").select("key", "doc_id", "n", "own", "head", F.coalesce("component", "doc_id").alias("place"))
     open_keys = placed.groupBy("key").agg(F.min("place").alias("lo"), F.max("place").alias("hi")).where("lo < hi").select("key")
     rest = common.materialize(placed.join(open_keys, "key").where("doc_id <> head"), "unlinked")
-    x = rest.select("key", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"))
-    y = rest.select("key", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"))
-    more = x.join(y, "key").where("a < b and pa <> pb").where(_close("na", "nb")).select("a", "b").distinct()
-    late = common.materialize(verify(more, sigs, docs), "late-links")
+    # each set against its bucket's head: two sets share at most what both share with it, and the rest of the smaller rest
+    with_head = rest.groupBy(F.col("doc_id").alias("id"), F.col("head").alias("of")).agg(F.max("own").alias("own"))
+    with_head = with_head.join(sets.select("id", F.col("shingles").alias("set_x")), "id").join(sets.select(F.col("id").alias("of"), F.col("shingles").alias("set_h")), "of").select("id", "of", "own", "set_x", "set_h")
+    placed = rest.join(with_head.mapInArrow(_against_head, "id long, of long, bits array<long>, extra long"), (F.col("doc_id") == F.col("id")) & (F.col("head") == F.col("of")))
+    placed = common.materialize(placed.select("key", "doc_id", "n", "place", "bits", "extra"), "placed")
+    side = lambda s: placed.select(F.col("key").alias(f"key_{s}"), *(F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "n", "place", "bits", "extra")))
+    apart = (F.col("doc_id_a") < F.col("doc_id_b")) & (F.col("place_a") != F.col("place_b")) & _possible("n_a", "n_a", "n_b", "n_b")
+    both = F.aggregate(F.zip_with("bits_a", "bits_b", lambda p, q: F.bit_count(p.bitwiseAND(q))), F.lit(0), lambda n, k: n + k) + F.least("extra_a", "extra_b")
+    reach = 100 * both >= PERCENT * (F.col("n_a") + F.col("n_b") - both)
+    more = side("a").join(side("b"), (F.col("key_a") == F.col("key_b")) & apart & reach).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct()
+    late = common.materialize(verify(more, sigs, sets), "late-links")
     if not late.isEmpty():
         edges = edges.unionAll(late)
         comp = common.materialize(components(edges), "components")
