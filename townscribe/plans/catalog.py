@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ()
+MODULES = ("rollups", "usage", "vectors", "texts", "names", "resolution", "changes", "places", "legal", "streams")
 
 
 def load() -> None:
