@@ -18,8 +18,8 @@ hash groups of sources.  Repeated rows are packed as documents of their own.
 
 from __future__ import annotations
 
+import base64
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -36,74 +36,45 @@ LENGTH = 1024
 #: Tokens of a mixture window, about.
 WINDOW = 32 * LENGTH
 MAX_QUEUES = 4096
-#: Words of a generation of a worker's cache of encoded words.
-CACHE = 300_000
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+#: The same vocabulary as ranks.
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-class WordEncoder:
-    """Ids of texts; equal to the tokenizer's, which sees each distinct word once for long.
+class Encoder:
+    """Ids of texts as the tokenizer gives them.
 
-    The tokenizer never joins a space-led word with what stands before it, so a text is
-    encoded word by word.  Texts with control characters that are white space to Python
-    alone, or with a special token's opening, go to the tokenizer whole.
+    The same vocabulary, read as ranks, encodes several times as fast as the tokenizer and
+    gives the same ids (the tests compare them).  Texts in which a special token is written
+    out, which only the tokenizer knows, and texts the rank encoder gives up on go to the
+    tokenizer itself.
     """
 
-    UNIT = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-    WHOLE = re.compile(r"[\x1c-\x1f]|<\|")
-
-    def __init__(self, path: str) -> None:
+    def __init__(self, tokenizer: str, ranks: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from tokenizers import Tokenizer
 
-        self.tok = Tokenizer.from_file(path)
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        with open(ranks, "rb") as f:
+            known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.ranks = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens={})
+        self.tok = Tokenizer.from_file(tokenizer)
+        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.kind = "<u2" if self.tok.get_vocab_size() <= 65_536 else "<u4"
-        line = self._ids("\n")
-        self.line = line[0] if len(line) == 1 else None
-
-    def _ids(self, text: str) -> list[int]:
-        return self.tok.encode(text, add_special_tokens=False).ids
-
-    def _bytes(self, ids) -> bytes:
-        return np.asarray(ids, dtype=self.kind).tobytes()
-
-    def _learn(self, missing: list[str]) -> dict[str, bytes]:
-        """Encodings of distinct units, most in one call: lines of one unit each."""
-        lines = [u for u in missing if not u.isspace()]
-        got: dict[str, bytes] = {u: self._bytes(self._ids(u)) for u in missing if u.isspace()}
-        if self.line is not None and len(lines) > 1:
-            ids = np.asarray(self._ids("\n".join(lines)), dtype=self.kind)
-            cut = np.flatnonzero(ids == self.line)
-            if len(cut) == len(lines) - 1:
-                first, past = [0, *(cut + 1).tolist()], [*cut.tolist(), len(ids)]
-                raw, w = ids.tobytes(), ids.itemsize
-                got |= {u: raw[a * w : z * w] for u, a, z in zip(lines, first, past, strict=True)}
-                return got
-        return got | {u: self._bytes(self._ids(u)) for u in lines}
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian ids of each text, without special tokens."""
-        units = [None if t and self.WHOLE.search(t) else self.UNIT.findall(t or "") for t in texts]
-        young, old = self.young, self.old
-        missing: dict[str, None] = {}
-        for u in units:
-            for x in u or ():
-                if x not in young:
-                    if (got := old.get(x)) is not None:
-                        young[x] = got
-                    else:
-                        missing[x] = None
-        if missing:
-            young.update(self._learn(list(missing)))
-        out = [self._bytes(self._ids(t)) if u is None else b"".join([young[x] for x in u]) for t, u in zip(texts, units, strict=True)]
-        if len(young) > CACHE:
-            self.old, self.young = {k: v for k, v in young.items() if len(k) <= 32}, {}
-        return out
-
-
-def tokenised(docs: DataFrame, tokenizer: str = TOKENIZER, source: str = "source") -> DataFrame:
+
+    def encode(self, text: str | None) -> bytes:
+        """Little-endian ids of a text, without special tokens of its own."""
+        text = text or ""
+        if not any(s in text for s in self.special):
+            try:
+                return np.asarray(self.ranks.encode_ordinary(text), dtype=self.kind).tobytes()
+            except BaseException as e:  # noqa: BLE001  a panic of the native code is no Exception
+                if isinstance(e, KeyboardInterrupt | SystemExit):
+                    raise
+        return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
+
+
+def tokenised(docs: DataFrame, tokenizer: str = TOKENIZER, ranks: str = RANKS, source: str = "source") -> DataFrame:
     """(doc_id, queue, part, place, n, ids): each row's ids and where they stand in its partition's queue; written once."""
     queue = F.concat(F.lit("s"), F.col(source)) if source in docs.columns else F.lit("s")
     queue = F.coalesce(queue, F.lit("n"))
@@ -113,11 +84,11 @@ def tokenised(docs: DataFrame, tokenizer: str = TOKENIZER, source: str = "source
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = common.worker_state("encoders")
-        enc = state.get(tokenizer) or state.setdefault(tokenizer, WordEncoder(tokenizer))
+        enc = state.get(tokenizer) or state.setdefault(tokenizer, Encoder(tokenizer, ranks))
         part, place = TaskContext.get().partitionId(), {}
         close = np.zeros(1, dtype=enc.kind).tobytes()
         for b in batches:
-            ids = [x + close for x in enc.encode(b.column("text").to_pylist())]
+            ids = [enc.encode(t) + close for t in b.column("text").to_pylist()]
             n, at = [len(x) // len(close) for x in ids], []
             for q, k in zip(b.column("queue").to_pylist(), n, strict=True):
                 at.append(place.get(q, 0))
@@ -177,9 +148,9 @@ class Schedule:
                 at, start, left = at + take, start + take, left - take
 
 
-def pack(docs: DataFrame, tokenizer: str = TOKENIZER, source: str = "source", length: int = LENGTH, window: int = WINDOW) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str = TOKENIZER, ranks: str = RANKS, source: str = "source", length: int = LENGTH, window: int = WINDOW) -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of ``docs`` (doc_id, text, source)."""
-    tokens = tokenised(docs, tokenizer, source)
+    tokens = tokenised(docs, tokenizer, ranks, source)
     parts = common.materialize(tokens.groupBy("part", "queue").agg(F.sum("n").alias("tokens")), "queue-parts")
     queues = [(r["queue"], r["tokens"]) for r in parts.groupBy("queue").agg(F.sum("tokens").alias("tokens")).orderBy("queue").collect()]
     number = {q: i for i, (q, _) in enumerate(queues)}
