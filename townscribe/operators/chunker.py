@@ -38,15 +38,14 @@ def chunks_of(pages: Iterable[tuple[int, str]], max_chars: int = MAX_CHARS, over
             held.append(carry)
         size = len(carry)
         first = (first if first == last else last) if carry else None
-        last = None
+        last = None if compat else first
 
     for number, text in pages:
         text = (text or "").strip()
         if not text:
             continue
-        if first is None:
-            first = number
-        last = number
+        if compat:
+            first, last = number if first is None else first, number
         for paragraph in filter(None, (p.strip() for p in text.split("\n"))):
             if size + len(paragraph) + 1 > max_chars and held:
                 flush()
