@@ -30,25 +30,25 @@ def _key(line: Column) -> Column:
 
 def boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """(host, drop): for each host that has any, the keys of its boilerplate lines."""
-    pages = docs.select(F.col(host).alias("_host"), F.split(F.coalesce("text", F.lit("")), "\n").alias("_lines"))
-    total = pages.groupBy("_host").agg(F.count(F.lit(1)).alias("_pages")).select(F.col("_host").alias("_of"), "_pages")
-    distinct = F.array_distinct(F.filter(F.transform("_lines", lambda x: F.trim(x)), lambda x: x != ""))
-    count = pages.select("_host", F.explode(distinct).alias("_line")).select("_host", _key(F.col("_line")).alias("_key")).groupBy("_host", "_key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_pages)
-    return count.join(total, F.col("_host").eqNullSafe(F.col("_of"))).where(F.col("_n") > ratio * F.col("_pages")).groupBy("_host").agg(F.collect_list("_key").alias("_drop"))
+    pages = docs.select(F.col(host).alias("_townscribe_host"), F.split(F.coalesce("text", F.lit("")), "\n").alias("_townscribe_lines"))
+    total = pages.groupBy("_townscribe_host").agg(F.count(F.lit(1)).alias("_townscribe_pages")).select(F.col("_townscribe_host").alias("_townscribe_of"), "_townscribe_pages")
+    distinct = F.array_distinct(F.filter(F.transform("_townscribe_lines", lambda x: F.trim(x)), lambda x: x != ""))
+    count = pages.select("_townscribe_host", F.explode(distinct).alias("_townscribe_line")).select("_townscribe_host", _key(F.col("_townscribe_line")).alias("_townscribe_key")).groupBy("_townscribe_host", "_townscribe_key").agg(F.count(F.lit(1)).alias("_townscribe_n")).where(F.col("_townscribe_n") >= min_pages)
+    return count.join(total, F.col("_townscribe_host").eqNullSafe(F.col("_townscribe_of"))).where(F.col("_townscribe_n") > ratio * F.col("_townscribe_pages")).groupBy("_townscribe_host").agg(F.collect_list("_townscribe_key").alias("_townscribe_drop"))
 
 
 def apply(docs: DataFrame, host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """``docs`` with n_lines, n_dropped and kept_text."""
     drop = common.maybe_broadcast(common.materialize(boilerplate(docs, host, ratio, min_pages), "boilerplate"), 100_000)
     lines = F.split("text", "\n")
-    kept = F.when(F.col("_drop").isNull(), F.col("_lines")).otherwise(F.filter("_lines", lambda x: ~F.array_contains(F.col("_drop"), _key(F.trim(x)))))
+    kept = F.when(F.col("_townscribe_drop").isNull(), F.col("_townscribe_lines")).otherwise(F.filter("_townscribe_lines", lambda x: ~F.array_contains(F.col("_townscribe_drop"), _key(F.trim(x)))))
     return (
-        docs.withColumn("_lines", lines)
-        .join(drop, F.col(host).eqNullSafe(F.col("_host")), "left")
-        .withColumn("_kept", kept)
-        .withColumns({"n_lines": F.coalesce(F.size("_lines"), F.lit(0)), "n_dropped": F.coalesce(F.size("_lines") - F.size("_kept"), F.lit(0)), "kept_text": F.array_join("_kept", "\n")})
+        docs.withColumn("_townscribe_lines", lines)
+        .join(drop, F.col(host).eqNullSafe(F.col("_townscribe_host")), "left")
+        .withColumn("_townscribe_kept", kept)
+        .withColumns({"n_lines": F.coalesce(F.size("_townscribe_lines"), F.lit(0)), "n_dropped": F.coalesce(F.size("_townscribe_lines") - F.size("_townscribe_kept"), F.lit(0)), "kept_text": F.array_join("_townscribe_kept", "\n")})
         .withColumns({c: F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.col(c)) for c in ("n_lines", "n_dropped")})
-        .drop("_lines", "_kept", "_drop", "_host")
+        .drop("_townscribe_lines", "_townscribe_kept", "_townscribe_drop", "_townscribe_host")
     )
 
 

@@ -221,11 +221,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` less all but the least doc_id of each component; of rows that repeat a doc_id one stays."""
     ids = near_duplicates(docs)
-    gone = common.materialize(ids.where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    kept = docs.join(common.maybe_broadcast(gone), docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
-    again = common.materialize(docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("_again")).count().where("count > 1").select("_again"), "repeated")
+    gone = common.materialize(ids.where("not kept").select(F.col("doc_id").alias("_townscribe_gone")).distinct(), "gone")
+    kept = docs.join(common.maybe_broadcast(gone), docs["doc_id"].cast("long") == F.col("_townscribe_gone"), "left_anti")
+    again = common.materialize(docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("_townscribe_again")).count().where("count > 1").select("_townscribe_again"), "repeated")
     if again.isEmpty():
         return kept
     again = common.maybe_broadcast(again)
-    once = kept.join(again, kept["doc_id"] == F.col("_again"), "left_anti")
-    return once.unionAll(kept.join(again, kept["doc_id"] == F.col("_again"), "left_semi").dropDuplicates(["doc_id"]))
+    once = kept.join(again, kept["doc_id"] == F.col("_townscribe_again"), "left_anti")
+    return once.unionAll(kept.join(again, kept["doc_id"] == F.col("_townscribe_again"), "left_semi").dropDuplicates(["doc_id"]))
