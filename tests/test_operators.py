@@ -227,3 +227,21 @@ def test_streams_match_batches(spark, data):
     got = {r["event_id"]: r["allowed"] for r in registry.QUERIES["stream_limiter"](spark, data).collect()}
     want = {r["event_id"]: r["allowed"] for r in rate_limited(events(spark, data), "user_id", "ts", 3, 86_400, "event_id").collect()}
     assert got == want
+
+
+def test_rule_tables(spark):
+    from townscribe.functions import rules
+
+    want = {"Recorder of Madison County Condominium Association": True, "3025 Porter Street Condo": False, "City of Raleigh": True, "": True, "Oak Homeowners Association": False, "Raleigh": True}
+    df = spark.createDataFrame([(k,) for k in want], "name string")
+    assert {r["name"]: r["bad"] for r in df.select("name", rules.non_entity(F.col("name")).isNotNull().alias("bad")).collect()} == want
+    state = lambda t, e=None, **k: one(spark, rules.verify_state(F.lit(t), F.lit(e).cast("string"), **k))
+    assert tuple(state("recorded in west virginia")) == ("WV", "medium") and state("recorded in west virginia", compat=True)["state"] == "VA"
+    assert tuple(state("recorded in arkansas", "AR")) == ("AR", "high") and tuple(state("nothing of note", "TX")) == ("TX", "low") and tuple(state("short")) == (None, "low")
+    assert one(spark, rules.mailing_name(F.lit("PB HOA C O ALMA PROP"))) == "Pb Hoa"
+    assert one(spark, rules.mailing_name(F.lit("OAKS OF THE LAKE CONDO ASSN"))) == "Oaks of the Lake Condominium Association"
+    assert one(spark, rules.compact_name(F.lit("Foo & Bar Homeowners Association, Inc."))) == "Foo And Bar ,"
+    assert tuple(one(spark, rules.state_county(F.lit("Wake County, North Carolina. Lake County, Ohio and Lake County, Ohio.")))) == ("OH", "Lake")
+    text_ = "The community is located at 12 Oak Street, Raleigh, NC 27601. " + "x " * 90 + "Prepared by attorney, 9 Elm Road, Cary, NC 27511."
+    got = rules.address_candidates(spark.createDataFrame([(1, text_)], "doc_id long, text string"), "NC").orderBy("rank").collect()
+    assert [(r["query"], r["score"]) for r in got] == [("12 Oak Street, Raleigh, NC 27601", 2), ("9 Elm Road, Cary, NC 27511", -3)]
