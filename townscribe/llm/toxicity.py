@@ -9,9 +9,9 @@
    document; ordinary words cost a constant drift.
 3. Extreme values: clean documents give lambda and K of
    P(max > s) = 1 - exp(-K n exp(-lambda s)); a passage is significant if its expected
-   number in clean text of that length is at most ``max_expected``.  The normalised
-   scores of the significant passages add up to a document's evidence, which a logistic
-   curve turns into a probability.
+   number in clean text of that length is at most ``max_expected``.  The scores of the
+   significant passages add up, and their sum, normalised like one score (lambda times it,
+   less ln(K n)), is a document's evidence, which a logistic curve turns into a probability.
 
 Null or empty texts have no words: no passage and the score of no evidence.  Labels on
 repeated ids count once (the largest); null labels and ids teach nothing.  Repeated rows
@@ -25,6 +25,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +38,8 @@ from . import common
 MAX_LABELLED = 12_000
 #: Word beginnings of these lengths are tokens beside the whole word.
 PREFIXES = range(3, 9)
-#: Signed root of the likelihood ratio that a token needs, and its least log-odds.
-MIN_ROOT, MIN_LOG_ODDS = 3.5, 1.5
+#: Tokens expected to pass the likelihood-ratio test by chance, and a token's least log-odds.
+FALSE_TOKENS, MIN_LOG_ODDS = 10, 1.5
 #: Tokens kept at most, strongest first (a bound of the classifier's size).
 MAX_TOKENS = 20_000
 #: Nats that a word without evidence takes from a segment.
@@ -115,7 +116,7 @@ def evidence(n: int, segs: list[tuple[int, int, float]], model: ToxicModel, most
     """Significant passages (first, past, score, expected number in clean text) and the document's evidence."""
     base = math.log(max(model.k * n, 1e-12))
     passages = [(a, b, s, math.exp(min(700.0, base - model.lam * s))) for a, b, s in segs if base - model.lam * s <= math.log(most)]
-    return passages, sum(model.lam * s - base for _, _, s, _ in passages)
+    return passages, model.lam * sum(s for _, _, s, _ in passages) - base if passages else 0.0
 
 
 def fit_tail(n: np.ndarray, s: np.ndarray) -> tuple[float, float]:
@@ -193,10 +194,13 @@ def token_log_odds(train: DataFrame) -> dict[str, float]:
     # Dirichlet prior: two sentences at the pooled rate for each class, and half a sentence of any token
     p1, p0 = (y1 + 2 * rate) / (n1 + 2), (y0 + 2 * rate + 0.5) / (n0 + 2)
     odds = F.log(p1 / (1 - p1)) - F.log(p0 / (1 - p0))
+    counts = common.materialize(counts.where("token <> ''"), "token-counts")
+    tested = max(counts.count(), 2 * FALSE_TOKENS)
+    least = NormalDist().inv_cdf(1 - FALSE_TOKENS / tested)
     best = (
-        counts.where("token <> ''")
+        counts
         .select("token", F.sqrt(F.greatest(g2, F.lit(0.0))).alias("root"), odds.alias("odds"))
-        .where((F.col("root") >= MIN_ROOT) & (F.col("odds") >= MIN_LOG_ODDS))
+        .where((F.col("root") >= least) & (F.col("odds") >= MIN_LOG_ODDS))
         .orderBy(F.desc("root"), "token")
         .limit(MAX_TOKENS)
     )
