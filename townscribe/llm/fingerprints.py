@@ -32,7 +32,6 @@ def _zero() -> Column:
     return F.lit(0).cast("long")
 
 
-
 def _signed(x: Column) -> Column:
     """A sketch lane modulo 2^SKETCH_BITS, as a signed number."""
     half = 1 << (SKETCH_BITS - 1)
@@ -50,60 +49,68 @@ def wide(text: Column) -> Column:
     return F.transform(total, lambda x: x.bitwiseAND(mask))
 
 
-def sketch(text: Column) -> Column:
-    """The sketch lanes that are not zero, in order: array<struct<lane:int,value:bigint>>."""
-    codes = F.transform(F.filter(F.split(text, SENTENCE), lambda s: s != ""), lambda s: F.pmod(F.xxhash64(s), F.lit(2 * SKETCH)).cast("int"))
-    lanes = F.array_sort(F.array_distinct(F.transform(codes, lambda c: F.shiftright(c, 1))))
-    value = lambda lane: F.aggregate(codes, _zero(), lambda n, c: n + F.when(F.shiftright(c, 1) == lane, F.when(F.getbit(c, F.lit(0)) == 1, 1).otherwise(-1)).otherwise(0).cast("long"))
-    full = F.transform(lanes, lambda lane: F.struct(lane.alias("lane"), _signed(value(lane)).alias("value")))
-    return F.filter(full, lambda x: x["value"] != 0)
-
+def with_vectors(df: DataFrame, text: str, out: str) -> DataFrame:
+    """``df`` with the fingerprint of a text column as struct<wide, lanes, values>; null texts are empty.
 
-def _combine(a: Column, b: Column, sign: int) -> Column:
-    """Sketches added (sign 1) or subtracted (-1)."""
-    lanes = F.array_sort(F.array_union(F.transform(a, lambda x: x["lane"]), F.transform(b, lambda x: x["lane"])))
-    at = lambda xs, lane: F.aggregate(xs, _zero(), lambda n, x: n + F.when(x["lane"] == lane, x["value"]).otherwise(_zero()))
-    return F.filter(F.transform(lanes, lambda lane: F.struct(lane.alias("lane"), _signed(at(a, lane) + at(b, lane) * sign).alias("value"))), lambda x: x["value"] != 0)
+    lanes are the sketch lanes that are not zero, in order.  Each step is a column of its own:
+    what a lambda names is evaluated for every element, so it must be a column already.
+    """
+    t = F.coalesce(F.col(text), F.lit(""))
+    codes = F.transform(F.filter(F.split(t, SENTENCE), lambda s: s != ""), lambda s: F.pmod(F.xxhash64(s), F.lit(2 * SKETCH)).cast("int"))
+    df = df.withColumn("_codes", F.sort_array(codes))
+    df = df.withColumn("_kinds", F.array_distinct("_codes"))
+    df = df.withColumn("_first", F.transform("_kinds", lambda k: F.array_position(F.col("_codes"), k)))
+    df = df.withColumn("_count", F.transform("_first", lambda p, i: F.coalesce(F.get("_first", i + 1), F.size("_codes") + 1) - p))
+    df = df.withColumn("_lanes", F.array_distinct(F.transform("_kinds", lambda k: F.shiftright(k, 1))))
+    count = lambda code: F.coalesce(F.get("_count", (F.array_position(F.col("_kinds"), code) - 1).cast("int")), _zero())
+    df = df.withColumn("_values", F.transform("_lanes", lambda lane: _signed(count(lane * 2 + 1) - count(lane * 2))))
+    pairs = F.filter(F.arrays_zip("_lanes", "_values"), lambda x: x["_values"] != 0)
+    df = df.withColumn("_pairs", pairs)
+    v = F.struct(wide(t).alias("wide"), F.transform("_pairs", lambda x: x["_lanes"]).alias("lanes"), F.transform("_pairs", lambda x: x["_values"]).alias("values"))
+    return df.withColumn(out, v).drop("_codes", "_kinds", "_first", "_count", "_lanes", "_values", "_pairs")
+
+
+def _value(v: Column, lane: Column) -> Column:
+    """The value of a sketch lane, 0 if the fingerprint has none."""
+    return F.coalesce(F.get(v["values"], (F.array_position(v["lanes"], lane) - 1).cast("int")), _zero())
 
 
-def vectors(text: Column) -> Column:
-    """A document's fingerprint as struct<wide, sketch>."""
-    text = F.coalesce(text, F.lit(""))
-    return F.struct(wide(text).alias("wide"), sketch(text).alias("sketch"))
+def _combine(a: Column, b: Column, sign: int) -> Column:
+    mask = F.lit((1 << LANE_BITS) - 1).cast("long")
+    lanes = F.array_sort(F.array_union(a["lanes"], b["lanes"]))
+    both = F.filter(F.transform(lanes, lambda n: F.struct(n.alias("lane"), _signed(_value(a, n) + _value(b, n) * sign).alias("value"))), lambda x: x["value"] != 0)
+    return F.struct(F.zip_with(a["wide"], b["wide"], lambda x, y: (x + y * sign).bitwiseAND(mask)).alias("wide"), F.transform(both, lambda x: x["lane"]).alias("lanes"), F.transform(both, lambda x: x["value"]).alias("values"))
 
 
 def add(a: Column, b: Column) -> Column:
     """The fingerprint of all paragraphs of both."""
-    mask = F.lit((1 << LANE_BITS) - 1).cast("long")
-    return F.struct(F.zip_with(a["wide"], b["wide"], lambda x, y: (x + y).bitwiseAND(mask)).alias("wide"), _combine(a["sketch"], b["sketch"], 1).alias("sketch"))
+    return _combine(a, b, 1)
 
 
 def subtract(a: Column, b: Column) -> Column:
     """The fingerprint of the paragraphs of ``a`` without those of ``b``."""
-    mask = F.lit((1 << LANE_BITS) - 1).cast("long")
-    return F.struct(F.zip_with(a["wide"], b["wide"], lambda x, y: (x - y).bitwiseAND(mask)).alias("wide"), _combine(a["sketch"], b["sketch"], -1).alias("sketch"))
+    return _combine(a, b, -1)
 
 
 def text_of(v: Column) -> Column:
     """A fingerprint as text: the lanes in hexadecimal, a colon, the sketch lanes that are not zero."""
     lanes = F.array_join(F.transform(v["wide"], lambda x: F.lpad(F.lower(F.hex(x)), LANE_BITS // 4, "0")), "")
-    rest = F.array_join(F.transform(v["sketch"], lambda x: F.concat_ws("=", x["lane"].cast("string"), x["value"].cast("string"))), ",")
+    rest = F.array_join(F.zip_with(v["lanes"], v["values"], lambda n, x: F.concat_ws("=", n.cast("string"), x.cast("string"))), ",")
     return F.concat(lanes, F.lit(":"), rest)
 
 
 def likeness(a: Column, b: Column) -> Column:
     """0 to 1: 1 for equal fingerprints, else the cosine of the sketches (at least 0)."""
-    squares = lambda xs: F.aggregate(xs, F.lit(0.0), lambda n, x: n + (x["value"] * x["value"]).cast("double"))
-    other = F.map_from_arrays(F.transform(b["sketch"], lambda x: x["lane"]), F.transform(b["sketch"], lambda x: x["value"]))
-    dot = F.aggregate(a["sketch"], F.lit(0.0), lambda n, x: n + (x["value"] * F.coalesce(F.try_element_at(other, x["lane"]), _zero())).cast("double"))
-    size = F.sqrt(squares(a["sketch"]) * squares(b["sketch"]))
+    square = lambda v: F.aggregate(v["values"], F.lit(0.0), lambda n, x: n + (x * x).cast("double"))
+    dot = F.aggregate(F.zip_with(a["lanes"], a["values"], lambda n, x: (x * _value(b, n)).cast("double")), F.lit(0.0), lambda n, x: n + x)
+    size = F.sqrt(square(a) * square(b))
     cosine = F.when(size > 0, dot / size).otherwise(F.lit(0.0))
     return F.when(a["wide"] == b["wide"], F.lit(1.0)).otherwise(F.least(F.greatest(cosine, F.lit(0.0)), F.lit(1.0)))
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:
     """``docs`` with a column fingerprint."""
-    return docs.withColumn("fingerprint", text_of(vectors(F.col("text"))))
+    return with_vectors(docs, "text", "_v").withColumn("fingerprint", text_of(F.col("_v"))).drop("_v")
 
 
 def neighbours(ids: DataFrame) -> DataFrame:
@@ -130,13 +137,13 @@ def neighbours(ids: DataFrame) -> DataFrame:
 def edited(docs: DataFrame) -> DataFrame:
     """Each row's text, edited text, their fingerprints (structs v, edited_v) and the next document's (next_v)."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    hashed = docs.withColumn("v", vectors(F.col("text")))
+    hashed = with_vectors(docs, "text", "v")
     pairs = neighbours(docs.where("doc_id is not null").select("doc_id", F.length("text").cast("long").alias("n")))
     rows = hashed.where("doc_id is not null").join(pairs, "doc_id")
     tails = rows.select(F.col("pred_id").alias("for_id"), F.expr("substring(text, 1, cast(pred_n div 2 as int))").alias("tail"), F.col("v").alias("next_v")).groupBy("for_id").agg(F.min(F.struct("tail", "next_v")).alias("next"))
     half = "cast(length(text) div 2 as int)"
     changed = F.concat(F.expr(f"substring(text, 1, length(text) - {half})"), F.expr(f"substring(next.tail, 1, {half})"))
     with_next = rows.join(tails, F.col("doc_id") == F.col("for_id")).select("doc_id", "text", "v", changed.alias("edited"), F.col("next.next_v").alias("next_v"))
-    with_next = with_next.withColumn("edited_v", vectors(F.col("edited")))
+    with_next = with_vectors(with_next, "edited", "edited_v")
     alone = hashed.where("doc_id is null").select("doc_id", "text", "v", F.col("text").alias("edited"), F.lit(None).cast(hashed.schema["v"].dataType).alias("next_v"), F.col("v").alias("edited_v"))
     return with_next.unionByName(alone)
