@@ -5,8 +5,9 @@ paragraphs' vectors, lane by lane modulo powers of two:
 
 * LANES lanes of 32 bits, hashed from the paragraph's SHA-512 digest.  Equal multisets of
   paragraphs have equal lanes, whatever their order.
-* SKETCH lanes of 16 bits: each sentence of the paragraph adds +1 or -1 to one lane (a count
-  sketch).  Their cosine estimates how much of two documents is the same.
+* SKETCH lanes of 16 bits: each run of three words of the paragraph (shorter at its end) adds
+  +1 or -1 to one lane, a count sketch.  Their cosine estimates how much of two documents is
+  the same, with an error of about 1 / sqrt(SKETCH).
 
 Sums can be added and taken away again, so ``add`` and ``subtract`` insert or delete
 paragraphs without the rest of the document.  Only DataFrame functions are used.
@@ -26,7 +27,6 @@ from . import common
 
 LANES, LANE_BITS = 32, 32
 SKETCH, SKETCH_BITS = 128, 16
-SENTENCE = "[.!?|\\n]+"
 
 def _zero() -> Column:
     return F.lit(0).cast("long")
@@ -56,29 +56,31 @@ def with_vectors(df: DataFrame, text: str, out: str) -> DataFrame:
     what a lambda names is evaluated for every element, so it must be a column already.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    codes = F.transform(F.filter(F.split(t, SENTENCE), lambda s: s != ""), lambda s: F.pmod(F.xxhash64(s), F.lit(2 * SKETCH)).cast("int"))
-    df = df.withColumn("_codes", F.sort_array(codes))
+    df = df.withColumn("_words", F.when(t == "", F.array().cast("array<array<string>>")).otherwise(F.transform(F.split(t, "\n"), lambda p: F.split(p, " "))))
+    pairs = lambda ws: F.zip_with(ws, F.slice(ws, 2, F.size(ws)), lambda a, b: F.xxhash64(a, b))
+    codes = lambda ws: F.zip_with(pairs(ws), F.slice(ws, 3, F.size(ws)), lambda h, c: F.pmod(F.xxhash64(h, c), F.lit(2 * SKETCH)).cast("smallint"))
+    df = df.withColumn("_codes", F.sort_array(F.flatten(F.transform("_words", codes))))
     df = df.withColumn("_kinds", F.array_distinct("_codes"))
     df = df.withColumn("_first", F.transform("_kinds", lambda k: F.array_position(F.col("_codes"), k)))
     df = df.withColumn("_count", F.transform("_first", lambda p, i: F.coalesce(F.get("_first", i + 1), F.size("_codes") + 1) - p))
-    df = df.withColumn("_lanes", F.array_distinct(F.transform("_kinds", lambda k: F.shiftright(k, 1))))
-    count = lambda code: F.coalesce(F.get("_count", (F.array_position(F.col("_kinds"), code) - 1).cast("int")), _zero())
-    df = df.withColumn("_values", F.transform("_lanes", lambda lane: _signed(count(lane * 2 + 1) - count(lane * 2))))
+    df = df.withColumn("_lanes", F.array_distinct(F.transform("_kinds", lambda k: F.shiftright(k, 1).cast("smallint"))))
+    count = lambda code: F.coalesce(F.get("_count", (F.array_position(F.col("_kinds"), code.cast("smallint")) - 1).cast("int")), _zero())
+    df = df.withColumn("_values", F.transform("_lanes", lambda lane: _signed(count(lane.cast("int") * 2 + 1) - count(lane.cast("int") * 2)).cast("smallint")))
     pairs = F.filter(F.arrays_zip("_lanes", "_values"), lambda x: x["_values"] != 0)
     df = df.withColumn("_pairs", pairs)
     v = F.struct(wide(t).alias("wide"), F.transform("_pairs", lambda x: x["_lanes"]).alias("lanes"), F.transform("_pairs", lambda x: x["_values"]).alias("values"))
-    return df.withColumn(out, v).drop("_codes", "_kinds", "_first", "_count", "_lanes", "_values", "_pairs")
+    return df.withColumn(out, v).drop("_words", "_codes", "_kinds", "_first", "_count", "_lanes", "_values", "_pairs")
 
 
 def _value(v: Column, lane: Column) -> Column:
     """The value of a sketch lane, 0 if the fingerprint has none."""
-    return F.coalesce(F.get(v["values"], (F.array_position(v["lanes"], lane) - 1).cast("int")), _zero())
+    return F.coalesce(F.get(v["values"], (F.array_position(v["lanes"], lane) - 1).cast("int")).cast("long"), _zero())
 
 
 def _combine(a: Column, b: Column, sign: int) -> Column:
     mask = F.lit((1 << LANE_BITS) - 1).cast("long")
     lanes = F.array_sort(F.array_union(a["lanes"], b["lanes"]))
-    both = F.filter(F.transform(lanes, lambda n: F.struct(n.alias("lane"), _signed(_value(a, n) + _value(b, n) * sign).alias("value"))), lambda x: x["value"] != 0)
+    both = F.filter(F.transform(lanes, lambda n: F.struct(n.alias("lane"), _signed(_value(a, n) + _value(b, n) * sign).cast("smallint").alias("value"))), lambda x: x["value"] != 0)
     return F.struct(F.zip_with(a["wide"], b["wide"], lambda x, y: (x + y * sign).bitwiseAND(mask)).alias("wide"), F.transform(both, lambda x: x["lane"]).alias("lanes"), F.transform(both, lambda x: x["value"]).alias("values"))
 
 
@@ -101,8 +103,8 @@ def text_of(v: Column) -> Column:
 
 def likeness(a: Column, b: Column) -> Column:
     """0 to 1: 1 for equal fingerprints, else the cosine of the sketches (at least 0)."""
-    square = lambda v: F.aggregate(v["values"], F.lit(0.0), lambda n, x: n + (x * x).cast("double"))
-    dot = F.aggregate(F.zip_with(a["lanes"], a["values"], lambda n, x: (x * _value(b, n)).cast("double")), F.lit(0.0), lambda n, x: n + x)
+    square = lambda v: F.aggregate(v["values"], F.lit(0.0), lambda n, x: n + x.cast("double") * x.cast("double"))
+    dot = F.aggregate(F.zip_with(a["lanes"], a["values"], lambda n, x: x.cast("double") * _value(b, n).cast("double")), F.lit(0.0), lambda n, x: n + x)
     size = F.sqrt(square(a) * square(b))
     cosine = F.when(size > 0, dot / size).otherwise(F.lit(0.0))
     return F.when(a["wide"] == b["wide"], F.lit(1.0)).otherwise(F.least(F.greatest(cosine, F.lit(0.0)), F.lit(1.0)))
