@@ -37,7 +37,7 @@ def tune(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``; set here only where it is unset."""
     sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="townscribe-")
         sc.setCheckpointDir(found)
