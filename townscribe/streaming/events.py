@@ -99,7 +99,7 @@ def replay(df: DataFrame, mode: str = "append") -> DataFrame:
     import uuid
 
     spark = df.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="townscribe-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="townscribe-")
     at = f"{base}/stream-{uuid.uuid4().hex}"
     if mode == "append":
         q = df.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
