@@ -41,3 +41,16 @@ def test_copies_of_one_page_keep_their_text(spark):
     page = site("article", 1, ["Same text on every page."])
     rows = [(i, "https://copies.example/x", page) for i in range(8)]
     assert {r["text"] for r in hx.main_text(spark.createDataFrame(rows, PAGES)).collect()} == {"Head 1\nSame text on every page."}
+
+
+def test_wrappers_named_like_sidebars_keep_the_page(spark):
+    body = "".join(f"<p>Paragraph {i} of the article text.</p>" for i in range(6))
+    pages = {
+        1: f"<body><div class='page with-sidebar'><article><h1>H</h1>{body}</article><div class='sidebar'>Side</div></div></body>",
+        2: f"<body><div class='has-menu wrapper'><h1>H</h1>{body}<div class='menu'>Menu</div></div></body>",
+        3: f"<body><div class='content'><h1>H</h1>{body}<div class='comments'>{'<p>A long comment.</p>' * 40}</div><div class='notice'>Cookies</div></div></body>",
+        4: f"<body><article><h1>H</h1>{body}<!-- x --><div role='complementary'>More</div><section class='related'><article>Teaser</article></section></article></body>",
+    }
+    want = "\n".join(["H", *(f"Paragraph {i} of the article text." for i in range(6))])
+    df = spark.createDataFrame([(k, f"http://h{k}.example/", v) for k, v in pages.items()], PAGES)
+    assert {r["page_id"]: r["text"] for r in hx.main_text(df).collect()} == dict.fromkeys(pages, want)

@@ -42,7 +42,9 @@ CLOSES_P = frozenset("address article aside blockquote center details dialog dir
 SAME = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"]), "p": frozenset(["p"])}
 SCOPE = frozenset("ul ol dl table article section div body main aside nav form td th".split())
 # Words of class names and ids that mark what is not main text, and what is.
-BOILERPLATE = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion banner menu nav navbar navigation breadcrumb breadcrumbs sidebar sidebars widget widgets footer masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist disqus respond reply replies pagination pager skip toolbar topbar".split())
+BOILERPLATE = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion banner menu nav navbar navigation breadcrumb breadcrumbs sidebar sidebars widget widgets footer masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist disqus respond reply replies pagination pager skip toolbar topbar adsbygoogle adbox adslot adunit adcontainer complementary contentinfo alertdialog".split())
+#: Of these, words that a wrapper of the whole page may carry too (with-sidebar, has-menu).
+LAYOUT = BOILERPLATE - frozenset("comment comments commentlist disqus respond reply replies related recommended share sharing social".split())
 CONTENT = frozenset("content article articlebody post entry story text maincontent postcontent entrycontent articlecontent".split())
 
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
@@ -56,14 +58,15 @@ RAW_END = {t: re.compile(rf"</{t}\b[^>]*(?:>|\Z)", re.I) for t in RAW}
 class Node:
     """An open element: its path, whether it is no main text, and how strongly it names the main text."""
 
-    __slots__ = ("name", "path", "drop", "rank", "parent")
+    __slots__ = ("name", "path", "drop", "rank", "parent", "layout")
 
-    def __init__(self, name: str, path: str, drop: bool, rank: int, parent: Node | None) -> None:
+    def __init__(self, name: str, path: str, drop: bool, rank: int, parent: Node | None, layout: bool = False) -> None:
         self.name, self.path, self.drop, self.rank, self.parent = name, path, drop, rank, parent
+        self.layout = layout  # named like a menu or sidebar: dropped unless it wraps the page
 
 
 def _open(name: str, attributes: str, parent: Node) -> Node:
-    label, drop, rank = name, parent.drop or name in NEVER, 3 if name == "article" else 2 if name == "main" else 0
+    label, drop, rank, layout = name, parent.drop or name in NEVER, 3 if name == "article" else 2 if name == "main" else 0, False
     if name == "header" and not any(p.name in ("article", "main") for p in _up(parent)):
         drop = True
     if attributes.strip():
@@ -74,7 +77,7 @@ def _open(name: str, attributes: str, parent: Node) -> Node:
             found = {*WORD.findall(named), *(x.replace("-", "").replace("_", "") for x in named.split())}
             label += "." + DIGITS.sub("0", ".".join(named.split()))[:60]
             if name not in ("html", "body", "article", "main"):
-                drop = drop or bool(found & BOILERPLATE)
+                drop, layout = drop or bool(found & (BOILERPLATE - LAYOUT)), bool(found & LAYOUT)
             elif name == "article":
                 drop = drop or bool(found & {"comment", "comments", "reply"})
             if a.get("role") == "main":
@@ -85,7 +88,7 @@ def _open(name: str, attributes: str, parent: Node) -> Node:
             rank = 3
         if "hidden" in a or a.get("aria-hidden") == "true" or HIDDEN.search(a.get("style", "")):
             drop = True
-    return Node(name, f"{parent.path}>{label}", drop, rank, parent)
+    return Node(name, f"{parent.path}>{label}", drop, rank, parent, layout)
 
 
 def _up(node: Node | None) -> Iterator[Node]:
@@ -160,9 +163,26 @@ def blocks(page: str | None) -> tuple[list[tuple[Node, str]], list[Node]]:
         here = _open(name, m[3], here)
         nodes.append(here)
     flush()
+    if any(n.layout for n in nodes):
+        _drop_layout(out, nodes)
     return out, nodes
 
 
+def _drop_layout(found: list[tuple[Node, str]], nodes: list[Node]) -> None:
+    """Drop the elements named like menus, sidebars and adverts, but not one that wraps the page: most of its text, or its article."""
+    total, below = 0, dict.fromkeys(nodes, 0)
+    for node, text in found:
+        if not node.drop:
+            total += len(text)
+            for up in _up(node):
+                if up.parent is not None:
+                    below[up] += len(text)
+    wraps = {up for n in nodes if n.rank >= 2 and not n.drop and 2 * below[n] >= total for up in _up(n)}
+    for n in nodes:  # parents come before children
+        if n.layout and n not in wraps and 10 * below[n] <= 6 * total or n.parent is not None and n.parent.drop:
+            n.drop = True
+
+
 def _close(here: Node, names: frozenset) -> Node:
     """Leave an element of ``names`` that the next one ends, unless another scope lies between."""
     for node in _up(here):
