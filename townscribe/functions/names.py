@@ -159,8 +159,8 @@ def strip_title_prefix(name: Column) -> Column:
     """A name without document-title words in front (up to four times); null if there were none or no name is left."""
     n = F.trim(F.coalesce(name, F.lit("")))
     cleaned = n
-    for _ in range(4):
-        cleaned = F.when(cleaned.rlike(PREFIX), F.regexp_replace(F.regexp_replace(cleaned, PREFIX, ""), r"^[ \-.,;:]+", "")).otherwise(cleaned)
+    for _ in range(4):  # each step names the one before once, or the expression would double
+        cleaned = F.regexp_replace(cleaned, PREFIX + r"[ \-.,;:]*", "")
     tidy = F.regexp_replace(F.regexp_replace(cleaned, r"\s+", " "), r"^[ \-.,;:]+|[ \-.,;:]+$", "")
     return F.when(n.rlike(NAME_END) & n.rlike(PREFIX) & (F.length(tidy) >= 4), tidy)
 
@@ -193,25 +193,33 @@ def strip_leading_stopwords(s: Column) -> Column:
     return F.when((F.length(got) >= 3) & ~junk_slug(got), got)
 
 
-def after_marker(s: Column) -> Column:
-    """What follows the last marker (committee-of, of, for), without stop words around."""
-    out = F.lit(None).cast("string")
-    for pattern in (r"-(?:for|of)-([a-z][a-z0-9\-]+)$", r"-(?:committee|secretary|board|directors)-of-(.+)$"):
-        got = _trim_stop(F.split(F.regexp_extract(s, pattern, 1), "-"), True)
-        out = F.coalesce(F.when(s.rlike(pattern) & clean_slug(got), got), out)
+def marker_tails(s: Column) -> list[Column]:
+    """What follows the last marker of each kind (committee-of, then of or for), without stop words around; null without one."""
+    patterns = (r"-(?:committee|secretary|board|directors)-of-(.+)$", r"-(?:for|of)-([a-z][a-z0-9\-]+)$")
+    return [F.when(s.rlike(p), _trim_stop(F.split(F.regexp_extract(s, p, 1), "-"), True)) for p in patterns]
+
+
+def repeated_tails(s: Column) -> list[Column]:
+    """A slug's last three, two, one words where they stand there twice; null where not."""
+    tokens, out = F.split(s, "-"), []
+    for k in (3, 2, 1):
+        twice = (F.size(tokens) >= 2 * k) & (F.slice(tokens, -k, k) == F.slice(tokens, -2 * k, k))
+        out.append(F.when(twice, F.array_join(F.slice(tokens, -k, k), "-")))
     return out
 
 
+def _first_clean(slugs: list[Column]) -> Column:
+    return F.coalesce(*(F.when(clean_slug(x), x) for x in slugs))
+
+
+def after_marker(s: Column) -> Column:
+    """The first marker's tail that is fit to be a name."""
+    return _first_clean(marker_tails(s))
+
+
 def dedupe_tail(s: Column) -> Column:
-    """A repeated end of up to three words, the longest first."""
-    tokens, out = F.split(s, "-"), F.lit(None).cast("string")
-    n = F.size(tokens)
-    for k in (1, 2, 3):
-        tail = F.when(n >= 2 * k, F.slice(tokens, n - k + 1, k))
-        again = F.when(n >= 2 * k, F.slice(tokens, n - 2 * k + 1, k))
-        got = F.array_join(tail, "-")
-        out = F.coalesce(F.when((tail == again) & clean_slug(got), got), out)
-    return out
+    """A repeated end of up to three words, the longest first, that is fit to be a name."""
+    return _first_clean(repeated_tails(s))
 
 
 def name_from_url(url: Column) -> Column:
@@ -229,25 +237,31 @@ def recover(df, name: str = "name", url: str = "source_url", out: str = "cleaned
     """A frame with a clean name for each dirty one, by the first way that gives one.
 
     Title case, prefix words, leading stop words, what follows a marker, a repeated end, the
-    url's file name.  Each step is a column of its own, so that no expression repeats another.
+    url's file name.  Each step is a column of its own: an expression that is named twice would
+    be evaluated twice, and its size would double at every step.
     """
-    n = F.col(name)
+    n, c = F.col(name), F.col
     named = lambda s: F.array_join(F.transform(F.split(s, "-"), lambda t: F.concat(F.upper(F.substring(t, 1, 1)), F.substring(t, 2, 1_000_000))), " ")
     d = df.withColumns({"_titled": title_case(n), "_stripped": strip_title_prefix(n), "_slug": identity_slug(n)})
-    d = d.withColumns({"_s1": strip_leading_stopwords(F.col("_slug")), "_s2": after_marker(F.col("_slug")), "_s3": dedupe_tail(F.col("_slug")), "_s4": name_from_url(F.col(url))})
-    d = d.withColumn("_stops", F.size(F.filter(F.split("_slug", "-"), lambda t: t.isin(STOP))))
-    few = F.col("_stops") < 4
+    tails = [*marker_tails(c("_slug")), *repeated_tails(c("_slug"))]
+    slugs = {"_g0": _trim_stop(F.split("_slug", "-"), False), **{f"_g{i}": x for i, x in enumerate(tails, 1)}, "_g6": name_from_url(c(url))}
+    d = d.withColumns(slugs)
+    d = d.withColumns({f"{g}ok": clean_slug(c(g)) for g in slugs} | {"_few": F.size(F.filter(F.split("_slug", "-"), lambda t: t.isin(STOP))) < 4})
+    ok = lambda g: F.when(c(f"{g}ok"), named(c(g)))
+    few = lambda gs: F.when(c("_few"), F.coalesce(*map(ok, gs)))
     ways = {
-        "_c0": F.when((F.col("_titled") != n) & (F.col("_titled") != ""), F.col("_titled")),
-        "_c1": F.col("_stripped"),
-        "_c2": F.when((F.col("_s1") != F.col("_slug")) & clean_slug(F.col("_s1")), named(F.col("_s1"))),
-        "_c3": F.when(few & clean_slug(F.col("_s2")), named(F.col("_s2"))),
-        "_c4": F.when(few & clean_slug(F.col("_s3")), named(F.col("_s3"))),
-        "_c5": F.when(clean_slug(F.col("_s4")), named(F.col("_s4"))),
+        "_c0": F.when((c("_titled") != n) & (c("_titled") != ""), c("_titled")),
+        "_c1": c("_stripped"),
+        "_c2": F.when((c("_g0") != c("_slug")) & (F.length("_g0") >= 3), ok("_g0")),
+        "_c3": few(["_g1", "_g2"]),
+        "_c4": few(["_g3", "_g4", "_g5"]),
+        "_c5": ok("_g6"),
     }
-    d = d.withColumns(ways)
-    d = d.withColumn(out, F.coalesce(*(F.when(dirty_reason(F.col(c)).isNull(), F.col(c)) for c in ways)))
-    return d.drop("_titled", "_stripped", "_slug", "_s1", "_s2", "_s3", "_s4", "_stops", *ways)
+    # only what may be a name is tested, in order: a row stops at its first clean one
+    d = d.withColumn("_tries", F.array(*ways.values()))
+    fit = F.filter("_tries", lambda x: x.isNotNull() & dirty_reason(x).isNull())
+    d = d.withColumn(out, F.get(fit, F.lit(0)))
+    return d.drop("_titled", "_stripped", "_slug", "_few", "_tries", *slugs, *(f"{g}ok" for g in slugs))
 
 
 # What the normal form for duplicates drops, in order.
