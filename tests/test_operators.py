@@ -245,3 +245,14 @@ def test_rule_tables(spark):
     text_ = "The community is located at 12 Oak Street, Raleigh, NC 27601. " + "x " * 90 + "Prepared by attorney, 9 Elm Road, Cary, NC 27511."
     got = rules.address_candidates(spark.createDataFrame([(1, text_)], "doc_id long, text string"), "NC").orderBy("rank").collect()
     assert [(r["query"], r["score"]) for r in got] == [("12 Oak Street, Raleigh, NC 27601", 2), ("9 Elm Road, Cary, NC 27511", -3)]
+
+
+def test_percentiles_of_many_shapes(spark):
+    import random
+
+    rng = random.Random(5)
+    groups = {1: [rng.random() for _ in range(3000)], 2: [3.0] * 500, 3: [rng.choice([1.0, 2.0, 2.0, 2.0, 9.0]) for _ in range(700)], 4: [5.0], None: [float(i // 7) for i in range(400)]}
+    df = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs] + [(1, None), (6, None)], "k long, v double")
+    ps = {"p0": 0.0, "p10": 0.1, "p50": 0.5, "p95": 0.95, "p100": 1.0}
+    got = {r["k"]: tuple(r[n] for n in ps) for r in windows.percentiles_lower(df, ["k"], "v", ps).collect()}
+    assert got == {k: tuple(sorted(vs)[int((len(vs) - 1) * p)] for p in ps.values()) for k, vs in groups.items()}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,15 +44,30 @@ def percentile_lower(values: Column, p: float) -> Column:
     return F.get(ordered, F.floor((F.size(ordered) - 1) * p).cast("int"))
 
 
-def percentiles_lower(df: DataFrame, keys: Sequence[str], value: str, ps: dict[str, float]) -> DataFrame:
-    """Index-truncating percentiles of groups of any size: rows are ranked, none is gathered.
+def percentiles_lower(df: DataFrame, keys: Sequence[str], value: str, ps: dict[str, float], buckets: int = 64) -> DataFrame:
+    """Exact index-truncating percentiles (name -> p) of groups of any size, by bucketed selection.
 
-    Rank and size of a group come from one window, so a group of a third of all rows is
-    sorted on disk and not held in memory.
+    Approximate quantiles cut each group into buckets of about equal size, the values equal to a
+    cut apart.  Counts tell which bucket holds each wanted place, and only the rows of that one
+    are ranked; a bucket of one value needs no ranking.  So no task sorts a large group.
     """
-    w = Window.partitionBy(*keys)
-    ranked = df.where(F.col(value).isNotNull()).select(*keys, value, (F.row_number().over(w.orderBy(value)) - 1).alias("_i"), F.count(F.lit(1)).over(w).alias("_n"))
-    return ranked.groupBy(*keys).agg(*(F.max(F.when(F.col("_i") == F.floor((F.col("_n") - 1) * p), F.col(value))).alias(name) for name, p in ps.items()))
+    same = [(k, f"_of_{k}") for k in keys]
+    on = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(o)) for k, o in same))
+    renamed = lambda d: d.withColumnsRenamed(dict(same))
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    cuts = rows.groupBy(*keys).agg(F.percentile_approx("_v", [i / buckets for i in range(1, buckets)], 1000).alias("_cuts"), F.count(F.lit(1)).alias("_n"))
+    # between two cuts, and after that the values equal to the upper one
+    bucket = F.size(F.filter("_cuts", lambda c: c < F.col("_v"))) * 2 + F.array_contains("_cuts", F.col("_v")).cast("int")
+    placed = rows.join(renamed(cuts), on).select(*keys, "_v", "_n", bucket.alias("_b"))
+    held = placed.groupBy(*keys, "_n", "_b").agg(F.count(F.lit(1)).alias("_m"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
+    held = held.withColumn("_before", F.sum("_m").over(Window.partitionBy(*keys).orderBy("_b")) - F.col("_m"))
+    wanted = F.explode(F.array(*(F.struct(F.lit(name).alias("name"), F.floor((F.col("_n") - 1) * p).alias("i")) for name, p in ps.items())))
+    held = held.withColumn("_w", wanted).where((F.col("_w.i") >= F.col("_before")) & (F.col("_w.i") < F.col("_before") + F.col("_m")))
+    plain = held.where("_least = _most").select(*keys, F.col("_w.name").alias("_name"), F.col("_least").alias("_v"))
+    sought = held.where("_least < _most").select(*keys, F.col("_b").alias("_in"), F.col("_w.name").alias("_name"), (F.col("_w.i") - F.col("_before")).alias("_k"))
+    rank = F.row_number().over(Window.partitionBy(*keys, "_b", "_name").orderBy("_v")) - 1
+    ranked = placed.join(renamed(sought), on & (F.col("_b") == F.col("_in"))).withColumn("_r", rank).where("_r = _k").select(*keys, "_name", "_v")
+    return plain.unionByName(ranked).groupBy(*keys).agg(*(F.max(F.when(F.col("_name") == name, F.col("_v"))).alias(name) for name in ps))
 
 
 def rolling_sum(df: DataFrame, keys: Sequence[str], ts: str, value: str, seconds: int, out: str) -> DataFrame:
