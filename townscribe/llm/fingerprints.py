@@ -61,7 +61,8 @@ def with_vectors(df: DataFrame, text: str, out: str) -> DataFrame:
     codes = lambda ws: F.zip_with(pairs(ws), F.slice(ws, 3, F.size(ws)), lambda h, c: F.pmod(F.xxhash64(h, c), F.lit(2 * SKETCH)).cast("smallint"))
     df = df.withColumn("_codes", F.sort_array(F.flatten(F.transform("_words", codes))))
     df = df.withColumn("_kinds", F.array_distinct("_codes"))
-    df = df.withColumn("_first", F.transform("_kinds", lambda k: F.array_position(F.col("_codes"), k)))
+    begins = F.transform("_codes", lambda c, i: F.when((i == 0) | (c != F.get("_codes", i - 1)), i + 1))
+    df = df.withColumn("_first", F.filter(begins, lambda p: p.isNotNull()))
     df = df.withColumn("_count", F.transform("_first", lambda p, i: F.coalesce(F.get("_first", i + 1), F.size("_codes") + 1) - p))
     df = df.withColumn("_lanes", F.array_distinct(F.transform("_kinds", lambda k: F.shiftright(k, 1).cast("smallint"))))
     count = lambda code: F.coalesce(F.get("_count", (F.array_position(F.col("_kinds"), code.cast("smallint")) - 1).cast("int")), _zero())
