@@ -31,13 +31,20 @@ def nearby(points: DataFrame, places: DataFrame, limit: int | None = None, near_
     wide = reach / F.greatest(F.cos(F.radians(F.greatest(F.abs("_box.min_lat"), F.abs("_box.max_lat")) + reach)), F.lit(math.cos(math.radians(89))))
     p = p.withColumn("_col", F.explode(F.sequence(F.floor((F.col("_box.min_lon") - wide) / cell), F.floor((F.col("_box.max_lon") + wide) / cell))))
     q = q.withColumn("_qrow", F.floor(F.col("q_lat") / cell)).withColumn("_qcol", F.floor(F.col("q_lon") / cell))
-    j = p.join(q, (F.col("_row") == F.col("_qrow")) & (F.col("_col") == F.col("_qcol")))
+    # cells first, then the box: the exact tests see only what may be near
+    in_box = F.col("q_lat").between(F.col("_box.min_lat") - reach, F.col("_box.max_lat") + reach) & F.col("q_lon").between(F.col("_box.min_lon") - wide, F.col("_box.max_lon") + wide)
+    j = p.join(q, (F.col("_row") == F.col("_qrow")) & (F.col("_col") == F.col("_qcol")) & in_box)
     inside = geo.in_any(F.col("q_lon"), F.col("q_lat"), F.col("polygons"))
     edge = geo.boundary_distance_m(F.col("q_lon"), F.col("q_lat"), F.col("polygons"))
-    j = j.withColumn("_inside", (F.size("polygons") > 0) & inside).withColumn("_edge", F.when(F.size("polygons") > 0, edge)).withColumn("_point", geo.haversine_m(F.col("q_lat"), F.col("q_lon"), F.col("lat"), F.col("lon")))
-    kind = F.when(F.col("_inside"), "inside_boundary").when(F.col("_edge") <= near_boundary_m, "near_boundary").when((F.size("polygons") == 0) & (F.col("_point") <= near_point_m), "nearby_point")
-    area = F.when(F.col("_inside"), F.array_min(F.transform("polygons", geo.polygon_area_m2))).otherwise(F.lit(0.0))
-    distance = F.when(F.col("_inside"), F.lit(0.0)).otherwise(F.coalesce("_edge", "_point"))
+    point = geo.haversine_m(F.col("q_lat"), F.col("q_lon"), F.col("lat"), F.col("lon"))
+    area = F.array_min(F.transform("polygons", geo.polygon_area_m2))
+    shaped = F.size("polygons") > 0
+    # one measurement a pair: exploded, so that no filter or later column evaluates it again
+    measured = F.explode(F.array(F.struct((shaped & inside).alias("inside"), F.when(shaped, edge).alias("edge"), point.alias("point"), F.when(shaped, area).alias("area"), shaped.alias("shaped"))))
+    j = j.select("query_id", "place_id", "name", measured.alias("m"))
+    kind = F.when(F.col("m.inside"), "inside_boundary").when(F.col("m.edge") <= near_boundary_m, "near_boundary").when(~F.col("m.shaped") & (F.col("m.point") <= near_point_m), "nearby_point")
+    area = F.when(F.col("m.inside"), F.col("m.area")).otherwise(F.lit(0.0))
+    distance = F.when(F.col("m.inside"), F.lit(0.0)).otherwise(F.coalesce("m.edge", "m.point"))
     out = j.select("query_id", "place_id", "name", kind.alias("kind"), area.alias("area_m2"), distance.alias("distance_m")).where("kind is not null")
     priority = F.when(F.col("kind") == "inside_boundary", 0).when(F.col("kind") == "near_boundary", 1).otherwise(2)
     w = Window.partitionBy("query_id").orderBy(priority, "area_m2", "distance_m", F.lower("name"), "place_id")

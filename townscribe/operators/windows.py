@@ -95,20 +95,24 @@ def rate_limited(df: DataFrame, key: str, ts: str, limit: int, seconds: int, tie
     cut = df.select(key, tie, micros.alias("_micros")).withColumn("_new", F.when(F.col("_micros") - F.lag("_micros").over(order) < seconds * 1_000_000, 0).otherwise(1))
     cut = cut.withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
 
-    def decide(rows):
+    def decide(batches):
         from collections import deque
 
-        rows = rows.sort_values(["_micros", tie])
-        held: deque = deque()
-        allowed = []
-        for t in rows["_micros"]:
-            while held and t - held[0] >= seconds * 1_000_000:
-                held.popleft()
-            ok = len(held) < limit
-            if ok:
-                held.append(t)
-            allowed.append(ok)
-        return rows[[key, tie]].assign(allowed=allowed)
+        group, held = None, deque()
+        for rows in batches:
+            allowed = []
+            for k, run, t in zip(rows[key], rows["_run"], rows["_micros"], strict=True):
+                if (k, run) != group:
+                    group = (k, run)
+                    held.clear()
+                while held and t - held[0] >= seconds * 1_000_000:
+                    held.popleft()
+                allowed.append(len(held) < limit)
+                if allowed[-1]:
+                    held.append(t)
+            yield rows[[key, tie]].assign(allowed=allowed)
 
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    return cut.groupBy(key, "_run").applyInPandas(decide, f"`{key}` {kinds[key]}, `{tie}` {kinds[tie]}, allowed boolean")
+    # runs are dealt out whole and stand one after another in their partition, in order
+    dealt = cut.select(key, "_run", "_micros", tie).repartition(key, "_run").sortWithinPartitions(key, "_run", "_micros", tie)
+    return dealt.mapInPandas(decide, f"`{key}` {kinds[key]}, `{tie}` {kinds[tie]}, allowed boolean")
