@@ -24,7 +24,7 @@ PHRASES = [
 def rules(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("doc_id") % len(PHRASES)
     phrase = F.element_at(F.array(*(F.lit(p) for p in PHRASES)), (k + 1).cast("int"))
-    docs = table(spark, d, "documents").select("doc_id", F.col("lang").alias("jurisdiction"), F.when(k == 3, "electronic_transactions_overlay").otherwise("proxy_voting").alias("bucket"), F.concat(phrase, F.lit(" "), F.substring("text", 1, 2000)).alias("text"))
+    docs = table(spark, d, "documents").select("doc_id", F.col("lang").alias("jurisdiction"), F.when(k == 3, "electronic_transactions_overlay").otherwise("proxy_voting").alias("bucket"), F.concat(phrase, F.lit(" "), F.col("text")).alias("text"))
     return legal.extract_rules(docs).select("doc_id", "jurisdiction", "sentence_no", "topic_family", "rule_type", "confidence", "needs_human_review", "value_text")
 
 
