@@ -1,8 +1,12 @@
 """Queries read whole texts and whole tables: fixtures whose telling parts stand where a prefix or a subset ends."""
 
+import random
+
 import pytest
 
+from townscribe.operators import vectors
 from townscribe.plans import catalog, legal, registry
+from townscribe.plans import vectors as plans_vectors
 
 catalog.load()
 
@@ -71,3 +75,34 @@ def test_coverage_counts_late_sentences(spark, late_rules):
 def test_review_queue_holds_late_sentences(spark, late_rules):
     got = {(r["doc_id"], r["jurisdiction"], r["topic_family"], r["rule_type"], r["value_text"]) for r in registry.QUERIES["review_queue"](spark, late_rules).collect()}
     assert got == legal_want()
+
+
+def test_addresses_past_a_prefix_are_found(spark, tmp_path):
+    late = "Mail for the community goes to 31 Birch Avenue, Durham, NC 27701. "
+    rows = [(1, FILLER + late + late + FILLER, "en"), (2, FILLER, "en")]
+    spark.createDataFrame(rows, DOCUMENTS).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["doc_id"], r["query"]): r["occurrences"] for r in registry.QUERIES["address_candidates"](spark, str(tmp_path)).collect()}
+    laid = {"12 Oak Street, Raleigh, NC 27601": 2, "9 Elm Road, Cary, NC 27511": 1}
+    assert got == {(i, q): n for i in (1, 2) for q, n in laid.items()} | {(1, "31 Birch Avenue, Durham, NC 27701"): 2}
+
+
+def test_contexts_hold_whole_texts_up_to_the_limit(spark, tmp_path):
+    rng = random.Random(3)
+    size = {1: 9000, 2: 9000, 3: 5970, 4: 3000, 5: 2100, 6: 2401, 7: 10}
+    texts = {i: "".join(rng.choice("abcdefgh ") for _ in range(size.get(i % 8, 1500))) for i in range(100)}
+    vectors_ = {i: [1.0, rng.random(), rng.random()] for i in texts}
+    spark.createDataFrame([(i, t, "en") for i, t in texts.items()], DOCUMENTS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, v, i % 2) for i, v in vectors_.items()], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    hits = {}
+    for r in vectors.knn(*plans_vectors.tables(spark, str(tmp_path)), 5).collect():
+        hits.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    want = {q: "\n\n".join(f"[{n}] {texts[i]}" for n, i in sorted(v))[:6000] for q, v in hits.items()}
+    got = {r["query_id"]: r["context"] for r in registry.QUERIES["retrieval_context"](spark, str(tmp_path)).collect()}
+    assert any(len(t) == 6000 for t in want.values()) and got == want
+
+
+def test_a_first_text_over_the_limit_is_cut_and_not_dropped(spark):
+    hits = spark.createDataFrame([(1, 10, 1), (1, 11, 2), (2, 11, 1), (2, 10, 2), (3, 12, 1), (3, 11, 2)], "query_id long, vec_id long, rank int")
+    texts = spark.createDataFrame([(10, "a" * 200), (11, "b" * 20), (12, "c" * 71)], "vec_id long, text string")
+    got = {r["query_id"]: r["context"] for r in vectors.context(hits, texts, 80).collect()}
+    assert got == {1: "[1] " + "a" * 76, 2: "[1] " + "b" * 20 + "\n\n[2] " + "a" * 50, 3: "[1] " + "c" * 71}

@@ -72,11 +72,16 @@ def decode(blob: Column) -> Column:
 
 
 def context(hits: DataFrame, chunks: DataFrame, most_chars: int = 6000) -> DataFrame:
-    """For each query its hits' texts in rank order, each headed by its number, within ``most_chars``."""
+    """For each query its hits' texts in rank order, each headed by its number, within ``most_chars``.
+
+    The text that would pass the limit is cut there, so a long one leaves no query without a context.
+    """
     from pyspark.sql import Window
 
-    rows = hits.join(chunks.select("vec_id", "text"), "vec_id").withColumn("part", F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.col("text")))
+    head = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "))
+    rows = hits.join(chunks.select("vec_id", "text"), "vec_id").withColumn("part", F.concat(head, F.col("text")))
     w = Window.partitionBy("query_id").orderBy("rank")
-    rows = rows.withColumn("_used", F.sum(F.length("part") + 2).over(w)).where(F.col("_used") <= most_chars)
+    rows = rows.withColumn("_left", most_chars - F.sum(F.length("part") + 2).over(w) + F.length("part") + 2)
+    rows = rows.where(F.col("_left") > F.length(head)).withColumn("part", F.col("part").substr(F.lit(1), F.col("_left").cast("int")))
     parts = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "part"))).alias("p"))
     return parts.select("query_id", F.array_join(F.transform("p", lambda x: x["part"]), "\n\n").alias("context"))

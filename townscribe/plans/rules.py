@@ -92,5 +92,5 @@ def state_county(spark: SparkSession, d: str) -> DataFrame:
 
 @query("address_candidates")
 def address_candidates(spark: SparkSession, d: str) -> DataFrame:
-    t = F.concat(F.lit("The community is located at 12 Oak Street, Raleigh, NC 27601. "), F.substring("text", 1, 500), F.lit(" Prepared by attorney, 9 Elm Road, Cary, NC 27511. Again 12 Oak Street, Raleigh, NC 27601."))
+    t = F.concat(F.lit("The community is located at 12 Oak Street, Raleigh, NC 27601. "), F.col("text"), F.lit(" Prepared by attorney, 9 Elm Road, Cary, NC 27511. Again 12 Oak Street, Raleigh, NC 27601."))
     return rules.address_candidates(table(spark, d, "documents").select("doc_id", t.alias("text")), "NC")

@@ -54,5 +54,5 @@ def knn_multi(spark: SparkSession, d: str) -> DataFrame:
 @query("retrieval_context")
 def retrieval_context(spark: SparkSession, d: str) -> DataFrame:
     """Texts of each query's hits, numbered, within a length; documents stand in for chunk texts."""
-    texts = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), F.substring("text", 1, 400).alias("text"))
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text")
     return vectors.context(vectors.knn(*tables(spark, d), 5), texts)
