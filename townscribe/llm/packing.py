@@ -12,8 +12,10 @@ left at the end is cut into powers of two, so nothing is padded.
 
 Two passes: tokenise once and write ids with their place in the partition's queues, then
 cut.  Null texts are empty: they give the one closing id.  A null source is a queue of its
-own, as is everything if there is no source column.  Above ``MAX_QUEUES`` sources, queues are
-hash groups of sources.  Repeated rows are packed as documents of their own.
+own, as is everything if there is no source column.  Every source has its own queue at any
+number of sources: up to ``MAX_QUEUES`` the driver holds their totals, above that a table
+does, and the tokens' places, the same ones, come by joins with it.  Repeated rows are packed
+as documents of their own.
 """
 
 from __future__ import annotations
@@ -35,7 +37,10 @@ from . import common
 LENGTH = 1024
 #: Tokens of a mixture window, about.
 WINDOW = 32 * LENGTH
+#: Queues whose totals the driver holds; more are held in a table.
 MAX_QUEUES = 4096
+#: Windows of a block, in whose order the table's windows are summed up; rows of an Arrow batch of runs.
+BLOCK, RUN_ROWS = 1024, 8192
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 #: The same vocabulary as ranks.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -78,8 +83,6 @@ def tokenised(docs: DataFrame, tokenizer: str = TOKENIZER, ranks: str = RANKS, s
     """(doc_id, queue, part, place, n, ids): each row's ids and where they stand in its partition's queue; written once."""
     queue = F.concat(F.lit("s"), F.col(source)) if source in docs.columns else F.lit("s")
     queue = F.coalesce(queue, F.lit("n"))
-    if source in docs.columns and not common.at_most(docs.select(source).distinct(), MAX_QUEUES):
-        queue = F.concat(F.lit("h"), F.pmod(F.xxhash64(queue), F.lit(MAX_QUEUES)).cast("string"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,23 +143,94 @@ class Schedule:
 
     def pieces(self, queue: int, place: int, n: int) -> Iterator[tuple[int, int, int, int]]:
         """(start, length, sequence id, offset) of the pieces of a document."""
-        for at, start, left in self.runs(queue, place, n):
-            while left:
-                seq, offset, size = self.sequence(at)
-                take = min(left, size - offset)
-                yield start, take, seq, offset
-                at, start, left = at + take, start + take, left - take
+        for run in self.runs(queue, place, n):
+            yield from self.cut(*run)
+
+    def cut(self, at: int, start: int, left: int) -> Iterator[tuple[int, int, int, int]]:
+        """The pieces of a run of ``left`` tokens at a stream position."""
+        while left:
+            seq, offset, size = self.sequence(at)
+            take = min(left, size - offset)
+            yield start, take, seq, offset
+            at, start, left = at + take, start + take, left - take
+
+
+def cells(totals: DataFrame, windows: int) -> DataFrame:
+    """(w, queue, first): the stream position at which each window serves each queue (queue, total) it serves at all."""
+    t, i = F.col("total"), F.col("i")
+    served = lambda w: f"((total div {windows}L) * ({w}) + ((total % {windows}L) * ({w})) div {windows}L)"
+    each = totals.select("queue", "total", F.explode(F.sequence(F.lit(0).cast("long"), F.least(t, F.lit(windows).cast("long")) - 1)).alias("i"))
+    each = each.select("queue", "total", F.when(t >= windows, i).otherwise(F.expr(f"((i + 1) * {windows}L + total - 1) div total - 1")).alias("w"))
+    each = each.select("queue", "w", F.expr(f"{served('w + 1')} - {served('w')}").alias("c"))
+    per = each.groupBy("w").agg(F.sum("c").alias("c")).withColumn("block", F.expr(f"w div {BLOCK}"))
+    blocks = per.groupBy("block").agg(F.sum("c").alias("b"))
+    blocks = blocks.select("block", (F.sum("b").over(Window.orderBy("block")) - F.col("b")).alias("b"))
+    base = per.join(blocks, "block").select("w", (F.col("b") + F.sum("c").over(Window.partitionBy("block").orderBy("w")) - F.col("c")).alias("base"))
+    return each.join(base, "w").select("w", "queue", (F.col("base") + F.sum("c").over(Window.partitionBy("w").orderBy("queue")) - F.col("c")).alias("first"))
+
+
+def placed_by_table(placed: DataFrame, totals: DataFrame, length: int, window: int) -> DataFrame:
+    """Pieces of ``placed`` (doc_id, queue, place, n, ids) whatever the number of queues (queue, total): each run
+    of a document's tokens in a window takes its ids along to the window's first position for its queue."""
+    plan = Schedule([totals.agg(F.sum("total")).first()[0]], length, window)
+    windows, doc = plan.windows, placed.schema["doc_id"].dataType.simpleString()
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kind, rows = b.schema.field("doc_id").type, []
+            for doc, queue, place, n, ids, t in zip(*(b.column(c).to_pylist() for c in ("doc_id", "queue", "place", "n", "ids", "total")), strict=True):
+                wide, done, w = len(ids) // n, 0, -(-(place + 1) * windows // t) - 1
+                while done < n:
+                    take = min(place + n, t * (w + 1) // windows) - (place + done)
+                    if take > 0:
+                        rows.append((doc, queue, w, done, take, place + done - t * w // windows, n, ids[done * wide : (done + take) * wide]))
+                        done += take
+                    # the window of the next token
+                    w = -(-(place + done + 1) * windows // t) - 1
+                    if len(rows) >= RUN_ROWS:
+                        yield runs(rows, kind)
+                        rows = []
+            if rows:
+                yield runs(rows, kind)
+
+    def runs(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+        c = list(zip(*rows, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(c[0], kind), pa.array(c[1], pa.string()), *(pa.array(x, pa.int64()) for x in c[2:7]), pa.array(c[7], pa.binary())], ["doc_id", "queue", "w", "start", "take", "skip", "n", "ids"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: list[tuple] = []
+            for doc, start, take, at, n, ids in zip(*(b.column(c).to_pylist() for c in ("doc_id", "start", "take", "at", "n", "ids")), strict=True):
+                wide = np.frombuffer(ids, dtype=f"<u{len(ids) // take}").astype("<u4")
+                rows += [(doc, a, k, zlib.crc32(wide[a - start : a - start + k].tobytes()), n, s, o) for a, k, s, o in plan.cut(at, start, take)]
+            yield piece_batch(rows, b.schema.field("doc_id").type)
+
+    dealt = placed.join(common.maybe_broadcast(totals), "queue").mapInArrow(split, f"doc_id {doc}, queue string, w long, start long, take long, skip long, n long, ids binary")
+    at = dealt.join(cells(totals, windows), ["w", "queue"]).select("doc_id", "start", "take", (F.col("first") + F.col("skip")).alias("at"), "n", "ids")
+    return at.mapInArrow(cut, PIECES.format(doc))
+
+
+#: Columns of a piece.
+PIECES = "doc_id {}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+
+
+def piece_batch(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * 7
+    return pa.RecordBatch.from_arrays([pa.array(columns[0], kind), *(pa.array(c, pa.int64()) for c in columns[1:])], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
 
 def pack(docs: DataFrame, tokenizer: str = TOKENIZER, ranks: str = RANKS, source: str = "source", length: int = LENGTH, window: int = WINDOW) -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of ``docs`` (doc_id, text, source)."""
     tokens = tokenised(docs, tokenizer, ranks, source)
     parts = common.materialize(tokens.groupBy("part", "queue").agg(F.sum("n").alias("tokens")), "queue-parts")
-    queues = [(r["queue"], r["tokens"]) for r in parts.groupBy("queue").agg(F.sum("tokens").alias("tokens")).orderBy("queue").collect()]
+    totals = parts.groupBy("queue").agg(F.sum("tokens").alias("total"))
+    before = parts.select("part", "queue", (F.sum("tokens").over(Window.partitionBy("queue").orderBy("part")) - F.col("tokens")).alias("before"))
+    placed = tokens.join(common.maybe_broadcast(before), ["part", "queue"]).select("doc_id", "queue", (F.col("place") + F.col("before")).alias("place"), "n", "ids")
+    if not common.at_most(totals, MAX_QUEUES):
+        return placed_by_table(placed, common.materialize(totals, "queue-totals"), length, window)
+    queues = [(r["queue"], r["total"]) for r in totals.orderBy("queue").collect()]
     number = {q: i for i, (q, _) in enumerate(queues)}
     plan = Schedule([t for _, t in queues], length, window)
-    before = parts.select("part", "queue", (F.sum("tokens").over(Window.partitionBy("queue").orderBy("part")) - F.col("tokens")).alias("before"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -164,8 +238,6 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, ranks: str = RANKS, source
             for doc, queue, place, n, ids in zip(*(b.column(c).to_pylist() for c in ("doc_id", "queue", "place", "n", "ids")), strict=True):
                 wide = np.frombuffer(ids, dtype=f"<u{len(ids) // n}").astype("<u4")
                 rows += [(doc, a, k, zlib.crc32(wide[a : a + k].tobytes()), n, s, o) for a, k, s, o in plan.pieces(number[queue], place, n)]
-            columns = list(zip(*rows, strict=True)) or [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], b.schema.field("doc_id").type), *(pa.array(c, pa.int64()) for c in columns[1:])], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+            yield piece_batch(rows, b.schema.field("doc_id").type)
 
-    placed = tokens.join(common.maybe_broadcast(before), ["part", "queue"]).select("doc_id", "queue", (F.col("place") + F.col("before")).alias("place"), "n", "ids")
-    return placed.mapInArrow(cut, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return placed.mapInArrow(cut, PIECES.format(docs.schema["doc_id"].dataType.simpleString()))
