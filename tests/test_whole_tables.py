@@ -106,3 +106,11 @@ def test_a_first_text_over_the_limit_is_cut_and_not_dropped(spark):
     texts = spark.createDataFrame([(10, "a" * 200), (11, "b" * 20), (12, "c" * 71)], "vec_id long, text string")
     got = {r["query_id"]: r["context"] for r in vectors.context(hits, texts, 80).collect()}
     assert got == {1: "[1] " + "a" * 76, 2: "[1] " + "b" * 20 + "\n\n[2] " + "a" * 50, 3: "[1] " + "c" * 71}
+
+
+def test_crawl_starts_from_every_page(spark, tmp_path):
+    a = lambda *to: "".join(f'<a href="https://{u}.example/">a page on {u}</a>' for u in to)
+    rows = [(1, "https://one.example/", a("two", "far")), (2, "https://two.example/", a("three")), (50, "https://fifty.example/", a("one")), (7, "https://seven.example/", "")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["url"]: r["depth"] for r in registry.QUERIES["crawl_frontier"](spark, str(tmp_path)).collect()}
+    assert got == {u: 0 for _, u, _ in rows} | {"https://far.example/": 1, "https://three.example/": 1}

@@ -155,7 +155,7 @@ def crosswalk(spark: SparkSession, d: str) -> DataFrame:
 def crawl_frontier(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "pages")
     links = resolve.harvest_links(pages).join(pages.select("page_id", F.col("url").alias("from_url")), "page_id").select("from_url", F.col("url").alias("to_url"))
-    return resolve.crawl(pages.where("page_id % 50 = 0"), links, 2)
+    return resolve.crawl(pages, links, 2)
 
 
 @query("query_variants", "select c_custkey as seed_id, cast(i as integer) as variant, '\"' || c_name || '\" ' || c_mktsegment || ' XX ' || ['declaration of covenants', 'bylaws', 'rules and regulations', 'filetype:pdf', 'governing documents'][i + 1] as search from customer, range(5) t(i)")
