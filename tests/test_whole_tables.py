@@ -94,11 +94,12 @@ def test_contexts_hold_whole_texts_up_to_the_limit(spark, tmp_path):
     spark.createDataFrame([(i, t, "en") for i, t in texts.items()], DOCUMENTS).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, v, i % 2) for i, v in vectors_.items()], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     hits = {}
-    for r in vectors.knn(*plans_vectors.tables(spark, str(tmp_path)), 5).collect():
+    for r in vectors.knn(*plans_vectors.tables(spark, str(tmp_path), 20), 5).collect():
         hits.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
     want = {q: "\n\n".join(f"[{n}] {texts[i]}" for n, i in sorted(v))[:6000] for q, v in hits.items()}
     got = {r["query_id"]: r["context"] for r in registry.QUERIES["retrieval_context"](spark, str(tmp_path)).collect()}
     assert any(len(t) == 6000 for t in want.values()) and got == want
+    assert set(got) == {0, 20, 40, 60, 80}
 
 
 def test_a_first_text_over_the_limit_is_cut_and_not_dropped(spark):

@@ -19,10 +19,10 @@ select query_id, partition, vec_id, score, cast(rank as integer) as rank from (s
 """
 
 
-def tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """All vectors, and every fiftieth as a query of its own partition."""
+def tables(spark: SparkSession, d: str, every: int = 50) -> tuple[DataFrame, DataFrame]:
+    """All vectors, and every fiftieth (as the SQL has it) as a query of its own partition."""
     v = table(spark, d, "embeddings").select("vec_id", F.col("label").alias("partition"), "embedding")
-    return v, v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), "partition")
+    return v, v.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), "partition")
 
 
 @query("knn_cosine", SQL.format(score=COS.format(a="e", b="qe")))
@@ -55,4 +55,4 @@ def knn_multi(spark: SparkSession, d: str) -> DataFrame:
 def retrieval_context(spark: SparkSession, d: str) -> DataFrame:
     """Texts of each query's hits, numbered, within a length; documents stand in for chunk texts."""
     texts = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text")
-    return vectors.context(vectors.knn(*tables(spark, d), 5), texts)
+    return vectors.context(vectors.knn(*tables(spark, d, 20), 5), texts)
