@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import pickle
 import sys
 import tempfile
@@ -14,6 +15,7 @@ from typing import Any
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, IntegralType, StringType, StructType
 
 #: Words of the contracts: runs of anything but space and the ASCII white space 9 to 13.
 WORD_SPLIT = "[\\x20\\x09-\\x0D]+"
@@ -21,8 +23,10 @@ WORD_SPLIT = "[\\x20\\x09-\\x0D]+"
 #: Rows of an Arrow batch handed to a Python worker; documents can be long.
 ARROW_ROWS = "512"
 
-#: A side is broadcast only after a count showed at most so many rows.
-BROADCAST_ROWS = 1_000_000
+#: A side is broadcast only after a pass over it showed at most so many rows and bytes.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
+#: A class is hot if it holds more than one row in so many; there are fewer hot classes than that.
+HOT = 1000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,11 +39,15 @@ def tune(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; set here only where it is unset."""
+    """The folder all executors share, from ``spark.checkpoint.dir``.
+
+    Where that is unset it is set here: a folder of the warehouse, which a cluster shares, and in
+    local mode, where there is one machine, a temporary one.
+    """
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="townscribe-")
+        found = "file://" + tempfile.mkdtemp(prefix="townscribe-") if sc.master.startswith("local") else os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "townscribe-shared")
         sc.setCheckpointDir(found)
     elif sc.getCheckpointDir() is None:
         sc.setCheckpointDir(found)
@@ -62,7 +70,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/townscribe-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.townscribe_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that ``materialize`` wrote, once nothing reads it any more."""
+    _delete(df.sparkSession, df.townscribe_path)
 
 
 def at_most(df: DataFrame, rows: int) -> bool:
@@ -70,9 +85,57 @@ def at_most(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def _bytes(col: Column, kind: DataType) -> Column:
+    """About what a value takes in memory."""
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(col), F.lit(0)) + 16
+    if isinstance(kind, ArrayType):
+        if isinstance(kind.elementType, (StringType, BinaryType, ArrayType, StructType)):
+            return F.aggregate(F.coalesce(col, F.array().cast(kind.simpleString())), F.lit(16).cast("long"), lambda n, x: n + _bytes(x, kind.elementType))
+        return F.coalesce(F.size(col), F.lit(0)) * 8 + 16
+    if isinstance(kind, StructType):
+        out = F.lit(16)
+        for f in kind.fields:
+            out = out + _bytes(col.getField(f.name), f.dataType)
+        return out
+    return F.lit(8)
+
+
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` has at most so many rows and bytes: one distributed pass that returns two sums."""
+    total = F.lit(16).cast("long")
+    for f in df.schema.fields:
+        total = total + _bytes(F.col(f"`{f.name}`"), f.dataType)
+    n, found = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(total), F.lit(0))).first()
+    return n <= rows and found <= size
+
+
 def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if its counted size allows it, else unchanged (a shuffled join)."""
-    return F.broadcast(df) if at_most(df, rows) else df
+    """``df`` with a broadcast hint if its counted rows and bytes allow it, else unchanged (a shuffled join)."""
+    return F.broadcast(df) if is_small(df, rows) else df
+
+
+def join_classes(rows: DataFrame, classes: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """``rows`` left-joined with ``classes`` on ``keys``; ``classes`` has one row a key and in ``size`` its number of rows.
+
+    The few classes that hold more than one row in HOT (fewer than HOT of them at any scale) are
+    broadcast, so that their rows stay where they are; only the others are shuffled.
+    """
+    if is_small(classes):
+        return rows.join(F.broadcast(classes), keys, "left")
+    total = classes.agg(F.sum(size)).first()[0]
+    is_hot = F.col(size) * HOT > total
+    hot = F.broadcast(classes.where(is_hot))
+    kept = [*keys, *(c for c in rows.columns if c not in keys), *(c for c in classes.columns if c not in keys)]
+    return rows.join(hot, keys).select(kept).unionAll(rows.join(hot, keys, "left_anti").join(classes.where(~is_hot), keys, "left").select(kept))
+
+
+def integer_ids(docs: DataFrame) -> DataFrame:
+    """``docs`` with doc_id as long; the operators that keep the least doc_id need integers and refuse others."""
+    kind = docs.schema["doc_id"].dataType
+    if not isinstance(kind, IntegralType):
+        raise TypeError(f"doc_id must be an integer column here, not {kind.simpleString()}")
+    return docs.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def crc_mod(doc_id: Column, n: int) -> Column:

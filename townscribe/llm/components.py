@@ -35,7 +35,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     e = common.materialize(e, "edges")
     state = _state(e)
     while True:
-        e = common.materialize(_small_star(_large_star(e)), "edges")
+        last, e = e, common.materialize(_small_star(_large_star(e)), "edges")
+        common.discard(last)
         now = _state(e)
         if now == state:
             break
