@@ -87,5 +87,43 @@ def test_blocks_meet_within_the_radius(spark):
         signed = lambda v: v - (1 << 64) if v >> 63 else v
         rows.append(tuple(signed(v) for z in (x, y) for v in (z & (2**64 - 1), z >> 64)))
     df = spark.createDataFrame(rows, "a long, b long, c long, d long")
-    met = F.size(F.array_intersect(dc._blocks(F.col("a"), F.col("b")), dc._blocks(F.col("c"), F.col("d"))))
-    assert df.select(met.alias("n")).where("n = 0").count() == 0
+    a, b, c, d = (F.col(x) for x in "abcd")
+    met = F.array_intersect(dc._blocks(a, b), dc._probed(c, d))
+    got = df.select(F.array_min(F.transform(met, lambda x: F.shiftright(x, 8))).alias("least"), dc._first_block(a, b, c, d).alias("first")).collect()
+    assert all(r["least"] == r["first"] is not None for r in got)
+    assert dc.RADIUS < dc.BLOCKS * (dc.PROBE + 1) and dc.BLOCKS * 8 == dc.BITS
+
+
+def test_windows_are_all_that_can_reach_the_similarity(spark):
+    rows, items = planted(3)
+    df, bench = spark.createDataFrame(rows, DOC), spark.createDataFrame(items, BENCH)
+    laid = {(r["doc_id"], r["size"], s) for r in dc.windows(df, dc.items(bench)).select("doc_id", F.explode("windows").alias("w")).select("doc_id", "w.*").collect() for s in r["starts"]}
+    met = {(r["doc_id"], r["size"], r["start"]) for r in dc.leaks(df, bench).collect()}
+    want = set()
+    for d, text, *_ in rows:
+        w = (text or "").lower().split()
+        for _, t in items:
+            v = (t or "").lower().split()
+            if not v:
+                continue
+            k = min(5, len(v))
+            for i in range(max(1, len(w) - len(v) + 1)):
+                got, have = grams(w[i : i + len(v)], k), grams(v, k)
+                n = sum((got & have).values())
+                if n and 4 * n >= 3 * (sum(got.values()) + sum(have.values()) - n):
+                    want.add((d, len(v), i))
+    assert want <= laid and len(met & want) >= 0.98 * len(want) and met <= want
+
+
+def test_no_python_in_the_plan(spark):
+    rows, items = planted()
+    plan = dc.report(spark.createDataFrame(rows, DOC), spark.createDataFrame(items, BENCH))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_weights_of_repeated_shingles_and_long_texts(spark):
+    item = "a b c d e a b c d e a b c d e a b"
+    rows = [(1, f"x {item} y", "en", "s", 0), (2, "a b c d e a b c d e", "en", "s", 0), (3, "z " * 30_000 + item, "en", "s", 0), (4, item, "en", "s", 0), (4, item, "en", "s", 0)]
+    got = sorted((r["doc_id"], r["leaked"], round(r["similarity"], 9)) for r in dc.report(spark.createDataFrame(rows, DOC), spark.createDataFrame([(1, item)], BENCH)).collect())
+    want = {d: (h == (1,), s) for d, h, s in brute(rows, [(1, item)])}
+    assert got == sorted((d, *want[d]) for d, *_ in rows) and want[4] == (True, 1.0)

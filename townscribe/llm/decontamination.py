@@ -1,11 +1,15 @@
 """Benchmark passages in documents: SimHash of item-sized windows, multi-index blocks, exact check.
 
 1. Benchmark items (classes of equal words) give 5-word shingles and, of those, a 128-bit
-   SimHash.  A window of a document can be similar to an item only if it shares a shingle
-   with it, so windows are laid where one does: of the item's size, aligned by that shingle.
-2. The windows' SimHashes meet the items' in a multi-index of RADIUS + 1 blocks: two
-   fingerprints within the radius agree in at least one block, so none is missed.
-3. Weighted Jaccard of the shingles (weights: how often a shingle occurs) on the words
+   SimHash.
+2. Windows of an item's size are laid at every start that can reach the similarity: two
+   sets of k and m shingles need 3 (k + m) / 7 in common, so a window counts only if so many of
+   its shingles stand in some item of that size.  This leaves out no window that reaches it.
+3. Windows meet items of their size in a multi-index, which knows nothing of the item whose
+   shingles laid the window: BLOCKS blocks of 8 bits, and each item stands in it with all values
+   within PROBE bits of its own.  Two fingerprints that differ in less than BLOCKS * (PROBE + 1)
+   bits, hence all within the radius, agree within PROBE bits in a block, so none is missed.
+4. Weighted Jaccard of the shingles (weights: how often a shingle occurs) on the words
    themselves decides; SIMILARITY or more is a leak.
 
 At similarity 0.75 two fingerprints differ in 22 bits on average, with a deviation of 4.3:
@@ -13,7 +17,9 @@ a radius of 36 misses one such pair in some thousands, and closer pairs hardly e
 Words are runs of anything but ASCII white space, with A to Z lower-cased.  An item with
 fewer than five words is one shingle; items without words match nothing.  Null and empty
 texts have no windows.  A document shorter than the item is one window.  Repeated rows are
-judged each; null doc_ids are a value like others.
+judged each; null doc_ids are a value like others.  Texts and items may be long: what is
+gathered is one document's own windows.  Extra columns stay in ``clean``, whatever their names
+(but ``_townscribe_``), and are ignored elsewhere.
 """
 
 from __future__ import annotations
@@ -26,6 +32,7 @@ from . import common
 WIDTH = 5
 SIMILARITY = 0.75
 BITS, RADIUS = 128, 36
+BLOCKS, PROBE = 16, 2
 
 
 def _word_list(text: Column) -> Column:
@@ -54,26 +61,40 @@ def _seeded(seed: int) -> Column:
     return F.transform("shingles", lambda x: F.xxhash64(x, F.lit(seed)))
 
 
+def _block(low: Column, high: Column, i: int) -> Column:
+    """The i-th run of 8 bits."""
+    return F.shiftrightunsigned(low if i < 8 else high, 8 * (i % 8)).bitwiseAND(F.lit(255)).cast("int")
+
+
 def _blocks(low: Column, high: Column) -> Column:
-    """RADIUS + 1 runs of bits, each with its number in front."""
-    cuts = [round(i * BITS / (RADIUS + 1)) for i in range(RADIUS + 2)]
-    out = []
-    for i, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False)):
-        bits = [F.getbit(low if b < 64 else high, F.lit(b % 64)).cast("int") * (1 << (b - a)) for b in range(a, z)]
-        value = bits[0]
-        for x in bits[1:]:
-            value = value + x
-        out.append(value + i * 1024)
-    return F.array(*out)
+    """All blocks, each with its number above its bits."""
+    return F.array(*(_block(low, high, i) + i * 256 for i in range(BLOCKS)))
+
+
+def _probed(low: Column, high: Column) -> Column:
+    """All values within PROBE bits of each block, each with its number above its bits."""
+    flips = [x for x in range(256) if x.bit_count() <= PROBE]
+    return F.flatten(F.array(*(F.array(*(_block(low, high, i).bitwiseXOR(F.lit(x)) + i * 256 for x in flips)) for i in range(BLOCKS))))
+
+
+def _first_block(low: Column, high: Column, low2: Column, high2: Column) -> Column:
+    """The number of the first block in which two fingerprints differ in at most PROBE bits, so that a pair counts once."""
+    return F.coalesce(*(F.when(F.bit_count(_block(low, high, i).bitwiseXOR(_block(low2, high2, i))) <= PROBE, i) for i in range(BLOCKS)))
 
 
 def _texts(words: Column, width: Column) -> Column:
     return F.when(F.size(words) >= width, F.transform(F.sequence(F.lit(1), F.size(words) - width + 1), lambda i: F.array_join(F.slice(words, i, width), " "))).otherwise(F.array().cast("array<string>"))
 
 
-def _weighted_jaccard(a: Column, b: Column) -> Column:
+def _repeated(sorted_texts: Column) -> Column:
+    return F.array_distinct(F.filter(sorted_texts, lambda x, i: (i > 0) & (x == F.get(sorted_texts, i - 1))))
+
+
+def _weighted_jaccard(a: str, b: str) -> Column:
+    """Of columns of sorted shingles; only what repeats in both is counted one by one."""
     count = lambda xs, v: F.size(F.filter(xs, lambda y: y == v))
-    both = F.aggregate(F.array_intersect(a, b), F.lit(0), lambda n, v: n + F.least(count(a, v), count(b, v)))
+    twice = F.aggregate(F.array_intersect(f"{a}_again", f"{b}_again"), F.lit(0), lambda n, v: n + F.least(count(a, v), count(b, v)) - 1)
+    both = F.size(F.array_intersect(a, b)) + twice
     return both / F.nullif(F.size(a) + F.size(b) - both, F.lit(0))
 
 
@@ -90,42 +111,63 @@ def items(benchmark: DataFrame) -> DataFrame:
     return common.materialize(_with_simhash(own), "item-hashes")
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, text_key, item_ids, start, size, similarity) of every window that reaches the similarity."""
-    item = items(benchmark)
-    seeds = common.maybe_broadcast(common.materialize(item.select("item", "size", F.posexplode("shingles").alias("offset", "shingle")), "seeds"))
+def _starts(at: Column, shingles: Column, wide: Column, need: Column) -> Column:
+    """The starts of all windows of ``wide`` shingles that hold ``need`` or more of the places ``at`` (sorted)."""
+    run = lambda i: F.when(
+        F.get(at, i + need - 1) - F.get(at, i) < wide,
+        F.sequence(F.greatest(F.lit(0), F.get(at, i + need - 1) - wide + 1), F.least(F.get(at, i), shingles - wide)),
+    ).otherwise(F.array().cast("array<int>"))
+    return F.when(F.size(at) >= need, F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.size(at) - need), run)))).otherwise(F.array().cast("array<int>"))
+
+
+def windows(docs: DataFrame, item: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, text_key, windows of (size, start)) of every document with a window that can reach the similarity; written to the shared folder."""
+    seeds = item.select("size", "width", F.explode("shingles").alias("shingle")).distinct()
+    seeds = common.maybe_broadcast(common.materialize(seeds.groupBy("width", "shingle").agg(F.collect_set("size").alias("sizes")), "seeds"))
     widths = sorted(r[0] for r in item.select("width").distinct().collect()) or [WIDTH]  # of 1 to 5
     rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), _word_list(F.col("text")).alias("words"))
     hashed = rows.select("doc_id", "text_key", F.size("words").alias("n"), F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
     found = None
     for k in widths:
-        here = hashed.select("doc_id", "text_key", "n", F.posexplode(_shingles(F.col("hashes"), k)).alias("at", "shingle"))
-        # a window stays inside its document
-        start = F.greatest(F.lit(0), F.least(F.col("at") - F.col("offset"), F.col("n") - F.col("size")))
-        here = here.join(seeds, "shingle").select("doc_id", "text_key", "item", start.alias("start"))
+        here = hashed.select("doc_id", "text_key", (F.col("n") - k + 1).alias("n"), F.posexplode(_shingles(F.col("hashes"), k)).alias("at", "shingle"))
+        here = here.join(seeds.where(F.col("width") == k), "shingle").select("doc_id", "text_key", "n", "at", F.explode("sizes").alias("size"), F.lit(k).alias("width"))
         found = here if found is None else found.unionAll(here)
-    windows = common.materialize(found.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("item", "start")).alias("windows")), "windows")
-    windows = common.maybe_broadcast(windows.select(F.col("doc_id").alias("_townscribe_doc"), F.col("text_key").alias("_townscribe_key"), "windows"), 200_000)
+    # a document's own places: no more than its words
+    found = found.groupBy("doc_id", "text_key", "n", "size", "width").agg(F.array_sort(F.collect_set("at")).alias("at"))
+    own = F.col("size") - F.col("width") + 1
+    found = found.withColumn("wide", F.least(own, F.col("n")))
+    need = F.greatest(F.lit(1), F.ceil((own + F.col("wide")) * (similarity / (1 + similarity)) - 1e-9).cast("int"))
+    found = found.withColumn("need", need).where("size(at) >= need")
+    found = found.withColumn("starts", _starts(F.col("at"), F.col("n"), F.col("wide"), F.col("need"))).where("size(starts) > 0")
+    found = found.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("size", "starts")).alias("windows"))
+    return common.materialize(found, "windows")
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, text_key, item_ids, start, size, similarity) of every window that reaches the similarity."""
+    item = items(benchmark)
+    laid = windows(docs, item, similarity)
+    laid = common.maybe_broadcast(laid.select(F.col("doc_id").alias("_townscribe_doc"), F.col("text_key").alias("_townscribe_key"), "windows"))
     near = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text")
-    near = near.join(windows, (F.col("text_key") == F.col("_townscribe_key")) & F.col("doc_id").eqNullSafe(F.col("_townscribe_doc"))).select("doc_id", "text_key", _word_list(F.col("text")).alias("words"), "windows")
-    near = near.select("doc_id", "text_key", "words", F.explode("windows").alias("w")).select("doc_id", "text_key", "words", "w.item", "w.start")
-    index = item.select("item", "item_ids", "size", "width", F.col("words").alias("item_words"), F.col("low").alias("item_low"), F.col("high").alias("item_high"))
-    index = common.maybe_broadcast(index, 20_000)
-    near = near.join(index, "item").withColumn("words", F.slice("words", F.col("start") + 1, F.col("size")))
-    near = near.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
+    near = near.join(laid, (F.col("text_key") == F.col("_townscribe_key")) & F.col("doc_id").eqNullSafe(F.col("_townscribe_doc"))).select("doc_id", "text_key", _word_list(F.col("text")).alias("words"), "windows")
+    near = near.select("doc_id", "text_key", "words", F.explode("windows").alias("w")).select("doc_id", "text_key", "words", "w.size", F.explode("w.starts").alias("start"))
+    near = near.withColumn("words", F.slice("words", F.col("start") + 1, F.col("size")))
+    near = near.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w))).withColumn("width", F.least(F.lit(WIDTH), F.col("size")))
     own = F.lit(None)
-    for k in widths:
+    for k in range(1, WIDTH + 1):
         own = F.when(F.col("width") == k, _shingles(F.col("hashes"), k)).otherwise(own)
     near = common.materialize(_with_simhash(near.withColumn("shingles", own)).drop("hashes", "shingles"), "window-hashes")
-    # the multi-index: windows and items that agree in a block
-    left = near.withColumn("block", F.explode(_blocks(F.col("low"), F.col("high"))))
-    blocks = common.maybe_broadcast(item.select(F.col("item").alias("_item"), F.explode(_blocks(F.col("low"), F.col("high"))).alias("_block")))
-    met = left.join(blocks, (F.col("item") == F.col("_item")) & (F.col("block") == F.col("_block")))
+    # the multi-index: windows and items of a size that agree in a block
+    index = item.select(F.col("size").alias("_size"), "item_ids", F.col("words").alias("item_words"), F.col("low").alias("item_low"), F.col("high").alias("item_high"), F.explode(_probed(F.col("low"), F.col("high"))).alias("_block"))
+    met = near.withColumn("block", F.explode(_blocks(F.col("low"), F.col("high")))).join(common.maybe_broadcast(index), (F.col("size") == F.col("_size")) & (F.col("block") == F.col("_block")))
     distance = F.bit_count(F.col("low").bitwiseXOR(F.col("item_low"))) + F.bit_count(F.col("high").bitwiseXOR(F.col("item_high")))
-    met = met.where(distance <= RADIUS).drop("block", "_block", "_item", "low", "high", "item_low", "item_high").distinct()
+    once = F.shiftright("block", 8) == _first_block(F.col("low"), F.col("high"), F.col("item_low"), F.col("item_high"))
+    met = met.where((distance <= RADIUS) & once).select("doc_id", "text_key", "item_ids", "start", "size", "width", "words", "item_words")
     # the shingles are columns of a table before they are compared: what a lambda or a pushed filter names is evaluated anew
-    met = common.materialize(met.withColumns({"a": _texts(F.col("words"), F.col("width")), "b": _texts(F.col("item_words"), F.col("width"))}).drop("words", "item_words"), "met")
-    return met.select("doc_id", "text_key", "item_ids", "start", "size", _weighted_jaccard(F.col("a"), F.col("b")).alias("similarity")).where(F.col("similarity") >= similarity)
+    met = met.withColumns({"a": F.array_sort(_texts(F.col("words"), F.col("width"))), "b": F.array_sort(_texts(F.col("item_words"), F.col("width")))}).drop("words", "item_words")
+    met = met.withColumns({"a_again": _repeated(F.col("a")), "b_again": _repeated(F.col("b"))})
+    met = common.materialize(met, "met")
+    return met.select("doc_id", "text_key", "item_ids", "start", "size", _weighted_jaccard("a", "b").alias("similarity")).where(F.col("similarity") >= similarity)
 
 
 def leaked(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
