@@ -1,11 +1,13 @@
 import hashlib
 from collections import Counter, defaultdict
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from townscribe.llm import line_dedup, substring_dedup
+from townscribe.llm.queries import op7_substring_dedup
 
 from .tables import DOC, awkward, sentence
 
@@ -68,13 +70,51 @@ def test_spans_of_empty_tables_and_null_ids(spark):
     assert {r["kept"] for r in got} == {hashlib.sha256(t.encode()).hexdigest(), hashlib.sha256(b"").hexdigest()}
 
 
-@settings(max_examples=80, deadline=None)
-@given(st.lists(st.integers(0, 3), max_size=40), st.lists(st.integers(0, 3), max_size=40))
-def test_matching_statistics(reference, query):
-    auto = substring_dedup.SuffixAutomaton(reference)
-    have = {tuple(reference[i:j]) for i in range(len(reference)) for j in range(i + 1, len(reference) + 1)}
-    want = [max((n for n in range(i + 2) if n == 0 or tuple(query[i + 1 - n : i + 1]) in have), default=0) for i in range(len(query))]
-    assert list(auto.statistics(query)) == want
+def test_spans_over_many_shards_and_tasks(spark, monkeypatch):
+    for name, value in (("SHARD", 90), ("PIECE", 64), ("TASK_ROWS", 3)):
+        monkeypatch.setattr(substring_dedup, name, value)
+    check(spark, overlapping(7))
+    check(spark, awkward(8))
+
+
+def test_spans_of_the_sample_table(spark, data):
+    docs = spark.read.parquet(data.replace("sf0.001", "sf0.01") + "/documents.parquet")
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in op7_substring_dedup(spark, data.replace("sf0.001", "sf0.01")).collect()}
+    assert got == {d: (n, k, hashlib.sha256(t.encode()).hexdigest()) for d, n, k, t in brute_spans(rows)}
+    assert sum(k for _, k, _ in got.values()) > 1000
+
+
+def test_spans_with_extra_columns_long_texts_and_text_ids(spark):
+    long = " ".join(f"v{i}" for i in range(60_000))
+    df = spark.createDataFrame([(1, long, "en", "s", 0), (2, f"start {long} end", "en", "s", 0)], DOC)
+    df = df.withColumns({c: F.lit(1) for c in ("spans", "_doc", "_key", "shard", "owner", "k1", "text_key", "_copy")})
+    assert sorted((r["doc_id"], r["n_removed"], r["kept"][-9:]) for r in substring_dedup.dedup(df).collect()) == [(1, 0, long[-9:]), (2, 60_000, "start end")]
+    with pytest.raises(TypeError):
+        substring_dedup.dedup(df.withColumn("doc_id", F.lit("a")))
+
+
+LETTERS = st.lists(st.integers(0, 3), max_size=40)
+
+
+@settings(max_examples=120, deadline=None)
+@given(st.lists(LETTERS, max_size=4), LETTERS, st.integers(1, 5))
+def test_matching_statistics(references, query, span):
+    auto = substring_dedup.SuffixAutomaton()
+    for owner, words in enumerate(references):
+        auto.add(words, owner)
+    auto.close(span)
+    owned = {}
+    for owner, r in enumerate(references):
+        for i in range(len(r)):
+            for j in range(i + 1, len(r) + 1):
+                owned.setdefault(tuple(r[i:j]), owner)
+    want = [max((n for n in range(i + 2) if n == 0 or tuple(query[i + 1 - n : i + 1]) in owned), default=0) for i in range(len(query))]
+    assert [n for n, _ in auto.statistics(query)] == want
+    for before in range(len(references) + 1):
+        gone = {k for i in range(len(query) - span + 1) if owned.get(tuple(query[i : i + span]), before) < before for k in range(i, i + span)}
+        spans = auto.spans(query, before, span)
+        assert {k for a, z in spans for k in range(a, z)} == gone and all(z < a for (_, z), (a, _) in zip(spans, spans[1:]))
 
 
 def brute_lines(rows, ratio, least):
