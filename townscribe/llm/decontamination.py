@@ -73,8 +73,8 @@ def _blocks(low: Column, high: Column) -> Column:
 
 def _probed(low: Column, high: Column) -> Column:
     """All values within PROBE bits of each block, each with its number above its bits."""
-    flips = [x for x in range(256) if x.bit_count() <= PROBE]
-    return F.flatten(F.array(*(F.array(*(_block(low, high, i).bitwiseXOR(F.lit(x)) + i * 256 for x in flips)) for i in range(BLOCKS))))
+    flips = F.array(*(F.lit(x) for x in range(256) if x.bit_count() <= PROBE))
+    return F.flatten(F.transform(_blocks(low, high), lambda block: F.transform(flips, lambda x: block.bitwiseXOR(x))))
 
 
 def _first_block(low: Column, high: Column, low2: Column, high2: Column) -> Column:
