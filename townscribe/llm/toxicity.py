@@ -4,7 +4,8 @@
    once (so copies do not count twice; a sentence that any clean document has is
    clean), give counts of words and word beginnings in toxic and clean text.  Their
    log-odds carry a Dirichlet prior centred on the pooled rate, and are kept where a
-   likelihood-ratio test finds them significant.
+   likelihood-ratio test finds them significant, at a level that lets FALSE_TOKENS of all that
+   were tested pass by chance.
 2. A linear-time scan (Ruzzo and Tompa) finds every maximal scoring segment of a
    document; ordinary words cost a constant drift.
 3. Extreme values: clean documents give lambda and K of
@@ -12,10 +13,14 @@
    number in clean text of that length is at most ``max_expected``.  The scores of the
    significant passages add up, and their sum, normalised like one score (lambda times it,
    less ln(K n)), is a document's evidence, which a logistic curve turns into a probability.
+   Both curves are fitted on scores that each row gets from the log-odds of the other folds'
+   sentences (FOLDS folds of rows by their text), so no row calibrates what it taught.
 
 Null or empty texts have no words: no passage and the score of no evidence.  Labels on
-repeated ids count once (the largest); null labels and ids teach nothing.  Repeated rows
-of documents are scored each.  An untrainable sample (one class only) gives score 0.
+repeated ids count once (the largest); null labels and ids teach nothing.  Texts are scanned whole,
+however long.  Of tied prefixes of a word the largest log-odds counts.  Repeated rows of documents
+are scored each; an empty table gives an empty one; extra columns are ignored by ``score`` and kept by
+``keep_clean``.  An untrainable sample (one class only) gives score 0.
 """
 
 from __future__ import annotations
@@ -29,7 +34,7 @@ from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -40,8 +45,8 @@ MAX_LABELLED = 12_000
 PREFIXES = range(3, 9)
 #: Tokens expected to pass the likelihood-ratio test by chance, and a token's least log-odds.
 FALSE_TOKENS, MIN_LOG_ODDS = 10, 1.5
-#: Tokens kept at most, strongest first (a bound of the classifier's size).
-MAX_TOKENS = 20_000
+#: Parts of the sample, each scored with the log-odds of the others.
+FOLDS = 4
 #: Nats that a word without evidence takes from a segment.
 DRIFT = 0.3
 MAX_EXPECTED = 0.5
@@ -154,73 +159,90 @@ def fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: tuple[Counter, Counter] = (Counter(), Counter())
+    """(token, fold, toxic, clean): sentences that have the token."""
+    counts: dict[tuple[str, int], list[int]] = {}
 
     def out() -> pa.RecordBatch:
-        keys = list(counts[0].keys() | counts[1].keys())
-        got = pa.RecordBatch.from_pydict({"token": pa.array(keys, pa.string()), "toxic": pa.array([counts[1][k] for k in keys], pa.int64()), "clean": pa.array([counts[0][k] for k in keys], pa.int64())})
-        for c in counts:
-            c.clear()
-        return got
+        cols = [*zip(*counts, strict=True)] or [(), ()]
+        tallies = [*zip(*counts.values(), strict=True)] or [(), ()]
+        counts.clear()
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(tallies[1], pa.int64()), pa.array(tallies[0], pa.int64())], ["token", "fold", "toxic", "clean"])
 
     for b in batches:
-        for sentence, label in zip(b.column("sentence").to_pylist(), b.column("label").to_pylist(), strict=True):
+        for sentence, label, fold in zip(*(b.column(c).to_pylist() for c in ("sentence", "label", "fold")), strict=True):
             seen = {t for w in set(TOKEN.findall(sentence)) for t in word_tokens(w)}
             seen.add("")  # counts sentences
-            counts[1 if label else 0].update(seen)
-        if len(counts[0]) + len(counts[1]) > 300_000:
+            at = 1 if label else 0
+            for t in seen:
+                got = counts.get((t, fold))
+                if got is None:
+                    got = counts[t, fold] = [0, 0]
+                got[at] += 1
+        if len(counts) > 300_000:
             yield out()
     yield out()
 
 
-def token_log_odds(train: DataFrame) -> dict[str, float]:
-    """Log-odds of the significant tokens from (text, label) rows; counted on the executors."""
-    sentences = (
-        train.select(F.explode(F.split(F.lower("text"), "[.!?\\n]+")).alias("sentence"), "label")
-        .select(F.trim("sentence").alias("sentence"), "label")
-        .where("sentence <> ''")
-        .groupBy("sentence")
-        .agg(F.min("label").alias("label"))
-    )
-    counts = sentences.mapInArrow(_count_tokens, "token string, toxic long, clean long").groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where("token = '' or toxic >= 3")
-    all_of = counts.where("token = ''").first()
-    if all_of is None or not all_of["toxic"] or not all_of["clean"]:
-        return {}
-    n1, n0 = float(all_of["toxic"]), float(all_of["clean"])
-    y1, y0 = F.col("toxic").cast("double"), F.col("clean").cast("double")
+def _log_odds(y1: Column, y0: Column, n1: float, n0: float, tested: int) -> Column:
+    """Log-odds of a token with these counts, null if it is not significant."""
     rate = (y1 + y0) / (n1 + n0)
     xlog = lambda y, e: F.when(y > 0, y * F.log(y / e)).otherwise(0.0)
     g2 = 2 * (xlog(y1, n1 * rate) + xlog(y0, n0 * rate))
     # Dirichlet prior: two sentences at the pooled rate for each class, and half a sentence of any token
     p1, p0 = (y1 + 2 * rate) / (n1 + 2), (y0 + 2 * rate + 0.5) / (n0 + 2)
     odds = F.log(p1 / (1 - p1)) - F.log(p0 / (1 - p0))
-    counts = common.materialize(counts.where("token <> ''"), "token-counts")
-    tested = max(counts.count(), 2 * FALSE_TOKENS)
-    least = NormalDist().inv_cdf(1 - FALSE_TOKENS / tested)
-    best = (
-        counts
-        .select("token", F.sqrt(F.greatest(g2, F.lit(0.0))).alias("root"), odds.alias("odds"))
-        .where((F.col("root") >= least) & (F.col("odds") >= MIN_LOG_ODDS))
-        .orderBy(F.desc("root"), "token")
-        .limit(MAX_TOKENS)
+    least = NormalDist().inv_cdf(1 - FALSE_TOKENS / max(tested, 2 * FALSE_TOKENS))
+    return F.when((y1 > 0) & (y1 + y0 < n1 + n0) & (F.sqrt(F.greatest(g2, F.lit(0.0))) >= least) & (odds >= MIN_LOG_ODDS), odds)
+
+
+def token_log_odds(train: DataFrame) -> list[dict[str, float]]:
+    """Log-odds of the significant tokens from (text, label, fold) rows: of all folds, then of all but each one.  Counted on the executors."""
+    sentences = (
+        train.select(F.explode(F.split(F.lower("text"), "[.!?\\n]+")).alias("sentence"), "label", "fold")
+        .select(F.trim("sentence").alias("sentence"), "label", "fold")
+        .where("sentence <> ''")
+        .groupBy("sentence")
+        .agg(F.min("label").alias("label"), F.min("fold").alias("fold"))
     )
-    return {r["token"]: r["odds"] for r in best.collect()}
+    counts = sentences.mapInArrow(_count_tokens, "token string, fold int, toxic long, clean long")
+    folds = [F.sum(F.when(F.col("fold") == f, F.col(c)).otherwise(0)).alias(f"{c}{f}") for c in ("toxic", "clean") for f in range(FOLDS)]
+    counts = common.materialize(counts.groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), *folds).where("toxic > 0"), "token-counts")
+    all_of = counts.where("token = ''").first()
+    none: list[dict[str, float]] = [{} for _ in range(FOLDS + 1)]
+    if all_of is None or not all_of["clean"]:
+        return none
+    tested = counts.count()
+    odds = [_log_odds(F.col("toxic").cast("double"), F.col("clean").cast("double"), float(all_of["toxic"]), float(all_of["clean"]), tested).alias("o0")]
+    for f in range(FOLDS):
+        n1, n0 = (float(all_of[c] - all_of[f"{c}{f}"]) for c in ("toxic", "clean"))
+        left = [(F.col(c) - F.col(f"{c}{f}")).cast("double") for c in ("toxic", "clean")]
+        odds.append((_log_odds(*left, n1, n0, tested) if n1 and n0 else F.lit(None).cast("double")).alias(f"o{f + 1}"))
+    best = counts.where("token <> ''").select("token", *odds)
+    # bounded by the sample's words: what passes the test is far less
+    for r in best.where(F.coalesce(*(c for c in best.columns if c != "token")).isNotNull()).collect():
+        for i in range(FOLDS + 1):
+            if r[f"o{i}"] is not None:
+                none[i][r["token"]] = r[f"o{i}"]
+    return none
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> ToxicModel:
     """A model from ``labels`` (doc_id, label), a bounded table, and the texts of ``docs``."""
     spark = docs.sparkSession
-    train = common.materialize(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(labels), "doc_id").select("text", "label"), "toxic-train")
-    model = ToxicModel(token_log_odds(train))
-    if not model.tokens:
+    train = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(labels), "doc_id")
+    # copies fall into one fold
+    train = common.materialize(train.select("text", "label", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold")), "toxic-train")
+    whole, *others = token_log_odds(train)
+    model = ToxicModel(whole)
+    if not whole:
         return model
-    shipped = common.ship(spark, model)
+    shipped = common.ship(spark, [ToxicModel(t) for t in others])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, float] = {}
-        m = shipped()
+        models = shipped()
+        known: list[dict[str, float]] = [{} for _ in models]
         for b in batches:
-            got = [scan(t, known, m) for t in b.column("text").to_pylist()]
+            got = [scan(t, known[f], models[f]) for t, f in zip(b.column("text").to_pylist(), b.column("fold").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_pydict({"n": pa.array([n for n, _ in got], pa.int64()), "scores": pa.array([[s for _, _, s in segs] for _, segs in got], pa.list_(pa.float64())), "label": b.column("label")})
 
     rows = train.mapInArrow(measure, "n long, scores array<double>, label int").toPandas()
