@@ -6,9 +6,11 @@ weights are blended with their mean magnitude.  A logistic curve, fitted on labe
 that the model was not, turns the margin into a probability.
 
 The model is fitted on a bounded sample of the labelled rows (``MAX_LABELLED``); every
-document is scored on its whole text.  A null text is empty; an empty text has no n-grams
-and the bias alone as its margin.  Without both classes in the sample the score is the share
-of label 1 (1 if there is no label).  Repeated rows are scored each.
+document, however long, is scored on its whole text.  A null text is empty; an empty text has no
+n-grams and the bias alone as its margin.  Without both classes in the sample the score is the share
+of label 1 (1 if there is no label).  Of rows that repeat a doc_id the least text teaches, so the
+sample has one text an id.  Repeated rows are scored each; an empty table gives an empty one; extra
+columns, whatever they are called, are ignored.
 """
 
 from __future__ import annotations
@@ -91,7 +93,8 @@ def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], y:
 
 def fit(docs: DataFrame, labels: DataFrame) -> QualityModel:
     """A model from ``labels`` (doc_id, label), a bounded table, and the texts of ``docs``."""
-    sample = docs.select("doc_id", "text").join(F.broadcast(labels), "doc_id").select("doc_id", "text", "label").orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * MAX_LABELLED).toArrow()
+    one = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(labels), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
+    sample = one.orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
     mark = np.zeros(1 << BITS, dtype=bool)
     rows = [features(t, mark).astype(np.int32) for t in sample.column("text").to_pylist()]
     y = np.array(sample.column("label").to_pylist(), dtype=float)
@@ -106,7 +109,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> QualityModel:
         n = np.sqrt(v @ v)
         values.append(v / n if n else v)
     w, b = dual_coordinate_descent([rows[i] for i in np.flatnonzero(kept)], [values[i] for i in np.flatnonzero(kept)], y[kept])
-    used = w != 0
+    # what came back to nothing is nothing: its sign would be rounding
+    used = np.abs(w) > 1e-9
+    w = np.where(used, w, 0.0)
     w = BLEND * w + (1 - BLEND) * np.abs(w[used]).mean() * np.sign(w) if used.any() else w
     model = QualityModel(ratio, w, b)
     check = np.flatnonzero(~kept) if not kept.all() else np.arange(len(y))
