@@ -1,20 +1,21 @@
 """Language identification by averaged hashed subword embeddings and a linear softmax.
 
 The vectors of a text's character n-grams (1 to 4, hashed to buckets) are averaged and go
-through a linear softmax; both are trained by stochastic gradient descent in numpy on pieces
-of a bounded sample of labelled texts.  A temperature, fitted on texts held back, calibrates
+through a linear softmax; both are trained by stochastic gradient descent in numpy on the whole
+texts of a bounded sample and, so that short texts are learnt too, on a few pieces of each.  A temperature, fitted on texts held back, calibrates
 the probabilities; texts whose best language is less likely than a threshold are rejected.
 The threshold is the lowest that keeps the held-back error of what is accepted within
 ``MAX_ERROR``.
 
-Texts are read whole.  A null text, or one without a letter, is "und" with score 0; a rejected
-text keeps its best language and has rejected = true.  Without labelled rows every text
-is "und".  Repeated rows are predicted each.
+Texts are read whole, long ones in overlapping runs.  A null text, or one without a letter
+(str.isalpha), is "und" with score 0; a rejected text keeps its best language and has rejected =
+true.  Without labelled rows every text is "und".  Of rows that repeat a doc_id the least (lang,
+text) teaches; null ids teach nothing.  Languages that tie go to the first by name.  Repeated rows
+are predicted each; an empty table gives an empty one; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -34,7 +35,6 @@ PIECE, PIECES = 300, 4
 PASSES, RATE = 4, 0.5
 MAX_ERROR = 0.005
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
 #: Characters of a run over which n-grams are summed at a time.
 CHUNK = 1 << 20
 
@@ -66,12 +66,16 @@ class LanguageModel:
 def _bag(text: str) -> tuple[np.ndarray, np.ndarray]:
     found = [at for _, at in hashed(code_points(text.lower()), LENGTHS, BITS)]
     at, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.int64), np.zeros(0))
-    return at, (n / max(n.sum(), 1)).astype(np.float32)
+    return at.astype(np.uint16), (n / max(n.sum(), 1)).astype(np.float32)
+
+
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
 
 
 def _pieces(text: str, rng: np.random.Generator) -> list[str]:
-    """A few pieces of a text, of several sizes, so that short texts are learnt too."""
-    out = []
+    """A text and a few pieces of it, of several sizes."""
+    out = [text]
     for size in (PIECE, PIECE // 4)[: 1 + (len(text) > PIECE // 4)]:
         for _ in range(min(PIECES, 1 + len(text) // size)):
             a = int(rng.integers(0, max(1, len(text) - size + 1)))
@@ -106,7 +110,7 @@ def fit(texts: list[str], langs: list[str], seed: int = 11) -> LanguageModel:
             bias -= rate * p
             emb[at] -= rate * np.outer(share * len(at) ** 0.5, back)
     model = LanguageModel(names, (emb @ out).astype(np.float32), bias.astype(np.float64))
-    check = [(t, number[g]) for t, g, h in zip(texts, langs, held, strict=True) if h and LETTER.search(t)]
+    check = [(t, number[g]) for t, g, h in zip(texts, langs, held, strict=True) if h and has_letter(t)]
     if check:
         z = np.array([model.logits(t) for t, _ in check])
         y = np.array([g for _, g in check])
@@ -132,7 +136,8 @@ def fit_frame(docs: DataFrame, keep: Column, bound: int = MAX_LABELLED) -> Langu
     """A model from at most ``bound`` rows of ``docs`` (doc_id, text, lang) where ``keep`` holds."""
     labelled = docs.where(keep & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     ids = labelled.select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(bound)
-    sample = labelled.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "lang").orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(2 * bound).toArrow()
+    one = labelled.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("r"))
+    sample = one.orderBy(F.xxhash64("doc_id"), "doc_id").select("r.text", "r.lang").toArrow()
     return fit(sample.column("text").to_pylist(), sample.column("lang").to_pylist())
 
 
@@ -146,7 +151,7 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
         for b in batches:
             names, scores = [], []
             for t in b.column("text").to_pylist():
-                if not t or not m.langs or not LETTER.search(t):
+                if not t or not m.langs or not has_letter(t):
                     names.append(UNKNOWN)
                     scores.append(0.0)
                     continue
