@@ -43,6 +43,8 @@ PERCENT = 75
 MISS = 1e-6
 #: Lanes compared at a time.
 BATCH = 20
+#: Rows of a bucket that meet as many others in one task.
+BLOCK = 1000
 
 _rng = np.random.default_rng(20240607)
 XORS = _rng.integers(0, 2**32, LANES, dtype=np.uint32)
@@ -162,13 +164,12 @@ def _possible(n_a: str, own_a: str, n_b: str, own_b: str):
     return 100 * most >= PERCENT * (F.col(n_a) + F.col(n_b) - most)
 
 
-def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Shingle-set classes and their links: rows (doc_id, n, rep), edges (a, b) of reps, components (node, component)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, n, set1, set2) with their shingle sets' hashes, classes of equal sets (n, set1, set2, rep, size), links (a, b) of reps, components (node, component)."""
+    docs = common.integer_ids(docs).select("doc_id", "text")
     rows = common.materialize(docs.mapInArrow(_signatures, "doc_id long, n long, set1 long, set2 long, bands array<long>, sig binary"), "signatures")
     real = rows.where("doc_id is not null and n > 0")
-    classes = real.groupBy("n", "set1", "set2").agg(F.min("doc_id").alias("rep"))
-    member = rows.select("doc_id", "n", "set1", "set2").join(classes, ["n", "set1", "set2"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep"))
+    classes = common.materialize(real.groupBy("n", "set1", "set2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size")), "sets")
     reps = real.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     sigs = reps.select("doc_id", "sig")
     keys = reps.select("doc_id", "n", F.explode("bands").alias("key"))
@@ -195,34 +196,39 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     with_head = with_head.join(sets.select("id", F.col("shingles").alias("set_x")), "id").join(sets.select(F.col("id").alias("of"), F.col("shingles").alias("set_h")), "of").select("id", "of", "own", "set_x", "set_h")
     placed = rest.join(with_head.mapInArrow(_against_head, "id long, of long, bits array<long>, extra long"), (F.col("doc_id") == F.col("id")) & (F.col("head") == F.col("of")))
     placed = common.materialize(placed.select("key", "doc_id", "n", "place", "bits", "extra"), "placed")
-    side = lambda s: placed.select(F.col("key").alias(f"key_{s}"), *(F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "n", "place", "bits", "extra")))
+    # a bucket's pairs are dealt by classes of size (sets further apart than neighbours can't link) and by blocks of rows and columns
+    blocks = placed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    placed = placed.join(blocks, "key").withColumns({"near": F.floor(F.log("n") / F.log(F.lit(1.4))), "block": F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")})
+    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    cell = {"a": [F.col("near").alias("near_a"), F.col("block").alias("row_a"), others.alias("column_a")], "b": [F.col("near_b"), others.alias("row_b"), F.col("block").alias("column_b")]}
+    sides = {"a": placed, "b": placed.withColumn("near_b", F.explode(F.array(F.col("near") - 1, F.col("near"), F.col("near") + 1)))}
+    side = lambda s: sides[s].select(F.col("key").alias(f"key_{s}"), *(F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "n", "place", "bits", "extra")), *cell[s])
     apart = (F.col("doc_id_a") < F.col("doc_id_b")) & (F.col("place_a") != F.col("place_b")) & _possible("n_a", "n_a", "n_b", "n_b")
     both = F.aggregate(F.zip_with("bits_a", "bits_b", lambda p, q: F.bit_count(p.bitwiseAND(q))), F.lit(0), lambda n, k: n + k) + F.least("extra_a", "extra_b")
     reach = 100 * both >= PERCENT * (F.col("n_a") + F.col("n_b") - both)
-    more = side("a").join(side("b"), (F.col("key_a") == F.col("key_b")) & apart & reach).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct()
+    same = (F.col("key_a") == F.col("key_b")) & (F.col("near_a") == F.col("near_b")) & (F.col("row_a") == F.col("row_b")) & (F.col("column_a") == F.col("column_b"))
+    more = side("a").join(side("b"), same & apart & reach).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct()
     late = common.materialize(verify(more, sigs, sets), "late-links")
     if not late.isEmpty():
         edges = edges.unionAll(late)
         comp = common.materialize(components(edges), "components")
-    return member, edges, comp
+    return rows.select("doc_id", "n", "set1", "set2"), classes, edges, comp
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text)."""
-    member, _, comp = links(docs)
-    return member.join(comp, member["rep"] == comp["node"], "left").select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        F.coalesce("component", "rep").alias("component_id"),
-        F.coalesce(F.col("doc_id") == F.coalesce("component", "rep"), F.lit(True)).alias("kept"),
-    )
+    rows, classes, _, comp = links(docs)
+    # the component comes to the class first, so that one join with the rows remains
+    placed = common.materialize(classes.join(comp, classes["rep"] == comp["node"], "left").select("n", "set1", "set2", "size", F.coalesce("component", "rep").alias("component")), "placed-sets")
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    return common.join_classes(rows, placed, ["n", "set1", "set2"], "size").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` less all but the least doc_id of each component; of rows that repeat a doc_id one stays."""
     ids = near_duplicates(docs)
     gone = common.materialize(ids.where("not kept").select(F.col("doc_id").alias("_townscribe_gone")).distinct(), "gone")
-    kept = docs.join(common.maybe_broadcast(gone), docs["doc_id"].cast("long") == F.col("_townscribe_gone"), "left_anti")
+    kept = docs.join(common.maybe_broadcast(gone), docs["doc_id"] == F.col("_townscribe_gone"), "left_anti")
     again = common.materialize(docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("_townscribe_again")).count().where("count > 1").select("_townscribe_again"), "repeated")
     if again.isEmpty():
         return kept
