@@ -10,12 +10,16 @@ across partitions without moving tokens: a partition needs only how many tokens
 queue stand before it.  Sequences of ``length`` tokens are cut from that stream; what is
 left at the end is cut into powers of two, so nothing is padded.
 
+The target proportions are the sources' shares of all tokens, or those passed as ``weights``: then
+each window takes so much of each queue that still has tokens, until all are empty.
+
 Two passes: tokenise once and write ids with their place in the partition's queues, then
 cut.  Null texts are empty: they give the one closing id.  A null source is a queue of its
 own, as is everything if there is no source column.  Every source has its own queue at any
 number of sources: up to ``MAX_QUEUES`` the driver holds their totals, above that a table
 does, and the tokens' places, the same ones, come by joins with it.  Repeated rows are packed
-as documents of their own.
+as documents of their own.  Texts of any length are encoded whole.  An empty table has no pieces.
+Extra columns, whatever they are called, are ignored.
 """
 
 from __future__ import annotations
@@ -114,10 +118,14 @@ class Schedule:
         """Tokens of each queue served before window ``w``."""
         return self.whole * w + self.part * w // self.windows
 
+    def window_of(self, queue: int, place: int) -> int:
+        """The window that serves a token of a queue."""
+        return -(-(place + 1) * self.windows // self.totals[queue]) - 1
+
     def runs(self, queue: int, place: int, n: int) -> Iterator[tuple[int, int, int]]:
         """(stream position, tokens of the document before, length) of the runs of a document's tokens."""
-        t, done = self.totals[queue], 0
-        w = -(-(place + 1) * self.windows // t) - 1
+        done = 0
+        w = self.window_of(queue, place)
         now = self.served(w)
         while done < n:
             then = self.served(w + 1)
@@ -155,6 +163,33 @@ class Schedule:
             at, start, left = at + take, start + take, left - take
 
 
+class Weighted(Schedule):
+    """A schedule with given whole weights: at virtual time v a queue has given min(total, weight * v / SCALE) tokens,
+    and a window ends at the first v at which all have given so many windows of tokens together."""
+
+    SCALE = 1 << 20
+
+    def __init__(self, totals: list[int], weights: list[int], length: int = LENGTH, window: int = WINDOW) -> None:
+        super().__init__(totals, length, window)
+        if min(weights, default=1) < 1 or max(weights, default=1) > self.SCALE:
+            raise ValueError(f"weights must be whole numbers from 1 to {self.SCALE}")
+        self.weights, self.window = weights, window
+        self.last = max((-(-t * self.SCALE // w) for t, w in zip(totals, weights, strict=True)), default=0)
+
+    def given(self, v: int) -> list[int]:
+        return [min(t, w * v // self.SCALE) for t, w in zip(self.totals, self.weights, strict=True)]
+
+    def served(self, w: int) -> np.ndarray:
+        lo, hi = 0, self.last
+        while lo < hi and w < self.windows:
+            mid = (lo + hi) // 2
+            lo, hi = (lo, mid) if sum(self.given(mid)) >= w * self.window else (mid + 1, hi)
+        return np.array(self.given(hi), dtype=np.int64)
+
+    def window_of(self, queue: int, place: int) -> int:
+        return sum(self.given(-(-(place + 1) * self.SCALE // self.weights[queue]) - 1)) // self.window
+
+
 def cells(totals: DataFrame, windows: int) -> DataFrame:
     """(w, queue, first): the stream position at which each window serves each queue (queue, total) it serves at all."""
     t, i = F.col("total"), F.col("i")
@@ -219,18 +254,29 @@ def piece_batch(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[0], kind), *(pa.array(c, pa.int64()) for c in columns[1:])], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
 
-def pack(docs: DataFrame, tokenizer: str = TOKENIZER, ranks: str = RANKS, source: str = "source", length: int = LENGTH, window: int = WINDOW) -> DataFrame:
-    """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of ``docs`` (doc_id, text, source)."""
+def pack(docs: DataFrame, tokenizer: str = TOKENIZER, ranks: str = RANKS, source: str = "source", length: int = LENGTH, window: int = WINDOW, weights: dict[str | None, int] | None = None) -> DataFrame:
+    """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of ``docs`` (doc_id, text, source).
+
+    ``weights`` gives every source its part of a window, in whole numbers; without it parts follow the sources' tokens.
+    """
     tokens = tokenised(docs, tokenizer, ranks, source)
     parts = common.materialize(tokens.groupBy("part", "queue").agg(F.sum("n").alias("tokens")), "queue-parts")
     totals = parts.groupBy("queue").agg(F.sum("tokens").alias("total"))
     before = parts.select("part", "queue", (F.sum("tokens").over(Window.partitionBy("queue").orderBy("part")) - F.col("tokens")).alias("before"))
     placed = tokens.join(common.maybe_broadcast(before), ["part", "queue"]).select("doc_id", "queue", (F.col("place") + F.col("before")).alias("place"), "n", "ids")
     if not common.at_most(totals, MAX_QUEUES):
+        if weights is not None:
+            raise ValueError(f"weights are for at most {MAX_QUEUES} sources")
         return placed_by_table(placed, common.materialize(totals, "queue-totals"), length, window)
     queues = [(r["queue"], r["total"]) for r in totals.orderBy("queue").collect()]
     number = {q: i for i, (q, _) in enumerate(queues)}
-    plan = Schedule([t for _, t in queues], length, window)
+    if weights is None:
+        plan = Schedule([t for _, t in queues], length, window)
+    else:
+        part = {"n" if k is None else f"s{k}": w for k, w in weights.items()}
+        if lacking := sorted(set(number) - set(part)):
+            raise ValueError(f"no weight for {[q[1:] or None for q in lacking]}")
+        plan = Weighted([t for _, t in queues], [part[q] for q, _ in queues], length, window)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
