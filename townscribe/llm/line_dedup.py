@@ -1,16 +1,19 @@
 """Boilerplate lines by their site-relative frequency.
 
 For each host, the pages that contain a line are divided by the host's pages; a line in
-more than ``ratio`` of them, and in at least ``min_pages`` pages, is boilerplate there and
-is dropped wherever it stands on that host.  Lines are compared without the spaces around
-them; a line counts once a page; blank lines are neither counted nor dropped.
+more than ``ratio`` of them is boilerplate there and is dropped wherever it stands on that
+host, if it repeats at all: a line of one page (``min_pages``) is no boilerplate, or the only page
+of a host would lose all its text.  Lines are compared without the spaces around them; a line
+counts once a page; blank lines are neither counted nor dropped.
 
 Counting pre-aggregates before its shuffle, so a host with a third of all pages is spread
 over the map side.  The boilerplate of one host is bounded (lines a page / ratio); the
-table of all hosts is broadcast only if a count shows it small, else joined by host.
+table of all hosts is broadcast only if its rows and bytes are few, else joined by host.
 
 Null texts stay null and have no lines.  Null hosts form one host.  Repeated rows are pages
-of their own.  Other columns pass through unchanged, whatever they are called.
+of their own.  Texts may be long and are never cut.  ``apply`` sets n_lines, n_dropped and kept_text
+(replacing columns of these names); ``clean`` only text and n_chars.  All other columns pass
+through unchanged, whatever they are called (but ``_townscribe_``).
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from pyspark.sql import functions as F
 from . import common
 
 RATIO = 0.10
-MIN_PAGES = 3
+MIN_PAGES = 2
 
 
 def _key(line: Column) -> Column:
@@ -37,21 +40,35 @@ def boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO, min
     return count.join(total, F.col("_townscribe_host").eqNullSafe(F.col("_townscribe_of"))).where(F.col("_townscribe_n") > ratio * F.col("_townscribe_pages")).groupBy("_townscribe_host").agg(F.collect_list("_townscribe_key").alias("_townscribe_drop"))
 
 
+def _lines(docs: DataFrame, host: str, ratio: float, min_pages: int) -> DataFrame:
+    """``docs`` with _townscribe_lines and _townscribe_kept, the lines before and after."""
+    drop = common.maybe_broadcast(common.materialize(boilerplate(docs, host, ratio, min_pages), "boilerplate"))
+    kept = F.when(F.col("_townscribe_drop").isNull(), F.col("_townscribe_lines")).otherwise(F.filter("_townscribe_lines", lambda x: ~F.array_contains(F.col("_townscribe_drop"), _key(F.trim(x)))))
+    return docs.withColumn("_townscribe_lines", F.split("text", "\n")).join(drop, F.col(host).eqNullSafe(F.col("_townscribe_host")), "left").withColumn("_townscribe_kept", kept)
+
+
 def apply(docs: DataFrame, host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """``docs`` with n_lines, n_dropped and kept_text."""
-    drop = common.maybe_broadcast(common.materialize(boilerplate(docs, host, ratio, min_pages), "boilerplate"), 100_000)
-    lines = F.split("text", "\n")
-    kept = F.when(F.col("_townscribe_drop").isNull(), F.col("_townscribe_lines")).otherwise(F.filter("_townscribe_lines", lambda x: ~F.array_contains(F.col("_townscribe_drop"), _key(F.trim(x)))))
+    size = lambda c: F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(c))
+    n, left = size("_townscribe_lines"), size("_townscribe_kept")
     return (
-        docs.withColumn("_townscribe_lines", lines)
-        .join(drop, F.col(host).eqNullSafe(F.col("_townscribe_host")), "left")
-        .withColumn("_townscribe_kept", kept)
-        .withColumns({"n_lines": F.coalesce(F.size("_townscribe_lines"), F.lit(0)), "n_dropped": F.coalesce(F.size("_townscribe_lines") - F.size("_townscribe_kept"), F.lit(0)), "kept_text": F.array_join("_townscribe_kept", "\n")})
-        .withColumns({c: F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.col(c)) for c in ("n_lines", "n_dropped")})
+        _lines(docs, host, ratio, min_pages)
+        .withColumns({"n_lines": n, "n_dropped": n - left, "kept_text": F.array_join("_townscribe_kept", "\n")})
         .drop("_townscribe_lines", "_townscribe_kept", "_townscribe_drop", "_townscribe_host")
     )
 
 
+def clean(docs: DataFrame, host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+    """``docs`` with the lines left as text; n_chars, if there is such a column, follows where lines went."""
+    kept = _lines(docs, host, ratio, min_pages)
+    text = F.array_join("_townscribe_kept", "\n")
+    changed = F.size("_townscribe_kept") < F.size("_townscribe_lines")
+    new = {"text": text}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(changed, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return kept.withColumns(new).select(*docs.columns)
+
+
 ORACLE = f"""
 with d as (select row_number() over () as rid, doc_id, source, text, string_split(coalesce(text, ''), chr(10)) as ls from documents),
 total as (select source, count(*) as n from d group by source),
