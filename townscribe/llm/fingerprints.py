@@ -15,7 +15,9 @@ paragraphs without the rest of the document.  Only DataFrame functions are used.
 A null text is empty; an empty text has no paragraphs and the zero vector.  In ``edited``,
 rows that repeat a doc_id take the same next document, and of several rows of that one the
 least text; a row without doc_id has no next document and stays unedited (likeness to the
-next: 0).
+next: 0).  Equal texts tie with likeness 1.  Texts may be long: they are hashed whole.  An empty table
+gives an empty one.  ``fingerprint`` keeps extra columns, whatever their names (but ``_townscribe_``, and
+an old fingerprint is replaced); ``edited`` ignores them.
 """
 
 from __future__ import annotations
@@ -56,21 +58,21 @@ def with_vectors(df: DataFrame, text: str, out: str) -> DataFrame:
     what a lambda names is evaluated for every element, so it must be a column already.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    df = df.withColumn("_words", F.when(t == "", F.array().cast("array<array<string>>")).otherwise(F.transform(F.split(t, "\n"), lambda p: F.split(p, " "))))
+    df = df.withColumn("_townscribe_words", F.when(t == "", F.array().cast("array<array<string>>")).otherwise(F.transform(F.split(t, "\n"), lambda p: F.split(p, " "))))
     pairs = lambda ws: F.zip_with(ws, F.slice(ws, 2, F.size(ws)), lambda a, b: F.xxhash64(a, b))
     codes = lambda ws: F.zip_with(pairs(ws), F.slice(ws, 3, F.size(ws)), lambda h, c: F.pmod(F.xxhash64(h, c), F.lit(2 * SKETCH)).cast("smallint"))
-    df = df.withColumn("_codes", F.sort_array(F.flatten(F.transform("_words", codes))))
-    df = df.withColumn("_kinds", F.array_distinct("_codes"))
-    begins = F.transform("_codes", lambda c, i: F.when((i == 0) | (c != F.get("_codes", i - 1)), i + 1))
-    df = df.withColumn("_first", F.filter(begins, lambda p: p.isNotNull()))
-    df = df.withColumn("_count", F.transform("_first", lambda p, i: F.coalesce(F.get("_first", i + 1), F.size("_codes") + 1) - p))
-    df = df.withColumn("_lanes", F.array_distinct(F.transform("_kinds", lambda k: F.shiftright(k, 1).cast("smallint"))))
-    count = lambda code: F.coalesce(F.get("_count", (F.array_position(F.col("_kinds"), code.cast("smallint")) - 1).cast("int")), _zero())
-    df = df.withColumn("_values", F.transform("_lanes", lambda lane: _signed(count(lane.cast("int") * 2 + 1) - count(lane.cast("int") * 2)).cast("smallint")))
-    pairs = F.filter(F.arrays_zip("_lanes", "_values"), lambda x: x["_values"] != 0)
-    df = df.withColumn("_pairs", pairs)
-    v = F.struct(wide(t).alias("wide"), F.transform("_pairs", lambda x: x["_lanes"]).alias("lanes"), F.transform("_pairs", lambda x: x["_values"]).alias("values"))
-    return df.withColumn(out, v).drop("_words", "_codes", "_kinds", "_first", "_count", "_lanes", "_values", "_pairs")
+    df = df.withColumn("_townscribe_codes", F.sort_array(F.flatten(F.transform("_townscribe_words", codes))))
+    df = df.withColumn("_townscribe_kinds", F.array_distinct("_townscribe_codes"))
+    begins = F.transform("_townscribe_codes", lambda c, i: F.when((i == 0) | (c != F.get("_townscribe_codes", i - 1)), i + 1))
+    df = df.withColumn("_townscribe_first", F.filter(begins, lambda p: p.isNotNull()))
+    df = df.withColumn("_townscribe_count", F.transform("_townscribe_first", lambda p, i: F.coalesce(F.get("_townscribe_first", i + 1), F.size("_townscribe_codes") + 1) - p))
+    df = df.withColumn("_townscribe_lanes", F.array_distinct(F.transform("_townscribe_kinds", lambda k: F.shiftright(k, 1).cast("smallint"))))
+    count = lambda code: F.coalesce(F.get("_townscribe_count", (F.array_position(F.col("_townscribe_kinds"), code.cast("smallint")) - 1).cast("int")), _zero())
+    df = df.withColumn("_townscribe_values", F.transform("_townscribe_lanes", lambda lane: _signed(count(lane.cast("int") * 2 + 1) - count(lane.cast("int") * 2)).cast("smallint")))
+    pairs = F.filter(F.arrays_zip("_townscribe_lanes", "_townscribe_values"), lambda x: x["_townscribe_values"] != 0)
+    df = df.withColumn("_townscribe_pairs", pairs)
+    v = F.struct(wide(t).alias("wide"), F.transform("_townscribe_pairs", lambda x: x["_townscribe_lanes"]).alias("lanes"), F.transform("_townscribe_pairs", lambda x: x["_townscribe_values"]).alias("values"))
+    return df.withColumn(out, v).drop("_townscribe_words", "_townscribe_codes", "_townscribe_kinds", "_townscribe_first", "_townscribe_count", "_townscribe_lanes", "_townscribe_values", "_townscribe_pairs")
 
 
 def _value(v: Column, lane: Column) -> Column:
@@ -113,7 +115,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 def fingerprint(docs: DataFrame) -> DataFrame:
     """``docs`` with a column fingerprint."""
-    return with_vectors(docs, "text", "_v").withColumn("fingerprint", text_of(F.col("_v"))).drop("_v")
+    return with_vectors(docs, "text", "_townscribe_v").withColumn("fingerprint", text_of(F.col("_townscribe_v"))).drop("_townscribe_v")
 
 
 def neighbours(ids: DataFrame) -> DataFrame:
