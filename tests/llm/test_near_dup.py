@@ -110,3 +110,40 @@ def test_word_hashes_depend_on_words_alone():
         assert len(w) == 200 - width
         assert len(set(w.tolist())) == len(w)
         assert (windows(np.concatenate([x[7:90], x[:3]]), width)[: 83 - width + 1] == w[7 : 7 + 83 - width + 1]).all()
+
+
+def test_buckets_in_blocks(spark, monkeypatch):
+    """A bucket's pairs dealt over several tasks are the same pairs."""
+    import random
+
+    monkeypatch.setattr(near_dup, "BLOCK", 7)
+    rng = random.Random(4)
+    base = sentence(rng, 120, 10_000).split()
+    rows = []
+    for i in range(90):
+        w = base[: rng.randrange(90, 121)]
+        for _ in range(rng.randrange(0, 7)):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w), "en", "s", 0))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dup.near_duplicates(spark.createDataFrame(rows, DOC)).collect()}
+    assert got == brute(rows)
+
+
+def test_hot_classes_stay_where_they_are(spark, monkeypatch):
+    from townscribe.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "is_small", lambda df, *a: False)
+    monkeypatch.setattr(common, "HOT", 10)
+    rows = [(i, "one text that many share, word for word" if i % 3 else f"text number {i} of its own with more words", "en", "s", 0) for i in range(60)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dup.near_duplicates(spark.createDataFrame(rows, DOC)).collect()}
+    assert got == brute(rows)
+
+
+def test_text_ids_are_refused(spark):
+    import pytest
+
+    df = spark.createDataFrame(awkward()[:5], DOC).withColumn("doc_id", F.lit("a"))
+    for f in (near_dup.near_duplicates, near_dup.keep_one):
+        with pytest.raises(TypeError):
+            f(df)

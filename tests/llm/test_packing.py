@@ -96,3 +96,45 @@ def test_empty_table_and_no_source(spark):
     assert packing.pack(spark.createDataFrame([], DOC)).collect() == []
     got = packing.pack(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")).collect()
     assert sorted((r["doc_id"], r["length"], r["doc_tokens"]) for r in got) == [(1, 1, 1), (2, 1, 1)]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 3000), st.integers(1, 9)), min_size=1, max_size=6), st.integers(1, 64), st.integers(20, 300))
+def test_weighted_schedule(queues, length, window):
+    totals, weights = [t for t, _ in queues], [w for _, w in queues]
+    plan = packing.Weighted(totals, weights, length, window)
+    cells = sorted((p + i, q) for q, t in enumerate(totals) for p, _, n in plan.runs(q, 0, t) for i in range(n))
+    assert [p for p, _ in cells] == list(range(sum(totals)))  # every token in one place
+    for w in range(plan.windows + 1):
+        served = plan.served(w)
+        for a, t, x in zip(served, totals, weights):
+            for b, u, y in zip(served, totals, weights):
+                if a < t and b < u:  # while both have tokens, they are served by weight
+                    assert abs(a / x - b / y) <= 1 / x + 1 / y
+
+
+def test_weights_by_source(spark):
+    rows = [(i, "word " * 50, "en", "a" if i % 4 else None, 0) for i in range(80)]
+    df = spark.createDataFrame(rows, DOC)
+    got = packing.pack(df, length=16, window=160, weights={"a": 1, None: 1}).collect()
+    rare = {i for i in range(80) if i % 4 == 0}
+    shares = defaultdict(Counter)
+    for r in got:
+        shares[r["sequence_id"] // 10][r["doc_id"] in rare] += r["length"]
+    first = [shares[w] for w in sorted(shares)][:5]
+    assert all(abs(c[True] - c[False]) <= 32 for c in first)
+    assert sum(r["length"] for r in got) == sum({r["doc_id"]: r["doc_tokens"] for r in got}.values())
+    with pytest.raises(ValueError):
+        packing.pack(df, weights={"a": 1})
+
+
+def test_ranks_give_the_tokenizers_ids_on_the_sample_table(spark, data, encoder):
+    for (t,) in spark.read.parquet(data.replace("sf0.001", "sf0.01") + "/documents.parquet").select("text").collect():
+        assert np.frombuffer(encoder.encode(t), dtype=encoder.kind).tolist() == ids(encoder, t)
+
+
+def test_extra_columns_and_long_texts(spark):
+    df = spark.createDataFrame([(1, "a long text " * 40_000, "en", "s", 0), (2, "b", "en", "s", 0)], DOC)
+    clash = df.selectExpr("*", "1 queue", "2 part", "3 place", "4 n", "5 ids", "6 before")
+    order = lambda rows: sorted(map(tuple, rows))
+    assert order(packing.pack(clash).collect()) == order(packing.pack(df).collect())
