@@ -6,7 +6,6 @@ Each stage takes (spark, docs, sf_dir) and works on all that the stage before it
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from townscribe.llm import common, decontamination, line_dedup, near_dup, packing, queries, toxicity
 
@@ -19,8 +18,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the boilerplate lines of their source; every document stays."""
-    kept = line_dedup.apply(docs)
-    return kept.withColumns({"text": F.col("kept_text"), "n_chars": F.when(F.col("n_dropped") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))}).select(*docs.columns)
+    return line_dedup.clean(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
