@@ -73,6 +73,8 @@ def test_clashing_columns_null_ids_and_empty_tables(spark):
     none, docs = spark.createDataFrame([], DOC), spark.createDataFrame(rows[:5], DOC)
     assert dc.report(none, bench).collect() == []
     assert dc.clean(docs, spark.createDataFrame([], BENCH)).count() == 5
+    unnamed = dc.report(spark.createDataFrame([(1, items[0][1], "en", "s", 0)], DOC), spark.createDataFrame([(None, items[0][1])], BENCH)).first()
+    assert unnamed["leaked"] and unnamed["items"] == []
 
 
 def test_blocks_meet_within_the_radius(spark):

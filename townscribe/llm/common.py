@@ -24,7 +24,7 @@ WORD_SPLIT = "[\\x20\\x09-\\x0D]+"
 ARROW_ROWS = "512"
 
 #: A side is broadcast only after a pass over it showed at most so many rows and bytes.
-BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 16 << 20
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 8 << 20
 #: A class is hot if it holds more than one row in so many; there are fewer hot classes than that.
 HOT = 1000
 

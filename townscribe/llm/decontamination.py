@@ -101,13 +101,14 @@ def _weighted_jaccard(a: str, b: str) -> Column:
 def items(benchmark: DataFrame) -> DataFrame:
     """Classes of equal items: item, item_ids, words, size, width, low, high, shingles; written to the shared folder."""
     own = benchmark.select("item_id", _word_list(F.col("text")).alias("words")).where(F.size("words") > 0)
-    own = own.groupBy("words").agg(F.min("item_id").alias("item"), F.array_sort(F.collect_set("item_id")).alias("item_ids"))
+    own = own.groupBy("words").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
     own = own.withColumn("size", F.size("words")).withColumn("width", F.least(F.lit(WIDTH), F.size("words")))
     own = own.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
     short = F.lit(None)
     for k in range(1, WIDTH + 1):
         short = F.when(F.col("width") == k, _shingles(F.col("hashes"), k)).otherwise(short)
-    own = common.materialize(own.withColumn("shingles", short).drop("hashes"), "items")
+    # a number of its own for each class, whatever the ids are; the written table keeps it
+    own = common.materialize(own.withColumn("shingles", short).drop("hashes").withColumn("item", F.monotonically_increasing_id()), "items")
     return common.materialize(_with_simhash(own), "item-hashes")
 
 
@@ -158,11 +159,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
         own = F.when(F.col("width") == k, _shingles(F.col("hashes"), k)).otherwise(own)
     near = common.materialize(_with_simhash(near.withColumn("shingles", own)).drop("hashes", "shingles"), "window-hashes")
     # the multi-index: windows and items of a size that agree in a block
-    index = item.select(F.col("size").alias("_size"), "item_ids", F.col("words").alias("item_words"), F.col("low").alias("item_low"), F.col("high").alias("item_high"), F.explode(_probed(F.col("low"), F.col("high"))).alias("_block"))
+    index = item.select(F.col("size").alias("_size"), "item", F.col("low").alias("item_low"), F.col("high").alias("item_high"), F.explode(_probed(F.col("low"), F.col("high"))).alias("_block"))
     met = near.withColumn("block", F.explode(_blocks(F.col("low"), F.col("high")))).join(common.maybe_broadcast(index), (F.col("size") == F.col("_size")) & (F.col("block") == F.col("_block")))
     distance = F.bit_count(F.col("low").bitwiseXOR(F.col("item_low"))) + F.bit_count(F.col("high").bitwiseXOR(F.col("item_high")))
     once = F.shiftright("block", 8) == _first_block(F.col("low"), F.col("high"), F.col("item_low"), F.col("item_high"))
-    met = met.where((distance <= RADIUS) & once).select("doc_id", "text_key", "item_ids", "start", "size", "width", "words", "item_words")
+    met = met.where((distance <= RADIUS) & once).select("doc_id", "text_key", "item", "start", "size", "width", "words")
+    # the items' words come to the few pairs that are left, not to the index
+    met = met.join(common.maybe_broadcast(item.select("item", "item_ids", F.col("words").alias("item_words"))), "item").drop("item")
     # the shingles are columns of a table before they are compared: what a lambda or a pushed filter names is evaluated anew
     met = met.withColumns({"a": F.array_sort(_texts(F.col("words"), F.col("width"))), "b": F.array_sort(_texts(F.col("item_words"), F.col("width")))}).drop("words", "item_words")
     met = met.withColumns({"a_again": _repeated(F.col("a")), "b_again": _repeated(F.col("b"))})
