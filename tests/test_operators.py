@@ -256,3 +256,110 @@ def test_percentiles_of_many_shapes(spark):
     ps = {"p0": 0.0, "p10": 0.1, "p50": 0.5, "p95": 0.95, "p100": 1.0}
     got = {r["k"]: tuple(r[n] for n in ps) for r in windows.percentiles_lower(df, ["k"], "v", ps).collect()}
     assert got == {k: tuple(sorted(vs)[int((len(vs) - 1) * p)] for p in ps.values()) for k, vs in groups.items()}
+
+
+def test_manifests_are_replaced_whole_and_checked(spark, tmp_path):
+    at = str(tmp_path / "m")
+    assert files.generation(spark, at) is None
+    one = files.write_manifest(spark.range(3), at, check=True)
+    two = files.write_manifest(spark.range(4), at, expected=one, check=True)
+    with pytest.raises(files.Stale):
+        files.write_manifest(spark.range(9), at, expected=one, check=True)
+    assert files.generation(spark, at) == two and spark.read.parquet(at).count() == 4
+    assert [x.name for x in tmp_path.iterdir()] == ["m"]
+
+
+def test_sidecars_ready_bundles_and_sinks(spark, tmp_path):
+    sha = "b" * 64
+    side = [(2, sha, ("m", 2), [(0, "t", 1, 1, [1.0, 2.0])]), (1, "x", ("n", 3), []), (2, sha, ("m", 2), [(0, "t", 1, 1, [1.0])])]
+    df = spark.createDataFrame(side, files.SIDECAR)
+    assert [set(r["e"]) for r in df.select(files.sidecar_errors("m", 2, F.lit(sha)).alias("e")).collect()] == [set(), {"schema_version", "sha256", "model", "dimensions", "chunks"}, {"embedding"}]
+    pages = spark.createDataFrame([([(1, "a")],), ([(0, "a")],), ([],), (None,)], "p array<struct<number:int,text:string>>")
+    assert [r["ok"] for r in pages.select(files.text_sidecar_ok(F.col("p")).alias("ok")).collect()] == [True, False, False, False]
+    for name, status in (("b", "ready"), ("a", "ready"), ("c", "done")):
+        (tmp_path / "in" / name).mkdir(parents=True)
+        (tmp_path / "in" / name / "status.json").write_text(f'{{"status": "{status}",\n "bundle_id": "{name}"}}')
+    got = files.read_ready_bundles(spark, f"{tmp_path}/in/*/status.json", 5).collect()
+    assert [r["bundle_id"] for r in got] == ["a", "b"] and got[0]["prefix"].endswith("/in/a")
+    files.snapshot({"x": spark.range(2), "y": spark.range(3)}, str(tmp_path / "dump"))
+    assert spark.read.parquet(str(tmp_path / "dump" / "y")).count() == 3
+    calls = spark.createDataFrame([("m", 3, "secret")], "model string, tokens long, prompt string")
+    for _ in range(2):
+        files.log_calls(calls, str(tmp_path / "calls"))
+    assert spark.read.json(str(tmp_path / "calls")).columns == ["model", "tokens"] and spark.read.json(str(tmp_path / "calls")).count() == 2
+
+
+def test_hidden_rows_and_blobs(spark):
+    import struct
+
+    v = spark.createDataFrame([(1, 0, [1.0, 0.0], "ocr_failed:x"), (2, 0, [0.9, 0.1], ""), (3, 0, [0.5, 0.5], None)], "vec_id long, partition int, embedding array<float>, hidden_reason string")
+    q = spark.createDataFrame([(9, [1.0, 0.0], 0)], "query_id long, vector array<float>, partition int")
+    assert [r["vec_id"] for r in vectors.knn(vectors.visible(v), q, 2).orderBy("rank").collect()] == [2, 3]
+    assert vectors.visible(v, include_hidden=True).count() == 3
+    blob = spark.createDataFrame([(bytearray(struct.pack("<2f", 1.5, -2.0)),), (None,)], "b binary")
+    assert [r["x"] for r in blob.select(vectors.decode(F.col("b")).alias("x")).collect()] == [[1.5, -2.0], None]
+
+
+def test_nearest_in_tasks_and_by_join_are_the_same(spark, data, monkeypatch):
+    from townscribe.plans import vectors as plans
+
+    v, q = plans.tables(spark, data)
+    get = lambda score: sorted(tuple(r) for r in vectors.knn(v, q, 4, score=score).collect())
+    local = {s: get(s) for s in ("cosine", "l2")}
+    monkeypatch.setattr(vectors, "QUERIES", 0)
+    for s, rows in local.items():
+        assert rows == get(s) and len(rows) == 4 * q.count()
+
+
+def test_citations_stop_at_25_and_gaps_lower_confidence(spark):
+    rows = [(i, "TX", "proxy_voting", "t", "v" * (300 if i == 0 else 5), f"C{i // 2}" if i % 7 else " ", "") for i in range(80)]
+    r = spark.createDataFrame(rows, "ord long, j string, topic_family string, rule_type string, value_text string, citation string, citation_url string")
+    p = spark.createDataFrame([("TX", "high", ["old"]), ("GA", "high", None)], "j string, profile string, known_gaps array<string>")
+    scopes = spark.createDataFrame([("TX",), ("GA",), ("NC",)], "j string")
+    got = {x["j"]: x for x in legal.answers(scopes, r, p, ["j"], {"proxy_voting": 12}).collect()}
+    seen = list(dict.fromkeys(f"C{i // 2}" for i in range(80) if i % 7))
+    assert got["TX"]["citations"] == seen[:25] and len(got["TX"]["checklist"]) == 12 and got["TX"]["confidence"] == "medium" and got["TX"]["gaps"] == ["old"]
+    assert (got["GA"]["confidence"], got["GA"]["n_rules"], len(got["GA"]["gaps"])) == ("low", 0, 1) and got["NC"]["confidence"] == "low"
+    cited = legal.citations(r, ["j"]).first()["citations"]
+    assert [c["n"] for c in cited] == list(range(1, 26)) and cited[0]["url"] is None
+
+
+def test_places_and_anchors_in_texts(spark):
+    t = "Return to: Smith. The community is located at 12 Oak Street, Raleigh, NC 27601. " + "x" * 200
+    got = one(spark, text.location_parts(F.lit(t)))
+    assert (got["city"], got["state"], got["zip"]) == ("Raleigh", "NC", "27601") and got["street"].startswith("12 Oak Street")
+    at = t.index("12 Oak")
+    assert one(spark, text.anchor_score(F.lit(t), F.lit(at), "located at", "return to")) == -1
+    assert one(spark, text.anchor_score(F.lit(t), F.lit(len(t) - 5), "located at", "return to")) == 0
+    assert [one(spark, geo.quality_rank(F.lit(x))) for x in ("polygon", "city_only", "other")] == [0, 4, 6]
+
+
+def test_drain_hands_over_each_batch_once(spark, data, tmp_path):
+    from townscribe.streaming import events
+
+    seen = []
+    for _ in range(2):
+        events.drain(events.stream(spark, data), lambda df, n: seen.append(df.count()), str(tmp_path / "at")).awaitTermination()
+    assert sum(seen) == spark.read.parquet(f"{data}/events.parquet").count()
+
+
+def test_equal_names_point_to_one(spark):
+    rows = [(1, "Oak Park HOA", 1, "b"), (2, "Oak Park", 9, "b"), (3, "Oak Park Owners Association", 0, "b"), (4, "Oak Park Villas", 0, "b"), (5, "Oak Park", 3, "c"), (6, "Elm", 0, "b")]
+    df = spark.createDataFrame(rows, "entity_id long, name string, weight long, block string")
+    got = {(r["source_id"], r["target_id"]) for r in resolve.dedupe_pairs(df, "block").collect()}
+    assert got == {(1, 3), (2, 3), (4, 3)}
+
+
+def test_best_jaccard_as_all_pairs(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = [(i, [f"t{int(20 * rng.random() ** 2)}" for _ in range(rng.randrange(0, 6))]) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, tokens array<string>")
+    got = {r["left_id"]: (r["right_id"], round(r["jaccard"], 9)) for r in resolve.best_jaccard(df.select(F.col("id").alias("left_id"), "tokens"), df.select(F.col("id").alias("right_id"), "tokens"), others=True).collect()}
+    want = {}
+    for i, a in rows:
+        best = max(((len(set(a) & set(b)) / len(set(a) | set(b)), -j) for j, b in rows if j != i and set(a) & set(b)), default=None)
+        if best:
+            want[i] = (-best[1], round(best[0], 9))
+    assert got == want

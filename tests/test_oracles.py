@@ -1,4 +1,4 @@
-"""Each query of the reference's operators gives the rows of its SQL; those without SQL give rows."""
+"""Each query of the reference's operators gives the rows of its SQL; those without SQL are compared elsewhere."""
 
 import datetime
 import decimal
@@ -53,7 +53,7 @@ def test_same_rows_as_sql(spark, data, con, name):
 def test_runs(spark, data, name):
     df = registry.QUERIES[name](spark, data)
     assert len(df.columns) >= 2
-    assert df.count() >= 0
+    assert df.count() > 0  # what the rows must be: test_brute, test_whole_tables, test_operators
 
 
 def test_every_sql_has_a_query():

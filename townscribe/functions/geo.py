@@ -143,3 +143,9 @@ def moved_pin(lat: Column, lon: Column, many: Column, limit_km: float = 1.5) ->
     c = bbox_centre(many)
     far = planar_km(lat, lon, c["lat"], c["lon"]) > limit_km
     return F.when(far, c).otherwise(F.struct(lon.alias("lon"), lat.alias("lat")))
+
+
+def audited_quality(has_boundary: Column, street: Column, postal_code: Column, lat: Column, city: Column) -> Column:
+    """How well a location is known when it is audited: a ZIP counts with a latitude only, and nothing at all is null."""
+    there = lambda c: F.trim(F.coalesce(c, F.lit(""))) != ""
+    return F.when(has_boundary, "polygon").when(there(street), "address").when(there(postal_code) & lat.isNotNull(), "zip_centroid").when(there(city), "city_only")

@@ -44,7 +44,7 @@ TOKEN = r"^([A-Za-z'`‘’]+)([.,;:!?\"\)\]]*)$"
 
 def _title_token(token: Column, anchor: Column) -> Column:
     core, tail = F.regexp_extract(token, TOKEN, 1), F.regexp_extract(token, TOKEN, 2)
-    cased = F.when(F.upper(core).isin(UPPER), F.upper(core)).when(F.lower(core).isin(SMALL) & ~anchor, F.lower(core)).otherwise(F.concat(F.upper(F.substring(core, 1, 1)), F.lower(F.substring(core, 2, 1_000_000))))
+    cased = F.when(F.upper(core).isin(UPPER), F.upper(core)).when(F.lower(core).isin(SMALL) & ~anchor, F.lower(core)).otherwise(F.concat(F.upper(F.substring(core, 1, 1)), F.lower(F.substr(core, F.lit(2)))))
     return F.when(core == "", token).otherwise(F.concat(cased, tail))
 
 
@@ -95,8 +95,9 @@ DIRTY_LATER = [
     ("garbled_acronym", r"\b[A-Z]{2,}-[A-Z]{2,}-[A-Z]{2,}\b", 0),
     ("project_code_prefix", r"(?i)^(?:[A-Z]{2,5}-?\d+(?:-\d+)+|[A-Z]{2,5}\d+|phase\s+(?:[ivx]+|\d+)|block\s+[a-z\d]+|building\s+\d+|unit\s+\d+|lot\s+\d+|parcel\s+[a-z\d]+)\b", 0),
 ]
+LONG = 70
 DIRTY_LAST = [
-    ("very_long", r"(?s).*", 70),
+    ("very_long", r"(?s).*", LONG),
     ("citation_in_name", r"(?i)\bbook \d|page \d|paragraph", 0),
     ("ccr_in_name_long", r"(?i)\bcc&?rs?\b", 30),
 ]
@@ -118,6 +119,12 @@ def dirty_reason(name: Column) -> Column:
     return add(out, DIRTY_LAST)
 
 
+def is_dirty(name: Column) -> Column:
+    """Whether a name has a reason; a long one has without a look at the others."""
+    n = F.trim(F.coalesce(name, F.lit("")))
+    return (F.length(n) > LONG) | dirty_reason(n).isNotNull()
+
+
 # Title words in front of a name, and what a name ends on.
 PREFIX = (
     r"(?i)^((?:19|20)\d{2}\s+(?:exhibit\s+[a-z]\s+)?(?:supplemental\s+)?dec(?:laration)?\s+|(?:19|20)\d{2}\s+exhibit\s+[a-z]\s+|(?:19|20)\d{2}\s+(?:amended|restated|amended\s+and\s+restated)\s+|"
@@ -241,8 +248,10 @@ def recover(df, name: str = "name", url: str = "source_url", out: str = "cleaned
     be evaluated twice, and its size would double at every step.
     """
     n, c = F.col(name), F.col
-    named = lambda s: F.array_join(F.transform(F.split(s, "-"), lambda t: F.concat(F.upper(F.substring(t, 1, 1)), F.substring(t, 2, 1_000_000))), " ")
-    d = df.withColumns({"_titled": title_case(n), "_stripped": strip_title_prefix(n), "_slug": identity_slug(n)})
+    named = lambda s: F.array_join(F.transform(F.split(s, "-"), lambda t: F.concat(F.upper(F.substring(t, 1, 1)), F.substr(t, F.lit(2)))), " ")
+    # what is still longer than a clean name after all that a way may drop needs no such way
+    size = F.length(F.regexp_replace(n, r"\s+", " "))
+    d = df.withColumns({"_titled": F.when(size <= LONG + 30, title_case(n)), "_stripped": F.when(size <= 10 * LONG, strip_title_prefix(n)), "_slug": identity_slug(n)})
     tails = [*marker_tails(c("_slug")), *repeated_tails(c("_slug"))]
     slugs = {"_g0": _trim_stop(F.split("_slug", "-"), False), **{f"_g{i}": x for i, x in enumerate(tails, 1)}, "_g6": name_from_url(c(url))}
     d = d.withColumns(slugs)
@@ -259,8 +268,8 @@ def recover(df, name: str = "name", url: str = "source_url", out: str = "cleaned
     }
     # only what may be a name is tested, in order: a row stops at its first clean one
     d = d.withColumn("_tries", F.array(*ways.values()))
-    fit = F.filter("_tries", lambda x: x.isNotNull() & dirty_reason(x).isNull())
-    d = d.withColumn(out, F.get(fit, F.lit(0)))
+    first = lambda got, x: F.when(got.isNotNull(), got).when(x.isNotNull() & ~is_dirty(x), x)
+    d = d.withColumn(out, F.aggregate("_tries", F.lit(None).cast("string"), first))
     return d.drop("_titled", "_stripped", "_slug", "_few", "_tries", *slugs, *(f"{g}ok" for g in slugs))
 
 

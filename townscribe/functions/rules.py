@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .text import any_of, first_match
+from .text import any_of
 
 # States and their codes.
 STATES = {
@@ -20,25 +20,58 @@ STATES = {
 # Endings that make a name an association's; words that hint at one.
 ENTITY_ENDING = r"(?i)\b(condo|condominium|condominiums|cooperative|coop|co-?op|association|council|homeowners?|owners|townhomes?|townhouse|villas?|tower|apartments?|units?\s+owners)\b\s*(?:,?\s*inc\.?|,?\s*l\.?l\.?c\.?)?\.?\s*$"
 ENTITY_HINT = r"(?i)\b(association|owners|homeowners|condominiums?|condos?|coop|cooperative|council|townhomes?|townhouse|villas?|tower|apartments?|estates|property\s+owners?|hoa|h\.o\.a\.|poa)\b"
-#: Patterns that win over an association's ending, and those that do not (examples of each kind).
-SURE_JUNK = [r"(?i)\bSquarespace\b", r"(?i)^Recorder of [A-Z][a-z]+\s+County", r"(?i)^Certificate of Amendment to", r"(?i)\bParks and Recreation Association\b"]
-LIKELY_JUNK = [r"(?i)^\d+ of \d+\b", r"(?i)^Of\s+", r"(?i)\b(City|Town|Municipality|Borough) of\b", r"(?i)\bCounty of [A-Z]", r"(?i)\bPlanning (Department|Commission|Board)\b", r"(?i)\bExhibit [A-Z]\b", r"(?i)\bForeclosure\b", r"(?i)^Restrictive\b", r"^[A-Z][a-z]+$"]
+# Names of associations that the patterns below would take for junk.
+SAFE_NAMES = [
+    "BELLA VISTA TOWNHOUSE ASSOCIATION", "ALASKAN BAY OWNERS ASSOCIATION", "EASTRIDGE 4 CONDOMINIUM ASSOCIATION", "POTTER CREEK HOMEOWNER ASSOCIATION", "PALISADES HOMEOWNERS ASSOCIATION, INC.",
+    "WINDJAMMER CONDOMINIUM ASSOCIATION, INC.",
+]
+# Patterns of junk that win over an association's ending, in order, without case.
+SURE_JUNK = [
+    r"\bSquarespace\b", r"\bDocuWare\b", r"^BOG!", r"^[A-Z]\s+[A-Z]\s+[A-Z][a-z]?\s*$", r"^Th\s+(?:Restrictions|Phase|Property|Owner|Member)\b", r"^Sr\s+HOA\s*$", r"^Of [A-Z][a-z]+ for\s+[A-Z]",
+    r"^OF [A-Z]+ FOR\s+[A-Z]", r"^Of Condominium\s+\.{2,}", r"^conditions and\b", r"^of\s*,\s+conditions\b", r"^Beckley Springs Cc Rs\b", r"^Council-[A-Z][a-z]+-", r"^The-[A-Z][a-z]+-[A-Z]",
+    r"^MeadowCreek-", r"^Recorder of [A-Z][a-z]+\s+County", r"^Office of the Register of Deeds", r"^Notary Public for State", r"^Certificate of Amendment to", r"\bCondominium Property Act\b",
+    r"\bPlaintiff cites\b", r"\bHOAs by changing\b", r"\bHomeowner Information and\b", r"\bLifestyle Clubhouse\b", r"\bSite Map Ownership Opportunities\b", r"\bComplica\s+Tion\b",
+    r"\bDermatological Association\b", r"\bParks and Recreation Association\b", r"\bCc Rs(?:\s+Redline)?\s*$", r"^COLLECTIONS RESOLUTION\b", r"\b\d{3,5}\s+TOWNHOMES\s+HOA\s*$",
+    r"\bConditions and Oak Harbor\b", r"\bTerm\.\s+of\b", r"\bRestrictive and for\b",
+]
+# Patterns of junk that an association's ending wins over, in order, without case.
+LIKELY_JUNK = [
+    r"^\d+ of \d+\b", r"^\d+\.\s+", r"^\d{4}r-?\d", r"^Doc[#]", r"\bRecording Dist", r"\bRecorded HOA$", r"\.pdf HOA$", r"^Of\s+", r"^of [A-Z]", r"^of\s*,", r"^of \d",
+    r"\b(City|Town|Municipality|Borough) of\b", r"\bCounty of [A-Z]", r"\bCity and (Borough|County) of\b", r"\b(Code|Ordinance|Zoning|Subdivision Regulations?|Submittal Guidelines)\b",
+    r"\b(Land Development|Maintenance Agreement|Growth Area|Overlay District|Comprehensive Plan)\b", r"\bUnified Development\b", r"\bChapter Five\b", r"\bChapter Two\b", r"\bCHAPTER [V\d]",
+    r"\bArticle [VIX\d]+\b", r"\bAo No\.", r"\bPlanning (Department|Commission|Board)\b", r"\bCurve Table\b", r"\bBLOCKS \d+-\d+\b", r"\bCertificate of Dedication\b",
+    r"\bDEED OF DEDICATION AND RESTRICTIVE\b", r"\bBill of Assurance\b", r"\bWilderness Area\b", r"\bForest Service\b", r"\bConservation Easement\b", r"\bIrrigation District\b", r"\bGrazing\b",
+    r"\bFishing Access\b", r"\bAcequia\b", r"\bENERGY (INC|CORP)\b", r"\bWater (Association|Authority|District)\b", r"\bBar Rag\b", r"\bColumns Featured\b", r"\bIn This Issue\b",
+    r"\bThree secrets\b", r"\bForeclosure\b", r"\bSchool (District|Board)\b", r"\bAffordable Housing\b", r"\bHOUSING (FINANCE CORP|AUTHORITY)\b", r"\bProperty Trust, Inc\b", r"\bForm 10[-]?[KQ]\b",
+    r"\bSEC Filing\b", r"\bMERS\b", r"\bIRS\b", r"\bTitle Insurance\b", r"\bTitle Company\b", r"\bAbstract Company\b", r"\bClosing Company\b", r"\bHOMEOWNER.S POLICY\b", r"\bAttorney",
+    r"\bLAW UPDATE\b", r"\bLaw Update\b", r"\bSection Law\b", r"\bAnnual Report\b", r"\bLandmark Nomination\b", r"\bGrassroots\b", r"\bChamber of Commerce\b", r"\bCommunity Health\b",
+    r"\bRecorder\b", r"\bRegister of Deeds\b", r"\bTransfer Fees\b", r"\bAccess Agreement\b", r"\bAgreement HOA$", r"\bExhibit [A-Z]\b", r"\bDue Diligence\b", r"\b\.xlsx\b",
+    r"\bRequest for (Proposal|Quote)\b", r"\bOpen Records\b", r"^Candi Ussery\b", r"^Becky\b", r"\bilil\b", r"\billil\b", r"\bH OA$", r"\bSeconp\b", r"^Conditions?$", r"^Restrictions?$",
+    r"^Restrictive\b", r"^Protective\b", r"^PROTECTIVE\b", r"^Subdivision\b", r"^Untitled\b", r"^Test\b", r"^[A-Z][a-z]+$", r"^Powder Ridge$", r"^Bentonville$", r"^Northbrook$",
+    r"^Subdivision HOA$", r"^\d{3,5}\s+\w+\s+(Street|Road|Avenue|Drive|Lane|Way|Place|Boulevard)\b",
+]
 FRAGMENTS = r"(?i)\bStormwater\s+Drainage\b|\bZONING\s+UPDATE\b|^Summary\s+of\b|^Staff\s+Analysis|^(?:January|February|March)\s+\d+,?\s+\d{4}|\bBoard\s+of\s+County\s+Commissioners\b|\bTo\s+Whom\s+It\s+May\s+Concern\b"
 REGISTRY_STATES = ["HI", "DC"]
 
 
 def matched_pattern(name: Column, patterns: list[str]) -> Column:
-    """The first pattern found in a name, or null."""
-    return first_match(name, [(p, p) for p in patterns])
+    """The first pattern found in a name, without case, or null.
+
+    One test of all of them comes first: most names match none.
+    """
+    any_one = "(?i)" + "|".join(f"(?:{p})" for p in patterns)
+    found = reduce(lambda w, p: w.when(name.rlike(f"(?i){p}"), F.lit(p)), patterns[1:], F.when(name.rlike(f"(?i){patterns[0]}"), F.lit(patterns[0])))
+    return F.when(name.rlike(any_one), found)
 
 
-def non_entity(name: Column, safe: list[str] = (), sure: list[str] = SURE_JUNK, likely: list[str] = LIKELY_JUNK) -> Column:
+def non_entity(name: Column, safe: list[str] = SAFE_NAMES, sure: list[str] = SURE_JUNK, likely: list[str] = LIKELY_JUNK) -> Column:
     """The pattern by which a name is no association's; null if it may be one.
 
     In order: empty, safe names, patterns that win over anything, association endings, the rest.
     """
     n = F.coalesce(name, F.lit(""))
-    return F.when(n == "", F.lit("empty_name")).when(F.upper(n).isin(list(safe) or ["\0"]), F.lit(None)).when(matched_pattern(n, sure).isNotNull(), matched_pattern(n, sure)).when(n.rlike(ENTITY_ENDING), F.lit(None)).otherwise(matched_pattern(n, likely))
+    certain = matched_pattern(n, sure)
+    return F.when(n == "", F.lit("empty_name")).when(F.upper(n).isin(safe), F.lit(None)).otherwise(F.coalesce(certain, F.when(~n.rlike(ENTITY_ENDING), matched_pattern(n, likely))))
 
 
 def keeps_entity(name: Column, state: Column) -> Column:
@@ -85,9 +118,9 @@ def state_hint(text: Column, state: str, name: str) -> Column:
 
 
 # Words of search results that are, and are not, governing documents; hosts that hold none.
-RESULT_GOOD = r"(?i)(covenant|ccr|cc&r|bylaw|by-law|articles\s+of\s+incorporation|rules\s+and\s+regulations|declaration\s+of\s+condominium|public\s+offering\s+statement|declaration)"
+RESULT_GOOD = r"(?i)(bylaws?|by-laws?|declarations?|cc&?rs?|covenants?|restrictions?|rules?\s+and\s+regulations?|articles?\s+of\s+incorporation|amend(?:ment|ed)?|master\s+deed|condominium\s+(?:declaration|bylaws|association|act)|unit\s+owners?\s+association|cooperative\s+(?:bylaws|declaration)|offering\s+plan|governing\s+documents?|hoa\s+documents?|declaration\s+of\s+condominium|public\s+offering\s+statement)"
 RESULT_BAD = r"(?i)\b(listing|brochure|appraisal|prospectus|annual\s+report|press\s+release|news|article|blog|review|inspection\s+report|invoice|receipt|coupon|estoppel|closing\s+statement|tax\s+return|990|sale\s+sheet|floor\s+plan|menu|registration\s+form|application\s+form)\b"
-BAD_HOSTS = ["casetext", "justia", "scribd", "issuu", "zillow", "redfin", "trulia", "realtor", "facebook", "reddit", "nextdoor", "yelp", "researchgate"]
+BAD_HOSTS = r"(?i)(casetext|courtlistener|justia|scholar\.google|ssrn|jstor|papers\.ssrn|law\.cornell|leagle|casemine|govinfo\.gov/content/pkg|congress\.gov|pacer|lexis|westlaw|bizjournals|reuters|bloomberg|nytimes|washingtonpost|wsj|cnn|marketwatch|foxbusiness|scribd|issuu|yumpu|dokumen|pdfcoffee|fliphtml5|zillow|redfin|trulia|realtor|homes\.com|55places|apartments|facebook|instagram|reddit|nextdoor|hoamanagement|hopb|propublica|sec\.gov/edgar|bbb\.org|yelp|indeed|glassdoor|academia\.edu|researchgate)"
 
 
 def governing_result(link: Column, title: Column, snippet: Column) -> Column:
@@ -95,8 +128,7 @@ def governing_result(link: Column, title: Column, snippet: Column) -> Column:
     lower = F.lower(F.coalesce(link, F.lit("")))
     is_pdf = F.regexp_replace(lower, r"[?#].*$", "").endswith(".pdf") | lower.contains("format=pdf")
     hay = F.concat_ws(" ", link, title, snippet)
-    host = F.lower(F.coalesce(F.try_parse_url(link, F.lit("HOST")), F.lit("")))
-    return is_pdf & ~any_of(host, BAD_HOSTS) & ~hay.rlike(RESULT_BAD) & hay.rlike(RESULT_GOOD)
+    return is_pdf & ~lower.rlike(BAD_HOSTS) & ~hay.rlike(RESULT_BAD) & hay.rlike(RESULT_GOOD)
 
 
 # What each bucket of law adds for words in its context.

@@ -23,6 +23,11 @@ def first_match(text: Column, rules: list[tuple[str, str]], otherwise: Column |
     return out if otherwise is None else out.otherwise(otherwise)
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is evaluated once, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def excerpt(text: Column, n: int = 280) -> Column:
     """The first ``n`` characters on one line, with dots if there is more."""
     flat = F.translate(F.substring(text, 1, n), "\n", " ")
@@ -125,21 +130,37 @@ BY_TEXT = [
     (r"(?:proposed\s+)?budget|financial\s+statement|reserve\s+(?:study|fund)|assessment\s+schedule", "financial", 0.8),
     (r"certificate\s+of\s+(?:insurance|liability)|insurance\s+(?:policy|certificate)", "insurance", 0.8),
 ]
+# What personal lists, ballots and notices look like.
 ROSTER = r"(?:mr|mrs|ms|dr)?\.?\s*[A-Z][a-z]+\s+[A-Z][a-z]+\s*\n\s*\d+\s+\w+"
 BALLOT = (r"(?:ballot|proxy\s+form).*(?:signature|sign\s+here|owner\s+name)", r"(?:unit\s*(?:#|no|num)|lot\s*(?:#|no|num)).*\d")
 VIOLATION = (r"violation\s+notice|notice\s+of\s+(?:violation|hearing)", r"(?:dear\s+(?:mr|mrs|ms|homeowner)|property\s+address)")
 
 
+#: Alternatives that look for a word anywhere after a first mark: the first mark decides, so no regular expression has to try them all.
+LATER = {"bylaws": (r"|\barticle\s+[ivx\d]+.*(?:members|board|officers|meetings)", r"\barticle\s+[ivx\d]", ["members", "board", "officers", "meetings"])}
+
+
+def _by_text(lower: Column, pattern: str, category: str) -> Column:
+    if category not in LATER:
+        return lower.rlike(pattern)
+    alternative, mark, words = LATER[category]
+    first = F.regexp_instr(lower, F.lit(mark))
+    return lower.rlike(pattern.removesuffix(alternative)) | ((first > 0) & any_of(F.substr(lower, first), words))
+
+
 def classify_text(text: Column) -> Column:
     """struct(category, confidence) by the first rule that holds; null if none does."""
-    lower = F.lower(text)
     pick = lambda c, p: F.struct(F.lit(c).alias("category"), F.lit(p).alias("confidence"))
-    out = F.when(_count(text, ROSTER) >= 5, pick("membership_list", 0.85))
-    out = out.when(lower.rlike(BALLOT[0]) & lower.rlike(BALLOT[1]), pick("ballot", 0.8))
-    out = out.when(lower.rlike(VIOLATION[0]) & lower.rlike(VIOLATION[1]), pick("violation", 0.8))
-    for pattern, category, p in BY_TEXT:
-        out = out.when(lower.rlike(pattern), pick(category, p))
-    return out
+
+    def rules(lower: Column) -> Column:
+        out = F.when(_count(text, ROSTER) >= 5, pick("membership_list", 0.85))
+        out = out.when(lower.rlike(BALLOT[0]) & lower.rlike(BALLOT[1]), pick("ballot", 0.8))
+        out = out.when(lower.rlike(VIOLATION[0]) & lower.rlike(VIOLATION[1]), pick("violation", 0.8))
+        for pattern, category, p in BY_TEXT:
+            out = out.when(_by_text(lower, pattern, category), pick(category, p))
+        return out
+
+    return let(F.lower(text), rules)
 
 
 def classify(text: Column, filename: Column, model: Column | None = None) -> Column:
@@ -289,10 +310,6 @@ def verification_code(ident: Column, time: Column, form_hash: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws(":", ident.cast("string"), time.cast("string"), form_hash), 256), 1, 20)
 
 
-def title_rules() -> list[tuple[str, str, float]]:
-    return list(BY_TEXT)
-
-
 # Mentions that point out proxy voting.
 PROXY_WORDS = ["proxy", "proxies", "ballot", "quorum", "absentee"]
 
@@ -320,5 +337,5 @@ def location_parts(text: Column) -> Column:
 
 def anchor_score(text: Column, at: Column, positive: str, negative: str, around: int = 80) -> Column:
     """+2 if a positive anchor stands within ``around`` characters of a place, -3 if a negative one does."""
-    near = F.lower(F.substring(text, F.greatest(F.lit(1), at - around), F.lit(2 * around)))
+    near = F.lower(F.substr(text, F.greatest(F.lit(1), at - around), F.lit(2 * around)))
     return F.when(near.rlike(positive), 2).otherwise(0) - F.when(near.rlike(negative), 3).otherwise(0)

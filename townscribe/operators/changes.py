@@ -49,7 +49,8 @@ def enqueue(queue: DataFrame, jobs: DataFrame) -> DataFrame:
 def claim(queue: DataFrame, n: int = 1) -> DataFrame:
     """The queue with its ``n`` oldest waiting jobs in progress."""
     first = queue.where("status = 'pending'").orderBy("enqueued_at", "job_id").limit(n).select(F.col("job_id").alias("_job"))
-    j = queue.join(F.broadcast(first), F.col("job_id") == F.col("_job"), "left")
+    first = F.broadcast(first) if n <= 10_000 else first
+    j = queue.join(first, F.col("job_id") == F.col("_job"), "left")
     taken = F.col("_job").isNotNull()
     return j.withColumns({"status": F.when(taken, "in_progress").otherwise(F.col("status")), "attempts": F.when(taken, F.col("attempts") + 1).otherwise(F.col("attempts"))}).drop("_job")
 

@@ -1,71 +1,92 @@
 """Paragraph chunks of documents with an overlap and page spans.
 
-Chunking is a fold over a document's paragraphs, so it runs where the document is: pages are
-grouped by document and each group is folded in Python; a document's chunks depend on nothing
-else.
+A document's pages come as one array, so nothing but a document's own pages is ever gathered, and
+documents that are one row already are cut where they are.  Chunks are ranges of paragraphs: running
+lengths are summed once, and each cut is looked up in them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+from itertools import accumulate
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 MAX_CHARS, OVERLAP = 1800, 200
 
 
-def chunks_of(pages: Iterable[tuple[int, str]], max_chars: int = MAX_CHARS, overlap: int = OVERLAP, compat: bool = False) -> list[tuple[int, str, int | None, int | None]]:
-    """(index, text, first page, last page) of the pages' chunks.
+def ranges(texts: list[str], max_chars: int, overlap: int) -> Iterator[tuple[int, int, bool, str]]:
+    """(first paragraph, past the last, whether it begins with an overlap, text) of each chunk.
 
-    Paragraphs are packed until the next one would pass ``max_chars``; a longer one stays whole.
-    A chunk begins with the last ``overlap`` characters of the one before it.  With ``compat``
-    the last page of a chunk that is cut inside a page is only known if a page begins in it,
-    and what follows such a chunk has no first page; otherwise spans are true.
+    A chunk takes paragraphs, a character between them, while they fit beside the overlap, but
+    always at least one.
     """
-    out: list[tuple[int, str, int | None, int | None]] = []
-    held: list[str] = []
-    size, first, last = 0, None, None
-
-    def flush() -> None:
-        nonlocal size, first, last
-        text = "\n".join(held).strip()
-        held.clear()
-        if text:
-            out.append((len(out), text, first, last))
-        carry = text[-overlap:] if overlap > 0 and len(text) > overlap else ""
-        if carry:
-            held.append(carry)
-        size = len(carry)
-        first = (first if first == last else last) if carry else None
-        last = None if compat else first
-
-    for number, text in pages:
-        text = (text or "").strip()
-        if not text:
-            continue
-        if compat:
-            first, last = number if first is None else first, number
-        for paragraph in filter(None, (p.strip() for p in text.split("\n"))):
-            if size + len(paragraph) + 1 > max_chars and held:
-                flush()
-            if not compat:
-                first, last = number if first is None else first, number
-            held.append(paragraph)
-            size += len(paragraph) + 1
-    if held:
-        flush()
-    return out
+    ends = [0, *accumulate(len(t) + 1 for t in texts)]
+    at, carry = 0, ""
+    while at < len(texts):
+        past = bisect_right(ends, ends[at] + max_chars - len(carry), lo=at) - 1
+        past = max(past, at + 1)
+        text = "\n".join([carry, *texts[at:past]] if carry else texts[at:past]).strip()
+        yield at, past, carry != "", text
+        at, carry = past, text[-overlap:] if 0 < overlap < len(text) else ""
 
 
-def chunk(pages: DataFrame, max_chars: int = MAX_CHARS, overlap: int = OVERLAP, compat: bool = False) -> DataFrame:
-    """Chunks (document_id, chunk_index, text, start_page, end_page) of ``pages`` (document_id, number, text)."""
+def spans(cuts: list[tuple[int, int, bool, str]], pages: list[int]) -> Iterator[tuple[int | None, int | None]]:
+    """First and last page of each chunk, from its paragraphs' pages; an overlap is of the page the chunk before ended on."""
+    last = None
+    for at, past, overlaps, _ in cuts:
+        first = last if overlaps else pages[at]
+        last = pages[past - 1] if past > at else first
+        yield first, last
+
+
+def spans_of_begun_pages(cuts: list[tuple[int, int, bool, str]], pages: list[int]) -> Iterator[tuple[int | None, int | None]]:
+    """Spans that know a page only where it begins: at the paragraph that opens it, which counts for the chunk before if it opens a new one."""
+    begins = [i for i, n in enumerate(pages) if i == 0 or n != pages[i - 1]]
+    last = None
+    for at, past, overlaps, _ in cuts:
+        inside = begins[bisect_left(begins, at + (at > 0)) : bisect_right(begins, past)]
+        first = last if overlaps else None
+        if first is None and inside:
+            first = pages[inside[0]]
+        last = pages[inside[-1]] if inside else None
+        yield first, last
+
+
+def chunks_of(pages: list[tuple[int, str | None]], max_chars: int = MAX_CHARS, overlap: int = OVERLAP, compat: bool = False) -> list[tuple[int, str, int | None, int | None]]:
+    """(index, text, first page, last page) of the chunks of (number, text) pages.
+
+    Paragraphs are lines without the white space around them; empty ones do not count.  A chunk
+    begins with the last ``overlap`` characters of the one before.  Spans are true; with ``compat``
+    they know only pages that begin in the chunk.
+    """
+    lines = [(number, line.strip()) for number, text in pages for line in (text or "").strip().split("\n") if line.strip()]
+    numbers = [n for n, _ in lines]
+    cuts = list(ranges([t for _, t in lines], max_chars, overlap))
+    found = (spans_of_begun_pages if compat else spans)(cuts, numbers)
+    kept = [(text, span) for (*_, text), span in zip(cuts, found, strict=True) if text]
+    return [(i, text, *span) for i, (text, span) in enumerate(kept)]
+
+
+def chunk_documents(docs: DataFrame, max_chars: int = MAX_CHARS, overlap: int = OVERLAP, compat: bool = False) -> DataFrame:
+    """Chunks (document_id, chunk_index, text, start_page, end_page) of ``docs`` (document_id, pages array<struct<number, text>> in order); no shuffle."""
+    names = ["document_id", "chunk_index", "text", "start_page", "end_page"]
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("number", kind="stable")
-        got = chunks_of(zip(rows["number"], rows["text"], strict=True), max_chars, overlap, compat)
-        out = pd.DataFrame(got, columns=["chunk_index", "text", "start_page", "end_page"]).astype({"start_page": "Int64", "end_page": "Int64"})
-        out.insert(0, "document_id", rows["document_id"].iloc[0])
-        return out
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(doc, *c) for doc, pages in zip(b.column("document_id").to_pylist(), b.column("pages").to_pylist(), strict=True) for c in chunks_of([(p["number"], p["text"]) for p in pages or ()], max_chars, overlap, compat)]
+            cols = list(zip(*rows, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.schema.field("document_id").type), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64())], names)
 
-    return pages.select("document_id", "number", "text").groupBy("document_id").applyInPandas(fold, "document_id long, chunk_index long, text string, start_page long, end_page long")
+    kind = docs.schema["document_id"].dataType.simpleString()
+    return docs.select("document_id", "pages").mapInArrow(cut, f"document_id {kind}, chunk_index long, text string, start_page long, end_page long")
+
+
+def chunk(pages: DataFrame, max_chars: int = MAX_CHARS, overlap: int = OVERLAP, compat: bool = False) -> DataFrame:
+    """The same of ``pages`` (document_id, number, text), a row a page."""
+    page = F.struct("number", "text")
+    docs = pages.groupBy("document_id").agg(F.array_sort(F.collect_list(page)).alias("pages"))
+    return chunk_documents(docs, max_chars, overlap, compat)

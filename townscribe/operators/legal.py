@@ -119,11 +119,18 @@ def source_quality(source_type: Column, url: Column, aggregators: list[str], off
     return F.when((kind == "secondary_aggregator") | any_of(host, aggregators), "aggregator").when(is_official & kind.isin(primary), "official_primary").when(is_official, "official_secondary").otherwise("unknown")
 
 
+#: Clusters of a requirement matrix at most.
+CLUSTERS = 500
+
+
 def cluster_coverage(rules: DataFrame, clusters: DataFrame, scope: list[str]) -> DataFrame:
     """For each scope: which clusters (cluster_id, any_of) its rule types cover, and which are missing."""
     seen = rules.groupBy(*scope).agg(F.collect_set(F.lower(F.trim("rule_type"))).alias("_seen"))
-    # the requirement matrix is a table of some tens of rows
-    matrix = F.array(*(F.struct(F.lit(r["cluster_id"]).alias("id"), F.array(*(F.lit(x.strip().lower()) for x in r["any_of"])).alias("any_of")) for r in clusters.orderBy("cluster_id").collect()))
+    # the requirement matrix is a table of some tens of rows, and becomes a constant of the plan
+    asked = clusters.orderBy("cluster_id").limit(CLUSTERS + 1).collect()
+    if len(asked) > CLUSTERS:
+        raise ValueError(f"more than {CLUSTERS} clusters")
+    matrix = F.array(*(F.struct(F.lit(r["cluster_id"]).alias("id"), F.array(*(F.lit(x.strip().lower()) for x in r["any_of"])).alias("any_of")) for r in asked))
     hit = lambda c: F.arrays_overlap(F.col("_seen"), c["any_of"])
     return seen.select(*scope, F.transform(F.filter(matrix, hit), lambda c: c["id"]).alias("covered"), F.transform(F.filter(matrix, lambda c: ~hit(c)), lambda c: c["id"]).alias("missing"))
 
@@ -138,6 +145,47 @@ def answer_confidence(n_rules: Column, profile: Column, gaps: Column) -> Column:
     return F.when((n_rules == 0) | profile.isNull(), "low").when((gaps > 0) & (known == "high"), "medium").when(gaps > 0, "low").otherwise(known)
 
 
+def citations(rules: DataFrame, scope: list[str], most: int = 25) -> DataFrame:
+    """Each scope's first ``most`` citations (citation, url, excerpt) by ord; the first of an equal pair stays, blank ones go."""
+    trimmed = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    text = trimmed("value_text")
+    excerpt = F.when(F.length(text) > 240, F.concat(F.rtrim(F.substring(text, 1, 237)), F.lit("..."))).otherwise(text)
+    rows = rules.select(*scope, "ord", trimmed("citation").alias("citation"), trimmed("citation_url").alias("url"), excerpt.alias("excerpt")).where("citation <> ''")
+    first = rows.groupBy(*scope, "citation", "url").agg(F.min(F.struct("ord", "excerpt")).alias("f"))
+    ranked = first.withColumn("n", F.row_number().over(Window.partitionBy(*scope).orderBy("f.ord", "citation", "url"))).where(F.col("n") <= most)
+    one = F.struct("n", "citation", F.nullif("url", F.lit("")).alias("url"), F.col("f.excerpt").alias("excerpt"))
+    return ranked.groupBy(*scope).agg(F.array_sort(F.collect_list(one)).alias("citations"))
+
+
+def answers(scopes: DataFrame, rules: DataFrame, profiles: DataFrame, scope: list[str], topics: dict[str, int], missing: str = "No extracted {} rules were found for this scope.") -> DataFrame:
+    """What is known for each scope of ``scopes``: a checklist of each topic's first rules, gaps, citations, confidence.
+
+    ``rules`` has the scope, ord, topic_family, rule_type, value_text, citation, citation_url; ``profiles``
+    the scope, profile (its confidence), known_gaps.  ``topics`` gives each topic's length of
+    checklist: 8 for each of two, 12 for one alone.
+    """
+    rules = rules.where(F.col("topic_family").isin(list(topics)))
+    rank = F.row_number().over(Window.partitionBy(*scope, "topic_family").orderBy("ord"))
+    limit = F.element_at(F.create_map(*(F.lit(x) for kv in topics.items() for x in kv)), F.col("topic_family"))
+    place = F.element_at(F.create_map(*(F.lit(x) for i, t in enumerate(topics) for x in (t, i))), F.col("topic_family"))
+    top = rules.withColumns({"_n": rank, "_t": place}).where(F.col("_n") <= limit)
+    item = F.struct("_t", "_n", F.concat("rule_type", F.lit(": "), "value_text").alias("item"))
+    listed = top.groupBy(*scope).agg(F.array_sort(F.collect_list(item)).alias("_items"), F.collect_set("topic_family").alias("_topics"))
+    n = rules.groupBy(*scope).agg(F.count(F.lit(1)).alias("n_rules"))
+    j = scopes.select(*scope).join(listed, scope, "left").join(n, scope, "left").join(citations(rules, scope), scope, "left").join(profiles.select(*scope, "profile", "known_gaps"), scope, "left")
+    known = F.coalesce("known_gaps", F.array().cast("array<string>"))
+    absent = F.filter(F.array(*(F.when(~F.array_contains(F.coalesce("_topics", F.array().cast("array<string>")), t), missing.format(t)) for t in topics)), lambda x: x.isNotNull())
+    # a profile's own gaps lower the confidence; topics without rules are told, but lower nothing
+    sure = answer_confidence(F.coalesce("n_rules", F.lit(0)), F.col("profile"), F.size(known))
+    checklist = F.coalesce(F.transform("_items", lambda x: x["item"]), F.array().cast("array<string>"))
+    return j.select(*scope, F.coalesce("n_rules", F.lit(0)).alias("n_rules"), checklist.alias("checklist"), F.concat(known, absent).alias("gaps"), F.coalesce(F.transform("citations", lambda x: x["citation"]), F.array().cast("array<string>")).alias("citations"), sure.alias("confidence"))
+
+
+def jurisdictions(rules: DataFrame) -> DataFrame:
+    """Each jurisdiction's community types, profiles, last date and rules."""
+    return rules.groupBy("jurisdiction").agg(F.countDistinct("community_type").alias("types"), F.count(F.lit(1)).alias("profiles"), F.max("last_verified").alias("last_verified"), F.sum("n_rules").alias("rules"))
+
+
 def electronic_status(rule_types: Column, what: str) -> Column:
     """required, prohibited, allowed or unclear, in that order of strength."""
     has = lambda s: F.array_contains(rule_types, f"proxy_electronic_{what}_{s}")

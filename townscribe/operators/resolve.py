@@ -46,39 +46,60 @@ def state_aware_id(incoming: DataFrame, entities: DataFrame) -> DataFrame:
 def dedupe_pairs(rows: DataFrame, block: str) -> DataFrame:
     """Pairs (source_id, target_id) within a block whose normal forms are equal or contain each other.
 
-    ``rows`` has entity_id, name, weight and the block's column.  A form of at least six
-    characters is inside another only if its first two words (or the word) stand in it next to
-    each other, so forms meet on words they share: each row offers its own rarest word, and
-    meets every row that has it.  Words cut by a containment are met through their
-    six-character pieces.
+    ``rows`` has entity_id, name, weight and the block's column.  Rows of one form are a class: each
+    points to its representative (the longest name, then the weightiest, then the greatest id),
+    and only representatives meet, so copies never become all their pairs.  A form contains
+    another of at least six characters only if it has all of its six-character pieces: each
+    representative offers its rarest piece and meets those that have it.
     """
-    base = rows.withColumn("form", names.dedupe_form(F.col("name"))).where(F.length("form") >= 4)
-    # a form contains another only if it has all of its six-character pieces: one of them is enough to meet
-    piece = F.when(F.length("form") >= 6, F.transform(F.sequence(F.lit(1), F.length("form") - 5), lambda i: F.substring(F.col("form"), i, F.lit(6)))).otherwise(F.array("form"))
-    have = base.select(block, F.col("entity_id").alias("id"), F.explode(F.array_distinct(piece)).alias("piece"))
+    base = rows.select(block, F.col("entity_id").alias("id"), "name", "weight", names.dedupe_form(F.col("name")).alias("form")).where(F.length("form") >= 4)
+    first = F.max(F.struct(F.length("name").alias("n"), "weight", "id", "name")).alias("r")
+    reps = base.groupBy(block, "form").agg(first, F.count(F.lit(1)).alias("members")).select(block, "form", F.col("r.id").alias("rep"), F.col("r.name").alias("name"), F.col("r.weight").alias("weight"), "members")
+    again = reps.where("members > 1").select(block, "form", "rep")
+    members = base.join(again, [block, "form"]).where("id <> rep").select(F.col("id").alias("source_id"), F.col("rep").alias("target_id"), F.col("form").alias("shared_form"))
+    long = reps.where(F.length("form") >= 6)
+    pieces = F.transform(F.sequence(F.lit(1), F.length("form") - 5), lambda i: F.substring(F.col("form"), i, F.lit(6)))
+    have = long.select(block, F.col("rep").alias("id"), F.explode(F.array_distinct(pieces)).alias("piece"))
     rare = have.groupBy(block, "piece").agg(F.count(F.lit(1)).alias("n"))
     offer = have.join(rare, [block, "piece"]).groupBy(block, "id").agg(F.min_by("piece", F.struct("n", "piece")).alias("piece"))
     met = offer.withColumnRenamed("id", "small").join(have, [block, "piece"]).where("small <> id").select(F.least("small", "id").alias("a"), F.greatest("small", "id").alias("b")).distinct()
-    side = lambda s: base.select(F.col("entity_id").alias(s), F.col("name").alias(f"name_{s}"), F.col("form").alias(f"form_{s}"), F.col("weight").alias(f"weight_{s}"))
-    j = met.join(side("a"), "a").join(side("b"), "b")
-    inside = (F.length("form_a") >= 6) & (F.length("form_b") >= 6) & (F.col("form_a").contains(F.col("form_b")) | F.col("form_b").contains(F.col("form_a")))
-    j = j.where((F.col("form_a") == F.col("form_b")) | inside)
+    side = lambda s: long.select(F.col("rep").alias(s), F.col("name").alias(f"name_{s}"), F.col("form").alias(f"form_{s}"), F.col("weight").alias(f"weight_{s}"))
+    j = met.join(side("a"), "a").join(side("b"), "b").where(F.col("form_a").contains(F.col("form_b")) | F.col("form_b").contains(F.col("form_a")))
     a_wins = (F.length("name_a") > F.length("name_b")) | ((F.length("name_a") == F.length("name_b")) & (F.col("weight_a") > F.col("weight_b")))
     shared = F.when(F.col("form_b").contains(F.col("form_a")), F.col("form_a")).otherwise(F.col("form_b"))
-    return j.select(F.when(a_wins, F.col("b")).otherwise(F.col("a")).alias("source_id"), F.when(a_wins, F.col("a")).otherwise(F.col("b")).alias("target_id"), shared.alias("shared_form"))
+    return members.unionAll(j.select(F.when(a_wins, F.col("b")).otherwise(F.col("a")).alias("source_id"), F.when(a_wins, F.col("a")).otherwise(F.col("b")).alias("target_id"), shared.alias("shared_form")))
 
 
-def best_jaccard(left: DataFrame, right: DataFrame, least: float = 0.0) -> DataFrame:
-    """For each left (left_id, tokens) the right one (right_id, tokens) of the largest token Jaccard.
+def best_jaccard(left: DataFrame, right: DataFrame, least: float = 0.0, others: bool = False) -> DataFrame:
+    """For each left (left_id, tokens) the right one (right_id, tokens) of the largest token Jaccard; with ``others`` not the row of the same id.
 
-    Sides meet on their tokens and overlaps are counted, so only pairs that share a token exist.
+    A pair that reaches t shares one of the left side's n - ceil(t n) + 1 rarest tokens.  Each
+    left row meets the right ones on its rarest token first; the best of these bounds t, and only
+    the few tokens that can still lead to a better one are met as well.  Right rows of equal
+    token sets are one, under their least ids (two, so that one of them is another).
     """
-    a = left.select("left_id", F.array_distinct("tokens").alias("t")).select("left_id", F.size("t").alias("na"), F.explode("t").alias("token"))
-    b = right.select("right_id", F.array_distinct("tokens").alias("t")).select("right_id", F.size("t").alias("nb"), F.explode("t").alias("token"))
-    n = a.join(b, "token").groupBy("left_id", "right_id", "na", "nb").agg(F.count(F.lit(1)).alias("both"))
-    n = n.withColumn("jaccard", F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).where(F.col("jaccard") >= least)
-    w = Window.partitionBy("left_id").orderBy(F.desc("jaccard"), "right_id")
-    return n.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("left_id", "right_id", "jaccard")
+    sets = right.select("right_id", F.array_sort(F.array_distinct("tokens")).alias("t")).where(F.size("t") > 0)
+    one = sets.groupBy("t").agg(F.min("right_id").alias("r1"), F.max("right_id").alias("r9"))
+    two = sets.join(one.where("r1 < r9").select("t", "r1"), "t").where("right_id > r1").groupBy("t").agg(F.min("right_id").alias("r2")) if others else one.select("t", F.lit(None).cast(right.schema["right_id"].dataType).alias("r2")).limit(0)
+    b = one.select("t", "r1").join(two, "t", "left").withColumnRenamed("t", "tb")
+    tokens = b.select("tb", "r1", "r2", F.explode("tb").alias("token"))
+    rare = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    a = left.select("left_id", F.array_distinct("tokens").alias("ta")).select("left_id", "ta", F.explode("ta").alias("token")).join(rare, "token")
+    a = a.groupBy("left_id", "ta").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("by"))
+    both = F.size(F.array_intersect("ta", "tb"))
+
+    def best(asked: DataFrame) -> DataFrame:
+        j = asked.join(tokens, "token").select("left_id", "ta", "tb", "r1", "r2").distinct()
+        right_id = F.when(F.col("r1") == F.col("left_id"), F.col("r2")).otherwise(F.col("r1")) if others else F.col("r1")
+        j = j.select("left_id", right_id.alias("right_id"), (both / (F.size("ta") + F.size("tb") - both)).alias("jaccard")).where("right_id is not null")
+        return j.groupBy("left_id").agg(F.max(F.struct("jaccard", (-F.col("right_id")).alias("last"))).alias("m")).select("left_id", (-F.col("m.last")).alias("right_id"), "m.jaccard")
+
+    first = best(a.select("left_id", "ta", F.get("by", F.lit(0))["token"].alias("token")))
+    bound = a.join(first.select("left_id", F.col("jaccard").alias("t")), "left_id", "left")
+    n = F.size("ta")
+    prefix = F.least(F.size("by"), n - F.ceil(F.coalesce("t", F.lit(0.0)) * n - 1e-9).cast("int") + 1)
+    later = best(bound.select("left_id", "ta", F.explode(F.transform(F.slice("by", 1, prefix), lambda x: x["token"])).alias("token")))
+    return later.where(F.col("jaccard") >= least)
 
 
 def registry_join(master: DataFrame, legals: DataFrame, parties: DataFrame) -> DataFrame:
@@ -178,9 +199,9 @@ def reject_reason(rows: DataFrame, live: DataFrame, page_cap: int = 200, scanned
 
 
 def representative(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The first row of each group, with the group's size as units."""
-    w = Window.partitionBy(*keys)
-    return rows.withColumn("units", F.count(F.lit(1)).over(w)).withColumn("_n", F.row_number().over(w.orderBy(order))).where("_n = 1").drop("_n")
+    """The first row of each group, with the group's size as units; combined on the map side, so no group is gathered."""
+    whole = F.struct(*rows.columns)
+    return rows.groupBy(*keys).agg(F.min_by(whole, order).alias("_r"), F.count(F.lit(1)).alias("units")).select("_r.*", "units")
 
 
 def signature_groups(rows: DataFrame, least: int = 4) -> DataFrame:
@@ -215,7 +236,7 @@ def harvest_links(pages: DataFrame) -> DataFrame:
     import re
     from urllib.parse import urljoin, urlparse
 
-    anchor = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))[^>]*>(.*?)</a\s*>", re.I | re.S)
+    anchor = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))[^>]*>((?:[^<]|<(?!/?a\b))*+)", re.I)
     tag = re.compile(r"<[^>]*>")
 
     def run(batches):
@@ -273,9 +294,26 @@ def crawl(seeds: DataFrame, links: DataFrame, depth: int = 2) -> DataFrame:
     return found
 
 
+# Words that a name's base leaves out.
+BASE_DROPS = r"(?i)\b(the\s+)?(condo|condominium|condominiums|condos|coop|co-?op|cooperative|cooperatives|hoa|association|apartments?|apts?)\b"
+
+
 def query_variants(seeds: DataFrame) -> DataFrame:
-    """Up to five search texts for each seed (seed_id, name, city, state)."""
-    quoted = F.concat(F.lit('"'), F.col("name"), F.lit('"'))
-    place = F.concat_ws(" ", F.nullif(F.col("city"), F.lit("")), F.col("state"))
-    texts = F.array(*(F.concat_ws(" ", quoted, place, F.lit(w)) for w in ("declaration of covenants", "bylaws", "rules and regulations", "filetype:pdf", "governing documents")))
-    return seeds.select("seed_id", F.posexplode(F.array_distinct(texts)).alias("variant", "search"))
+    """Up to seven search texts for each seed (seed_id, name, state, state_name): four with the quoted base of
+    the name, if that is another name of four characters or more, two with the whole, one with the plain base."""
+    base = F.btrim(F.regexp_replace(F.regexp_replace("name", BASE_DROPS, " "), r"\s+", " "), F.lit(" ,.-"))
+    b, n, s, whole = (F.col(c) for c in ("_base", "name", "state", "state_name"))
+    text = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+    other = F.length(b) >= 4
+    based = other & (F.lower(b) != F.lower(n))
+    variants = [
+        F.when(based, text('"', b, '" "', whole, '" "Condominium Association"')),
+        F.when(based, text('"', b, '" "', s, '" "Condominium" Bylaws filetype:pdf')),
+        F.when(based, text('"', b, ' Condominium" "', s, '" Declaration')),
+        F.when(based, text('"', b, '" "', s, '" "Unit Owners Association"')),
+        text('"', n, '" "', whole, '" filetype:pdf'),
+        text('"', n, '" "', s, '" Bylaws'),
+        F.when(other, text(b, ' "Washington" "', s, '" Condominium Declaration filetype:pdf')),
+    ]
+    rows = seeds.withColumn("_base", base)
+    return rows.select("seed_id", F.posexplode(F.filter(F.array(*variants), lambda v: v.isNotNull())).alias("variant", "search"))

@@ -4,51 +4,66 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
 
 NEAR_POINT_M = 8_047.0
 NEAR_BOUNDARY_M = 3_219.0
+#: Boxes that every point may be held against.
+BOXES = 10_000
+
+
+def _cells(rows: DataFrame, box: Column, reach_m: float, cell: float) -> DataFrame:
+    """``rows`` once for each cell of a degree grid that their box, widened by ``reach_m``, touches: with _row, _col and the widened _box."""
+    reach = reach_m / geo.METRES_A_DEGREE
+    rows = rows.withColumn("_box", box).where("_box.min_lat is not null and _box.min_lon is not null")
+    # a degree of longitude is short towards the poles
+    farthest = F.radians(F.greatest(F.abs("_box.min_lat"), F.abs("_box.max_lat")) + reach)
+    wide = reach / F.greatest(F.cos(farthest), F.lit(math.cos(math.radians(89))))
+    at = lambda c, by: F.col(f"_box.{c}") + by
+    rows = rows.withColumn("_box", F.struct(at("min_lon", -wide).alias("min_lon"), at("min_lat", -reach).alias("min_lat"), at("max_lon", wide).alias("max_lon"), at("max_lat", reach).alias("max_lat")))
+    steps = lambda low, high: F.explode(F.sequence(F.floor(F.col(f"_box.{low}") / cell), F.floor(F.col(f"_box.{high}") / cell)))
+    return rows.withColumn("_row", steps("min_lat", "max_lat")).withColumn("_col", steps("min_lon", "max_lon"))
+
+
+def _met(rows: DataFrame, queries: DataFrame, cell: float) -> DataFrame:
+    """Pairs of a query and a row in whose widened box it lies."""
+    q = queries.withColumns({"_qrow": F.floor(F.col("q_lat") / cell), "_qcol": F.floor(F.col("q_lon") / cell)})
+    in_box = F.col("q_lat").between(F.col("_box.min_lat"), F.col("_box.max_lat")) & F.col("q_lon").between(F.col("_box.min_lon"), F.col("_box.max_lon"))
+    return rows.join(q, (F.col("_row") == F.col("_qrow")) & (F.col("_col") == F.col("_qcol")) & in_box)
 
 
 def nearby(points: DataFrame, places: DataFrame, limit: int | None = None, near_point_m: float = NEAR_POINT_M, near_boundary_m: float = NEAR_BOUNDARY_M) -> DataFrame:
     """Places around query points (query_id, lat, lon), best first.
 
     ``places`` has place_id, name, lat, lon, polygons.  Inside a polygon (smallest first) beats
-    near a boundary beats near a point.  Both sides meet on cells of a degree grid as wide as
-    the search, never on all pairs.
+    near a boundary beats near a point.  Queries meet places on cells of a degree grid, points
+    within their reach and polygons within theirs, never on all pairs.  Points are measured by
+    one formula; polygons by their edges, and their box and area are columns before the join.
     """
-    cell = max(near_point_m, near_boundary_m) / geo.METRES_A_DEGREE * 2
-    # cells are wider towards the poles, where a degree of longitude is short
     q = points.select("query_id", F.col("lat").alias("q_lat"), F.col("lon").alias("q_lon"))
-    box = F.when(F.size("polygons") > 0, geo.bbox(F.col("polygons"))).otherwise(F.struct(F.col("lon").alias("min_lon"), F.col("lat").alias("min_lat"), F.col("lon").alias("max_lon"), F.col("lat").alias("max_lat")))
-    reach = max(near_point_m, near_boundary_m) / geo.METRES_A_DEGREE
-    p = places.withColumn("_box", box).where("_box.min_lat is not null and _box.min_lon is not null")
-    rows = F.sequence(F.floor((F.col("_box.min_lat") - reach) / cell), F.floor((F.col("_box.max_lat") + reach) / cell))
-    p = p.withColumn("_row", F.explode(rows))
-    wide = reach / F.greatest(F.cos(F.radians(F.greatest(F.abs("_box.min_lat"), F.abs("_box.max_lat")) + reach)), F.lit(math.cos(math.radians(89))))
-    p = p.withColumn("_col", F.explode(F.sequence(F.floor((F.col("_box.min_lon") - wide) / cell), F.floor((F.col("_box.max_lon") + wide) / cell))))
-    q = q.withColumn("_qrow", F.floor(F.col("q_lat") / cell)).withColumn("_qcol", F.floor(F.col("q_lon") / cell))
-    # cells first, then the box: the exact tests see only what may be near
-    in_box = F.col("q_lat").between(F.col("_box.min_lat") - reach, F.col("_box.max_lat") + reach) & F.col("q_lon").between(F.col("_box.min_lon") - wide, F.col("_box.max_lon") + wide)
-    j = p.join(q, (F.col("_row") == F.col("_qrow")) & (F.col("_col") == F.col("_qcol")) & in_box)
+    shaped = F.coalesce(F.size("polygons") > 0, F.lit(False))
+    spot = F.struct(F.col("lon").alias("min_lon"), F.col("lat").alias("min_lat"), F.col("lon").alias("max_lon"), F.col("lat").alias("max_lat"))
+    cell = near_point_m / geo.METRES_A_DEGREE * 2
+    plain = _met(_cells(places.where(~shaped).select("place_id", "name", "lat", "lon"), spot, near_point_m, cell), q, cell)
+    metres = geo.haversine_m(F.col("q_lat"), F.col("q_lon"), F.col("lat"), F.col("lon"))
+    plain = plain.select("query_id", "place_id", "name", F.lit("nearby_point").alias("kind"), F.lit(2).alias("priority"), F.lit(0.0).alias("area_m2"), metres.alias("distance_m")).where(F.col("distance_m") <= near_point_m)
+
+    cell = near_boundary_m / geo.METRES_A_DEGREE * 4
+    area = F.array_min(F.transform("polygons", geo.polygon_area_m2))
+    outlined = places.where(shaped).select("place_id", "name", "polygons", area.alias("area"))
+    found = _met(_cells(outlined, geo.bbox(F.col("polygons")), near_boundary_m, cell), q, cell)
     inside = geo.in_any(F.col("q_lon"), F.col("q_lat"), F.col("polygons"))
     edge = geo.boundary_distance_m(F.col("q_lon"), F.col("q_lat"), F.col("polygons"))
-    point = geo.haversine_m(F.col("q_lat"), F.col("q_lon"), F.col("lat"), F.col("lon"))
-    area = F.array_min(F.transform("polygons", geo.polygon_area_m2))
-    shaped = F.size("polygons") > 0
     # one measurement a pair: exploded, so that no filter or later column evaluates it again
-    measured = F.explode(F.array(F.struct((shaped & inside).alias("inside"), F.when(shaped, edge).alias("edge"), point.alias("point"), F.when(shaped, area).alias("area"), shaped.alias("shaped"))))
-    j = j.select("query_id", "place_id", "name", measured.alias("m"))
-    kind = F.when(F.col("m.inside"), "inside_boundary").when(F.col("m.edge") <= near_boundary_m, "near_boundary").when(~F.col("m.shaped") & (F.col("m.point") <= near_point_m), "nearby_point")
-    area = F.when(F.col("m.inside"), F.col("m.area")).otherwise(F.lit(0.0))
-    distance = F.when(F.col("m.inside"), F.lit(0.0)).otherwise(F.coalesce("m.edge", "m.point"))
-    out = j.select("query_id", "place_id", "name", kind.alias("kind"), area.alias("area_m2"), distance.alias("distance_m")).where("kind is not null")
-    priority = F.when(F.col("kind") == "inside_boundary", 0).when(F.col("kind") == "near_boundary", 1).otherwise(2)
-    w = Window.partitionBy("query_id").orderBy(priority, "area_m2", "distance_m", F.lower("name"), "place_id")
-    out = out.withColumn("rank", F.row_number().over(w))
+    measured = F.explode(F.array(F.struct(inside.alias("inside"), edge.alias("edge"))))
+    found = found.select("query_id", "place_id", "name", "area", measured.alias("m")).where(F.col("m.inside") | (F.col("m.edge") <= near_boundary_m))
+    at = lambda yes, no: F.when(F.col("m.inside"), yes).otherwise(no)
+    found = found.select("query_id", "place_id", "name", at(F.lit("inside_boundary"), F.lit("near_boundary")).alias("kind"), at(F.lit(0), F.lit(1)).alias("priority"), at(F.col("area"), F.lit(0.0)).alias("area_m2"), at(F.lit(0.0), F.col("m.edge")).alias("distance_m"))
+    w = Window.partitionBy("query_id").orderBy("priority", "area_m2", "distance_m", F.lower("name"), "place_id")
+    out = found.unionAll(plain).withColumn("rank", F.row_number().over(w)).drop("priority")
     return out if limit is None else out.where(F.col("rank") <= limit)
 
 
@@ -56,8 +71,10 @@ def bbox_places(points: DataFrame, boxes: DataFrame, pad: float = 0.05) -> DataF
     """(point_id, claimed, place): the claimed place if the point is in its box, the only matching box, or unknown.
 
     ``points`` has point_id, lat, lon, claimed; ``boxes`` (place, box) is a table of places known
-    beforehand, broadcast: some tens of rows.
+    beforehand, some tens of rows: more than BOXES are refused, as every point looks at each.
     """
+    if boxes.limit(BOXES + 1).count() > BOXES:
+        raise ValueError(f"more than {BOXES} boxes")
     b = boxes.select(F.col("place").alias("_place"), F.col("box").alias("_box"))
     hits = points.join(F.broadcast(b), geo.in_bbox(F.col("lon"), F.col("lat"), F.col("_box"), pad), "left").groupBy("point_id", "claimed").agg(F.collect_set("_place").alias("_in"))
     place = F.when(F.array_contains("_in", F.coalesce("claimed", F.lit(""))), F.col("claimed")).when(F.size("_in") == 1, F.get("_in", F.lit(0))).otherwise("unknown")

@@ -70,16 +70,28 @@ def percentiles_lower(df: DataFrame, keys: Sequence[str], value: str, ps: dict[s
     return plain.unionByName(ranked).groupBy(*keys).agg(*(F.max(F.when(F.col("_name") == name, F.col("_v"))).alias(name) for name in ps))
 
 
+def _trailing(df: DataFrame, keys: Sequence[str], ts: str, seconds: int, value: str | None, first: int, out: str, aggregate: Column) -> DataFrame:
+    """``df`` with an aggregate over the rows of a key in the trailing window, whose far end lies at ``first`` microseconds.
+
+    Rows are dealt by key and time, in buckets as wide as the window; each also stands in the next
+    bucket, unseen, as what comes before.  So no task sorts all rows of a busy key.
+    """
+    wide = seconds * 1_000_000
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    rows = df.withColumns({"_micros": micros, "_bucket": F.floor(micros / wide), "_own": F.lit(True)})
+    before = rows.select(*dict.fromkeys([*keys, *([value] if value else [])]), "_micros", (F.col("_bucket") + 1).alias("_bucket"), F.lit(False).alias("_own"))
+    w = Window.partitionBy(*keys, "_bucket").orderBy("_micros").rangeBetween(first, 0)
+    return rows.unionByName(before, allowMissingColumns=True).withColumn(out, aggregate.over(w)).where("_own").drop("_micros", "_bucket", "_own")
+
+
 def rolling_sum(df: DataFrame, keys: Sequence[str], ts: str, value: str, seconds: int, out: str) -> DataFrame:
-    """Sum of the values of a key in the ``seconds`` up to and including each row's time."""
-    w = Window.partitionBy(*keys).orderBy(F.col("_micros")).rangeBetween(-seconds * 1_000_000, 0)
-    return df.withColumn("_micros", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn(out, F.sum(value).over(w)).drop("_micros")
+    """Sum of a key's values in the ``seconds`` up to each row, both ends included."""
+    return _trailing(df, keys, ts, seconds, value, -seconds * 1_000_000, out, F.sum(value))
 
 
 def window_hits(df: DataFrame, keys: Sequence[str], ts: str, seconds: int, out: str) -> DataFrame:
     """Rows of a key in the ``seconds`` before each row (open at the far end), itself included."""
-    w = Window.partitionBy(*keys).orderBy(F.col("_micros")).rangeBetween(-seconds * 1_000_000 + 1, 0)
-    return df.withColumn("_micros", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn(out, F.count(F.lit(1)).over(w)).drop("_micros")
+    return _trailing(df, keys, ts, seconds, None, -seconds * 1_000_000 + 1, out, F.count(F.lit(1)))
 
 
 def rate_limited(df: DataFrame, key: str, ts: str, limit: int, seconds: int, tie: str) -> DataFrame:
@@ -88,12 +100,16 @@ def rate_limited(df: DataFrame, key: str, ts: str, limit: int, seconds: int, tie
     Refused rows do not count, so each decision needs the ones before it: one pass over a key's
     rows in order, that keeps the last ``limit`` allowed times only.  Rows are first cut at
     pauses of a window or more, where the limiter has forgotten all, so that a busy key is
-    many groups.
+    many groups.  Such pauses lie between buckets of time as wide as the window, so the first and
+    last time of each bucket find them, and only buckets are ordered.
     """
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    order = Window.partitionBy(key).orderBy("_micros", tie)
-    cut = df.select(key, tie, micros.alias("_micros")).withColumn("_new", F.when(F.col("_micros") - F.lag("_micros").over(order) < seconds * 1_000_000, 0).otherwise(1))
-    cut = cut.withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    micros, wide = F.unix_micros(F.col(ts).cast("timestamp")), seconds * 1_000_000
+    rows = df.select(key, tie, micros.alias("_micros"), F.floor(micros / wide).alias("_bucket"))
+    spans = rows.groupBy(F.col(key).alias("_key"), F.col("_bucket").alias("_at")).agg(F.min("_micros").alias("_first"), F.max("_micros").alias("_last"))
+    order = Window.partitionBy("_key").orderBy("_at")
+    spans = spans.withColumn("_new", F.when(F.col("_first") - F.lag("_last").over(order) < wide, 0).otherwise(1))
+    spans = spans.withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).select("_key", "_at", "_run")
+    cut = rows.join(spans, F.col(key).eqNullSafe(F.col("_key")) & F.col("_bucket").eqNullSafe(F.col("_at")))
 
     def decide(batches):
         from collections import deque

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("rollups", "usage", "vectors", "texts", "names", "resolution", "changes", "places", "legal", "rules", "streams")
+MODULES = ("rollups", "usage", "vectors", "texts", "names", "resolution", "changes", "places", "legal", "rules", "lookups", "streams")
 
 
 def load() -> None:

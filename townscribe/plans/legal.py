@@ -78,7 +78,10 @@ def proxy_expiry(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.date_format(e, "yyyy-MM-dd").alias("expires"))
 
 
-@query("source_quality")
+@query(
+    "source_quality",
+    "with h as (select page_id, lower(regexp_extract(url, '^https?://([^/?#]*)', 1)) as host from pages) select page_id, case when contains(host, 'tion') then 'aggregator' when host = 'blog.ththan.example.net' then case when page_id % 2 = 0 then 'official_primary' else 'official_secondary' end else 'unknown' end as quality from h",
+)
 def source_quality(spark: SparkSession, d: str) -> DataFrame:
     kind = F.when(F.col("page_id") % 2 == 0, "statute").otherwise("secondary")
     q = legal.source_quality(kind, F.col("url"), ["tion"], ["blog.ththan.example.net"], ["statute"])

@@ -34,7 +34,7 @@ def namespace_slug(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, d: str) -> DataFrame:
-    """First lines of documents as names, with a page's url each."""
+    """Names of documents, with a page's url each: a document's name is its first line, as there is no table of such names."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.get(F.split("text", "\n"), F.lit(0)).alias("name"))
     urls = table(spark, d, "pages").select(F.col("page_id").alias("id"), F.col("url").alias("source_url"))
     return docs.join(urls, "id", "left")
@@ -47,7 +47,7 @@ def dirty_names(spark: SparkSession, d: str) -> DataFrame:
 
 @query("clean_names")
 def clean_names(spark: SparkSession, d: str) -> DataFrame:
-    return names.recover(lines(spark, d).where(names.dirty_reason(F.col("name")).isNotNull())).select("id", "name", "cleaned")
+    return names.recover(lines(spark, d).where(names.is_dirty(F.col("name")))).select("id", "name", "cleaned")
 
 
 @query("title_case")
@@ -55,7 +55,12 @@ def title_case(spark: SparkSession, d: str) -> DataFrame:
     return lines(spark, d).select("id", names.title_case(F.upper("name")).alias("title"))
 
 
-@query("dedupe_form")
+SQL_FORM = "regexp_replace(upper(p_name), '[,.\\-''’]', ' ', 'g')"
+for _p in names.DEDUPE_DROPS:
+    SQL_FORM = f"regexp_replace({SQL_FORM}, '{_p}', '', 'g')"
+
+
+@query("dedupe_form", f"select p_partkey as id, trim(regexp_replace({SQL_FORM}, '\\s+', ' ', 'g')) as form, array_to_string(list_filter(string_split(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '' and not list_contains({names.SIGNATURE_DROPS!r}, w)), ' ') as signature from part")
 def dedupe_form(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), names.dedupe_form(F.col("p_name")).alias("form"), names.signature(F.col("p_name")).alias("signature"))
 
@@ -71,7 +76,10 @@ def acceptable_names(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), names.acceptable(F.col("c_name")).alias("ok"))
 
 
-@query("registrants")
+@query(
+    "registrants",
+    r"select s_suppkey as id, trim(regexp_replace(regexp_replace(upper(s_name || case when s_suppkey % 2 = 0 then ', Inc. LLC' else '' end), '[.,]', '', 'g'), '(?:\s+(?:INC|LLC|LLP|LP|LTD|CORP|CO|CORPORATION|COMPANY|INCORPORATED))+\s*$', '')) as registrant, len(regexp_split_to_array(trim(s_name), '\s+')) between 2 and 3 and len(list_filter(regexp_split_to_array(trim(s_name), '\s+'), lambda w: not regexp_matches(w, '^\p{L}[\p{L}.''-]*$'))) = 0 and not regexp_matches(upper(s_name), '\b(INC|LLC|LLP|LP|LTD|CORP|COMPANY|MANAGEMENT|PROPERTIES|REALTY|GROUP|SERVICES|ASSOCIATION|LAW|OFFICES?)\b') as personal from supplier",
+)
 def registrants(spark: SparkSession, d: str) -> DataFrame:
     n = F.concat("s_name", F.when(F.col("s_suppkey") % 2 == 0, ", Inc. LLC").otherwise(""))
     return table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), names.registrant(n).alias("registrant"), names.is_personal(F.col("s_name")).alias("personal"))

@@ -38,7 +38,29 @@ def point_in_polygon(spark: SparkSession, d: str) -> DataFrame:
     return spatial.nearby(points(spark, d), squares(spark, d)).where("kind = 'inside_boundary'").select("query_id", "place_id")
 
 
-@query("nearby_places")
+M = "(6371000.0 * pi() / 180)"
+# the square's sides, its shoelace sum in the order of its edges, and its area
+SQUARE = f"""
+s as (select c_custkey as place_id, c_name as name, cast({LAT} as double) as lat, cast({LON} as double) as lon, cast(0.001 * (1 + c_custkey % 4) as double) as h, c_custkey % 3 = 0 as sq from customer),
+b as (select *, lon - h as x1, lon + h as x2, lat - h as y1, lat + h as y2 from s),
+a as (select *, abs(((((((x1 * y1) - x2 * y1) + x2 * y2) - x2 * y1) + x2 * y2) - x1 * y2) + x1 * y1 - x1 * y2) / 2 * ({M} * {M} * cos(radians((y1 + y1 + y2 + y2 + y1) / 5))) as area from b)
+"""
+
+
+@query(
+    "nearby_places",
+    f"""
+with {SQUARE},
+q as (select s_suppkey as query_id, cast(35 + (s_suppkey % 50) * 0.01 + 0.0004 as double) as qlat, cast(-78 + (s_nationkey % 25) * 0.01 + 0.0003 as double) as qlon from supplier),
+j as (select *, sq and qlat between y1 and y2 and qlon between x1 and x2 as inside,
+  case when sq then sqrt(pow(greatest(x1 - qlon, 0, qlon - x2) * {M} * cos(radians(qlat)), 2) + pow(greatest(y1 - qlat, 0, qlat - y2) * {M}, 2))
+  else 2 * 6371000.0 * asin(least(1.0, sqrt(pow(sin(radians(lat - qlat) / 2), 2) + cos(radians(qlat)) * cos(radians(lat)) * pow(sin(radians(lon - qlon) / 2), 2)))) end as metres from a, q),
+f as (select query_id, place_id, name, case when inside then 'inside_boundary' when sq then 'near_boundary' else 'nearby_point' end as kind, case when inside then area else 0.0 end as area_m2, case when inside then 0.0 else metres end as distance_m
+  from j where inside or (sq and metres <= 3219) or (not sq and metres <= 8047)),
+r as (select *, row_number() over (partition by query_id order by kind, area_m2, distance_m, lower(name), place_id) as rank from (select * replace (kind as kind) from f))
+select query_id, place_id, name, kind, round(area_m2, 3) as area_m2, round(distance_m, 3) as distance_m, cast(rank as integer) as rank from r where rank <= 5
+""",
+)
 def nearby_places(spark: SparkSession, d: str) -> DataFrame:
     """The five best places around each point: inside, near a boundary, near a point."""
     return spatial.nearby(points(spark, d), squares(spark, d), 5).withColumns({c: F.round(c, 3) for c in ("area_m2", "distance_m")})
@@ -56,7 +78,14 @@ def haversine(spark: SparkSession, d: str) -> DataFrame:
     return s.select(F.col("place_id").alias("id"), F.round(geo.haversine_m(F.col("lat"), F.col("lon"), F.lit(35.0), F.lit(-78.0)), 3).alias("metres"))
 
 
-@query("polygon_measures")
+@query(
+    "polygon_measures",
+    f"""
+with {SQUARE}, e as (select *, greatest(x1 + 78, 0, -78 - x2) * {M} * cos(radians(35.0)) as dx, greatest(y1 - 35, 0, 35 - y2) * {M} as dy,
+  least((-78 - x1) * {M} * cos(radians(35.0)), (x2 + 78) * {M} * cos(radians(35.0)), (35 - y1) * {M}, (y2 - 35) * {M}) as within from a where sq)
+select place_id, round(area, 3) as area_m2, round((y1 + y2) / 2, 6) as centre_lat, round((x1 + x2 + x2 + x1 + x1) / 5, 6) as mean_lon, round(case when dx = 0 and dy = 0 then abs(within) else sqrt(dx * dx + dy * dy) end, 3) as boundary_m from e
+""",
+)
 def polygon_measures(spark: SparkSession, d: str) -> DataFrame:
     s = squares(spark, d).where(F.size("polygons") > 0)
     one = F.get(F.get("polygons", F.lit(0)), F.lit(0))
@@ -85,7 +114,7 @@ def location_quality(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select(k.alias("id"), q.alias("quality"))
 
 
-@query("pin_refit")
+@query("pin_refit", f"with {SQUARE} select place_id, round(case when place_id % 2 = 0 then (y1 + y2) / 2 else lat end, 6) as lat, round(case when place_id % 2 = 0 then (x1 + x2) / 2 else lon end, 6) as lon from a where sq")
 def pin_refit(spark: SparkSession, d: str) -> DataFrame:
     s = squares(spark, d).where(F.size("polygons") > 0)
     moved = geo.moved_pin(F.col("lat") + F.when(F.col("place_id") % 2 == 0, 0.05).otherwise(0.0), F.col("lon"), F.col("polygons"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import names
 from ..operators import resolve
 from ..sources.tables import table
 from .names import SLUG
@@ -17,9 +18,12 @@ FORM = "trim(regexp_replace(regexp_replace(upper(p_name), '[,.\\-''’]', ' ', '
     "name_dedupe_pairs",
     f"""
 with b as (select p_partkey as id, p_brand as block, p_name as name, {FORM} as form, p_size as weight from part),
+c as (select *, row_number() over (partition by block, form order by length(name) desc, weight desc, id desc) as n, first_value(id) over (partition by block, form order by length(name) desc, weight desc, id desc) as rep from b where length(form) >= 4),
+r as (select * from c where n = 1),
 p as (select a.id as a, b.id as b, a.form as fa, b.form as fb, length(a.name) > length(b.name) or (length(a.name) = length(b.name) and a.weight > b.weight) as wins
-  from b a join b on a.block = b.block and a.id < b.id where length(a.form) >= 4 and length(b.form) >= 4 and (a.form = b.form or (length(a.form) >= 6 and length(b.form) >= 6 and (contains(a.form, b.form) or contains(b.form, a.form)))))
-select case when wins then b else a end as source_id, case when wins then a else b end as target_id, case when contains(fb, fa) then fa else fb end as shared_form from p
+  from r a join r b on a.block = b.block and a.id < b.id where length(a.form) >= 6 and length(b.form) >= 6 and (contains(a.form, b.form) or contains(b.form, a.form)))
+select id as source_id, rep as target_id, form as shared_form from c where n > 1
+union all select case when wins then b else a end, case when wins then a else b end, case when contains(fb, fa) then fa else fb end from p
 """,
 )
 def name_dedupe_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -31,8 +35,8 @@ def name_dedupe_pairs(spark: SparkSession, d: str) -> DataFrame:
     "token_jaccard",
     """
 with t as (select p_partkey as id, list_distinct(string_split(lower(p_name), ' ')) as ts from part),
-l as (select id as left_id, ts, len(ts) as n, unnest(ts) as w from t where id % 20 = 0), r as (select id as right_id, len(ts) as m, unnest(ts) as w from t where id % 20 <> 0),
-j as (select left_id, right_id, round(count(*) / (n + m - count(*)), 6) as jaccard from l join r using (w) group by left_id, right_id, n, m)
+l as (select id as left_id, ts, len(ts) as n, unnest(ts) as w from t where id % 20 = 0), r as (select id as right_id, len(ts) as m, unnest(ts) as w from t),
+j as (select left_id, right_id, round(count(*) / (n + m - count(*)), 6) as jaccard from l join r using (w) where left_id <> right_id group by left_id, right_id, n, m)
 select left_id, right_id, jaccard from (select *, row_number() over (partition by left_id order by jaccard desc, right_id) as k from j) where k = 1
 """,
 )
@@ -40,37 +44,46 @@ def token_jaccard(spark: SparkSession, d: str) -> DataFrame:
     """The most similar other name for every twentieth one, among all others."""
     t = table(spark, d, "part").select("p_partkey", F.split(F.lower("p_name"), " ").alias("tokens"))
     left = t.where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("left_id"), "tokens")
-    right = t.where("p_partkey % 20 <> 0").select(F.col("p_partkey").alias("right_id"), "tokens")
-    return resolve.best_jaccard(left, right).withColumn("jaccard", F.round("jaccard", 6))
+    right = t.select(F.col("p_partkey").alias("right_id"), "tokens")
+    return resolve.best_jaccard(left, right, others=True).withColumn("jaccard", F.round("jaccard", 6))
 
 
 @query(
     "resolve_slug",
     f"""
-with e as (select c_custkey as entity_id, c_name as entity from customer), q as (select c_custkey as query_id, case when c_custkey % 2 = 0 then upper(c_name) else replace({SLUG.format(c='c_name')}, '-', '_') end as q from customer where c_custkey % 3 = 0),
+with e as (select c_custkey as entity_id, c_name as entity from customer), q as (select c_custkey as query_id, case when c_custkey % 2 = 0 then upper(c_name) else replace({SLUG.format(c='c_name')}, '-', '_') end as q from customer),
 a as (select lower(entity) as k, min(entity_id) as x from e group by 1), b as (select {SLUG.format(c='entity')} as k, min(entity_id) as x from e group by 1)
 select query_id, coalesce(a.x, b.x) as entity_id from q left join a on lower(q) = a.k left join b on {SLUG.format(c="replace(q, '_', '-')")} = b.k
 """,
 )
 def resolve_slug(spark: SparkSession, d: str) -> DataFrame:
-    from ..functions import names
-
     e = table(spark, d, "customer").select(F.col("c_custkey").alias("entity_id"), F.col("c_name").alias("entity"))
     asked = F.when(F.col("entity_id") % 2 == 0, F.upper("entity")).otherwise(F.replace(names.slug(F.col("entity")), F.lit("-"), F.lit("_")))
-    return resolve.resolve_slug(e.where("entity_id % 3 = 0").select(F.col("entity_id").alias("query_id"), asked.alias("q")), e)
+    return resolve.resolve_slug(e.select(F.col("entity_id").alias("query_id"), asked.alias("q")), e)
 
 
-@query("resolve_alias")
+@query(
+    "resolve_alias",
+    f"""
+with a as (select o_orderstatus as place, lower(o_orderpriority) as city_slug, {SLUG.format(c="c_name")} as name_slug, o_orderdate as made, o_custkey as entity_id from orders join customer on c_custkey = o_custkey)
+select place, city_slug, name_slug, entity_id from (select *, row_number() over (partition by place, city_slug, name_slug order by made desc, entity_id desc) as n from a) where n = 1
+""",
+)
 def resolve_alias(spark: SparkSession, d: str) -> DataFrame:
-    from ..functions import names
-
     e = table(spark, d, "customer").select(F.col("c_custkey").alias("entity_id"), F.col("c_name").alias("entity"))
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("entity_id"), F.col("o_orderdate").alias("created_at"), F.col("o_orderstatus").alias("place"), F.lower("o_orderpriority").alias("city_slug"))
     a = o.join(e, "entity_id").select("entity_id", "created_at", "place", "city_slug", names.slug(F.col("entity")).alias("name_slug"))
     return resolve.resolve_alias(a.select("place", "city_slug", "name_slug").distinct(), a, e).select("place", "city_slug", "name_slug", "entity_id")
 
 
-@query("state_aware_identity")
+@query(
+    "state_aware_identity",
+    """
+with c as (select c_custkey as k, c_name as n, case when c_custkey % 3 = 0 then '99' else cast(case when c_custkey % 7 = 0 then 1 else c_nationkey end as varchar) end as place from customer),
+a as (select *, case when k % 5 = 0 then 'create' when k % 3 = 0 and k % 7 <> 0 then 'create_marked' else 'same' end as action from c)
+select k as row_id, case when action = 'same' then k end as entity_id, action, case action when 'create' then n || ' New' when 'create_marked' then n || ' (' || place || ')' else n end as stored_name from a
+""",
+)
 def state_aware_identity(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "customer").select(F.col("c_custkey").alias("entity_id"), F.col("c_name").alias("name"), F.when(F.col("c_custkey") % 7 != 0, F.col("c_nationkey").cast("string")).alias("place"))
     k = F.col("entity_id")
@@ -133,9 +146,15 @@ def representative(spark: SparkSession, d: str) -> DataFrame:
     return resolve.representative(table(spark, d, "orders"), ["o_custkey", "o_orderstatus"], "o_orderkey").select("o_custkey", "o_orderstatus", "o_orderkey", "units")
 
 
-@query("signature_groups")
+@query(
+    "signature_groups",
+    f"""
+with s as (select p_partkey as id, array_to_string(list_filter(string_split(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '' and not list_contains({names.SIGNATURE_DROPS!r}, w)), ' ') as signature from part)
+select signature, string_agg(id, ',' order by id) as entity_ids, count(*) as n from s where length(signature) >= 4 group by 1 having count(*) >= 2
+""",
+)
 def signature_groups(spark: SparkSession, d: str) -> DataFrame:
-    return resolve.signature_groups(table(spark, d, "part").select(F.col("p_partkey").alias("entity_id"), F.col("p_name").alias("name")))
+    return resolve.signature_groups(table(spark, d, "part").select(F.col("p_partkey").alias("entity_id"), F.col("p_name").alias("name"))).withColumn("entity_ids", F.array_join("entity_ids", ","))
 
 
 @query(
@@ -158,6 +177,17 @@ def crawl_frontier(spark: SparkSession, d: str) -> DataFrame:
     return resolve.crawl(pages, links, 2)
 
 
-@query("query_variants", "select c_custkey as seed_id, cast(i as integer) as variant, '\"' || c_name || '\" ' || c_mktsegment || ' XX ' || ['declaration of covenants', 'bylaws', 'rules and regulations', 'filetype:pdf', 'governing documents'][i + 1] as search from customer, range(5) t(i)")
+@query(
+    "query_variants",
+    """
+with s as (select c_custkey as seed_id, c_name || case when c_custkey % 2 = 0 then ' Condominium Association' else '' end as name, trim(c_name) as base, substr(c_mktsegment, 1, 2) as state, c_mktsegment as whole, c_custkey % 2 = 0 as based from customer),
+v as (select seed_id, list_filter([
+  case when based then '"' || base || '" "' || whole || '" "Condominium Association"' end, case when based then '"' || base || '" "' || state || '" "Condominium" Bylaws filetype:pdf' end,
+  case when based then '"' || base || ' Condominium" "' || state || '" Declaration' end, case when based then '"' || base || '" "' || state || '" "Unit Owners Association"' end,
+  '"' || name || '" "' || whole || '" filetype:pdf', '"' || name || '" "' || state || '" Bylaws', base || ' "Washington" "' || state || '" Condominium Declaration filetype:pdf'], lambda x: x is not null) as vs from s)
+select seed_id, cast(i as integer) as variant, vs[i + 1] as search from v, range(7) t(i) where i < len(vs)
+""",
+)
 def query_variants(spark: SparkSession, d: str) -> DataFrame:
-    return resolve.query_variants(table(spark, d, "customer").select(F.col("c_custkey").alias("seed_id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("city"), F.lit("XX").alias("state")))
+    name = F.concat("c_name", F.when(F.col("c_custkey") % 2 == 0, " Condominium Association").otherwise(""))
+    return resolve.query_variants(table(spark, d, "customer").select(F.col("c_custkey").alias("seed_id"), name.alias("name"), F.substring("c_mktsegment", 1, 2).alias("state"), F.col("c_mktsegment").alias("state_name")))

@@ -25,15 +25,26 @@ def named(k):
     return F.when(k == 0, "North Carolina").when(k == 1, "West Virginia").when(k == 2, "Arkansas").when(k == 3, "Ohio")
 
 
-@query("verify_state", "select doc_id, case doc_id % 5 when 0 then 'NC' when 1 then 'WV' when 2 then 'AR' when 3 then 'OH' else case when doc_id % 2 = 0 then 'TX' end end as state, case when doc_id % 5 = 4 then 'low' else 'medium' end as confidence from documents where doc_id % 5 = 4 or doc_id % 2 = 1")
+@query("verify_state", "select doc_id, case doc_id % 5 when 0 then 'NC' when 1 then 'WV' when 2 then 'AR' when 3 then 'OH' else case when doc_id % 2 = 0 then 'TX' end end as state, case when doc_id % 5 = 4 then 'low' else 'medium' end as confidence from documents")
 def verify_state(spark: SparkSession, d: str) -> DataFrame:
     """States named in made-up first pages, and those expected where none is named."""
     k = F.col("doc_id") % 5
-    rows = table(spark, d, "documents").where((k == 4) | (F.col("doc_id") % 2 == 1)).select("doc_id", F.concat(F.lit("recorded in "), F.coalesce(named(k), F.lit("no state at all"))).alias("page"), F.when((k == 4) & (F.col("doc_id") % 2 == 0), "TX").alias("expected"))
+    rows = table(spark, d, "documents").select("doc_id", F.concat(F.lit("recorded in "), F.coalesce(named(k), F.lit("no state at all"))).alias("page"), F.when((k == 4) & (F.col("doc_id") % 2 == 0), "TX").alias("expected"))
     return rows.select("doc_id", rules.verify_state(F.col("page"), F.col("expected")).alias("s")).select("doc_id", "s.state", "s.confidence")
 
 
-@query("governing_results")
+def lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+@query(
+    "governing_results",
+    f"""
+with p as (select page_id, url, case when page_id % 2 = 0 then url || '/declaration.pdf' else url end as link from pages)
+select page_id, ends_with(regexp_replace(lower(link), '[?#].*$', ''), '.pdf') and not regexp_matches(link, {lit(rules.BAD_HOSTS)}) and not regexp_matches(link || ' Declaration of covenants ', {lit(rules.RESULT_BAD)}) and regexp_matches(link || ' Declaration of covenants ', {lit(rules.RESULT_GOOD)}) as governing,
+  regexp_matches(url, '(?i)\\b(NC|North Carolina)\\b') as hinted from p
+""",
+)
 def governing_results(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "pages")
     link = F.when(F.col("page_id") % 2 == 0, F.concat("url", F.lit("/declaration.pdf"))).otherwise(F.col("url"))

@@ -42,7 +42,7 @@ def stream_session(spark: SparkSession, d: str) -> DataFrame:
     return out.select("user_id", stamp("start").alias("start"), "n", F.round("total", 4).alias("total"))
 
 
-@query("stream_weekly")
+@query("stream_weekly", "select strftime(time_bucket(interval 7 days, ts, timestamp '1970-01-04 18:00:00'), '%Y-%m-%d %H:%M:%S') as start, count(*) as n, round(sum(value), 4) as total from events group by 1")
 def stream_weekly(spark: SparkSession, d: str) -> DataFrame:
     out = ev.replay(ev.weekly(ev.stream(spark, d)), "complete")
     return out.select(stamp("start").alias("start"), "n", F.round("total", 4).alias("total"))

@@ -82,7 +82,18 @@ def classify_filename(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", tx.classify_filename(F.col("url"))["category"].alias("category"))
 
 
-@query("classify_cascade")
+SQL_SURE = " ".join(f"when regexp_matches(lower(text), {lit(p)}) then {c}" for p, _, c in tx.BY_TEXT)
+SQL_NAME = " ".join(f"when regexp_matches(lower(source || '.pdf'), {lit(p)}) then {lit(c)}" for p, c in tx.BY_FILENAME)
+
+
+@query(
+    "classify_cascade",
+    f"""
+with c as ({SQL_CLASSIFY}),
+t as (select doc_id, case when length(trim(text)) > 50 then category end as by_text, case when category in ('membership_list') then 0.85 when category in ('ballot', 'violation') then 0.8 else case {SQL_SURE} end end as sure, case {SQL_NAME} end as by_name from documents join c using (doc_id))
+select doc_id, coalesce(by_text, by_name, case when doc_id % 2 = 0 then 'minutes' end) as category, cast(case when by_text is not null then sure when by_name is not null then 0.7 when doc_id % 2 = 0 then 1.0 end as double) as confidence from t
+""",
+)
 def classify_cascade(spark: SparkSession, d: str) -> DataFrame:
     """Text, then file name, then a model's verdict, whose JSON is checked."""
     verdict = tx.coerce_verdict(F.concat(F.lit('{"category": "'), F.when(F.col("doc_id") % 2 == 0, "Minutes").otherwise("poetry"), F.lit('", "confidence": 1.7}')))
@@ -121,21 +132,33 @@ def link_harvest(spark: SparkSession, d: str) -> DataFrame:
     return resolve.harvest_links(table(spark, d, "pages"))
 
 
-@query("pdf_candidates")
+def with_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Pages with links to documents and to lists of them after their own."""
+    listed = F.concat(*(F.lit(f'<a href="/forms/{k}">Papers</a>') for k in range(1, 8)))
+    added = F.concat(F.lit('<a href="/files/declaration-'), F.col("page_id").cast("string"), F.lit('.pdf">Paper</a><a href="/login/bylaws.pdf">Enter</a><a href="https://other.example/library">Elsewhere</a>'), listed)
+    return table(spark, d, "pages").withColumn("html", F.concat("html", added))
+
+
+SITE = "regexp_extract(url, '^(https?://[^/]+)', 1)"
+
+
+@query("pdf_candidates", f"select page_id, {SITE} || '/files/declaration-' || page_id || '.pdf' as url, true as is_pdf from pages")
 def pdf_candidates(spark: SparkSession, d: str) -> DataFrame:
-    return resolve.pdf_candidates(resolve.harvest_links(table(spark, d, "pages")))
+    return resolve.pdf_candidates(resolve.harvest_links(with_documents(spark, d))).select("page_id", "url", "is_pdf")
 
 
-@query("doc_subpages")
+@query("doc_subpages", f"select page_id, {SITE} || '/forms/' || k as url, cast(k as integer) as n from pages, range(1, 6) t(k)")
 def doc_subpages(spark: SparkSession, d: str) -> DataFrame:
-    pages = table(spark, d, "pages")
-    return resolve.doc_subpages(resolve.harvest_links(pages), pages)
+    """Seven lists are linked; five are taken."""
+    pages = with_documents(spark, d)
+    return resolve.doc_subpages(resolve.harvest_links(pages), pages).select("page_id", "url", "n")
 
 
 @query("chunk_documents")
 def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
     """Chunks of documents of one page each."""
-    return chunker.chunk(docs(spark, d).select(F.col("doc_id").alias("document_id"), F.lit(1).alias("number"), "text"))
+    page = F.struct(F.lit(1).alias("number"), F.col("text").alias("text"))
+    return chunker.chunk_documents(docs(spark, d).select(F.col("doc_id").alias("document_id"), F.array(page).alias("pages")))
 
 
 @query("checksums", "select doc_id, sha256(text) as checksum from documents")
@@ -169,12 +192,19 @@ def most_mentioned(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", tx.most_mentioned(found).alias("word")).where("word is not null")
 
 
-@query("proxy_context")
+@query("proxy_context", "select doc_id, array_to_string(list_slice(list_filter(string_split(text, chr(10)), lambda x: contains(lower(x), 'the') or contains(lower(x), 'le ') or contains(lower(x), 'der ')), 1, 6), chr(10) || chr(10)) as context from documents")
 def proxy_context(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", tx.proxy_context(F.split("text", "\n"), ["the", "le ", "der "]).alias("context"))
 
 
-@query("category_phrase")
+@query(
+    "category_phrase",
+    """
+with c as (select o_custkey as entity_id, o_orderpriority as category, count(*) as n from orders group by 1, 2),
+l as (select entity_id, list(n || ' ' || category order by n desc, category) as ws from c group by 1)
+select entity_id, case len(ws) when 1 then ws[1] when 2 then ws[1] || ' and ' || ws[2] else array_to_string(ws[1:len(ws) - 1], ', ') || ', and ' || ws[len(ws)] end as phrase from l
+""",
+)
 def category_phrase(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "orders").groupBy("o_custkey", F.col("o_orderpriority").alias("category")).agg(F.count(F.lit(1)).alias("n"))
     return n.groupBy(F.col("o_custkey").alias("entity_id")).agg(F.collect_list(F.struct("n", "category")).alias("c")).select("entity_id", tx.category_phrase(F.col("c")).alias("phrase"))

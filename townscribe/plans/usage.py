@@ -99,10 +99,10 @@ def cost_report(spark: SparkSession, d: str) -> DataFrame:
     return usage.cost_report(metered, fixed)
 
 
-@query("cost_formulas", "select l_orderkey as document_id, l_linenumber as line_no, round(l_quantity * 1000 / 1e6 * 0.02, 8) as embedding_cost, round(l_quantity * 0.0015, 8) as ocr_cost, round(l_quantity * 0.001, 8) as search_cost from lineitem where l_linenumber = 1")
+@query("cost_formulas", "select l_orderkey as document_id, l_linenumber as line_no, round(l_quantity * 1000 / 1e6 * 0.02, 8) as embedding_cost, round(l_quantity * 0.0015, 8) as ocr_cost, round(l_quantity * 0.001, 8) as search_cost from lineitem")
 def cost_formulas(spark: SparkSession, d: str) -> DataFrame:
     q = F.col("l_quantity")
-    return table(spark, d, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("line_no"), usage.embedding_cost(q * 1000).alias("embedding_cost"), usage.ocr_cost(q).alias("ocr_cost"), usage.search_cost(q).alias("search_cost"))
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("line_no"), usage.embedding_cost(q * 1000).alias("embedding_cost"), usage.ocr_cost(q).alias("ocr_cost"), usage.search_cost(q).alias("search_cost"))
 
 
 @query("event_props", "select event_id, cast(json_extract_string(props, '$.k') as bigint) as k from events")

@@ -100,18 +100,55 @@ def text_sidecar_ok(pages: Column) -> Column:
     return F.coalesce((F.size(pages) > 0) & F.forall(pages, lambda p: p["number"] > 0), F.lit(False))
 
 
-def write_manifest(df: DataFrame, path: str) -> None:
-    """Replace a table as a whole through a new folder, so a failed write leaves the old one."""
-    spark = df.sparkSession
-    new = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
-    df.write.parquet(new)
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    at, to = jvm.org.apache.hadoop.fs.Path(new), jvm.org.apache.hadoop.fs.Path(path)
-    fs = to.getFileSystem(conf)
-    if fs.exists(to):
-        fs.delete(to, True)
-    if not fs.rename(at, to):
-        raise OSError(f"could not put {new} in the place of {path}")
+class Stale(Exception):
+    """The table was replaced since it was read."""
+
+
+def _fs(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def generation(spark: SparkSession, path: str) -> str | None:
+    """The version of a table that ``write_manifest`` wrote; None if there is none."""
+    fs, at = _fs(spark, f"{path.rstrip('/')}/_generation")
+    if not fs.exists(at):
+        return None
+    stream = fs.open(at)
+    try:
+        return str(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
+def write_manifest(df: DataFrame, path: str, expected: str | None = None, check: bool = False) -> str:
+    """Replace a table as a whole and return its new version.
+
+    The new table is written beside the old one, which is then renamed aside, and goes only when the
+    new one has its name; if that fails the old one gets its name back.  With ``check`` the table
+    must still be of the ``expected`` version (None: absent), or Stale is raised.
+    """
+    spark, base, version = df.sparkSession, path.rstrip("/"), uuid.uuid4().hex
+    draft, aside = f"{base}.{version}", f"{base}.{version}.old"
+    df.write.parquet(draft)
+    fs, mark = _fs(spark, f"{draft}/_generation")
+    out = fs.create(mark, True)
+    out.write(bytearray(version, "utf-8"))
+    out.close()
+    (_, new), (_, to), (_, old) = (_fs(spark, x) for x in (draft, base, aside))
+    if check and generation(spark, base) != expected:
+        fs.delete(new, True)
+        raise Stale(f"{path} is no longer {expected}")
+    had = fs.exists(to)
+    if had and not fs.rename(to, old):
+        raise OSError(f"could not move {path} aside")
+    if not fs.rename(new, to):
+        if had:
+            fs.rename(old, to)
+        raise OSError(f"could not put {draft} in the place of {path}")
+    if had:
+        fs.delete(old, True)
+    return version
 
 
 def snapshot(tables: dict[str, DataFrame], path: str) -> None:

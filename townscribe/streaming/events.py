@@ -1,6 +1,7 @@
 """Streams over an append-only event log (event_id, ts, user_id, event_type, value).
 
-Each transform takes and gives a frame, streaming or not.  Watermarks bound the state.
+Each transform takes and gives a frame, streaming or not.  Watermarks bound the state where a stream
+appends; a replay in complete mode, as the registered queries use to give all windows, keeps them all.
 """
 
 from __future__ import annotations
@@ -63,7 +64,9 @@ def request_log(df: DataFrame, skip: tuple[str, ...] = ("/static", "/favicon", "
 def limiter(df: DataFrame, limit: int, seconds: int, late: str = "1 minute") -> DataFrame:
     """(user_id, event_id, ts, allowed): at most ``limit`` allowed events of a user in the trailing window.
 
-    State: a user's last allowed times, at most ``limit`` of them; it ends with its window.
+    State: a user's last allowed times, at most ``limit`` of them; it ends with its window.  A
+    decision is made once, when an event arrives: within a batch events are taken by time, a later
+    batch does not undo an earlier one.
     """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -99,7 +102,9 @@ def replay(df: DataFrame, mode: str = "append") -> DataFrame:
     import uuid
 
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="townscribe-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:  # the warehouse is shared; in local mode there is one machine
+        base = "file://" + tempfile.mkdtemp(prefix="townscribe-") if spark.sparkContext.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir")
     at = f"{base}/stream-{uuid.uuid4().hex}"
     if mode == "append":
         q = df.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
