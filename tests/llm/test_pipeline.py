@@ -6,7 +6,7 @@ corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 from townscribe.llm import decontamination, near_dup  # noqa: E402
 
-from .tables import DOC, sentence  # noqa: E402
+from .tables import DOC, awkward, sentence  # noqa: E402
 
 
 @pytest.fixture(scope="module")
@@ -57,3 +57,32 @@ def test_run_packs_what_is_kept(spark, folder):
 def test_stage_names_and_operators():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "near_duplicates", "decontamination", "packing"]
     assert near_dup.PERCENT == 75 and decontamination.SIMILARITY == 0.75
+
+
+CLASHES = ("kept_text", "n_lines", "n_dropped", "words", "key", "rep", "queue", "score", "label", "item", "part", "shingle", "n", "kept", "_v")
+
+
+def test_stages_with_awkward_rows(spark, folder, tmp_path):
+    """Nulls in any column, empty and long texts, repeated rows, extra columns: no stage drops or renames what it should not."""
+    from pyspark.sql import functions as F
+
+    rows = awkward(11) + [(None, None, None, None, None), (None, "text without an id that is long enough to be a shingle", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, DOC).withColumns({c: F.lit(7) for c in CLASHES})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns and out.where("kept_text <> 7 or n_lines <> 7 or n <> 7 or _v <> 7").count() == 0
+        if name != "near_duplicates":
+            assert out.count() == len(rows)  # nothing toxic or leaked here
+        else:  # empty texts are no duplicates
+            empty = [{r["doc_id"] for r in x.where("text is null or text = ''").collect()} for x in (docs, out)]
+            assert empty[0] == empty[1] >= {r[0] for r in rows if not r[1]}
+        docs = out
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, folder)
+    assert {r["doc_id"] for r in pieces.collect()} == {r["doc_id"] for r in docs.select("doc_id").collect()}
+
+
+def test_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], DOC).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []

@@ -18,7 +18,9 @@
 
 A text with fewer than five words is one shingle; texts without words, and null texts, have
 an empty set and link with nothing.  Rows that repeat a doc_id are one node.  A row without
-doc_id links with nothing and is kept.
+doc_id links with nothing and is kept.  doc_id must be an integer (TypeError otherwise), as the least
+of a component stays; ties can't be.  Texts may be long and are read whole.  Extra columns stay in
+``keep_one``, whatever their names (but ``_townscribe_``), and are ignored elsewhere.
 """
 
 from __future__ import annotations
