@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names
+from .sizes import broadcast_if_small
 
 
 def resolve_slug(queries: DataFrame, entities: DataFrame) -> DataFrame:
@@ -139,20 +140,30 @@ def merge_manifests(manifests: DataFrame) -> DataFrame:
 
     The first value of a scalar stays and a different later one is a conflict; the platform is
     the newest; aliases and documents (by sha256, first kept) are united; the best status wins.
+    All of it combines on the map side: no more of a key is gathered than its merged manifest holds.
     """
-    w = lambda c: F.element_at(F.filter(c, lambda x: F.coalesce(x, F.lit("")) != ""), 1)
-    g = manifests.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("ord", "name", "aliases", "city", "state", "platform", "status", "documents"))).alias("m"))
-    col = lambda f: F.transform("m", lambda x: x[f])
-    name = F.get(col("name"), F.lit(0))
-    aliases = F.array_sort(F.array_distinct(F.filter(F.concat(F.flatten(F.transform(col("aliases"), lambda a: F.coalesce(a, F.array().cast("array<string>")))), col("name")), lambda a: (F.coalesce(a, F.lit("")) != "") & (a != name))))
-    docs = F.flatten(F.transform(col("documents"), lambda d: F.coalesce(d, F.array().cast("array<struct<sha256:string,size:bigint>>"))))
-    first = F.filter(docs, lambda d, i: F.array_position(F.transform(docs, lambda x: x["sha256"]), d["sha256"]) == i + 1)
-    conflicts = lambda f: F.size(F.array_except(F.filter(col(f), lambda x: F.coalesce(x, F.lit("")) != ""), F.array(w(col(f)))))
+    order = F.struct("ord", "name")
+    filled = lambda c: F.nullif(F.col(c), F.lit(""))
+    when = lambda c: F.when(filled(c).isNotNull(), order)
+    others = lambda c: F.greatest(F.size(F.collect_set(filled(c))) - 1, F.lit(0))
     rank = F.array(*(F.lit(s) for s in STATUS))
-    best = F.element_at(rank, F.greatest(F.lit(1), F.array_max(F.transform(col("status"), lambda s: F.array_position(rank, s)))).cast("int"))
-    newest = F.element_at(F.filter(col("platform"), lambda x: F.coalesce(x, F.lit("")) != ""), -1)
-    safe = lambda c: F.when(F.size(F.filter(c, lambda x: F.coalesce(x, F.lit("")) != "")) > 0, w(c))
-    return g.select("key", name.alias("name"), aliases.alias("aliases"), safe(col("city")).alias("city"), safe(col("state")).alias("state"), F.when(F.size(F.filter(col("platform"), lambda x: F.coalesce(x, F.lit("")) != "")) > 0, newest).alias("platform"), best.alias("status"), first.alias("documents"), (F.coalesce(conflicts("city"), F.lit(0)) + F.coalesce(conflicts("state"), F.lit(0))).alias("conflicts"))
+    scalars = manifests.groupBy("key").agg(
+        F.min_by("name", order).alias("name"),
+        F.collect_set("name").alias("_names"),
+        F.min_by(filled("city"), when("city")).alias("city"),
+        F.min_by(filled("state"), when("state")).alias("state"),
+        F.max_by(filled("platform"), when("platform")).alias("platform"),
+        F.element_at(rank, F.greatest(F.lit(1), F.max(F.array_position(rank, F.col("status")))).cast("int")).alias("status"),
+        (others("city") + others("state")).cast("int").alias("conflicts"),
+    )
+    given = manifests.select("key", F.explode("aliases").alias("alias")).groupBy("key").agg(F.collect_set("alias").alias("_given"))
+    found = manifests.select("key", "ord", F.posexplode("documents").alias("pos", "d"))
+    found = found.groupBy("key", "d.sha256").agg(F.min(F.struct("ord", "pos", "d")).alias("f")).groupBy("key").agg(F.array_sort(F.collect_list("f")).alias("_found"))
+    j = scalars.join(given, "key", "left").join(found, "key", "left")
+    none = F.array().cast("array<string>")
+    named = F.filter(F.array_union(F.coalesce("_given", none), "_names"), lambda x: (F.coalesce(x, F.lit("")) != "") & (x != F.coalesce("name", F.lit(""))))
+    docs = F.coalesce(F.transform("_found", lambda x: x["d"]), F.array().cast("array<struct<sha256:string,size:bigint>>"))
+    return j.select("key", "name", F.array_sort(named).alias("aliases"), "city", "state", "platform", "status", docs.alias("documents"), "conflicts")
 
 
 # Query keys of signed urls.
@@ -205,9 +216,10 @@ def representative(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def signature_groups(rows: DataFrame, least: int = 4) -> DataFrame:
-    """Groups of at least two rows (entity_id, name) with the same signature of ``least`` characters or more."""
-    g = rows.withColumn("signature", names.signature(F.col("name"))).where(F.length("signature") >= least)
-    return g.groupBy("signature").agg(F.array_sort(F.collect_list("entity_id")).alias("entity_ids"), F.count(F.lit(1)).alias("n")).where("n >= 2")
+    """Rows (entity_id, name) that share a signature of ``least`` characters or more with another, with its number of rows; groups are not gathered."""
+    g = rows.select("entity_id", names.signature(F.col("name")).alias("signature")).where(F.length("signature") >= least)
+    n = g.groupBy("signature").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+    return g.join(broadcast_if_small(n), "signature")
 
 
 def crosswalk(rows: DataFrame, zips: DataFrame) -> DataFrame:

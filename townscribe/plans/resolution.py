@@ -150,11 +150,11 @@ def representative(spark: SparkSession, d: str) -> DataFrame:
     "signature_groups",
     f"""
 with s as (select p_partkey as id, array_to_string(list_filter(string_split(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '' and not list_contains({names.SIGNATURE_DROPS!r}, w)), ' ') as signature from part)
-select signature, string_agg(id, ',' order by id) as entity_ids, count(*) as n from s where length(signature) >= 4 group by 1 having count(*) >= 2
+select * from (select signature, id as entity_id, count(*) over (partition by signature) as n from s where length(signature) >= 4) where n >= 2
 """,
 )
 def signature_groups(spark: SparkSession, d: str) -> DataFrame:
-    return resolve.signature_groups(table(spark, d, "part").select(F.col("p_partkey").alias("entity_id"), F.col("p_name").alias("name"))).withColumn("entity_ids", F.array_join("entity_ids", ","))
+    return resolve.signature_groups(table(spark, d, "part").select(F.col("p_partkey").alias("entity_id"), F.col("p_name").alias("name")))
 
 
 @query(
