@@ -261,3 +261,35 @@ def test_states_and_names_from_urls(spark, data):
         assert r["name"] is None or regex.fullmatch(r"[a-z0-9]+(?:-[a-z0-9]+)*", r["name"]) and len(r["name"]) >= 3
     df = spark.createDataFrame([("https://x.org/a/Walton-Reserve-Declaration-Recorded.pdf",), ("https://x.org/a/12.pdf",), ("https://x.org/OakHollowBylaws2019.pdf?x=1",), ("https://x.org/amendment.pdf",)], "u string")
     assert [r["n"] for r in df.select(names.name_from_url(F.col("u")).alias("n")).collect()] == ["walton-reserve", None, "oak-hollow", None]
+
+
+def test_boilerplate_of_pages(spark, data):
+    pages = {r["page_id"]: r["html"] for r in table(spark, data, "pages")}
+    for r in run(spark, data, "boilerplate_strip"):
+        t = pages[r["page_id"]]
+        for p in (r"(?is)<script.*?>.*?</script>", r"(?is)<style.*?>.*?</style>", r"(?is)<[^>]+>"):
+            t = regex.sub(p, " ", t)
+        t = regex.sub(r"\s+", " ", t, flags=regex.A).strip(" ")
+        t = regex.sub(r"(\b20\d{2}\b\s*){5,}", " ", t)
+        t = regex.sub(r"(\b19\d{2}\b\s*){5,}", " ", t)
+        t = "\n".join(" " if len(x.split("|")) >= 4 and all(len(p.strip(" ")) < 40 for p in x.split("|")) else x for x in t.split("\n"))
+        t = regex.sub(r"(?i)Skip to [A-Za-z ]+", " ", t)
+        for phrase in tx.CHROME:
+            t = t.replace(phrase, " ")
+        t = regex.sub(r"[ \t]{2,}", " ", regex.sub(r"\s{3,}", "\n\n", t, flags=regex.A)).strip(" ")
+        assert r["text"] == t
+        long, words = (len(regex.findall(p, t)) for p in (r"[A-Za-z]{6,}", r"[A-Za-z]{3,}"))
+        hits = sum(bool(regex.search(p, t)) for p in tx.NAVIGATION)
+        assert r["navigation_heavy"] == (len(t) < 50 or not words or long / words < 0.15 or hits >= 3 or long < 30)
+
+
+def test_bucket_scores_of_links(spark, data):
+    links = {(r["page_id"], r["ord"]): r for r in run(spark, data, "link_harvest")}
+    got = run(spark, data, "bucket_scores")
+    assert len(got) == len(links)
+    for r in got:
+        link = links[r["page_id"], r["ord"]]
+        context, path = f"{link['url'].lower()} {link['text'].lower()}", urlparse(link["url"]).path.lower()
+        score = 3 * sum(k in context for k in ("proxy", "vote", "the")) + 20 * ("proxy" in context) + 8 * ("vote" in context or "voting" in context)
+        score += -6 * (path.count("/") <= 2) + 3 * ("/chapter" in path or "/article" in path) + 6 * ("/section" in path or "section-" in path)
+        assert (r["score"], r["kind"]) == (score, "condo" if "an" in link["text"].lower() else "coop" if "th" in link["text"].lower() else "hoa")
