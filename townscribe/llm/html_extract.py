@@ -2,7 +2,7 @@
 
 1. Tokens.  A page is a sequence of structural tokens, one an element, and of text tokens, one a
    block.  An element's token is its path: a hash of its parent's token and its own label (name,
-   class, id and role, digits folded).  A text token is a path with the block's words.
+   class, id and role; numbers of two digits or more are one).  A text token is a path with the block's words.
 2. Equivalence classes.  Tokens of a host that occur equally often on each of its pages share an
    occurrence vector.  A vector is four sums of hashes of (page, times), which add up on the map
    side, so a host with a third of all pages is spread over the tasks.
@@ -16,7 +16,7 @@
    text, one that is mostly links is navigation, a <form> with little text a form.
    Of the others the one with most varying text is the article, with the innermost <article> or
    <main> around it, or else the elements around it that hold nothing but content; a heading that
-   varies is its title.  Names (aside, comments, ...) settle what the vectors leave open: slots
+   varies (an <h1>, or else the one <h2> beside it) is its title.  Names (aside, comments, ...) settle what the vectors leave open: slots
    beside the article and elements that fewer than half of the pages have.
 5. Extraction.  The article's blocks on each page, less the template's texts and the other slots.
    A page alone on its host, or without the host's article, is judged by its own tokens.
@@ -67,12 +67,12 @@ MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 WORD = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
-DIGITS = re.compile(r"\d+")
+DIGITS = re.compile(r"\d\d+")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 RAW_END = {t: re.compile(rf"</{t}\b[^>]*(?:>|\Z)", re.I) for t in RAW}
 
 #: Bits of an element: hidden, named like readers' comments, like an aside, <h1>, <form>, <html> or <body>, a text token; above them its rank as an article.
-GONE, COMMENT, ASIDE, TITLE, FORM, FRAME, TEXT, RANK = 1, 2, 4, 8, 16, 32, 64, 128
+GONE, COMMENT, ASIDE, TITLE, FORM, FRAME, TEXT, SECOND, RANK = 1, 2, 4, 8, 16, 32, 64, 128, 256
 #: Characters of text a control that make a form more than a form.
 FORM_TEXT = 200
 MASK, BASE = 2**64 - 1, 0x9E3779B97F4A7C15
@@ -113,7 +113,7 @@ def _is_aside(word: str, vocabulary: frozenset) -> bool:
 def _label(name: str, attributes: str) -> tuple[bytes, int]:
     """An element's label and bits, from its name and attributes alone."""
     label, rank = name, 3 if name == "article" else 2 if name == "main" else 0
-    flags = (ASIDE if name in BESIDE else 0) | (TITLE if name == "h1" else 0) | (FORM if name == "form" else 0) | (FRAME if name in ("html", "body") else 0)
+    flags = (ASIDE if name in BESIDE else 0) | (TITLE if name == "h1" else 0) | (FORM if name == "form" else 0) | (SECOND if name == "h2" else 0) | (FRAME if name in ("html", "body") else 0)
     if attributes.strip():
         a = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
         named = f"{a.get('class', '')} {a.get('id', '')} {a.get('role', '')}".split()
@@ -394,6 +394,9 @@ def roles(slots: Iterable[Slot]) -> tuple[set[int], set[int]]:
     keep = {article}
     if not any(t in inside for t in titles):
         keep |= {t for t in titles if not under[t] and not (valid[t].same and not copies)}
+        if len(keep) == 1:  # no <h1>: the one <h2> that stands beside the article
+            beside = [t for t in order if valid[t].flags & SECOND and around[t] == around[article] and not under[t]]
+            keep |= set(beside) if len(beside) == 1 else set()
     return keep, {t for t in order if off[t]} - way
 
 
