@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontamination, fingerprints, html_extract, language, line_dedup, near_dup, packing, quality, substring_dedup, toxicity
+from . import common, decontamination, fingerprints, html_extract, language, line_dedup, near_dup, packing, quality, substring_dedup, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -115,3 +115,17 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     common.tune(spark)
     return html_extract.main_text(common.read(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+#: (host, path, verdict)
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+@query
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest rule that fits each page's url, and its verdict."""
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filter.judge(common.read(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+ORACLES["op13_url_filters"] = url_filter.ORACLE
