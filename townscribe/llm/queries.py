@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontamination, fingerprints, html_extract, language, line_dedup, near_dup, packing, quality, substring_dedup, toxicity, url_filter
+from . import common, decontamination, fingerprints, html_extract, language, lexical, line_dedup, near_dup, packing, quality, substring_dedup, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -129,3 +129,13 @@ def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op13_url_filters"] = url_filter.ORACLE
+
+
+@query
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of every benchmark item."""
+    common.tune(spark)
+    return lexical.search(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op11_lexical_search"] = lexical.ORACLE
