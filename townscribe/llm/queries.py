@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontamination, fingerprints, html_extract, language, lexical, line_dedup, near_dup, packing, quality, substring_dedup, toxicity, url_filter
+from . import common, decontamination, fingerprints, html_extract, language, lexical, line_dedup, near_dup, packing, quality, substring_dedup, token_alignment, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -139,3 +139,11 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op11_lexical_search"] = lexical.ORACLE
+
+
+@query
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the tokens of two tokenizers meet in every document, with a digest of the groups."""
+    common.tune(spark)
+    docs = common.read(spark, sf_dir, "documents").withColumn("doc_id", F.col("doc_id").cast("long"))
+    return token_alignment.align(docs, digest=True).withColumnRenamed("groups", "groups_sha256")
