@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import table
 from ..streaming import events as ev
+from ..streaming import worker
 from .registry import query
 from .rollups import stamp
 
@@ -63,3 +64,33 @@ def stream_limiter(spark: SparkSession, d: str) -> DataFrame:
 def append_log_filter(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "pages").select("page_id", "url", F.col("url").alias("path"), F.lit("agent").alias("user_agent"))
     return ev.request_log(rows, skip=("http://m.", "https://m.")).select("page_id", "url")
+
+
+def _outcome(job: dict, attempt: int) -> str | None:
+    """Jobs fail as often as their id modulo five."""
+    return f"attempt {attempt} failed" if attempt <= job["job_id"] % 5 else None
+
+
+@query(
+    "queue_worker",
+    """
+with tries(attempt, offset_s) as (values (1, 0), (2, 5), (3, 15)),
+due as (
+  select event_id as job_id, attempt, epoch_us(ts) // 1000 + 1000 * offset_s as at_ms, attempt <= event_id % 5 as failed
+  from events, tries where attempt <= event_id % 5 + 1)
+select job_id, cast(attempt as integer) as attempt, at_ms,
+  case when not failed then 'done' when attempt = 3 then 'dead' else 'pending' end as status,
+  case when failed then 'attempt ' || attempt || ' failed' end as error,
+  case when failed and attempt < 3 then at_ms + 5000 * cast(2 ** (attempt - 1) as bigint) end as next_ms
+from due where at_ms <= (select max(epoch_us(ts) // 1000) from events)
+""",
+)
+def queue_worker(spark: SparkSession, d: str) -> DataFrame:
+    """Every event as a job of the retrying worker, replayed to the last event's time."""
+    jobs = ev.stream(spark, d).select(F.col("event_id").alias("job_id"), F.col("ts").alias("enqueued_at"))
+    undo = worker.with_rocks(spark)
+    try:
+        out = ev.replay(worker.work(jobs, _outcome))
+    finally:
+        undo()
+    return out.select("job_id", "attempt", F.unix_millis("at").alias("at_ms"), "status", "error", F.unix_millis("next_try").alias("next_ms"))
