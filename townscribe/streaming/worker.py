@@ -1,17 +1,19 @@
 """A queue worker as a stateful stream: jobs are tried, tried again after a growing pause, and given up.
 
-One key of state a job holds its attempts, its status and the time of its next try; a timer brings it
-back then. The log of jobs may be replayed: with event time a retry falls due when the watermark has passed it, so the
-same log gives the same attempts in any number of batches and after any restart. With processing time
-retries wait for the clock, as a live worker does.
-
-State is bounded: a settled job is remembered for ``remember`` seconds, in which a repeated submission is ignored, and
-then forgotten. Results are appended by batch; ``put_batches`` writes each batch to a folder of its own and replaces what an
-earlier try of the same batch left there, so a batch that is run again changes nothing.
+Jobs are dealt to shards by a hash of their key. A shard's state holds the attempts, status and next try of its
+jobs; a timer brings it back when the next is due. With event time a retry falls due when the watermark has passed
+it, so the same log gives the same attempts in any number of batches and after any restart. With processing
+time retries wait for the clock, as a live worker does.
+
+A shard's state is bounded by the jobs that are pending or were settled lately: raise ``shards`` with the load. A
+settled job is remembered for ``remember`` seconds, in which a repeated submission is ignored, and then forgotten.
+Results are appended by batch; ``put_batches`` writes each batch to a folder of its own and replaces what an earlier
+try of the same batch left there, so a batch that is run again changes nothing.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -22,6 +24,8 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 #: Tries of a job, and the pause after the n-th failure: base * 2^(n-1) seconds, at most cap.
 MAX_ATTEMPTS, BASE_SECONDS, CAP_SECONDS = 3, 5.0, 120.0
+#: Groups of jobs that share a row of state.
+SHARDS = 64
 #: Characters of an error that are kept.
 ERROR_CHARS = 2000
 ATTEMPT = "attempt int, at timestamp, status string, error string, next_try timestamp"
@@ -34,38 +38,49 @@ def pause_ms(attempt: int, base: float = BASE_SECONDS, cap: float = CAP_SECONDS)
 
 
 class Worker(StatefulProcessor):
-    """Tries one job; ``process(job, attempt)`` gives None or an error, and may raise one."""
+    """Tries the jobs of a shard; ``process(job, attempt)`` gives None or an error, and may raise one.
 
-    def __init__(self, process: Callable[[dict[str, Any], int], str | None], key: str, columns: list[str], clock: bool, most: int, base: float, cap: float, remember: int) -> None:
-        self.process, self.key, self.columns, self.clock = process, key, columns, clock
+    The state of a shard is one value (its jobs that are pending or still remembered) and the timer of the earliest
+    of them, so that a batch costs a few calls to the state store a shard, not some a job.
+    """
+
+    def __init__(self, process: Callable[[dict[str, Any], int], str | None], key: str, clock: bool, most: int, base: float, cap: float, remember: int) -> None:
+        self.process, self.key, self.clock = process, key, clock
         self.most, self.base, self.cap, self.remember = most, base, cap, remember
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.job = handle.getValueState("job", "attempts int, status string, due long, payload string")
+        self.jobs = handle.getValueState("jobs", "held string")
 
     def _now(self, timers: Any) -> int:
         return timers.getCurrentProcessingTimeInMs() if self.clock else timers.getCurrentWatermarkInMs()
 
-    def _run(self, key: Any, attempts: int, due: int, payload: str, now: int) -> list[tuple]:
-        """All attempts that are due by ``now``; leaves state and timer for the next."""
-        import json
+    def _held(self) -> dict[Any, list]:
+        return {k: v for k, *v in json.loads(self.jobs.get()[0])} if self.jobs.exists() else {}
+
+    def _keep(self, held: dict[Any, list]) -> None:
+        """Store the jobs (attempts, status, due, payload by key) and come back for the earliest."""
+        if held:
+            self.jobs.update((json.dumps([[k, *v] for k, v in held.items()]),))
+            self.handle.registerTimer(min(v[2] for v in held.values()))
+        else:
+            self.jobs.clear()
 
-        out, job, status = [], json.loads(payload), "pending"
+    def _run(self, key: Any, held: dict[Any, list], attempts: int, due: int, payload: str | None, now: int) -> list[tuple]:
+        """All attempts of a job that are due by ``now``."""
+        out, job = [], json.loads(payload)
         while True:
             attempts += 1
             try:
                 error = self.process(job, attempts)
             except Exception as e:  # noqa: BLE001  a failing job is what this is about
                 error = f"{type(e).__name__}: {e}"
-            at = due
             status = "done" if error is None else "dead" if attempts >= self.most else "pending"
-            due = at + (pause_ms(attempts, self.base, self.cap) if status == "pending" else self.remember * 1000)
+            at, due = due, due + (pause_ms(attempts, self.base, self.cap) if status == "pending" else self.remember * 1000)
             out.append((key, attempts, at, status, None if error is None else error[:ERROR_CHARS], due if status == "pending" else None))
             if status != "pending" or due > now:
                 break
-        self.job.update((attempts, status, due, payload))
-        self.handle.registerTimer(due)
+        held[key] = [attempts, status, due, payload if status == "pending" else None]
         return out
 
     def _frame(self, rows: list[tuple]) -> Iterator[pd.DataFrame]:
@@ -76,33 +91,33 @@ class Worker(StatefulProcessor):
             yield out
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        now, out = self._now(timerValues), []
-        for t, payload in sorted(t for f in rows for t in zip(f["due_ms"], f["payload"], strict=True)):
-            t = now if self.clock else int(t)
-            if self.job.exists():
-                attempts, status, due, known = self.job.get()
+        now, out, held = self._now(timerValues), [], self._held()
+        for t, job, payload in sorted(t for f in rows for t in zip(f["due_ms"].tolist(), f["job"].tolist(), f["payload"].tolist(), strict=True)):
+            t = now if self.clock else t
+            if job in held:
+                attempts, status, due, known = held[job]
                 if status == "pending" and due <= t:
-                    out += self._run(key[0], attempts, due, known, t)
-                    _, status, due, _ = self.job.get()
+                    out += self._run(job, held, attempts, due, known, t)
+                    _, status, due, _ = held[job]
                 if status == "pending" or due > t:
                     continue  # enqueued before, and not forgotten by then
-            out += self._run(key[0], 0, t, payload, now)
+            out += self._run(job, held, 0, t, payload, now)
+        self._keep(held)
         return self._frame(out)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        if not self.job.exists():
-            return iter(())
-        attempts, status, due, payload = self.job.get()
-        if due > expiredTimerInfo.getExpiryTimeInMs():
-            return iter(())  # an older timer
-        if status != "pending":
-            self.job.clear()
-            return iter(())
-        now = self._now(timerValues)
-        return self._frame(self._run(key[0], attempts, now if self.clock else due, payload, now))
-
-
-def work(jobs: DataFrame, process: Callable[[dict[str, Any], int], str | None], key: str = "job_id", ts: str = "enqueued_at", late: str = "0 seconds", clock: bool = False, most: int = MAX_ATTEMPTS, base: float = BASE_SECONDS, cap: float = CAP_SECONDS, remember: int = 7 * 86_400) -> DataFrame:
+        now, out, held = self._now(timerValues), [], self._held()
+        for job, (attempts, status, due, payload) in list(held.items()):
+            if due <= now:
+                if status == "pending":
+                    out += self._run(job, held, attempts, now if self.clock else due, payload, now)
+                else:
+                    del held[job]
+        self._keep(held)
+        return self._frame(out)
+
+
+def work(jobs: DataFrame, process: Callable[[dict[str, Any], int], str | None], key: str = "job_id", ts: str = "enqueued_at", late: str = "0 seconds", clock: bool = False, most: int = MAX_ATTEMPTS, base: float = BASE_SECONDS, cap: float = CAP_SECONDS, remember: int = 86_400, shards: int = SHARDS) -> DataFrame:
     """(key, attempt, at, status, error, next_try): an appended row for each attempt of each job of a stream.
 
     ``status`` is done, dead (the last attempt failed) or pending (to be tried at ``next_try``). Times are
@@ -112,10 +127,11 @@ def work(jobs: DataFrame, process: Callable[[dict[str, Any], int], str | None],
     rows = jobs.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).withColumn(ts, F.col(ts).cast("timestamp"))
     if not clock:
         rows = rows.withWatermark(ts, late)
-    rows = rows.select(key, ts, F.unix_millis(ts).alias("due_ms"), F.to_json(F.struct(*(c for c in jobs.columns))).alias("payload"))
+    shard = F.pmod(F.xxhash64(key), F.lit(shards)).alias("shard")
+    rows = rows.select(shard, F.col(key).alias("job"), ts, F.unix_millis(ts).alias("due_ms"), F.to_json(F.struct(*jobs.columns)).alias("payload"))
     kind = jobs.schema[key].dataType.simpleString()
-    made = Worker(process, key, jobs.columns, clock, most, base, cap, remember)
-    return rows.groupBy(key).transformWithStateInPandas(made, f"`{key}` {kind}, {ATTEMPT}", "Append", "ProcessingTime" if clock else "EventTime")
+    made = Worker(process, key, clock, most, base, cap, remember)
+    return rows.groupBy("shard").transformWithStateInPandas(made, f"`{key}` {kind}, {ATTEMPT}", "Append", "ProcessingTime" if clock else "EventTime")
 
 
 def with_rocks(spark: SparkSession) -> Callable[[], None]:
