@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import usage, windows
+from ..operators import admission, usage, windows
 from ..sources.tables import table
 from .registry import query
 from .rollups import stamp
@@ -108,3 +108,14 @@ def cost_formulas(spark: SparkSession, d: str) -> DataFrame:
 @query("event_props", "select event_id, cast(json_extract_string(props, '$.k') as bigint) as k from events")
 def event_props(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+
+
+@query("spend_admission")
+def spend_admission(spark: SparkSession, d: str) -> DataFrame:
+    """Every event asks its type's budget of the last 24 hours for its value; refused ones spend nothing.
+
+    The budget is 1.05 times what a type asks for on a mean day, so some hours are contested at any size.
+    """
+    asked = events(spark, d).select(F.col("event_id").alias("request_id"), F.col("event_type").alias("service"), "ts", F.col("value").alias("cost"))
+    mean = asked.agg(F.sum("cost") / F.countDistinct("service", F.to_date("ts"))).first()[0]
+    return admission.admit(asked, round(1.05 * mean, 2))
