@@ -300,15 +300,16 @@ def test_hidden_rows_and_blobs(spark):
     assert [r["x"] for r in blob.select(vectors.decode(F.col("b")).alias("x")).collect()] == [[1.5, -2.0], None]
 
 
-def test_nearest_in_tasks_and_by_join_are_the_same(spark, data, monkeypatch):
+def test_nearest_are_the_same_in_any_blocks(spark, data):
+    from townscribe.operators import vector_index
     from townscribe.plans import vectors as plans
 
     v, q = plans.tables(spark, data)
-    get = lambda score: sorted(tuple(r) for r in vectors.knn(v, q, 4, score=score).collect())
-    local = {s: get(s) for s in ("cosine", "l2")}
-    monkeypatch.setattr(vectors, "QUERIES", 0)
-    for s, rows in local.items():
-        assert rows == get(s) and len(rows) == 4 * q.count()
+    for s in ("cosine", "l2"):
+        rows = sorted(tuple(r) for r in vectors.knn(v, q, 4, score=s).collect())
+        index = vector_index.build(v, s, block=8, pivots=5)
+        assert rows == sorted(tuple(r) for r in vector_index.search(index, q, 4, query_block=3).select("query_id", "partition", "vec_id", "score", "rank").collect())
+        assert len(rows) == 4 * q.count()
 
 
 def test_citations_stop_at_25_and_gaps_lower_confidence(spark):

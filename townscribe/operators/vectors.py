@@ -1,9 +1,6 @@
-"""Exact nearest neighbours over array columns, for sets of queries.
+"""Exact nearest neighbours over array columns, for sets of queries of any size (``vector_index``).
 
-Vectors stay where they are: the queries, if a count shows them small, go to every task, which
-scores its vectors in blocks of numpy and hands on its own k best of each query.  Larger query sets
-meet the vectors on their partition key in a shuffled join.  Hidden rows are filtered before k, so
-k rows come back if there are k.
+Hidden rows are filtered before k, so k rows come back if there are k.
 """
 
 from __future__ import annotations
@@ -12,11 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import vector_index
 from .catalog import top_per_group
-from .sizes import is_small
-
-#: Queries that every task may hold: they are the rows of its score matrices.
-QUERIES = 10_000
+from .shared import materialize
+from .sizes import broadcast_if_small
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -46,69 +42,13 @@ def visible(rows: DataFrame, reason: str = "hidden_reason", include_hidden: bool
     return rows if include_hidden else rows.where(F.coalesce(F.col(reason), F.lit("")) == "")
 
 
-def _scores(vectors, query, score: str):
-    """Scores of all vectors (rows) for all queries (columns) as float64 matrices."""
-    import numpy as np
-
-    dots = vectors @ query.T
-    a, b = (vectors * vectors).sum(axis=1), (query * query).sum(axis=1)
-    if score == "cosine":
-        return dots / ((np.sqrt(a) + 1e-10)[:, None] * (np.sqrt(b) + 1e-10)[None, :])
-    return 1 - np.sqrt(np.maximum(a[:, None] + b[None, :] - 2 * dots, 0)) / 2
-
-
-def _local_best(vectors: DataFrame, q: DataFrame, k: int, score: str, partition: str, digits: int) -> DataFrame:
-    """Each task's k best vectors for each query of the same partition; ``q`` is small."""
-    import numpy as np
-    import pyarrow as pa
-
-    table = q.toArrow()
-    shipped = vectors.sparkSession.sparkContext.broadcast((table.column("query_id").to_pylist(), table.column("_p").to_pylist(), table.column("_v").to_pylist()))
-    kinds = [q.schema["query_id"].dataType, vectors.schema[partition].dataType, vectors.schema["vec_id"].dataType]
-
-    def run(batches):
-        ids, parts, rows = shipped.value
-        groups = {}
-        for i, (p, v) in enumerate(zip(parts, rows, strict=True)):
-            if v is not None:
-                groups.setdefault(p, []).append(i)
-        matrix = {p: np.array([rows[i] for i in g], dtype=np.float64) for p, g in groups.items()}
-        best = {}
-        for b in batches:
-            of, vec, emb = b.column(partition).to_pylist(), b.column("vec_id").to_pylist(), b.column("embedding").to_pylist()
-            here = {}
-            for i, (p, e) in enumerate(zip(of, emb, strict=True)):
-                if p in groups and e is not None and vec[i] is not None:
-                    here.setdefault(p, []).append(i)
-            for p, at in here.items():
-                s = np.round(_scores(np.array([emb[i] for i in at], dtype=np.float64), matrix[p], score), digits)
-                names = np.array([vec[i] for i in at])
-                for j, i in enumerate(groups[p]):
-                    order = np.lexsort((names, -s[:, j]))[:k]
-                    best[i] = sorted(best.get(i, []) + [(-s[o, j], vec[at[o]]) for o in order])[:k]
-        out = [(ids[i], parts[i], v, float(-s)) for i, found in best.items() for s, v in found]
-        cols = list(zip(*out, strict=True)) or [()] * 4
-        yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols[:3], types, strict=True)), pa.array(cols[3], pa.float64())], ["query_id", partition, "vec_id", "score"])
-
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    types = [to_arrow_type(t) for t in kinds]
-    return vectors.select(partition, "vec_id", "embedding").mapInArrow(run, f"query_id {kinds[0].simpleString()}, {partition} {kinds[1].simpleString()}, vec_id {kinds[2].simpleString()}, score double")
-
-
 def knn(vectors: DataFrame, queries: DataFrame, k: int, score: str = "cosine", partition: str = "partition", digits: int = 6) -> DataFrame:
     """The k best vectors (vec_id, partition, embedding) for each query (query_id, vector, partition).
 
     Scores are rounded before they are compared, so that ties are ties on any engine; the
     least vec_id wins them.
     """
-    f = {"cosine": cosine, "l2": l2_score}[score]
-    q = queries.select("query_id", F.col("vector").alias("_v"), F.col(partition).alias("_p"))
-    if is_small(q, QUERIES):
-        rows = _local_best(vectors, q, k, score, partition, digits)
-    else:
-        rows = vectors.join(q, F.col(partition) == F.col("_p")).select("query_id", partition, "vec_id", F.round(f(F.col("embedding"), F.col("_v")), digits).alias("score"))
-    return top_per_group(rows, ["query_id", partition], [F.desc("score"), F.asc("vec_id")], k)
+    return vector_index.search(vector_index.build(vectors, score, partition), queries, k, partition, digits)
 
 
 def knn_multi(vectors: DataFrame, queries: DataFrame, k: int, partition: str = "partition") -> DataFrame:
@@ -142,7 +82,9 @@ def context(hits: DataFrame, chunks: DataFrame, most_chars: int = 6000) -> DataF
     from pyspark.sql import Window
 
     head = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "))
-    rows = hits.join(chunks.select("vec_id", "text"), "vec_id").withColumn("part", F.concat(head, F.col("text")))
+    # hits are few and short, texts are not: these stay where they are if the hits allow it
+    hits = broadcast_if_small(materialize(hits.select("query_id", "vec_id", "rank"), "hits"))
+    rows = chunks.select("vec_id", "text").join(hits, "vec_id").withColumn("part", F.concat(head, F.col("text")))
     w = Window.partitionBy("query_id").orderBy("rank")
     rows = rows.withColumn("_left", most_chars - F.sum(F.length("part") + 2).over(w) + F.length("part") + 2)
     rows = rows.where(F.col("_left") > F.length(head)).withColumn("part", F.col("part").substr(F.lit(1), F.col("_left").cast("int")))
