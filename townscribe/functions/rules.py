@@ -1,9 +1,10 @@
-"""Ordered rules over names, links and registry rows.  Rule tables are parameters; the defaults are short."""
+"""Ordered rules over names, links and registry rows.  Rule tables are parameters."""
 
 from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,7 +51,12 @@ LIKELY_JUNK = [
     r"^Restrictive\b", r"^Protective\b", r"^PROTECTIVE\b", r"^Subdivision\b", r"^Untitled\b", r"^Test\b", r"^[A-Z][a-z]+$", r"^Powder Ridge$", r"^Bentonville$", r"^Northbrook$",
     r"^Subdivision HOA$", r"^\d{3,5}\s+\w+\s+(Street|Road|Avenue|Drive|Lane|Way|Place|Boulevard)\b",
 ]
-FRAGMENTS = r"(?i)\bStormwater\s+Drainage\b|\bZONING\s+UPDATE\b|^Summary\s+of\b|^Staff\s+Analysis|^(?:January|February|March)\s+\d+,?\s+\d{4}|\bBoard\s+of\s+County\s+Commissioners\b|\bTo\s+Whom\s+It\s+May\s+Concern\b"
+# Patterns of document fragments that were taken for names, without case.
+FRAGMENTS = [
+    r"\bStormwater\s+Drainage\b", r"\bZONING\s+UPDATE\b", r"^R\s+E\s+S\s+O\s+L\s+U\s+T\s+I\s+O\s+N", r"^Summary\s+of\b", r"^Staff\s+Analysis",
+    r"^January\s+\d+,?\s+\d{4}", r"^February\s+\d+,?\s+\d{4}", r"^March\s+\d+,?\s+\d{4}", r"^Madison\s+County\s+Zoning", r"\bSloa\s+Bulletin\b",
+    r"\bBoard\s+of\s+County\s+Commissioners\b", r"\bTo\s+Whom\s+It\s+May\s+Concern\b",
+]
 REGISTRY_STATES = ["HI", "DC"]
 
 
@@ -77,7 +83,7 @@ def non_entity(name: Column, safe: list[str] = SAFE_NAMES, sure: list[str] = SUR
 def keeps_entity(name: Column, state: Column) -> Column:
     """Whether a name is an entity's: no document fragment, and from a public registry or hinting at an association."""
     n = F.coalesce(name, F.lit(""))
-    return ~n.rlike(FRAGMENTS) & (F.upper(F.coalesce(state, F.lit(""))).isin(REGISTRY_STATES) | n.rlike(ENTITY_HINT))
+    return ~n.rlike("(?i)" + "|".join(FRAGMENTS)) & (F.upper(F.coalesce(state, F.lit(""))).isin(REGISTRY_STATES) | n.rlike(ENTITY_HINT))
 
 
 def restore_or_keep(name: Column, state: Column) -> Column:
@@ -189,8 +195,18 @@ def best_outline(results: DataFrame) -> DataFrame:
 
 
 # Registry names that are, and are not, associations; types by name and by entity type.
-REGISTRY_NAME = r"(?i)\b(HOMEOWNERS?|OWNERS|CONDOMINIUMS?|CONDO|COOPERATIVE|CO-?OP|TENANTS?\s+CORP|HDFC|TOWNHOMES?|PROPERTY\s+OWNERS|CIVIC\s+ASSOC)"
-REGISTRY_REJECT = r"(?i)\b(CHURCH|MINISTRY|TEMPLE|PARENT\s+TEACHER|PTA|ALUMNI|VETERAN|VFW|BOOSTER|ATHLETIC|YACHT\s+CLUB|GOLF\s+CLUB|FRATERN|SORORITY|MASONIC|LODGE|ROTARY|HOSPITAL|BAR\s+ASSOC|CHAMBER\s+OF|MERCHANTS?\s+ASSOC|REALTY\s+ASSOC|BLOCK\s+ASSOC|TENANTS?\s+UNION|TENANTS?\s+ASSOC|MUSEUM|FOUNDATION|SCHOLARSHIP)\b"
+REGISTRY_NAME = [
+    r"CONDOMINIUM(S)?", r"CONDO(S)?", r"HOMEOWNERS?\s+ASSOC(IATION)?S?", r"HOME\s+OWNERS?\s+ASSOC(IATION)?S?", r"HOA", r"OWNERS?\s+ASSOC(IATION)?S?", r"COMMUNITY\s+ASSOC(IATION)?S?",
+    r"PROPERTY\s+OWNERS?\s+ASSOC(IATION)?S?", r"TENANTS?\s+CORP(ORATION)?", r"TENANTS?\s+CO\-?OP(ERATIVE)?", r"HOUSING\s+CORP(ORATION)?", r"HOUSING\s+CO\-?OP(ERATIVE)?",
+    r"COOPERATIVE\s+APART(MENT)?S?", r"APARTMENT\s+CORP(ORATION)?", r"APARTMENT\s+CO\-?OP(ERATIVE)?", r"MUTUAL\s+HOUSING", r"RESIDENTIAL\s+ASSOC(IATION)?S?", r"TOWNHOUSE\s+ASSOC(IATION)?S?",
+    r"TOWN\s*HOUSE\s+ASSOC(IATION)?S?", r"TOWNHOMES?\s+ASSOC(IATION)?S?", r"VILLAGE\s+ASSOC(IATION)?S?", r"GARDEN\s+APART(MENT)?S?", r"HDFC", r"OWNERS,?\s+(INC|CORP|LLC|LTD)",
+]
+REGISTRY_REJECT = [
+    r"CHURCH", r"MINISTRY", r"TEMPLE", r"SYNAGOGUE", r"MOSQUE", r"CONGREGATION", r"CATHEDRAL", r"PARENT\s+TEACHER", r"PTA", r"PTO", r"ALUMNI", r"VETERAN", r"VFW", r"AMERICAN\s+LEGION",
+    r"BOOSTER", r"ATHLETIC", r"YACHT\s+CLUB", r"GOLF\s+CLUB", r"FRATERN", r"SORORITY", r"MASONIC", r"LODGE", r"ROTARY", r"KIWANIS", r"LIONS\s+CLUB", r"MEDICAL\s+ASSOC", r"DENTAL\s+ASSOC",
+    r"HOSPITAL", r"BAR\s+ASSOC", r"CHAMBER\s+OF", r"BUSINESS\s+IMPROVEMENT\s+DIST", r"NEIGHBORHOOD\s+IMPROVEMENT", r"MERCHANTS?\s+ASSOC", r"LANDLORDS?\s+ASSOC", r"REALTORS?\s+ASSOC",
+    r"REALTY\s+ASSOC", r"BLOCK\s+ASSOC", r"TENANTS?\s+UNION", r"TENANTS?\s+ASSOC", r"MUSEUM", r"FOUNDATION", r"SCHOLARSHIP",
+]
 CONDO = r"\bCONDOMINIUM(S)?\b|\bCONDO(S)?\b|\bC\.?O\.?A\.?\b"
 COOP = r"\bHDFC\b|\bTENANTS?\s+CORP\b|\bAPARTMENT\s+CORP\b|\bCOOPERATIVE\b|\bCO\-?OP\b|\bMUTUAL\s+HOUSING\b|\bHOUSING\s+CORP\b|\bHOUSING\s+DEVELOPMENT\s+FUND\b"
 OWNERS = r"\bOWNERS,?\s+(INC|CORP|LLC|LTD)\b"
@@ -202,13 +218,25 @@ def registry_type(name: Column, entity_type: Column) -> Column:
 
 
 def registry_cascade(rows: DataFrame, kept_types: list[str]) -> DataFrame:
-    """Registry rows (ord, name, entity_type) with a reason (written, or why not) and the association's type."""
+    """Registry rows (ord, name, entity_type) with a reason (written, or why not) and the association's type.
+
+    Of the rows of one name that pass the rest the one of the least ``ord``, which is unique, is written. Only the
+    least of each name is looked for, and joined back, so a name of any number of rows is never gathered.
+    """
     n = F.trim(F.coalesce("name", F.lit("")))
-    stage = F.when(n == "", "skip_empty_name").when(~any_of(F.upper(F.coalesce("entity_type", F.lit(""))), kept_types), "skip_entity_type").when(~n.rlike(REGISTRY_NAME), "skip_no_keyword").when(n.rlike(REGISTRY_REJECT), "skip_rejected_pattern")
+    one_of = lambda ps: n.rlike(rf"(?i)\b({'|'.join(ps)})\b")
+    stage = F.when(n == "", "skip_empty_name").when(~any_of(F.upper(F.coalesce("entity_type", F.lit(""))), kept_types), "skip_entity_type").when(~one_of(REGISTRY_NAME), "skip_no_keyword").when(one_of(REGISTRY_REJECT), "skip_rejected_pattern")
+    typed = lambda r: r.withColumn("metadata_type", F.when(F.col("reason") == "written", registry_type(n, F.col("entity_type")))).drop("_stage", "_name")
     rows = rows.withColumn("_stage", stage).withColumn("_name", F.regexp_replace(F.upper(n), r"\s+", " "))
-    nth = F.row_number().over(Window.partitionBy("_stage", "_name").orderBy("ord"))
-    reason = F.when(F.col("_stage").isNotNull(), F.col("_stage")).when(nth > 1, "skip_dup_name").otherwise("written")
-    return rows.withColumn("reason", reason).withColumn("metadata_type", F.when(F.col("reason") == "written", registry_type(n, F.col("entity_type")))).drop("_stage", "_name")
+    good = rows.where("_stage is null")
+    first = good.groupBy("_name").agg(F.min("ord").alias("_first"))
+    kept = good.join(first, "_name").withColumn("reason", F.when(F.col("ord") == F.col("_first"), "written").otherwise("skip_dup_name")).drop("_first")
+    return typed(rows.where("_stage is not null").withColumn("reason", F.col("_stage"))).unionByName(typed(kept))
+
+
+def stage_counts(rows: DataFrame) -> DataFrame:
+    """(reason, rows): how many rows of a cascade were written, and refused for each reason."""
+    return rows.groupBy("reason").agg(F.count(F.lit(1)).alias("rows"))
 
 
 # Abbreviations that a mailing name spells out.
@@ -229,9 +257,14 @@ def mailing_name(raw: Column) -> Column:
     return F.when((s == F.upper(s)) & s.rlike(r"\p{L}"), cased).otherwise(s)
 
 
+# Words of places that communities are named after; words of names that are none.
+COMMUNITY = r"(?i)\b(estates?|creek|lakes?|hills?|ridge|woods?|villas?|village|place|park|trails?|crossing|landing|farms?|meadows?|point|reserve|springs?|bend|run|grove|harbor|plantation|preserve|commons|square|trace|bay|fields?)\b"
+NO_NAME = r"(?i)\b(document|untitled|godaddy|rackcdn|wordpress|county register|suite|street|overview)\b"
+
+
 def lead_name(candidates: Column) -> Column:
-    """The best of candidate names: +5 for an association, +2 for a community word, -6 for a junk word; null below 2."""
-    score = lambda c: F.when(F.lower(c).contains("association"), 5).otherwise(0) + F.when(c.rlike(ENTITY_HINT), 2).otherwise(0) - F.when(c.rlike(r"(?i)\b(document|untitled|suite|street|overview)\b"), 6).otherwise(0)
+    """The best of candidate names, the first of equals: +5 for an association, +2 for a community word, -6 for a word of no name; null below 2."""
+    score = lambda c: F.when(F.lower(c).contains("association"), 5).otherwise(0) + F.when(c.rlike(COMMUNITY), 2).otherwise(0) - F.when(c.rlike(NO_NAME), 6).otherwise(0)
     clean = F.transform(candidates, lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, r"(?i)\b(?:declaration|covenants?|conditions|restrictions?|bylaws?|rules?|regulations?|guidelines?|amendments?|recorded|final|pdf)\b", " "), r"\s+", " ")))
     fit = F.filter(clean, lambda c: F.length(c).between(5, 120))
     ranked = F.transform(fit, lambda c, i: F.struct(score(c).alias("score"), (-i).alias("first"), c.alias("name")))
@@ -240,36 +273,61 @@ def lead_name(candidates: Column) -> Column:
 
 
 def state_county(text: Column) -> Column:
-    """struct(state, county): the county and state named together most often, else the state named most often; the first seen wins ties."""
+    """struct(state, county): the county and state named together most often, else the state named most often; the first seen wins ties.
+
+    A county is one to three capitalised words before "County", a comma, which may be missing, and a state in title
+    case. States alone are found without regard to case.
+    """
     from .text import most_mentioned
 
-    names = "|".join(sorted((s.title() for s in STATES), key=lambda s: (-len(s), s)))
-    pair = most_mentioned(F.filter(F.regexp_extract_all(text, F.lit(rf"\b([A-Z][A-Za-z.' -]{{2,30}}?) County,\s+({names})\b"), F.lit(0)), lambda p: ~p.rlike(r"(?i)^(the|this|of|and|for|in|by|on) County")))
-    alone = most_mentioned(F.regexp_extract_all(text, F.lit(rf"\b({names})\b"), F.lit(0)))
-    code = F.create_map(*(F.lit(x) for s, c in STATES.items() for x in (s, c)))
-    named = F.lower(F.coalesce(F.regexp_extract(pair, r",\s+(.*)$", 1), alone))
-    return F.struct(F.try_element_at(code, named).alias("state"), F.regexp_extract(pair, r"^(.*) County,", 1).alias("county"))
+    known = STATES | {"district of columbia": "DC"}
+    names = "|".join(sorted((s.title() for s in known), key=lambda s: (-len(s), s)))
+    code = F.create_map(*(F.lit(x) for s, c in known.items() for x in (s, c)))
+    together = rf"\b((?:[A-Z][A-Za-z'.]+\s+){{0,2}}[A-Z][A-Za-z'.]+)\s+County,?\s+({names})\b"
+    pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(together), F.lit(1)).alias("county"), F.regexp_extract_all(text, F.lit(together), F.lit(2)).alias("state"))
+    real = F.filter(pairs, lambda p: p["county"].rlike("[A-Za-z]{3,}") & ~F.lower(p["county"]).isin("the", "this", "of", "and", "for", "in", "by", "on"))
+    pair = most_mentioned(F.transform(real, lambda p: F.concat(F.try_element_at(code, F.lower(p["state"])), F.lit("|"), p["county"])))
+    alone = most_mentioned(F.transform(F.regexp_extract_all(text, F.lit(rf"(?i)\b({names})\b"), F.lit(1)), lambda s: F.try_element_at(code, F.lower(s))))
+    return F.struct(F.coalesce(F.substring(pair, 1, 2), alone).alias("state"), F.substring(pair, 4, 1_000_000).alias("county"))
+
+
+# A city with its state and ZIP, kinds of streets, anchors that speak for and against an address.
+CITY = r"\b([A-Z][\w\s.&'-]{1,40}?),\s*([A-Z]{2})\s+(\d{5}(?:-\d{4})?)\b"
+STREET_TYPES = "Street|St|Road|Rd|Avenue|Ave|Drive|Dr|Lane|Ln|Way|Place|Pl|Boulevard|Blvd|Court|Ct|Circle|Cir|Trail|Trl|Pike|Pkwy|Parkway|Highway|Hwy|Terrace|Ter|Square|Sq|Loop|Crescent|Cres|Run|Path|Walk"
+FOR_ADDRESS = ["premises", "subject property", "located at", "known as", "commonly known", "property is", "property situated", "real property", "described as", "property address", "site address"]
+AGAINST_ADDRESS = ["attorneys?", "counsel", "law offices?", "registered agent", "prepared by", "returned to", "recorder", "after recording", "mail to", "please return", "office of the secretary", "agent for service"]
+STREET = rf"\b(\d{{1,6}}[A-Z]?\s+(?:[NSEW]\.?\s+)?[A-Z][\w\s.&-]{{1,40}}\b(?:{STREET_TYPES})\b\.?)"
+
+
+#: Characters on each side of an address in which anchors and streets are looked for.
+AROUND = 80
+
 
+def _place_hits(texts: pd.Series) -> pd.Series:
+    """Of each text its cities with state and ZIP, where they stand, and what stands around them."""
+    import re
 
-# A city with its state and ZIP, a street, anchors that speak for and against an address.
-CITY = r"([A-Z][A-Za-z.' ]{2,40}),?\s+([A-Z]{2})\s+(\d{5})"
-STREET = r"\b(\d{1,6}\s+[A-Z][A-Za-z0-9.' -]{2,50}\s(?:Road|Rd|Street|St|Avenue|Ave|Drive|Dr|Lane|Ln|Way|Court|Ct|Circle|Cir|Boulevard|Blvd|Place|Pl))\b"
-FOR_ADDRESS = r"(?i)(located at|property address|community|subdivision|principal office)"
-AGAINST_ADDRESS = r"(?i)(return to|prepared by|attorney|law firm|management company|recording requested)"
+    find = re.compile(CITY).finditer
+    hits = lambda t: [{"city": m[1].strip(), "state": m[2], "zip": m[3], "at": m.start(), "before": t[max(0, m.start() - AROUND) : m.start()], "around": t[max(0, m.start() - AROUND) : m.end() + AROUND]} for m in find(t)]
+    return texts.map(lambda t: [] if t is None else hits(t))
 
 
 def address_candidates(texts: DataFrame, state: str, most: int = 5) -> DataFrame:
     """Addresses in texts (doc_id, text) of one state: (doc_id, query, score, occurrences, rank), the best ``most`` of each.
 
-    Repeated ones come first, then those with the better anchors within 80 characters, then the
-    first seen.
+    Each occurrence scores +2 with a good anchor within 80 characters and -3 with a bad one, and an address has the sum.
+    Its street is the last one in the 80 characters before the city, if there is one. Repeated addresses come first,
+    then those of higher score, then the first seen.
     """
-    one = rf"(?:{STREET}[\s,]+)?{CITY}"
-    found = texts.select("doc_id", "text", F.posexplode(F.array_distinct(F.regexp_extract_all("text", F.lit(one), F.lit(0)))).alias("seen", "hit"))
-    found = found.where(F.regexp_extract("hit", CITY, 2) == state)
-    near = F.expr("substring(text, greatest(1, locate(hit, text) - 80), length(hit) + 160)")
-    count = F.expr("(length(text) - length(replace(text, hit, ''))) div length(hit)")
-    score = F.when(near.rlike(FOR_ADDRESS), 2).otherwise(0) - F.when(near.rlike(AGAINST_ADDRESS), 3).otherwise(0)
-    rows = found.select("doc_id", F.regexp_replace("hit", r"\s+", " ").alias("query"), (score * count).alias("score"), count.alias("occurrences"), "seen")
-    w = Window.partitionBy("doc_id").orderBy((F.col("occurrences") >= 2).desc(), F.desc("score"), "seen")
-    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).drop("seen")
+    hits = F.pandas_udf(_place_hits, "array<struct<city string, state string, zip string, at int, before string, around string>>")
+    # a text without five digits in a row holds no ZIP and is not sent to Python
+    found = texts.where(F.col("text").rlike(r"\d{5}")).select("doc_id", F.explode(hits("text")).alias("h")).select("doc_id", "h.*").where(F.upper("state") == state.upper())
+    streets = F.regexp_extract_all("before", F.lit("(?iU)" + STREET), F.lit(1))
+    street = F.trim(F.try_element_at(streets, F.lit(-1)))
+    place = F.concat("city", F.lit(", "), "state", F.lit(" "), "zip")
+    anchored = lambda words: F.col("around").rlike("(?i)" + "|".join(words))
+    score = F.when(anchored(FOR_ADDRESS), 2).otherwise(0) - F.when(anchored(AGAINST_ADDRESS), 3).otherwise(0)
+    rows = found.select("doc_id", F.when(street.isNull(), place).otherwise(F.concat(street, F.lit(", "), place)).alias("query"), score.alias("score"), "at")
+    rows = rows.groupBy("doc_id", "query").agg(F.sum("score").alias("score"), F.count(F.lit(1)).alias("occurrences"), F.min("at").alias("at"))
+    w = Window.partitionBy("doc_id").orderBy((F.col("occurrences") >= 2).desc(), F.desc("score"), "at")
+    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).drop("at")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names
-from ..operators import resolve
+from ..operators import resolve, renames, stubs
 from ..sources.tables import table
 from .names import SLUG
 from .registry import query
@@ -191,3 +191,40 @@ select seed_id, cast(i as integer) as variant, vs[i + 1] as search from v, range
 def query_variants(spark: SparkSession, d: str) -> DataFrame:
     name = F.concat("c_name", F.when(F.col("c_custkey") % 2 == 0, " Condominium Association").otherwise(""))
     return resolve.query_variants(table(spark, d, "customer").select(F.col("c_custkey").alias("seed_id"), name.alias("name"), F.substring("c_mktsegment", 1, 2).alias("state"), F.col("c_mktsegment").alias("state_name")))
+
+
+def stub_batch(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Entities named after suppliers, and a record of every customer: few names, five places."""
+    place = lambda c: F.concat(F.lit("N"), F.col(c) % 5)
+    name = lambda c, n: F.concat(F.lit("Estate "), F.col(c) % n)
+    blank = F.lit(None).cast("string")
+    held = table(spark, d, "supplier").groupBy(name("s_suppkey", 40).alias("name")).agg(F.min_by(place("s_nationkey"), "s_suppkey").alias("state"))
+    entities = held.select("name", "state", *(blank.alias(c) for c in ("city", "display_name", "location_quality", "source")))
+    k = F.col("c_custkey")
+    records = table(spark, d, "customer").select(k.alias("ord"), name("c_custkey", 60).alias("name"), place("c_nationkey").alias("state"), F.col("c_mktsegment").alias("city"), F.when(k % 10 == 9, "bad").when(k % 2 == 0, "address").alias("location_quality"), F.when(k % 3 != 0, "disambiguate").alias("on_collision"), blank.alias("source"), blank.alias("display_name"))
+    return entities, records
+
+
+@query("stub_upsert")
+def stub_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """A batch of records by name: the first makes the entity, others update it, are refused, or get a row of their own."""
+    return stubs.upsert(*stub_batch(spark, d))[1]
+
+
+@query(
+    "chained_renames",
+    """
+with f as (
+  select l_orderkey * 10 + l_linenumber as document_id, l_partkey as p, 's' || l_suppkey as path,
+    least(l_partkey // 3 * 3 + 2, (select max(p_partkey) from part)) as entity_id
+  from lineitem)
+select entity_id, path, arg_min(document_id, (entity_id - p) * 1000000000000 + document_id) as document_id from f group by entity_id, path
+""",
+)
+def chained_renames(spark: SparkSession, d: str) -> DataFrame:
+    """Parts are renamed to the next part's name, but for every third: they merge along the chain, and so do their lines."""
+    k = F.col("p_partkey")
+    parts = table(spark, d, "part").select(k.alias("entity_id"), F.concat(F.lit("Part "), k).alias("name"))
+    asked = table(spark, d, "part").where(k % 3 != 2).select(k.alias("ord"), k.alias("entity_id"), F.concat(F.lit("Part "), k + 1).alias("new_name"))
+    lines = table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("document_id"), F.col("l_partkey").alias("entity_id"), F.concat(F.lit("s"), F.col("l_suppkey")).alias("path"))
+    return renames.move(lines, renames.apply_renames(parts, asked)[2], ["path"])

@@ -27,9 +27,9 @@ def named(k):
 
 @query("verify_state", "select doc_id, case doc_id % 5 when 0 then 'NC' when 1 then 'WV' when 2 then 'AR' when 3 then 'OH' else case when doc_id % 2 = 0 then 'TX' end end as state, case when doc_id % 5 = 4 then 'low' else 'medium' end as confidence from documents")
 def verify_state(spark: SparkSession, d: str) -> DataFrame:
-    """States named in made-up first pages, and those expected where none is named."""
+    """The state that each text with its recorder's mark names, and those expected where none is named."""
     k = F.col("doc_id") % 5
-    rows = table(spark, d, "documents").select("doc_id", F.concat(F.lit("recorded in "), F.coalesce(named(k), F.lit("no state at all"))).alias("page"), F.when((k == 4) & (F.col("doc_id") % 2 == 0), "TX").alias("expected"))
+    rows = table(spark, d, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit(" recorded in "), F.coalesce(named(k), F.lit("no state at all"))).alias("page"), F.when((k == 4) & (F.col("doc_id") % 2 == 0), "TX").alias("expected"))
     return rows.select("doc_id", rules.verify_state(F.col("page"), F.col("expected")).alias("s")).select("doc_id", "s.state", "s.confidence")
 
 
@@ -75,10 +75,10 @@ def geocode_choice(spark: SparkSession, d: str) -> DataFrame:
     return rules.best_outline(r).select("query_id", "ord", "score")
 
 
-@query("registry_cascade", "with c as (select c_custkey as ord, case c_custkey % 6 when 0 then '' when 1 then 'Elm Condominium ' || c_nationkey when 2 then 'Oak Owners Inc ' || c_custkey when 3 then 'Church Owners ' || c_custkey when 4 then 'Plain Name' else 'Ash Homeowners ' || c_custkey end as name, case when c_custkey % 10 = 5 then 'BUSINESS' else 'NOT-FOR-PROFIT' end as t from customer), s as (select *, case when name = '' then 'skip_empty_name' when t <> 'NOT-FOR-PROFIT' then 'skip_entity_type' when name = 'Plain Name' then 'skip_no_keyword' when starts_with(name, 'Church') then 'skip_rejected_pattern' end as stage from c) select ord, coalesce(stage, case when row_number() over (partition by stage, name order by ord) > 1 then 'skip_dup_name' else 'written' end) as reason, case when stage is null and row_number() over (partition by stage, name order by ord) = 1 then case when contains(name, 'Condominium') then 'condo' when contains(name, 'Owners Inc') then 'coop' else 'hoa' end end as metadata_type from s")
+@query("registry_cascade", "with c as (select c_custkey as ord, case c_custkey % 6 when 0 then '' when 1 then 'Elm Condominium ' || c_nationkey when 2 then 'Oak Owners Inc ' || c_custkey when 3 then 'Church Owners Association ' || c_custkey when 4 then 'Plain Name' else 'Ash Homeowners Association ' || c_nationkey end as name, case when c_custkey % 10 = 5 then 'BUSINESS' else 'NOT-FOR-PROFIT' end as t from customer), s as (select *, case when name = '' then 'skip_empty_name' when t <> 'NOT-FOR-PROFIT' then 'skip_entity_type' when name = 'Plain Name' then 'skip_no_keyword' when starts_with(name, 'Church') then 'skip_rejected_pattern' end as stage from c) select ord, coalesce(stage, case when row_number() over (partition by stage, name order by ord) > 1 then 'skip_dup_name' else 'written' end) as reason, case when stage is null and row_number() over (partition by stage, name order by ord) = 1 then case when contains(name, 'Condominium') then 'condo' when contains(name, 'Owners Inc') then 'coop' else 'hoa' end end as metadata_type from s")
 def registry_cascade(spark: SparkSession, d: str) -> DataFrame:
     k, c = F.col("c_custkey"), F.col("c_custkey").cast("string")
-    name = F.when(k % 6 == 0, "").when(k % 6 == 1, F.concat(F.lit("Elm Condominium "), F.col("c_nationkey").cast("string"))).when(k % 6 == 2, F.concat(F.lit("Oak Owners Inc "), c)).when(k % 6 == 3, F.concat(F.lit("Church Owners "), c)).when(k % 6 == 4, "Plain Name").otherwise(F.concat(F.lit("Ash Homeowners "), c))
+    name = F.when(k % 6 == 0, "").when(k % 6 == 1, F.concat(F.lit("Elm Condominium "), F.col("c_nationkey").cast("string"))).when(k % 6 == 2, F.concat(F.lit("Oak Owners Inc "), c)).when(k % 6 == 3, F.concat(F.lit("Church Owners Association "), c)).when(k % 6 == 4, "Plain Name").otherwise(F.concat(F.lit("Ash Homeowners Association "), F.col("c_nationkey").cast("string")))
     rows = table(spark, d, "customer").select(k.alias("ord"), name.alias("name"), F.when(k % 10 == 5, "BUSINESS").otherwise("NOT-FOR-PROFIT").alias("entity_type"))
     return rules.registry_cascade(rows, ["NOT-FOR-PROFIT"]).select("ord", "reason", "metadata_type")
 
@@ -97,7 +97,7 @@ def lead_names(spark: SparkSession, d: str) -> DataFrame:
 
 @query("state_county")
 def state_county(spark: SparkSession, d: str) -> DataFrame:
-    t = F.concat_ws(" ", F.lit("Wake County, North Carolina"), named(F.col("doc_id") % 5), F.when(F.col("doc_id") % 2 == 0, "Lake County, Ohio. Lake County, Ohio"))
+    t = F.concat_ws(" ", "text", F.lit("recorded in"), F.lit("Wake County, North Carolina"), named(F.col("doc_id") % 5), F.when(F.col("doc_id") % 2 == 0, "Lake County, Ohio. Lake County, Ohio"))
     return table(spark, d, "documents").select("doc_id", rules.state_county(t).alias("s")).select("doc_id", "s.state", "s.county")
 
 
