@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import changes, resolve
+from ..operators import changes, resolve, shared
+from ..sources import versions
 from ..sources.tables import table
 from .registry import query
 
@@ -149,3 +152,23 @@ def index_backfill(spark: SparkSession, d: str) -> DataFrame:
 
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
     return backfill_index(e.where("chunk_id % 3 = 0"), e).select("chunk_id")
+
+
+@query(
+    "partition_replacement",
+    """
+select cast(s_nationkey as integer) as nation, s_suppkey as id, case when s_nationkey < 5 then 'new' else 'old' end as state
+from supplier where s_nationkey <> 7 and not (s_nationkey < 5 and s_suppkey % 2 = 1)
+union all
+select cast(s_nationkey as integer), s_suppkey, 'old' from supplier where s_nationkey < 5 and s_suppkey % 2 = 1
+  and s_nationkey not in (select s_nationkey from supplier where s_nationkey < 5 and s_suppkey % 2 = 0)
+""",
+)
+def partition_replacement(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers by nation: the first five nations' are replaced by those of even key, nation 7's are dropped, the others stay."""
+    base = f"{shared.shared_dir(spark)}/versions-{uuid.uuid4().hex}"
+    rows = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.lit("old").alias("state"), F.col("s_nationkey").cast("int").alias("nation"))
+    versions.replace_partitions(rows, base, ["nation"])
+    new = rows.where("nation < 5 and id % 2 = 0").withColumn("state", F.lit("new"))
+    versions.replace_partitions(new, base, ["nation"], emptied=[{"nation": "7"}])
+    return versions.read(spark, base).select("nation", "id", "state")
