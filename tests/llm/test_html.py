@@ -143,3 +143,47 @@ def test_classes_as_brute_force(spark):
         assert r["n_classes"] == n and set(r["settled"]) == valid
         invalid += n - r["n_valid"]
     assert invalid
+
+
+def blocks(page):
+    return hx.parse(page, {}).texts
+
+
+def test_embedded_content_stays():
+    assert blocks("<p>E = <math><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup><annotation>mc^2</annotation></math> holds</p>") == ["E = mc2 holds"]
+    assert blocks("<p>A real text before.</p><object data=a.swf><p>And all that follows.</p>") == ["A real text before.", "And all that follows."]
+    for t in ("object", "audio", "video", "canvas"):
+        assert blocks(f"<p>one <{t} src=x>two</{t}> three</p><p>four</p>") == ["one two three", "four"]
+        assert blocks(f"<div><p>one <{t}>two</p></div><p>three</p>") == ["one two", "three"]
+    assert blocks("<p>a <svg viewBox='0 0 1 1'><title>icon</title><desc>d</desc><g><text>label</text><path d='M0'/></g></svg> b</p>") == ["a label b"]
+
+
+def test_what_is_never_shown_ends_where_it_can():
+    for t in ("noscript", "template", "iframe", "select"):
+        assert blocks(f"<p>a <{t}>gone</{t}> b</p><p>c</p>") == ["a b", "c"]
+        assert blocks(f"<p>a</p><{t}><p>c</p>") == ["a", "c"]
+    assert blocks("<p>a</p><script>x<p>c</p>") == ["a"]
+    assert blocks("<p>a</p><style>x</style><p>c</p>") == ["a", "c"]
+
+
+def test_stray_quotes():
+    assert blocks("<p><span class=it's>one</span> two</p>") == ["one two"]
+    assert blocks("""<p><a href=x" title='a > b'>one</a> <i data-x="c > d">two</i></p>""") == ["one two"]
+    assert blocks("<p><b '>one</b> it's <u \">two</u></p>") == ["one it's two"]
+    assert hx._label("div", " class=it's id=x")[0] == b"div.it's.x"
+
+
+def test_hidden_inline_elements():
+    assert blocks("<p>a <span hidden>gone <b>too</b> <span>and this</span> still</span> b</p>") == ["a b"]
+    assert blocks("<p>a <i style='display:none'>gone</p><p>b</p>") == ["a", "b"]
+    assert blocks("<p>a <em>kept</em> <img hidden> b</p>") == ["a kept b"]
+    assert blocks("<div>a <span hidden>gone <p>this too</p> and this</span> b</div>") == ["a", "b"]
+
+
+def test_long_runs_of_tags_take_linear_time():
+    import time
+
+    for page in ("<svg/>x" * 150_000, "<noscript>x" * 100_000, "<iframe/>x" * 100_000, "<i class=a'b>x" * 80_000):
+        began = time.perf_counter()
+        hx.parse(page, {})
+        assert time.perf_counter() - began < 3, page[:12]

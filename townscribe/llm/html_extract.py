@@ -47,8 +47,15 @@ from . import common
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br input".split())
-RAW = frozenset("script style noscript template iframe svg math object canvas audio video textarea select title".split())
+INLINE = frozenset(
+    # text, embedded content (what it holds is shown in its place), formulas and drawings
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br input "
+    "object audio video canvas math mrow mi mo mn ms mtext msup msub msubsup mfrac msqrt mroot mover munder munderover mmultiscripts mstyle mspace mpadded mphantom mfenced menclose semantics "
+    "svg g path rect circle ellipse line polyline polygon text tspan textpath defs symbol use image".split()
+)
+RAW = frozenset("script style noscript template iframe textarea select title annotation annotation-xml desc metadata".split())
+#: Of these, what takes the rest of the page if it is left open; an open tag of the others is passed over.
+TO_THE_END = frozenset("script style textarea title".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "p": ("p",)}
 SCOPE = frozenset("ul ol dl table article section div body main aside nav form td th".split())
@@ -63,8 +70,8 @@ ASIDES = frozenset(
 PLAIN = frozenset("a and area article b bar bars block body bottom box button buttons c center column container content dialog entry form group header holder icons inner item items left links list main more news outer page panel post posts primary right row secondary section site slot stories the thread top unit us widget wrap wrapper".split())
 CONTENT = frozenset("content article articlebody post entry story text maincontent postcontent entrycontent articlecontent".split())
 
-MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*)(?:>|\Z)", re.S)
+ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"'][^\s>]*)))?")
 WORD = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 DIGITS = re.compile(r"\d\d+")
@@ -145,6 +152,8 @@ def parse(page: str | None, known: dict) -> Page:
     open_now: dict[str, int] = {}
     here, links, in_link = -1, 0, 0
     text: list[str] = []
+    muted, depth, muted_at = "", 0, -1  # the hidden inline element that is open, how often, and the element around it
+    never_ends: set[str] = set()
 
     def flush() -> None:
         nonlocal links
@@ -159,19 +168,24 @@ def parse(page: str | None, known: dict) -> Page:
 
     def leave(past: int) -> None:
         """Close elements until ``past`` is the open one."""
-        nonlocal here
+        nonlocal here, muted
         while here != past:
+            if here == muted_at:
+                muted = ""
             open_now[names[here]] -= 1
             here = out.parents[here]
 
-    def enter(name: str, attributes: str) -> None:
-        nonlocal here
+    def labelled(name: str, attributes: str) -> tuple[bytes, int]:
         found = known.get((name, attributes))
         if found is None:
             if len(known) > 100_000:
                 known.clear()
             found = known[name, attributes] = _label(name, attributes)
-        label, flags = found
+        return found
+
+    def enter(name: str, attributes: str) -> None:
+        nonlocal here
+        label, flags = labelled(name, attributes)
         if name == "header" and not (here >= 0 and inside[here]):
             flags |= ASIDE
         up = out.paths[here] if here >= 0 else 0
@@ -195,7 +209,7 @@ def parse(page: str | None, known: dict) -> Page:
         lt = page.find("<", at)
         if lt < 0:
             lt = n
-        if lt > at:
+        if lt > at and not muted:
             part = entities.unescape(page[at:lt])
             text.append(part)
             if in_link:
@@ -204,7 +218,8 @@ def parse(page: str | None, known: dict) -> Page:
             break
         m = MARKUP.match(page, lt)
         if m is None:
-            text.append("<")
+            if not muted:
+                text.append("<")
             at = lt + 1
             continue
         at = m.end()
@@ -213,6 +228,9 @@ def parse(page: str | None, known: dict) -> Page:
             continue
         if m[1]:
             if name in INLINE or name in VOID:
+                if name == muted:
+                    depth -= 1
+                    muted = muted if depth else ""
                 if name == "br":
                     text.append(" ")
                 elif name == "a":
@@ -228,9 +246,15 @@ def parse(page: str | None, known: dict) -> Page:
         if name in CONTROLS:
             out.controls[here] += 1
         if name in RAW:
-            end = RAW_END[name].search(page, at)
             if not m[3].rstrip().endswith("/"):
-                at = end.end() if end else n
+                # one search finds that a name has no end tag any more; it isn't made again
+                end = None if name in never_ends else RAW_END[name].search(page, at)
+                if end:
+                    at = end.end()
+                elif name in TO_THE_END:
+                    at = n
+                else:
+                    never_ends.add(name)
             continue
         if name in ("br", "hr"):
             text.append(" ")
@@ -239,6 +263,11 @@ def parse(page: str | None, known: dict) -> Page:
             continue
         if name in INLINE or name in VOID:
             in_link += name == "a"
+            if name not in VOID and not m[3].endswith("/"):
+                if muted:
+                    depth += name == muted
+                elif m[3] and labelled(name, m[3])[1] & GONE:
+                    muted, depth, muted_at = name, 1, here
             continue
         flush()
         for group in (("p",) if name in CLOSES_P else (), SAME.get(name, ())):
