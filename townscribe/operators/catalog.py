@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sizes import broadcast_if_small
+
 
 def escaped(q: str) -> str:
     """A search text with the wildcards of LIKE taken literally."""
@@ -121,9 +123,16 @@ def participation(records: DataFrame) -> DataFrame:
 
 
 def demote_stacks(rows: DataFrame, key: Sequence[Column], quality: str = "quality", least: int = 5, to: str = "city_only") -> DataFrame:
-    """Rows without a quality that share their key with at least ``least`` - 1 others get the quality ``to``."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(*key))
-    return rows.withColumn(quality, F.when(F.col(quality).isNull() & (n >= least), F.lit(to)).otherwise(F.col(quality)))
+    """Rows without a quality that share their key with at least ``least`` - 1 others get the quality ``to``; null keys are equal. Counts stacks while the plan is built."""
+    names = [f"_key{i}" for i in range(len(key))]
+    keyed = rows.withColumns(dict(zip(names, key, strict=True)))
+    # stacks are counted on the map side and joined back, so none is gathered, and they are few beside the rows
+    stacks = keyed.groupBy(*(F.col(k).alias(f"{k}s") for k in names)).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least)
+    same = F.lit(True)
+    for k in names:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}s"))
+    met = keyed.join(broadcast_if_small(stacks), same, "left")
+    return met.withColumn(quality, F.when(F.col(quality).isNull() & F.col("_n").isNotNull(), F.lit(to)).otherwise(F.col(quality))).select(rows.columns)
 
 
 def argmax(rows: DataFrame, key: str, value: str, weight: str) -> DataFrame:

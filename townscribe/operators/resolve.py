@@ -176,27 +176,37 @@ def signed_url(url: Column) -> Column:
     return F.arrays_overlap(keys, F.array(*(F.lit(k) for k in CREDENTIAL_KEYS)))
 
 
+def _repeated(rows: DataFrame, key: Column, order: str) -> DataFrame:
+    """(_again, _first): each key that more than one row has, with its least ``order``; broadcast if that is small, which is counted while the plan is built."""
+    n = rows.groupBy(key.alias("_again")).agg(F.count(F.lit(1)).alias("_n"), F.min(order).alias("_first"))
+    return broadcast_if_small(n.where("_n > 1").drop("_n"))
+
+
 def filter_leads(leads: DataFrame, known: DataFrame) -> DataFrame:
-    """leads (ord, url) with a reason: signed_url, known_url, duplicate_in_run or kept, in that order."""
+    """leads (ord, url) with a reason: signed_url, known_url, duplicate_in_run or kept, in that order.
+
+    Of one url the lead of the least ``ord``, which is unique, is kept; a url of any number of leads is never gathered.
+    """
     k = known.select(F.lower("url").alias("_known")).distinct()
     rows = leads.join(k, F.lower("url") == F.col("_known"), "left").withColumn("_signed", signed_url(F.col("url")))
     fresh = ~F.col("_signed") & F.col("_known").isNull()
-    nth = F.row_number().over(Window.partitionBy(F.lower("url"), fresh).orderBy("ord"))
-    reason = F.when(F.col("_signed"), "signed_url").when(F.col("_known").isNotNull(), "known_url").when(nth > 1, "duplicate_in_run").otherwise("kept")
-    return rows.withColumn("reason", reason).drop("_known", "_signed")
+    again = _repeated(rows.where(fresh), F.lower("url"), "ord")
+    rows = rows.join(again, F.lower("url").eqNullSafe(F.col("_again")) & fresh, "left")
+    reason = F.when(F.col("_signed"), "signed_url").when(F.col("_known").isNotNull(), "known_url").when(F.col("ord") > F.col("_first"), "duplicate_in_run").otherwise("kept")
+    return rows.withColumn("reason", reason).drop("_known", "_signed", "_again", "_first")
 
 
 def reject_reason(rows: DataFrame, live: DataFrame, page_cap: int = 200, scanned_cap: int = 25) -> DataFrame:
     """Why a prepared document (sha256, category, pages, scanned, ord) is not taken, or null.
 
-    In order: live already, prepared twice, personal data, junk, too many pages, too many scanned
-    pages, unsupported.
+    In order: live already, prepared twice (all but the least ``ord``, which is unique), personal data, junk, too many
+    pages, too many scanned pages, unsupported. Copies of one file are never gathered.
     """
     from ..functions.text import JUNK, PERSONAL, VALID
 
     l = live.select(F.col("sha256").alias("_live")).distinct()  # noqa: E741
-    again = F.row_number().over(Window.partitionBy("sha256").orderBy("ord")) > 1
-    j = rows.join(l, F.col("sha256") == F.col("_live"), "left")
+    again = F.col("ord") > F.col("_first")
+    j = rows.join(l, F.col("sha256") == F.col("_live"), "left").join(_repeated(rows, F.col("sha256"), "ord"), F.col("sha256").eqNullSafe(F.col("_again")), "left")
     why = (
         F.when(F.col("_live").isNotNull(), "duplicate_live")
         .when(again, "duplicate_prepared")
@@ -206,7 +216,7 @@ def reject_reason(rows: DataFrame, live: DataFrame, page_cap: int = 200, scanned
         .when(F.col("scanned") & (F.col("pages") > scanned_cap), "scanned_cap")
         .when(~F.coalesce(F.col("category").isin(VALID), F.lit(False)), "unsupported_category")
     )
-    return j.withColumn("reason", why).drop("_live")
+    return j.withColumn("reason", why).drop("_live", "_again", "_first")
 
 
 def representative(rows: DataFrame, keys: list[str], order: str) -> DataFrame:

@@ -16,14 +16,17 @@ def latest_per_key(df: DataFrame, keys: Sequence[str | Column], ts: str, tie: st
 
 
 def first_seen(df: DataFrame, keys: Sequence[str | Column], order: str, keep_null_keys: bool = False) -> DataFrame:
-    """The first row of each key by ``order``; rows with a null key are all kept if ``keep_null_keys``."""
-    w = Window.partitionBy(*keys).orderBy(F.asc(order))
-    ranked = df.withColumn("_rank", F.row_number().over(w))
-    keep = F.col("_rank") == 1
+    """The first row of each key by ``order``; rows with a null key are all kept if ``keep_null_keys``.
+
+    Those are split off first and stay where they are; of the others a task hands on one row a key.
+    """
     if keep_null_keys:
+        no_key = F.lit(False)
         for k in keys:
-            keep = keep | (F.col(k) if isinstance(k, str) else k).isNull()
-    return ranked.where(keep).drop("_rank")
+            no_key = no_key | (F.col(k) if isinstance(k, str) else k).isNull()
+        return first_seen(df.where(~no_key), keys, order).unionAll(df.where(no_key))
+    w = Window.partitionBy(*keys).orderBy(F.asc(order))
+    return df.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
 
 
 def oldest_per_key(df: DataFrame, keys: Sequence[str | Column], date: str, tie: str) -> DataFrame:
