@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import changes, resolve, shared
-from ..sources import versions
+from ..sources import records, versions
 from ..sources.tables import table
 from .registry import query
 
@@ -172,3 +172,13 @@ def partition_replacement(spark: SparkSession, d: str) -> DataFrame:
     new = rows.where("nation < 5 and id % 2 = 0").withColumn("state", F.lit("new"))
     versions.replace_partitions(new, base, ["nation"], emptied=[{"nation": "7"}])
     return versions.read(spark, base).select("nation", "id", "state")
+
+
+@query("fixed_width_records", "select cast(c_custkey as varchar) as id, c_name as name, c_mktsegment as segment, case when c_custkey % 3 = 0 then 'skip_status' when c_mktsegment = 'BUILDING' then 'skip_rejected_pattern' else 'written' end as reason from customer")
+def fixed_width_records(spark: SparkSession, d: str) -> DataFrame:
+    """Customers written as records of 60 bytes and read back by bytes."""
+    at = f"{shared.shared_dir(spark)}/records-{uuid.uuid4().hex}"
+    k = F.col("c_custkey")
+    table(spark, d, "customer").select(F.concat(F.rpad(k.cast("string"), 12, " "), F.rpad("c_name", 30, " "), F.when(k % 3 == 0, "I").otherwise("A"), F.rpad("c_mktsegment", 17, " "))).write.text(at)
+    rows = records.read_records(spark, at, 60, {"id": (0, 12), "name": (12, 30), "status": (42, 1), "segment": (43, 17)})
+    return records.sifted(rows, F.col("name") != "", F.col("segment") == "BUILDING").select("id", "name", "segment", "reason")
