@@ -48,7 +48,7 @@ from . import common
 
 A_FILE, B_FILE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 #: Characters of a block, which a task holds in memory as numbers and distinct segments.
-BLOCK_CHARS = 12 << 20
+BLOCK_CHARS = 24 << 20
 #: Distinct segments of a batch that is tokenised at once.
 SEGMENT_ROWS = 8192
 
