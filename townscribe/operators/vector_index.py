@@ -194,12 +194,15 @@ def _cells_of(queries: DataFrame, index: Index, choose: Callable[[np.ndarray, np
 def _steps(index: Index, queries: DataFrame, k: int, partition: str, digits: int, query_block: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """Blocks of vectors, the k best of the queries' own cells, and the queries at the other cells that may hold better (None if there are no others)."""
     asked = queries.select(F.col(partition).alias("partition"), F.col("query_id").alias("id"), F.col("vector").alias("vector")).dropna()
-    blocks = materialize(_blocks(index.vectors.withColumn("least", F.lit(0.0)), index.block), "blocks")
+    several = not index.cells.where(F.size("cells") > 1).isEmpty()
+    # what is read twice is written; with one cell a partition there is one step, and nothing is
+    kept = (lambda df, name: materialize(df, name)) if several else (lambda df, name: df)
+    blocks = kept(_blocks(index.vectors.withColumn("least", F.lit(0.0)), index.block), "blocks")
     start = asked.withColumns({"least": F.lit(float("-inf")), "home": F.lit(-1)})
-    home = materialize(_cells_of(start, index, lambda top, of, r: of[[int(np.argmax(top))]]), "home")
+    home = kept(_cells_of(start, index, lambda top, of, r: of[[int(np.argmax(top))]]), "home")
     first = top_per_group(_visit(blocks, _blocks(home, query_block), k, index.score, digits), ["query_id", "partition"], [F.desc("score"), F.asc("vec_id")], k)
-    first = materialize(first, "first")
-    if home.where("n_cells > 1").isEmpty():
+    first = kept(first, "first")
+    if not several:
         return blocks, first, None
     reached = first.where(F.col("rank") == k).select(F.col("query_id").alias("id"), "partition", F.col("score").alias("reached"))
     again = home.where("n_cells > 1").select("partition", "id", "vector", F.col("cell").alias("home")).join(reached, ["id", "partition"], "left")
