@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import changes, resolve, shared
-from ..sources import records, versions
+from ..sources import contracts, files, records, versions
 from ..sources.tables import table
 from .registry import query
 
@@ -182,3 +182,31 @@ def fixed_width_records(spark: SparkSession, d: str) -> DataFrame:
     table(spark, d, "customer").select(F.concat(F.rpad(k.cast("string"), 12, " "), F.rpad("c_name", 30, " "), F.when(k % 3 == 0, "I").otherwise("A"), F.rpad("c_mktsegment", 17, " "))).write.text(at)
     rows = records.read_records(spark, at, 60, {"id": (0, 12), "name": (12, 30), "status": (42, 1), "segment": (43, 17)})
     return records.sifted(rows, F.col("name") != "", F.col("segment") == "BUILDING").select("id", "name", "segment", "reason")
+
+
+@query("schema_contract", "select doc_id, case when doc_id % 3 = 0 then 'unknown' else source end as source, lang is not null as known, cast(n_chars as bigint) as n_chars, md5(text) as digest from documents where doc_id is not null")
+def schema_contract(spark: SparkSession, d: str) -> DataFrame:
+    """Documents written as files of three versions, beside a file that is none, and opened by the contract of the third."""
+    at = f"{shared.shared_dir(spark)}/contract-{uuid.uuid4().hex}"
+    third = F.pmod("doc_id", F.lit(3))
+    docs = table(spark, d, "documents").withColumn("n_chars", F.col("n_chars").cast("int"))
+    docs.where(third == 0).select("doc_id", F.col("text").alias("body"), "lang", "n_chars").write.parquet(f"{at}/first")
+    docs.where(third == 1).select("source", "n_chars", "lang", F.col("text").alias("body"), "doc_id").write.parquet(f"{at}/second")
+    docs.where(third == 2).select("doc_id", "text", "source", F.col("lang").isNotNull().alias("known"), F.col("n_chars").cast("long").alias("n_chars"), F.lit(1).alias("extra")).write.parquet(f"{at}/third")
+    spark.createDataFrame([("no parquet",)], "line string").write.text(f"{at}/broken")
+    steps = (
+        contracts.Step(add={"source": ("string", "'unknown'")}),
+        contracts.Step(rename={"body": "text"}, drop=("lang",), cast={"n_chars": "bigint"}, add={"known": ("boolean", "lang is not null")}),
+    )
+    opened = contracts.open_folder(spark, at, contracts.Contract("doc_id bigint, body string, lang string, n_chars int", steps, ("doc_id",)))
+    return opened.rows.select("doc_id", "source", "known", "n_chars", F.md5("text").alias("digest"))
+
+
+@query("ready_bundles", "select s_suppkey as bundle_id from supplier where s_suppkey % 3 <> 0 order by cast(s_suppkey as varchar) limit 25")
+def ready_bundles(spark: SparkSession, d: str) -> DataFrame:
+    """A folder with a status file for each supplier; the first 25 that are ready, by path."""
+    at = f"{shared.shared_dir(spark)}/bundles-{uuid.uuid4().hex}"
+    k = F.col("s_suppkey")
+    rows = table(spark, d, "supplier").select(F.when(k % 3 != 0, "ready").otherwise("failed").alias("status"), k.cast("string").alias("bundle_id"), k.alias("bundle"))
+    rows.repartition("bundle").write.partitionBy("bundle").json(at)
+    return files.read_ready_bundles(spark, f"{at}/*/*.json", 25).select(F.col("bundle_id").cast("long").alias("bundle_id"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,10 +39,39 @@ def read_binary(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataF
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).withColumn("checksum", F.sha2("content", 256))
 
 
-def read_ready_bundles(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """Folders whose status file says ready."""
-    df = spark.read.schema("status string, bundle_id string, updated_at string").option("multiLine", True).json(path).withColumn("prefix", F.regexp_replace(F.input_file_name(), "/status\\.json$", "")).where("status = 'ready'")
-    return df if limit is None else df.orderBy("prefix").limit(limit)
+def literal(path: str) -> str:
+    """A listed path as one that readers take as it is, not as a pattern."""
+    return re.sub(r"([*?\[\]{}\\])", r"\\\1", path)
+
+
+def _status(spark: SparkSession, *paths: str) -> DataFrame:
+    kind = "status string, bundle_id string, updated_at string"
+    df = spark.read.schema(kind).option("multiLine", True).json(list(paths))
+    return df.withColumn("prefix", F.regexp_replace(F.input_file_name(), "/[^/]*$", "")).where("status = 'ready'")
+
+
+def read_ready_bundles(spark: SparkSession, path: str, limit: int | None = None, wave: int | None = None) -> DataFrame:
+    """Folders whose status file says ready; the first ``limit`` of them by path. Files that are no JSON are passed over.
+
+    With a limit, status files are opened in waves in the order of their paths, the first of ``wave`` files (four times the limit),
+    each twice as large, until enough are ready; those behind are only listed. The result is read from the files that
+    the waves found, at most ``limit``.
+    """
+    if limit is None:
+        return _status(spark, path)
+    listed = spark.read.format("binaryFile").load(path).select("path")  # paths alone: opens nothing
+    found: list[tuple[str, str]] = []
+    after, size = "", wave or 4 * max(1, limit)
+    while len(found) < limit:
+        names = [r["path"] for r in listed.where(F.col("path") > after).orderBy("path").limit(size).collect()]
+        if names:
+            ready = _status(spark, *map(literal, names)).orderBy("prefix").limit(limit - len(found))
+            found += [tuple(r) for r in ready.collect()]
+            after = names[-1]
+        if len(names) < size:
+            break
+        size *= 2
+    return spark.createDataFrame(found, "status string, bundle_id string, updated_at string, prefix string")
 
 
 BUNDLE = (

@@ -78,9 +78,15 @@ def _state(spark: SparkSession, base: str, n: int) -> dict:
     return json.loads(_text(spark, f"{base}/log/{n:020}")) if n else {"schema": None, "keys": [], "parts": {}}
 
 
-def read(spark: SparkSession, base: str, at: int | None = None) -> DataFrame:
-    """The table's rows, at a version or at the last."""
-    return _rows(spark, base, _state(spark, base, version(spark, base) if at is None else at))
+def read(spark: SparkSession, base: str, at: int | None = None, only: Callable[[str], bool] | None = None) -> DataFrame:
+    """The table's rows, at a version or at the last; of those partitions whose folder names ``only`` takes."""
+    state = _state(spark, base, version(spark, base) if at is None else at)
+    return _rows(spark, base, state if only is None else state | {"parts": {p: f for p, f in state["parts"].items() if only(p)}})
+
+
+def parts(spark: SparkSession, base: str) -> list[str]:
+    """The folder names of the last version's partitions; none before the first."""
+    return sorted(_state(spark, base, version(spark, base))["parts"])
 
 
 def _rows(spark: SparkSession, base: str, state: dict) -> DataFrame:
