@@ -99,9 +99,9 @@ def queue_worker(spark: SparkSession, d: str) -> DataFrame:
     return out.select("job_id", "attempt", F.unix_millis("at").alias("at_ms"), "status", "error", F.unix_millis("next_try").alias("next_ms"))
 
 
-@query("stream_retention", "select event_id, user_id, strftime(ts, '%Y-%m-%d %H:%M:%S') as at from events where ts >= (select max(ts) from events) - interval 14 days")
+@query("stream_retention", "select event_id, user_id, strftime(ts, '%Y-%m-%d %H:%M:%S') as seen_at from events where ts >= (select max(ts) from events) - interval 14 days")
 def stream_retention(spark: SparkSession, d: str) -> DataFrame:
     """The last 14 days of the log, each event once, kept by day partitions while the stream runs."""
     at = f"{shared.shared_dir(spark)}/retention-{uuid.uuid4().hex}"
     retention.retain(ev.stream(spark, d).select("event_id", "user_id", "ts"), f"{at}/log", f"{at}/state", 14, key="event_id").awaitTermination()
-    return retention.kept(spark, f"{at}/log", "ts", 14).select("event_id", "user_id", stamp("ts").alias("at"))
+    return retention.kept(spark, f"{at}/log", "ts", 14).select("event_id", "user_id", stamp("ts").alias("seen_at"))
