@@ -1,4 +1,4 @@
-"""Ready bundles: status files are opened in waves, and none behind the limit."""
+"""Ready bundles: status files are opened in waves, and none behind the limit. Delimited files by the names of their header."""
 
 import pytest
 
@@ -38,3 +38,20 @@ def test_all_or_fewer_than_asked_for(spark, tmp_path):
         got = files.read_ready_bundles(spark, path, limit, wave)
         assert sorted((r["bundle_id"], r["prefix"].rsplit("/", 1)[1]) for r in got.collect()) == [("1", "b1"), ("3", "b3")]
     assert files.read_ready_bundles(spark, path, 0).count() == 0
+
+
+def test_delimited_files_by_name(spark, tmp_path):
+    at = tmp_path / "in"
+    at.mkdir()
+    (at / "a.csv").write_bytes(b'\xef\xbb\xbfNAME,id,more,when\n"Elm, ""old""",1,x,2024-01-02\nBad \xff\xfe byte,two,y,never\n,3\n')
+    kind = "id int, name string, `when` date, gone double"
+    got = [tuple(map(str, r)) for r in files.read_csv(spark, str(at), kind).collect()]
+    assert got == [("1", 'Elm, "old"', "2024-01-02", "None"), ("None", "Bad \ufffd\ufffd byte", "None", "None"), ("3", "None", "None", "None")]
+    assert files.read_csv(spark, str(at), kind).schema.simpleString() == "struct<id:int,name:string,when:date,gone:double>"
+    (at / "b.csv").write_text("id,NAME,more,when\n4,other order,z,\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        files.read_csv(spark, str(at), kind).collect()
+    (tmp_path / "q.csv").write_text('id|name\n1|"two\nlines"\n')
+    assert [r["name"] for r in files.read_csv(spark, f"{tmp_path}/q.csv", "id int, name string", "|", True).collect()] == ["two\nlines"]
+    (tmp_path / "e.csv").write_text("")
+    assert files.read_csv(spark, f"{tmp_path}/e.csv", "id int").count() == 0

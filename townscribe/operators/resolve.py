@@ -196,6 +196,12 @@ def filter_leads(leads: DataFrame, known: DataFrame) -> DataFrame:
     return rows.withColumn("reason", reason).drop("_known", "_signed", "_again", "_first")
 
 
+def reason_counts(filtered: DataFrame) -> DataFrame:
+    """(reason, leads, urls): how many leads each step of the filter took, and how many different urls."""
+    urls = filtered.groupBy("reason", F.lower("url").alias("u")).agg(F.count(F.lit(1)).alias("n"))
+    return urls.groupBy("reason").agg(F.sum("n").alias("leads"), F.count("u").alias("urls"))
+
+
 def reject_reason(rows: DataFrame, live: DataFrame, page_cap: int = 200, scanned_cap: int = 25) -> DataFrame:
     """Why a prepared document (sha256, category, pages, scanned, ord) is not taken, or null.
 

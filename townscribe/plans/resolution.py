@@ -111,20 +111,30 @@ def precheck_duplicates(spark: SparkSession, d: str) -> DataFrame:
     return resolve.reject_reason(rows, docs.where("doc_id % 11 = 0").select(F.sha2("text", 256).alias("sha256"))).select("doc_id", "reason")
 
 
-@query(
-    "lead_filter",
-    """
+LEADS = """
 with l as (select page_id as ord, case when page_id % 10 = 0 then 'https://x.example/a.pdf?token=1' when page_id % 4 = 0 then 'https://x.example/same' else url end as url from pages),
 k as (select distinct lower(url) as u from pages where page_id % 6 = 1),
 r as (select ord, url, contains(url, '?token=') as s, lower(url) in (select u from k) as known from l)
 select ord, case when s then 'signed_url' when known then 'known_url' when row_number() over (partition by lower(url), not s and not known order by ord) > 1 then 'duplicate_in_run' else 'kept' end as reason from r
-""",
-)
+"""
+
+
+@query("lead_filter", LEADS)
 def lead_filter(spark: SparkSession, d: str) -> DataFrame:
+    return _filtered(spark, d).select("ord", "reason")
+
+
+@query("lead_counts", f"select reason, count(*) as leads, count(distinct lower(case when ord % 10 = 0 then 'https://x.example/a.pdf?token=1' when ord % 4 = 0 then 'https://x.example/same' else url end)) as urls from ({LEADS}) join pages on page_id = ord group by reason")
+def lead_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Leads by what the filter did with them."""
+    return resolve.reason_counts(_filtered(spark, d))
+
+
+def _filtered(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "pages")
     k = F.col("page_id")
     leads = pages.select(k.alias("ord"), F.when(k % 10 == 0, "https://x.example/a.pdf?token=1").when(k % 4 == 0, "https://x.example/same").otherwise(F.col("url")).alias("url"))
-    return resolve.filter_leads(leads, pages.where("page_id % 6 = 1")).select("ord", "reason")
+    return resolve.filter_leads(leads, pages.where("page_id % 6 = 1"))
 
 
 @query(

@@ -19,9 +19,19 @@ def write_jsonl(df: DataFrame, path: str, append: bool = False) -> None:
     df.write.mode("append" if append else "overwrite").option("ignoreNullFields", "false").json(path)
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | T.StructType, sep: str = ",") -> DataFrame:
-    """Delimited text with a header line."""
-    return spark.read.schema(schema).csv(path, header=True, sep=sep)
+def read_csv(spark: SparkSession, path: str, schema: str | T.StructType, sep: str = ",", multi_line: bool = False) -> DataFrame:
+    """Delimited text with a header line, columns by name whatever their order; reads the first header while the plan is built.
+
+    A column that the header lacks, and a value that its type can't take, are null; bytes that are no UTF-8 become U+FFFD. A file whose header
+    differs from the first one's fails the read. ``multi_line`` allows line ends in quotes, and reads each file in one task.
+    """
+    kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    form = {"header": True, "sep": sep, "escape": '"', "multiLine": multi_line}  # a quote in quotes is doubled
+    found = spark.read.csv(path, **form).columns
+    text = T.StructType([T.StructField(c, T.StringType()) for c in found])
+    rows = spark.read.schema(text).csv(path, enforceSchema=False, **form)
+    at = {c.strip("\ufeff").lower(): c for c in reversed(found)}
+    return rows.select(*((F.col(f"`{at[f.name.lower()]}`").try_cast(f.dataType) if f.name.lower() in at else F.lit(None).cast(f.dataType)).alias(f.name) for f in kind))
 
 
 def read_crosswalk(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
