@@ -15,6 +15,7 @@ EARTH_M = 6_371_000.0
 DEGREE_KM = 111.32
 METRES_A_DEGREE = EARTH_M * math.pi / 180
 POINT = "struct<lon:double,lat:double>"
+EDGE = f"struct<a:{POINT},b:{POINT}>"
 
 
 def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:

@@ -35,6 +35,21 @@ def _met(rows: DataFrame, queries: DataFrame, cell: float) -> DataFrame:
     return rows.join(q, (F.col("_row") == F.col("_qrow")) & (F.col("_col") == F.col("_qcol")) & in_box)
 
 
+def _shaped() -> Column:
+    return F.coalesce(F.size("polygons") > 0, F.lit(False))
+
+
+def _forms(places: DataFrame) -> DataFrame:
+    """``places`` with _form, a digest of what is measured: the polygons, or the point where there are none."""
+    return places.withColumn("_form", F.sha2(F.when(_shaped(), F.to_json("polygons")).otherwise(F.to_json(F.struct("lat", "lon"))), 256))
+
+
+def _spots(points: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Query points as (query_id, q_lat, q_lon), and each place where some lie, once."""
+    q = points.select("query_id", F.col("lat").alias("q_lat"), F.col("lon").alias("q_lon"))
+    return q, q.select("q_lat", "q_lon").dropna().distinct()
+
+
 def nearby(points: DataFrame, places: DataFrame, limit: int | None = None, near_point_m: float = NEAR_POINT_M, near_boundary_m: float = NEAR_BOUNDARY_M) -> DataFrame:
     """Places around query points (query_id, lat, lon), best first.
 
@@ -42,29 +57,43 @@ def nearby(points: DataFrame, places: DataFrame, limit: int | None = None, near_
     near a boundary beats near a point.  Queries meet places on cells of a degree grid, points
     within their reach and polygons within theirs, never on all pairs.  Points are measured by
     one formula; polygons by their edges, and their box and area are columns before the join.
+
+    Queries at one point and places of one form are measured and ranked once.  With a limit, forms
+    that as many others beat are left before their places are looked up, and of a form's places,
+    which only their names rank, no more than the limit are.
     """
-    q = points.select("query_id", F.col("lat").alias("q_lat"), F.col("lon").alias("q_lon"))
-    shaped = F.coalesce(F.size("polygons") > 0, F.lit(False))
+    q, spots = _spots(points)
+    places = _forms(places)
     spot = F.struct(F.col("lon").alias("min_lon"), F.col("lat").alias("min_lat"), F.col("lon").alias("max_lon"), F.col("lat").alias("max_lat"))
     cell = near_point_m / geo.METRES_A_DEGREE * 2
-    plain = _met(_cells(places.where(~shaped).select("place_id", "name", "lat", "lon"), spot, near_point_m, cell), q, cell)
+    dots = places.where(~_shaped()).groupBy("_form").agg(F.any_value("lat").alias("lat"), F.any_value("lon").alias("lon"))
+    plain = _met(_cells(dots, spot, near_point_m, cell), spots, cell)
     metres = geo.haversine_m(F.col("q_lat"), F.col("q_lon"), F.col("lat"), F.col("lon"))
-    plain = plain.select("query_id", "place_id", "name", F.lit("nearby_point").alias("kind"), F.lit(2).alias("priority"), F.lit(0.0).alias("area_m2"), metres.alias("distance_m")).where(F.col("distance_m") <= near_point_m)
+    plain = plain.select("q_lat", "q_lon", "_form", F.lit("nearby_point").alias("kind"), F.lit(2).alias("priority"), F.lit(0.0).alias("area_m2"), metres.alias("distance_m")).where(F.col("distance_m") <= near_point_m)
 
     cell = near_boundary_m / geo.METRES_A_DEGREE * 4
     area = F.array_min(F.transform("polygons", geo.polygon_area_m2))
-    outlined = places.where(shaped).select("place_id", "name", "polygons", area.alias("area"))
-    found = _met(_cells(outlined, geo.bbox(F.col("polygons")), near_boundary_m, cell), q, cell)
-    inside = geo.in_any(F.col("q_lon"), F.col("q_lat"), F.col("polygons"))
-    edge = geo.boundary_distance_m(F.col("q_lon"), F.col("q_lat"), F.col("polygons"))
-    # one measurement a pair: exploded, so that no filter or later column evaluates it again
-    measured = F.explode(F.array(F.struct(inside.alias("inside"), edge.alias("edge"))))
-    found = found.select("query_id", "place_id", "name", "area", measured.alias("m")).where(F.col("m.inside") | (F.col("m.edge") <= near_boundary_m))
-    at = lambda yes, no: F.when(F.col("m.inside"), yes).otherwise(no)
-    found = found.select("query_id", "place_id", "name", at(F.lit("inside_boundary"), F.lit("near_boundary")).alias("kind"), at(F.lit(0), F.lit(1)).alias("priority"), at(F.col("area"), F.lit(0.0)).alias("area_m2"), at(F.lit(0.0), F.col("m.edge")).alias("distance_m"))
-    w = Window.partitionBy("query_id").orderBy("priority", "area_m2", "distance_m", F.lower("name"), "place_id")
-    out = found.unionAll(plain).withColumn("rank", F.row_number().over(w)).drop("priority")
-    return out if limit is None else out.where(F.col("rank") <= limit)
+    edges = F.flatten(F.transform(F.flatten("polygons"), geo.edges))
+    outlined = places.where(_shaped()).groupBy("_form").agg(F.any_value("polygons").alias("polygons")).withColumns({"area": area, "edges": edges})
+    found = _met(_cells(outlined, geo.bbox(F.col("polygons")), near_boundary_m, cell), spots, cell)
+    # only points in the box (a metre more than it) can be inside; the others are measured from each edge, a row an edge;
+    # outer, or its filter for empty arrays would be taken into the join and run before the boxes are compared
+    margin = F.lit((near_boundary_m - 1.0) / geo.METRES_A_DEGREE)
+    boxed = F.col("q_lat").between(F.col("_box.min_lat") + margin, F.col("_box.max_lat") - margin) & F.col("q_lon").between(F.col("_box.min_lon") + margin, F.col("_box.max_lon") - margin)
+    inside = boxed & geo.in_any(F.col("q_lon"), F.col("q_lat"), F.col("polygons"))
+    edge = F.explode_outer(F.when(inside, F.array(F.lit(None).cast(geo.EDGE))).otherwise(F.col("edges")))
+    away = F.when(F.col("e").isNull(), F.lit(-1.0)).otherwise(geo.segment_distance_m(F.col("q_lon"), F.col("q_lat"), F.col("e")))
+    found = found.select("q_lat", "q_lon", "_form", "area", edge.alias("e")).groupBy("q_lat", "q_lon", "_form").agg(F.any_value("area").alias("area"), F.min(away).alias("edge")).where(F.col("edge") <= near_boundary_m)
+    at = lambda yes, no: F.when(F.col("edge") < 0, yes).otherwise(no)
+    found = found.select("q_lat", "q_lon", "_form", at(F.lit("inside_boundary"), F.lit("near_boundary")).alias("kind"), at(F.lit(0), F.lit(1)).alias("priority"), at(F.col("area"), F.lit(0.0)).alias("area_m2"), at(F.lit(0.0), F.col("edge")).alias("distance_m"))
+    met, named = found.unionAll(plain), places.select("_form", "place_id", "name")
+    best, w = ["priority", "area_m2", "distance_m"], Window.partitionBy("q_lat", "q_lon")
+    if limit is not None:
+        met = met.withColumn("_n", F.rank().over(w.orderBy(*best))).where(F.col("_n") <= limit).drop("_n")
+        named = named.withColumn("_n", F.row_number().over(Window.partitionBy("_form").orderBy(F.lower("name"), "place_id"))).where(F.col("_n") <= limit).drop("_n")
+    out = met.join(named, "_form").withColumn("rank", F.row_number().over(w.orderBy(*best, F.lower("name"), "place_id")))
+    out = out if limit is None else out.where(F.col("rank") <= limit)
+    return q.join(out, ["q_lat", "q_lon"]).select("query_id", "place_id", "name", "kind", "area_m2", "distance_m", "rank")
 
 
 def bbox_places(points: DataFrame, boxes: DataFrame, pad: float = 0.05) -> DataFrame:
