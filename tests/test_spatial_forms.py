@@ -31,3 +31,14 @@ def test_nearby_without_a_limit_ranks_all(spark):
     got = spatial.nearby(queries, places)
     assert got.count() == 900
     assert {(r["rank"], r["place_id"]) for r in got.where("query_id = 7").collect()} == set(enumerate([*range(0, 30, 3), *(i for i in range(30) if i % 3)], 1))
+
+
+def test_containing_tests_a_form_once(spark):
+    queries, places = crowd(spark, 3000)
+    began = time.time()
+    got = spatial.containing(queries, places)
+    n, first, last = got.agg(F.count(F.lit(1)), F.countDistinct("query_id"), F.countDistinct("place_id")).first()
+    assert (n, first, last) == (3_000_000, 3000, 1000)
+    assert time.time() - began < 60
+    edge = spark.createDataFrame([(1, 0.01, 0.0), (2, 0.0101, 0.0), (3, None, 0.0)], "query_id long, lat double, lon double")
+    assert {r["query_id"] for r in spatial.containing(edge, places).collect()} == {1}

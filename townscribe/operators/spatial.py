@@ -11,6 +11,8 @@ from ..functions import geo
 
 NEAR_POINT_M = 8_047.0
 NEAR_BOUNDARY_M = 3_219.0
+#: Degrees of a cell in which polygons are looked for.
+NEAR_CELL = NEAR_BOUNDARY_M / geo.METRES_A_DEGREE * 4
 #: Boxes that every point may be held against.
 BOXES = 10_000
 
@@ -50,6 +52,23 @@ def _spots(points: DataFrame) -> tuple[DataFrame, DataFrame]:
     return q, q.select("q_lat", "q_lon").dropna().distinct()
 
 
+def containing(points: DataFrame, places: DataFrame) -> DataFrame:
+    """(query_id, place_id): the places (place_id, polygons) in whose polygons, their edges included, query points (query_id, lat, lon) lie.
+
+    Each polygon is tested once for each place where points lie, however many points lie there and
+    places have that polygon; only what is found is joined with them.
+    """
+    q, spots = _spots(points)
+    places = places.where(_shaped()).select("place_id", "polygons", F.sha2(F.to_json("polygons"), 256).alias("_form"))
+    outlines = places.groupBy("_form").agg(F.any_value("polygons").alias("polygons"))
+    # a metre more than the box, for points on its edge
+    met = _met(_cells(outlines, geo.bbox(F.col("polygons")), 1.0, NEAR_CELL), spots, NEAR_CELL)
+    # exploded, as a plain filter would be taken into the join and run before its boxes are compared
+    inside = F.explode_outer(F.array(geo.in_any(F.col("q_lon"), F.col("q_lat"), F.col("polygons"))))
+    hits = met.select("q_lat", "q_lon", "_form", inside.alias("inside")).where("inside").select("q_lat", "q_lon", "_form")
+    return hits.join(places.select("place_id", "_form"), "_form").join(q, ["q_lat", "q_lon"]).select("query_id", "place_id")
+
+
 def nearby(points: DataFrame, places: DataFrame, limit: int | None = None, near_point_m: float = NEAR_POINT_M, near_boundary_m: float = NEAR_BOUNDARY_M) -> DataFrame:
     """Places around query points (query_id, lat, lon), best first.
 

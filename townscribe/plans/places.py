@@ -35,7 +35,7 @@ select query_id, place_id from p join q on sq and abs(qlat - lat) < h and abs(ql
 
 @query("point_in_polygon", SQL_NEAR)
 def point_in_polygon(spark: SparkSession, d: str) -> DataFrame:
-    return spatial.nearby(points(spark, d), squares(spark, d)).where("kind = 'inside_boundary'").select("query_id", "place_id")
+    return spatial.containing(points(spark, d), squares(spark, d))
 
 
 M = "(6371000.0 * pi() / 180)"
