@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import materialize
 from .sizes import broadcast_if_small
 
 
@@ -65,18 +66,21 @@ def projected_pages(estimated: Column, readable: Column, pages: Column) -> Colum
 def cap_pages(rows: DataFrame, most: int) -> DataFrame:
     """Rows (ord, projected) with the running total, and whether it is still within a budget of ``most`` pages.
 
-    Totals are summed by range of ord first, so that no task sorts all rows.
+    Rows of equal ord share a total, and those without one come last, as in SQL. Totals are summed by range of
+    ord first, so that no task sorts all rows.
     """
     return _running(rows, "ord", "projected", "running").withColumn("within", F.col("running") <= most)
 
 
 def _running(rows: DataFrame, order: str, value: str, out: str) -> DataFrame:
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = rows.repartitionByRange(parts, order).withColumn("_range", F.spark_partition_id())
+    # written: its range is read twice, and a second sample could cut elsewhere
+    by = F.asc_nulls_last(order)
+    ranged = materialize(rows.repartitionByRange(parts, by).withColumn("_range", F.spark_partition_id()), "ranges")
     # a row a range
     before = ranged.groupBy("_range").agg(F.sum(value).alias("_n"))
     before = before.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
-    here = F.sum(value).over(Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    here = F.sum(value).over(Window.partitionBy("_range").orderBy(by).rangeBetween(Window.unboundedPreceding, Window.currentRow))
     return ranged.withColumn("_here", here).join(F.broadcast(before), "_range").withColumn(out, F.col("_before") + F.col("_here")).drop("_range", "_here", "_before")
 
 
