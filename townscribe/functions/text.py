@@ -321,10 +321,18 @@ def proxy_context(chunks: Column, words: list[str] = PROXY_WORDS, most: int = 6)
 
 
 def most_mentioned(values: Column) -> Column:
-    """The most frequent value of an array; the first seen wins ties."""
-    distinct = F.array_distinct(values)
-    counted = F.transform(distinct, lambda v, i: F.struct(F.size(F.filter(values, lambda x: x == v)).alias("n"), (-i).alias("first"), v.alias("v")))
-    return F.array_max(counted)["v"]
+    """The most frequent value of an array, nulls left out; the first seen wins ties. Sorted once and counted run by run, so long arrays take no square of time."""
+    ordered = F.array_sort(F.transform(F.filter(values, lambda v: v.isNotNull()), lambda v, i: F.struct(v.alias("v"), i.alias("first"))))
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("first"), F.lit(None).cast("string").alias("v"))
+
+    def step(state: Column, x: Column) -> Column:
+        """The run that x goes on with or begins, and the best so far."""
+        same = state["run"]["v"] == x["v"]
+        run = F.when(same, F.struct((state["run"]["n"] + 1).alias("n"), state["run"]["first"].alias("first"), x["v"].alias("v"))).otherwise(F.struct(F.lit(1).alias("n"), x["first"].alias("first"), x["v"].alias("v")))
+        better = lambda r: (r["n"] > state["best"]["n"]) | ((r["n"] == state["best"]["n"]) & (r["first"] < state["best"]["first"]))
+        return let(run, lambda r: F.struct(r.alias("run"), F.when(better(r), r).otherwise(state["best"]).alias("best")))
+
+    return F.aggregate(ordered, F.struct(start.alias("run"), start.alias("best")), step, lambda state: state["best"]["v"])
 
 
 def location_parts(text: Column) -> Column:
