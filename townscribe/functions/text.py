@@ -140,12 +140,37 @@ VIOLATION = (r"violation\s+notice|notice\s+of\s+(?:violation|hearing)", r"(?:dea
 LATER = {"bylaws": (r"|\barticle\s+[ivx\d]+.*(?:members|board|officers|meetings)", r"\barticle\s+[ivx\d]", ["members", "board", "officers", "meetings"])}
 
 
+#: Of each category's pattern, terms of which every match holds one: a text without them is not searched for the pattern.
+TERMS = {
+    "ccr": ["covenant", "restriction", "&"],
+    "bylaws": ["bylaw", "by-law"],
+    "articles": ["incorporation"],
+    "rules": ["architectural", "design", "regulations"],
+    "amendment": ["amendment", "supplemental", "restated"],
+    "resolution": ["resolution"],
+    "plat": ["plat"],
+    "court": ["court", "plaintiff", "defendant", "docket"],
+    "tax": ["990", "exempt", "revenue"],
+    "government": ["commission", "council", "environmental"],
+    "minutes": ["minutes"],
+    "financial": ["budget", "financial", "reserve", "schedule"],
+    "insurance": ["insurance", "liability"],
+}
+BALLOT_TERMS, VIOLATION_TERMS = (["ballot", "proxy"], ["unit", "lot"]), (["violation", "hearing"], ["dear", "property"])
+#: Every match of ROSTER has one of these to itself.
+ROSTER_LINE = r"\n[^\S\n]*\d"
+
+
 def _by_text(lower: Column, pattern: str, category: str) -> Column:
     if category not in LATER:
-        return lower.rlike(pattern)
+        return any_of(lower, TERMS[category]) & lower.rlike(pattern)
     alternative, mark, words = LATER[category]
-    first = F.regexp_instr(lower, F.lit(mark))
-    return lower.rlike(pattern.removesuffix(alternative)) | ((first > 0) & any_of(F.substr(lower, first), words))
+    first = F.when(lower.contains("article"), F.regexp_instr(lower, F.lit(mark))).otherwise(0)
+    return (any_of(lower, TERMS[category]) & lower.rlike(pattern.removesuffix(alternative))) | let(first, lambda at: (at > 0) & any_of(F.substr(lower, at), words))
+
+
+def _both(lower: Column, patterns: tuple[str, str], terms: tuple[list[str], list[str]]) -> Column:
+    return any_of(lower, terms[0]) & any_of(lower, terms[1]) & lower.rlike(patterns[0]) & lower.rlike(patterns[1])
 
 
 def classify_text(text: Column) -> Column:
@@ -153,9 +178,9 @@ def classify_text(text: Column) -> Column:
     pick = lambda c, p: F.struct(F.lit(c).alias("category"), F.lit(p).alias("confidence"))
 
     def rules(lower: Column) -> Column:
-        out = F.when(_count(text, ROSTER) >= 5, pick("membership_list", 0.85))
-        out = out.when(lower.rlike(BALLOT[0]) & lower.rlike(BALLOT[1]), pick("ballot", 0.8))
-        out = out.when(lower.rlike(VIOLATION[0]) & lower.rlike(VIOLATION[1]), pick("violation", 0.8))
+        out = F.when((_count(text, ROSTER_LINE) >= 5) & (_count(text, ROSTER) >= 5), pick("membership_list", 0.85))
+        out = out.when(_both(lower, BALLOT, BALLOT_TERMS), pick("ballot", 0.8))
+        out = out.when(_both(lower, VIOLATION, VIOLATION_TERMS), pick("violation", 0.8))
         for pattern, category, p in BY_TEXT:
             out = out.when(_by_text(lower, pattern, category), pick(category, p))
         return out
