@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import narrow, sliced
+
 MAX_CHARS, OVERLAP = 1800, 200
 
 
@@ -76,11 +78,12 @@ def chunk_documents(docs: DataFrame, max_chars: int = MAX_CHARS, overlap: int =
     names = ["document_id", "chunk_index", "text", "start_page", "end_page"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             rows = [(doc, *c) for doc, pages in zip(b.column("document_id").to_pylist(), b.column("pages").to_pylist(), strict=True) for c in chunks_of([(p["number"], p["text"]) for p in pages or ()], max_chars, overlap, compat)]
             cols = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.schema.field("document_id").type), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64())], names)
 
+    narrow(docs.sparkSession)
     kind = docs.schema["document_id"].dataType.simpleString()
     return docs.select("document_id", "pages").mapInArrow(cut, f"document_id {kind}, chunk_index long, text string, start_page long, end_page long")
 
