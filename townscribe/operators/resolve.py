@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names
+from .batches import narrow, sliced
 from .sizes import broadcast_if_small
 
 
@@ -268,9 +269,9 @@ def harvest_links(pages: DataFrame) -> DataFrame:
     tag = re.compile(r"<[^>]*>")
 
     def run(batches):
-        for pdf in batches:
+        for b in sliced(batches):
             rows = []
-            for page_id, base, text in zip(pdf["page_id"], pdf["url"], pdf["html"], strict=True):
+            for page_id, base, text in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True):
                 seen = set()
                 for m in anchor.finditer(text or ""):
                     href = entities.unescape(m[1] or m[2] or m[3] or "").strip()
@@ -284,9 +285,11 @@ def harvest_links(pages: DataFrame) -> DataFrame:
                     if ok and url not in seen:
                         seen.add(url)
                         rows.append((page_id, len(seen) - 1, url, " ".join(entities.unescape(tag.sub("", m[4])).split())))
-            yield pd.DataFrame(rows, columns=["page_id", "ord", "url", "text"])
+            cols = list(zip(*rows, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["page_id", "ord", "url", "text"])
 
-    return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, ord long, url string, text string")
+    narrow(pages.sparkSession)
+    return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, ord long, url string, text string")
 
 
 # Words of governing documents and of pages that list them, urls to skip.
