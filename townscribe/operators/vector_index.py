@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from .batches import narrow, sliced
 from .catalog import top_per_group
 from .shared import materialize
 from .sizes import broadcast_if_small
@@ -118,6 +119,7 @@ def _assigned(rows: DataFrame, pivots: np.ndarray, score: str) -> DataFrame:
 
 def build(vectors: DataFrame, score: str = "cosine", partition: str = "partition", block: int = BLOCK, pivots: int = PIVOTS) -> Index:
     """The index of (vec_id, partition, embedding); rows without one of the three are in no result."""
+    narrow(vectors.sparkSession)
     rows = vectors.select(F.col(partition).alias("partition"), F.col("vec_id").alias("id"), F.col("embedding").alias("vector")).dropna()
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(pivots).select("vector").toArrow()
     points = matrix(sample.column("vector"))
@@ -153,7 +155,7 @@ def _visit(blocks: DataFrame, queries: DataFrame, k: int, score: str, digits: in
     types = [to_arrow_type(t) for t in (query, part, vec)] + [pa.float64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             for r in b.to_pylist():
                 ids, names = np.array(r["vec_ids"]), r["query_ids"]
                 rows = np.frombuffer(r["vectors"]).reshape(len(ids), -1)
@@ -176,7 +178,7 @@ def _cells_of(queries: DataFrame, index: Index, choose: Callable[[np.ndarray, np
     types = {c: to_arrow_type(kinds[c]) for c in ("partition", "id", "vector")}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             out = {c: [] for c in ("partition", "cell", "id", "vector", "least", "n_cells")}
             for r in b.to_pylist():
                 cells = r["cells"]
