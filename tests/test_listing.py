@@ -55,3 +55,35 @@ def test_delimited_files_by_name(spark, tmp_path):
     assert [r["name"] for r in files.read_csv(spark, f"{tmp_path}/q.csv", "id int, name string", "|", True).collect()] == ["two\nlines"]
     (tmp_path / "e.csv").write_text("")
     assert files.read_csv(spark, f"{tmp_path}/e.csv", "id int").count() == 0
+
+
+def test_folders_behind_the_limit_are_not_listed(spark, tmp_path, monkeypatch):
+    for i in range(60):
+        status(tmp_path / "in" / f"g{i // 10}", f"b{i:02}", f'{{"status": "{"ready" if i % 2 else "failed"}", "bundle_id": "{i}"}}')
+    true, listed = files._names, []
+    monkeypatch.setattr(files, "_names", lambda s, at, part: listed.append(at) or true(s, at, part))
+    got = [r["bundle_id"] for r in files.read_ready_bundles(spark, f"{tmp_path}/in/*/*/status.json", 2).collect()]
+    assert got == ["1", "3"]
+    assert len(listed) == 10 and not any("/g1" in at for at in listed)  # the root, the first group, and eight of its bundles
+
+
+def test_order_is_that_of_whole_paths(spark, tmp_path):
+    names = ["a", "a-b", "a b", "a!b", "a0", "a.c", "ä", "[x]", "{y,z}"]
+    for n in names:
+        status(tmp_path / "in", n, f'{{"status": "ready", "bundle_id": "{n}"}}')
+        (tmp_path / "in" / n / "_status.json").write_text(f'{{"status": "ready", "bundle_id": "hidden {n}"}}')
+    want = sorted(names, key=lambda n: n + "/")
+    for path in (f"{tmp_path}/in/*/*.json", f"{tmp_path}/in/{{a*/status.json,*/status.json}}"):
+        for limit, wave in ((1, 1), (1, None), (3, 1), (3, None), (9, 2), (20, None)):
+            assert [r["bundle_id"] for r in files.read_ready_bundles(spark, path, limit, wave).collect()] == want[:limit]
+    with pytest.raises(Exception, match="(?i)path"):
+        files.read_ready_bundles(spark, f"{tmp_path}/gone/*/status.json", 2)
+
+
+def test_statuses_are_written_by_tasks(spark, tmp_path):
+    rows = spark.createDataFrame([(f"{str(i)[:2]}/{i}", f'{{"bundle_id": "{i}", "status": "ready"}}') for i in range(300)], "prefix string, json string")
+    files.write_statuses(rows, f"{tmp_path}/a b")
+    found = sorted(str(p.relative_to(tmp_path / "a b")) for p in (tmp_path / "a b").rglob("*") if p.is_file())
+    assert found == sorted(f"{str(i)[:2]}/{i}/status.json" for i in range(300))
+    got = [r["bundle_id"] for r in files.read_ready_bundles(spark, f"{tmp_path}/a b/*/*/status.json", 40).collect()]
+    assert got == sorted(map(str, range(300)))[:40]

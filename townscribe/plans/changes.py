@@ -206,7 +206,8 @@ def schema_contract(spark: SparkSession, d: str) -> DataFrame:
 def ready_bundles(spark: SparkSession, d: str) -> DataFrame:
     """A folder with a status file for each supplier; the first 25 that are ready, by path."""
     at = f"{shared.shared_dir(spark)}/bundles-{uuid.uuid4().hex}"
-    k = F.col("s_suppkey")
-    rows = table(spark, d, "supplier").select(F.when(k % 3 != 0, "ready").otherwise("failed").alias("status"), k.cast("string").alias("bundle_id"), k.alias("bundle"))
-    rows.repartition("bundle").write.partitionBy("bundle").json(at)
-    return files.read_ready_bundles(spark, f"{at}/*/*.json", 25).select(F.col("bundle_id").cast("long").alias("bundle_id"))
+    k = F.col("s_suppkey").cast("string")
+    status = F.to_json(F.struct(F.when(F.col("s_suppkey") % 3 != 0, "ready").otherwise("failed").alias("status"), k.alias("bundle_id")))
+    # a level of folders by the first three digits keeps each folder small, and paths in the order of the digits
+    files.write_statuses(table(spark, d, "supplier").select(F.concat_ws("/", F.substring(k, 1, 3), k).alias("prefix"), status.alias("json")), at)
+    return files.read_ready_bundles(spark, f"{at}/*/*/status.json", 25).select(F.col("bundle_id").cast("long").alias("bundle_id"))

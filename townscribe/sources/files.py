@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterable, Iterator
+from heapq import merge
+from itertools import groupby, islice
+from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,27 +64,87 @@ def _status(spark: SparkSession, *paths: str) -> DataFrame:
     return df.withColumn("prefix", F.regexp_replace(F.input_file_name(), "/[^/]*$", "")).where("status = 'ready'")
 
 
+def write_statuses(rows: DataFrame, path: str, name: str = "status.json") -> None:
+    """Each of ``rows`` (prefix, json) as a status file of its own in the folder ``prefix`` below ``path``, written by the tasks.
+
+    A file gets its name when it is whole, so a task may run twice; no driver renames what tasks wrote. Opened through ``pyarrow.fs``.
+    """
+    spark = rows.sparkSession
+    fs, at = _fs(spark, path)
+    uri = fs.makeQualified(at).toUri().toString()
+
+    def put(part: Iterable[Row]) -> None:
+        from pyarrow import fs as arrow
+
+        where, root = arrow.FileSystem.from_uri(uri)
+        for r in part:
+            folder = f"{root}/{r['prefix']}"
+            draft = f"{folder}/.{name}.{uuid.uuid4().hex}"
+            where.create_dir(folder)
+            with where.open_output_stream(draft) as out:
+                out.write(r["json"].encode())
+            where.move(draft, f"{folder}/{name}")
+
+    rows.select("prefix", "json").repartition(spark.sparkContext.defaultParallelism, "prefix").foreachPartition(put)
+
+
+def _names(spark: SparkSession, at: str, part: str) -> list[str]:
+    """The paths of what matches ``part``, one name or a pattern of names, in the folder ``at``."""
+    fs, pattern = _fs(spark, f"{literal(at)}/{part}")
+    found = fs.globStatus(pattern)
+    return [] if found is None else [p.toString() for p in spark.sparkContext._jvm.org.apache.hadoop.fs.FileUtil.stat2Paths(found)]
+
+
+def _walk(spark: SparkSession, path: str) -> Iterator[str]:
+    """The files that match a pattern in the order of their paths; a folder is listed when the walk comes to it."""
+
+    def below(at: str, parts: list[str]) -> Iterator[str]:
+        head, tail = parts[0], parts[1:]
+        if tail and not re.search(r"[*?\[\]{}\\]", head):
+            yield from below(f"{at.rstrip('/')}/{head}", tail)
+        elif tail:
+            for folder in sorted(_names(spark, at, head), key=lambda p: p + "/"):  # as in the paths of what it holds
+                yield from below(folder, tail)
+        else:  # as Spark's readers, which pass over hidden files
+            yield from sorted(p for p in _names(spark, at, head) if not re.search(r"/(\.|_(?!.*=))[^/]*$|\._COPYING_$", p))
+
+    def one(pattern: str) -> Iterator[str]:
+        fs, at = _fs(spark, pattern)
+        at, parts = fs.makeQualified(at), []
+        while at.getParent() is not None:
+            parts.insert(0, at.getName())
+            at = at.getParent()
+        return below(at.toString(), parts)
+
+    # alternatives in braces may hold slashes
+    for p, _ in groupby(merge(*map(one, spark.sparkContext._jvm.org.apache.hadoop.fs.GlobExpander.expand(path)))):
+        yield p
+
+
+#: Status files of a wave at most.
+WAVE = 4096
+
+
 def read_ready_bundles(spark: SparkSession, path: str, limit: int | None = None, wave: int | None = None) -> DataFrame:
     """Folders whose status file says ready; the first ``limit`` of them by path. Files that are no JSON are passed over.
 
-    With a limit, status files are opened in waves in the order of their paths, the first of ``wave`` files (four times the limit),
-    each twice as large, until enough are ready; those behind are only listed. The result is read from the files that
-    the waves found, at most ``limit``.
+    With a limit, folders are listed and status files are opened in waves in the order of their paths, the first of ``wave`` files (four
+    times the limit), each twice as large up to WAVE, until enough are ready; those behind are neither opened nor listed, as none of them can
+    come before. The result holds at most ``limit``.
     """
     if limit is None:
         return _status(spark, path)
-    listed = spark.read.format("binaryFile").load(path).select("path")  # paths alone: opens nothing
-    found: list[tuple[str, str]] = []
-    after, size = "", wave or 4 * max(1, limit)
-    while len(found) < limit:
-        names = [r["path"] for r in listed.where(F.col("path") > after).orderBy("path").limit(size).collect()]
-        if names:
-            ready = _status(spark, *map(literal, names)).orderBy("prefix").limit(limit - len(found))
-            found += [tuple(r) for r in ready.collect()]
-            after = names[-1]
-        if len(names) < size:
-            break
-        size *= 2
+    found: list[tuple[str, str, str, str]] = []
+    size = wave or min(4 * max(1, limit), WAVE)
+    walk = _walk(spark, path)
+    names = list(islice(walk, size))
+    if not names:
+        spark.read.format("binaryFile").load(path)  # fails if nothing is there
+    while names and len(found) < limit:
+        ready = _status(spark, *map(literal, names)).withColumn("_at", F.input_file_name()).collect()
+        found += [tuple(r)[:-1] for r in sorted(ready, key=lambda r: unquote(r["_at"]))][: limit - len(found)]
+        size = min(2 * size, max(size, WAVE))
+        names = list(islice(walk, size)) if len(found) < limit else []
     return spark.createDataFrame(found, "status string, bundle_id string, updated_at string, prefix string")
 
 
