@@ -3,8 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from townscribe.operators import renames
+from townscribe.operators import renames, sizes
 
 
 def one_by_one(entities, documents, asked):
@@ -88,3 +89,28 @@ def test_pointers(spark):
         assert {r["source"]: r["target"] for r in got} == follow(pointers)
         assert len(got) == len(pointers)
     assert renames.resolve(spark.createDataFrame([], "source long, target long")).count() == 0
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rounds_send_no_table_to_the_driver(spark, monkeypatch):
+    plans = []
+    true = renames.materialize
+    monkeypatch.setattr(renames, "materialize", lambda df, name: plans.append(plan(df)) or true(df, name))
+    names = spark.range(3000).selectExpr("concat('n', id) as a", "concat('n', if(id % 3 = 0, id, id - 1)) as b")
+    assert renames.groups(names).select("group").distinct().count() == 1000
+    pointers = renames.resolve(spark.range(3000).selectExpr("id as source", "id + 1 as target"))
+    plans.append(plan(pointers))
+    assert {r["target"] for r in pointers.select("target").distinct().collect()} == {3000}
+    assert len(plans) > 15 and not any("Broadcast" in p for p in plans)
+
+
+def test_what_is_not_small_is_not_broadcast_by_its_files(spark, monkeypatch):
+    monkeypatch.setattr(sizes, "is_small", lambda df, *a: False)
+    rows = spark.range(100).select(F.col("id").alias("entity_id"), F.lit("p").alias("path"), F.col("id").alias("document_id"))
+    claims = spark.range(50).selectExpr("id as entity_id", "id div 2 as final_id", "cast(id % 2 as int) as claim")
+    moved = renames.move(rows, claims, ["path"])
+    assert "Broadcast" not in plan(moved)
+    assert sorted(tuple(r) for r in moved.select("entity_id", "document_id").collect()) == sorted([(i // 2, i) for i in range(0, 50, 2)] + [(i, i) for i in range(50, 100)])

@@ -3,7 +3,7 @@
 A rename to a free name changes the entity's name and frees its old one; a rename to a taken name merges the entity
 into the one that has it, and later renames to or of either see the result. Two renames can only touch each other if
 names connect them, so names that renames connect form groups (by pointer jumping: the rounds grow with the
-logarithm of the longest chain). Each group's renames are folded in order, all groups at once. The fold keeps for each
+logarithm of the longest chain; each joins by shuffle, so that no table goes through the driver). Each group's renames are folded in order, all groups at once. The fold keeps for each
 entity whose documents it has, in the order of their claims: its own first, then those merged into it, in turn; so
 the documents of all merged entities move once, straight to the last one, however long the chain.
 """
@@ -18,7 +18,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .folds import fold
 from .shared import materialize
-from .sizes import broadcast_if_small
+from .sizes import broadcast_if_small, shuffled
 
 #: Characters of a name.
 LONGEST = 200
@@ -32,12 +32,12 @@ def groups(edges: DataFrame) -> DataFrame:
     labels = materialize(labels, "labels")
     while True:
         # what the neighbours know, told to the node and to the one it points to; then each pointer is followed once
-        told = both.join(labels.select(F.col("node").alias("b"), F.col("group").alias("g")), "b").groupBy("a").agg(F.min("g").alias("g"))
-        met = told.join(labels, F.col("a") == F.col("node")).select("node", "group", F.least("g", "group").alias("least"))
+        told = both.join(shuffled(labels.select(F.col("node").alias("b"), F.col("group").alias("g"))), "b").groupBy("a").agg(F.min("g").alias("g"))
+        met = told.join(shuffled(labels), F.col("a") == F.col("node")).select("node", "group", F.least("g", "group").alias("least"))
         hooked = met.select("node", "least").unionAll(met.select(F.col("group").alias("node"), "least")).groupBy("node").agg(F.min("least").alias("group"))
         up = hooked.select(F.col("node").alias("group"), F.col("group").alias("above"))
-        new = materialize(hooked.join(up, "group").select("node", F.col("above").alias("group")), "labels")
-        if new.join(labels.withColumnRenamed("group", "before"), "node").where("`group` <> `before`").isEmpty():
+        new = materialize(hooked.join(shuffled(up), "group").select("node", F.col("above").alias("group")), "labels")
+        if new.join(shuffled(labels.withColumnRenamed("group", "before")), "node").where("`group` <> `before`").isEmpty():
             return new
         labels = new
 
@@ -54,7 +54,7 @@ def resolve(pointers: DataFrame) -> DataFrame:
     rounds, most = 0, now.count()
     while True:
         ahead = now.select(F.col("source").alias("target"), F.col("target").alias("next"), F.col("seen").alias("later"))
-        new = now.join(ahead, "target", "left").select("source", F.coalesce("next", "target").alias("target"), F.least("seen", F.coalesce("later", "seen")).alias("seen"), F.col("next").isNotNull().alias("moved"))
+        new = now.join(shuffled(ahead), "target", "left").select("source", F.coalesce("next", "target").alias("target"), F.least("seen", F.coalesce("later", "seen")).alias("seen"), F.col("next").isNotNull().alias("moved"))
         new = materialize(new, "chains")
         rounds += 1
         if new.where("moved").isEmpty() or 2**rounds > most:
@@ -62,8 +62,8 @@ def resolve(pointers: DataFrame) -> DataFrame:
         now = new.drop("moved")
     # what still moves after more steps than there are nodes stands on a cycle; its least member was seen by all of it
     on = new.where("moved").select(F.col("target").alias("node")).distinct()
-    least = new.join(on, F.col("source") == F.col("node")).select("node", F.col("seen").alias("end"))
-    return new.join(least, F.col("target") == F.col("node"), "left").select("source", F.coalesce("end", "target").alias("target"))
+    least = new.join(shuffled(on), F.col("source") == F.col("node")).select("node", F.col("seen").alias("end"))
+    return new.join(shuffled(least), F.col("target") == F.col("node"), "left").select("source", F.coalesce("end", "target").alias("target"))
 
 
 def apply_renames(entities: DataFrame, renames: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -81,13 +81,13 @@ def apply_renames(entities: DataFrame, renames: DataFrame) -> tuple[DataFrame, D
     known = entities.select(F.col("entity_id").cast("long").alias("entity_id"), "name")
     ids = broadcast_if_small(asked.select("entity_id").distinct())
     mine = known.join(ids, "entity_id", "left_semi")
-    named = asked.join(mine, "entity_id", "left").withColumn("bad", (F.coalesce("new_name", F.lit("")) == "") | (F.length("new_name") > LONGEST))
+    named = asked.join(shuffled(mine), "entity_id", "left").withColumn("bad", (F.coalesce("new_name", F.lit("")) == "") | (F.length("new_name") > LONGEST))
     named = materialize(named, "renames")
     refused = named.where("bad or name is null").select("ord", "entity_id", F.when(F.col("bad"), "error:bad new_name").otherwise("error:not_found").alias("status"), F.lit(None).cast("string").alias("old_name"), F.lit(None).cast("string").alias("new_name"), F.lit(None).cast("long").alias("target_id"))
     good = named.where("not bad and name is not null")
-    parts = groups(good.select(F.col("name").alias("a"), F.col("new_name").alias("b")))
-    work = good.join(parts.withColumnRenamed("node", "name"), "name").select("group", F.lit(1).alias("kind"), "ord", "entity_id", "name", "new_name")
-    held = known.join(broadcast_if_small(parts.withColumnRenamed("node", "name")), "name").select("group", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("ord"), "entity_id", "name", F.lit(None).cast("string").alias("new_name"))
+    parts = broadcast_if_small(groups(good.select(F.col("name").alias("a"), F.col("new_name").alias("b"))).withColumnRenamed("node", "name"))
+    work = good.join(parts, "name").select("group", F.lit(1).alias("kind"), "ord", "entity_id", "name", "new_name")
+    held = known.join(parts, "name").select("group", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("ord"), "entity_id", "name", F.lit(None).cast("string").alias("new_name"))
     schema = StructType([StructField("what", StringType()), StructField("ord", LongType()), StructField("entity_id", LongType()), StructField("status", StringType()), StructField("old_name", StringType()), StructField("new_name", StringType()), StructField("target_id", LongType())])
 
     def step(state: dict, row: dict) -> Iterator[tuple]:

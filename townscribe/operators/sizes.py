@@ -35,6 +35,15 @@ def is_small(df: DataFrame, rows: int = ROWS, size: int = BYTES) -> bool:
     return n <= rows and found <= size
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` with a hint that joins by key shuffle it.
+
+    Without one Spark broadcasts what its estimate puts below the threshold; of a compressed table that is the size of the files, which
+    may be a small part of what the driver then gets.
+    """
+    return df.hint("shuffle_merge")
+
+
 def broadcast_if_small(df: DataFrame, rows: int = ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if its counted rows and bytes allow it, else unchanged (a shuffled join)."""
-    return F.broadcast(df) if is_small(df, rows) else df
+    """``df`` with a broadcast hint if its counted rows and bytes allow it, else a shuffled join."""
+    return F.broadcast(df) if is_small(df, rows) else shuffled(df)
