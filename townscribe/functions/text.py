@@ -11,8 +11,9 @@ WORD_CHARS = "[A-Za-z]"
 
 
 def any_of(lower: Column, terms: list[str]) -> Column:
-    """Whether a text holds any of the terms."""
-    return reduce(lambda a, b: a | b, (lower.contains(t) for t in terms))
+    """Whether a text holds any of the terms. A term that holds another one is not searched for."""
+    least = [t for t in dict.fromkeys(terms) if not any(u in t for u in terms if u != t)]
+    return reduce(lambda a, b: a | b, (lower.contains(t) for t in least))
 
 
 def first_match(text: Column, rules: list[tuple[str, str]], otherwise: Column | None = None) -> Column:
@@ -276,7 +277,8 @@ def split_sections(text: Column) -> Column:
 
 def sentences(text: Column, least: int = 25, most: int = 800) -> Column:
     """Sentences (after . or ;) with white space run together, of 25 to 800 characters."""
-    parts = F.transform(F.split(text, r"(?<=[.;])\s+"), lambda s: F.trim(F.regexp_replace(s, r"\s+", " ")))
+    # white space is run together once for the whole text, so no part needs work of its own
+    parts = F.split(F.trim(F.regexp_replace(text, r"\s{2,}|[\t\n\x0B\f\r]", " ")), "(?<=[.;]) ")
     return F.filter(parts, lambda s: (F.length(s) >= least) & (F.length(s) <= most))
 
 

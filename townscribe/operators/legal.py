@@ -49,6 +49,7 @@ DOCUMENT_TYPES = ["financial statement", "balance sheet", "income statement", "b
 RECORDING = ["recorded", "register of deeds", "county recorder", "recording", "public record"]
 RETENTION = ["shall keep", "must keep", "shall maintain", "must maintain", "retain", "retained for", "preservation of"]
 DELIVERY = ["electronic transmission", "electronic format", "email", "e-mail", "digital copy", "photocopying"]
+PROXY = ["proxy", "ballot", "quorum"]
 TOPICS = ["proxy_voting", "records_access", "records_sharing_limits"]
 
 
@@ -78,10 +79,10 @@ def overlay_rules(lower: Column, bucket: Column) -> Column:
     return F.filter(F.array(signature, record), lambda r: r.isNotNull())
 
 
-def sentence_rule(sentence: Column, bucket: Column) -> Column:
-    """The rule of a sentence (struct topic_family, rule_type), or null; proxies come before records."""
-    lower = F.lower(sentence)
-    about_proxy = any_of(lower, ["proxy", "ballot", "quorum"])
+def sentence_rule(sentence: Column, bucket: Column, lower: Column | None = None) -> Column:
+    """The rule of a sentence (struct topic_family, rule_type), or null; proxies come before records. ``lower`` is the sentence in lower case, if it is at hand."""
+    lower = F.lower(sentence) if lower is None else lower
+    about_proxy = any_of(lower, PROXY)
     applies = lower.contains("proxy") | F.lower(F.coalesce(bucket, F.lit(""))).isin(PROXY_BUCKETS)
     by_proxy = F.coalesce(electronic_rule(lower), reduce(lambda w, r: w.when(any_of(lower, r[0]), _proxy(r[1])), PROXY_RULES[1:], F.when(any_of(lower, PROXY_RULES[0][0]), _proxy(PROXY_RULES[0][1]))).when(lower.contains("ballot") & lower.contains("proxy"), _proxy("proxy_ballot_interaction")).when(any_of(lower, INSPECTION), _proxy("proxy_inspection_right")).otherwise(_proxy("proxy_allowed")))
     records = lambda kind: _rule("records_access", kind)
@@ -105,11 +106,15 @@ def sentence_rule(sentence: Column, bucket: Column) -> Column:
 
 def extract_rules(sections: DataFrame, text: str = "text", bucket: str = "bucket") -> DataFrame:
     """A row for each rule of each sentence, with the sentence, its place, and a confidence."""
-    rows = sections.select("*", F.posexplode(sentences(F.col(text))).alias("sentence_no", "value_text"))
-    found = F.concat(overlay_rules(F.lower("value_text"), F.col(bucket)), F.filter(F.array(sentence_rule(F.col("value_text"), F.col(bucket))), lambda r: r.isNotNull()))
+    # lower case is made once a sentence: as a column of its own it would be put in the place of each use
+    both = F.transform(sentences(F.col(text)), lambda s: F.struct(s.alias("value_text"), F.lower(s).alias("lower")))
+    rows = sections.select("*", F.posexplode(both).alias("sentence_no", "_sentence"))
+    # few sentences hold a term without which there is no rule
+    rows = rows.where(any_of(F.col("_sentence.lower"), [*PROXY, *RECORDS, *OVERLAY])).select(*sections.columns, "sentence_no", "_sentence.value_text", F.col("_sentence.lower").alias("_lower"))
+    found = F.concat(overlay_rules(F.col("_lower"), F.col(bucket)), F.filter(F.array(sentence_rule(F.col("value_text"), F.col(bucket), F.col("_lower"))), lambda r: r.isNotNull()))
     rows = rows.withColumn("_rule", F.explode(found))
     high = F.length("value_text") <= 280
-    return rows.select("*", "_rule.topic_family", "_rule.rule_type", F.when(high, "high").otherwise("medium").alias("confidence"), F.when(high, 0).otherwise(1).alias("needs_human_review")).drop("_rule")
+    return rows.select("*", "_rule.topic_family", "_rule.rule_type", F.when(high, "high").otherwise("medium").alias("confidence"), F.when(high, 0).otherwise(1).alias("needs_human_review")).drop("_rule", "_lower")
 
 
 def source_quality(source_type: Column, url: Column, aggregators: list[str], official: list[str], primary: list[str]) -> Column:
@@ -215,8 +220,9 @@ def corpus_counters(seeded: DataFrame, fetched: DataFrame, normalized: DataFrame
 
 
 def review_queue(rules: DataFrame, most: int = 50) -> DataFrame:
-    """Rules that need a look, at most ``most`` of each jurisdiction and topic, the longest first."""
-    w = Window.partitionBy("jurisdiction", "topic_family").orderBy(F.desc(F.length("value_text")), "value_text")
+    """Rules that need a look, at most ``most`` of each jurisdiction and topic, the longest first; equal texts by the other columns, in their order."""
+    others = [c for c in rules.columns if c not in ("jurisdiction", "topic_family", "value_text")]
+    w = Window.partitionBy("jurisdiction", "topic_family").orderBy(F.desc(F.length("value_text")), "value_text", *others)
     return rules.where("needs_human_review = 1").withColumn("queue_no", F.row_number().over(w)).where(F.col("queue_no") <= most)
 
 
